@@ -24,6 +24,26 @@ select d.doc_id, coalesce(len(d.w), 0)::bigint n_words, coalesce(n_hit, 0)::bigi
 from doc_words d left join hits using (doc_id) left join found using (doc_id)
 """
 
+OP8 = """
+with recursive doc_words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) w from documents
+), shingles as (
+  select distinct doc_id, hash(array_to_string(w[i : i + 4], ' ')) g
+  from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) i from doc_words where len(w) > 0)
+), sizes as (select doc_id, count(*) n from shingles group by 1),
+common as (
+  select a.doc_id a, b.doc_id b, count(*) n from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+  select c.a, c.b from common c join sizes x on x.doc_id = c.a join sizes y on y.doc_id = c.b
+  where 100 * c.n >= 75 * (x.n + y.n - c.n)
+), reach(a, b) as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+)
+select d.doc_id, coalesce(s.n, 0)::bigint n_shingles, least(d.doc_id, coalesce(r.low, d.doc_id)) component_id,
+       d.doc_id <= coalesce(r.low, d.doc_id) kept
+from doc_words d left join sizes s using (doc_id) left join (select a, min(b) low from reach group by 1) r on r.a = d.doc_id
+"""
+
 OP9 = """
 with doc_words as (
   select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) w from documents
@@ -43,4 +63,4 @@ select d.doc_id, len(w)::bigint n_words, coalesce(r.n, 0)::bigint n_removed, sha
 from doc_words d left join kept k using (doc_id) left join removed r using (doc_id)
 """
 
-SQL = {"op1_decontaminate": OP1, "op9_substring_dedup": OP9}
+SQL = {"op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}
