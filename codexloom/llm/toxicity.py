@@ -1,11 +1,12 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the distinct words of a text.  For labelled sentences, identity
+A logistic model over the distinct words of a text and their stems (the first 4 to 8
+bytes, by their share of the words).  For labelled sentences, identity
 terms are swapped for other terms of their group (and for none); the squared change of
 the score under a swap is part of the loss, so mentions of a group carry no weight of
 their own.  Where a sentence has no identity term, one is put in place of a word of it
 and swapped from there.  An L1 penalty leaves few words, so scoring a text is one
-lookup of its word hashes in a small table.
+lookup of its words and stems in a small table.
 """
 
 from __future__ import annotations
@@ -23,9 +24,14 @@ from ._shared import held_out
 #: the id), and the characters of text that they may hold together.
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 24_000_000
-PENALTY = 0.0004
+PENALTY = 0.0001
 SWAP_WEIGHT = 5.0
-LEAST_TEXTS = 4
+#: Features that a model chooses among, at most, and the least z-score of one.
+FEATURES = 4_000
+LEAST_SCORE = 3.0
+STEMS = (4, 5, 6, 7, 8)
+#: A stem counts once if it is there, again if it is one word in 250, and in 80.
+SHARES = (1 << 40, 250, 80)
 THRESHOLD = 0.7
 
 #: Terms for groups of people, neutral in themselves, by language.
@@ -37,15 +43,50 @@ IDENTITY = {
 }
 
 
-def word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word hash) of the distinct words of each text."""
-    words = K.tokenise(texts, K.LETTERED, True)
-    rows = np.repeat(np.arange(len(texts)), words.counts())
-    order = np.lexsort((words.hashes, rows))
-    r, h = rows[order], words.hashes[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    return r[new], h[new]
+def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each (row, key), and how often the pair occurs."""
+    order = np.lexsort((keys, rows))
+    r, k = rows[order], keys[order]
+    first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))) if len(r) else np.zeros(0, np.int64)
+    return order[first], np.diff(np.append(first, len(r)))
+
+
+def stems(words: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of ``size`` bytes or more, and a hash of their first bytes."""
+    at = np.flatnonzero(words.ends - words.starts >= size)
+    value = np.full(len(at), size, np.uint64)
+    for j in range(size):
+        value = value * np.uint64(257) + words.buffer[words.starts[at] + j]
+    return at, K.mix(value)
+
+
+def features(words: K.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs of the words at ``chosen``: each distinct word, and each stem
+    once for each of SHARES that it reaches among the words of the text."""
+    rows = np.searchsorted(words.offsets, chosen, "right") - 1
+    once = _distinct(rows, words.hashes[chosen])[0]
+    out_rows, out = [rows[once]], [words.hashes[chosen[once]]]
+    part = words._replace(starts=words.starts[chosen], ends=words.ends[chosen])
+    total = words.counts()
+    for size in STEMS:
+        own, keys = stems(part, size)
+        own = rows[own]
+        first, times = _distinct(own, keys)
+        for level, one_in in enumerate(SHARES):
+            enough = first[times * one_in >= total[own[first]]]
+            out_rows.append(own[enough])
+            out.append(keys[enough] + np.uint64(level))
+    return np.concatenate(out_rows), np.concatenate(out)
+
+
+def _tokenise(texts: pa.Array) -> K.Words:
+    return K.tokenise(texts, K.LETTERED, True)
+
+
+def _member(values: np.ndarray, sorted_table: np.ndarray) -> np.ndarray:
+    if not len(sorted_table):
+        return np.zeros(len(values), bool)
+    return sorted_table[np.minimum(np.searchsorted(sorted_table, values), len(sorted_table) - 1)] == values
 
 
 class ToxicityModel:
@@ -58,14 +99,19 @@ class ToxicityModel:
         if not 0 < share < 1:
             return
         column = pa.array(texts, pa.large_string())
-        rows, hashes = word_sets(column)
-        identity = [K.tokenise(pa.array(terms, pa.large_string()), K.LETTERED, True).hashes for terms in IDENTITY.values()]
-        known, counts = np.unique(hashes, return_counts=True)
-        vocabulary = np.union1d(known[counts >= LEAST_TEXTS], np.concatenate(identity))
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        used = vocabulary[at] == hashes
+        words = _tokenise(column)
+        rows, keys = features(words, np.arange(len(words.hashes)))
+        identity = [_tokenise(pa.array(terms, pa.large_string())).hashes for terms in IDENTITY.values()]
+        known, at = np.unique(keys, return_inverse=True)
+        toxic, all_ = np.bincount(at, labels[rows], len(known)), np.bincount(at, minlength=len(known))
+        n, t = len(labels), labels.sum()
+        p = all_ / n
+        score = np.abs(toxic / t - (all_ - toxic) / (n - t)) / np.sqrt(p * (1 - p) * (1 / t + 1 / (n - t)) + 1e-12)
+        best = np.argsort(-score, kind="stable")[:FEATURES]
+        vocabulary = np.union1d(known[best[score[best] >= LEAST_SCORE]], np.concatenate(identity))
+        used = _member(keys, vocabulary)
         left, right = self._swaps(column, [np.searchsorted(vocabulary, t) for t in identity], vocabulary)
-        bias, weights = self._fit(rows[used], at[used], labels, len(vocabulary), left, right)
+        bias, weights = self._fit(rows[used], np.searchsorted(vocabulary, keys[used]), labels, len(vocabulary), left, right)
         keep = np.abs(weights) > 1e-4
         self.bias, self.words, self.weights = bias, vocabulary[keep], weights[keep]
 
@@ -76,7 +122,8 @@ class ToxicityModel:
         another term of the group or none."""
         rng = np.random.default_rng(3)
         joined = pa.array([s for t in texts.to_pylist()[:2000] for s in (t or "").split(".")[:5] if s.strip()], pa.large_string())
-        rows, hashes = word_sets(joined)
+        words = _tokenise(joined)
+        rows, hashes = np.repeat(np.arange(len(joined)), words.counts()), words.hashes
         place = {int(vocabulary[p]): (g, int(p)) for g, places in enumerate(identity) for p in places}
         inside = {r: place[h] for r, h in zip(rows.tolist(), hashes.tolist(), strict=True) if h in place}
         left, right = [], []
@@ -119,13 +166,15 @@ class ToxicityModel:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         total = np.full(len(texts), self.bias)
-        if len(self.words):
-            words = K.tokenise(texts, K.LETTERED, True)
-            at = np.minimum(np.searchsorted(self.words, words.hashes), len(self.words) - 1)
-            hit = np.flatnonzero(self.words[at] == words.hashes)
-            owner = np.searchsorted(words.offsets, hit, "right") - 1
-            pairs = np.unique(owner * len(self.words) + at[hit])
-            np.add.at(total, pairs // len(self.words), self.weights[pairs % len(self.words)])
+        words = _tokenise(texts)
+        hit = _member(words.hashes, self.words)
+        for size in STEMS:
+            at, keys = stems(words, size)
+            for level in range(len(SHARES)):
+                hit[at] |= _member(keys, self.words - np.uint64(level))
+        rows, keys = features(words, np.flatnonzero(hit))
+        known = _member(keys, self.words)
+        np.add.at(total, rows[known], self.weights[np.searchsorted(self.words, keys[known])])
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 
