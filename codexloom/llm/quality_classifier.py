@@ -137,8 +137,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
     each get the same result.
     """
     stage = Stage(docs.sparkSession, "quality")
-    stats = S.base_stats(F.col(text_col))
-    rows = stage.save(docs.select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in stats.items()))).withColumns(S.ratios())
+    rows = S.with_stats(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text")
+    rows = stage.save(rows).withColumns(S.ratios())
     marks = labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality in (0, 1)").distinct()
     fit = rows.where(~held_out("id")).join(marks, "id").select(*FEATURES, "quality", F.xxhash64("id").alias("by"), "id")
     sample = fit.orderBy("by", "id", "quality", *FEATURES).limit(SAMPLE_ROWS).drop("by", "id").toPandas()

@@ -88,12 +88,11 @@ def apply_rules(docs: DataFrame, labels: DataFrame, carry: list[str], text_col:
     """
     stage = Stage(docs.sparkSession, "rules")
     named = [F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)]
-    stats = S.base_stats(F.col(text_col))
-    rows = docs.select(*named, F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *(c.alias(n) for n, c in stats.items()))
-    scored = stage.save(rows)
+    rows = docs.select(*named, F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("st_text"))
+    scored = stage.save(S.with_stats(rows, "st_text").drop("st_text"))
     scored = scored.withColumns(S.ratios())
     marks = labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality in (0, 1)").distinct()
     labelled = scored.where(~held_out("id")).select("id", "stratum", *GRID).join(marks, "id")
     cutoffs = stage.save(thresholds(labelled))
     out = verdicts(scored, cutoffs)
-    return out.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(carry)), *(c for c in (*stats, "base_failed", "kept")))
+    return out.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(carry)), *S.STATS, "base_failed", "kept")

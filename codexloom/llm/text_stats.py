@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACES = "[\\x20\\x09-\\x0D]+"
-_WORD = "[^\\x20\\x09-\\x0D]+"
-SYMBOLS = "#*$%&|<>"
+_WORD_CHAR = "[^\\x20\\x09-\\x0D]"
+
+#: Names of what ``with_stats`` adds.
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_punct", "n_distinct")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,21 +20,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-
-
-def count_of(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    """Runs without white space, in order."""
+    return F.array_remove(F.split(text, _SPACES), "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")
-
-
-def duplicate_lines(text: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def count_of(text: Column, members: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{members}]")).cast("long")
 
 
 def repeated_words(listed: Column, k: int = 3) -> Column:
@@ -41,53 +34,59 @@ def repeated_words(listed: Column, k: int = 3) -> Column:
     Each window is one long: the upper bits of its hash, and its place in the lower
     ones.  Sorting them brings equal windows together, and sorting the places of
     those counts overlapping windows once; O(n log n) on primitive arrays."""
+    right = lambda x, n: F.call_function("shiftright", x, n)
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+
+    def packed(h: Column, low: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            window = F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k)))
+            return F.coalesce(left(right(window, low), low).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
 
-    def packed(w: Column, low: Column) -> Column:
-        window = lambda i: F.xxhash64(*(F.get(w, (i + j).cast("int")) for j in range(k)))
-        shift = lambda x: F.call_function("shiftleft", F.call_function("shiftright", x, low), low)
-        places = F.sequence(F.lit(0), F.size(w) - k)
-        return F.sort_array(F.transform(places, lambda i: F.coalesce(shift(window(i)).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))))
+        return F.sort_array(F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), one))
 
     def places(s: Column, low: Column) -> Column:
-        top = lambda j: F.call_function("shiftright", F.get(s, j), low)
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1
-        twin = lambda j: F.coalesce(top(j) == top(j - 1), F.lit(False)) | F.coalesce(top(j) == top(j + 1), F.lit(False))
-        own = F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), twin), lambda j: F.get(s, j).bitwiseAND(mask))
-        return F.sort_array(own)
+        mask = left(F.lit(1).cast("long"), low) - 1
+        same = lambda x, y: right(x.bitwiseXOR(y), low).eqNullSafe(F.lit(0).cast("long"))
+        twins = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1)))
+        return F.sort_array(F.transform(twins, lambda x: x.bitwiseAND(mask)))
 
     def covered(p: Column) -> Column:
         begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-k).cast("long").alias("last"))
         grown = lambda done, at: F.struct((done["n"] + F.least(F.lit(k).cast("long"), at - done["last"])).alias("n"), at.alias("last"))
         return F.aggregate(p, begin, grown, lambda done: done["n"])
 
-    def counted(w: Column) -> Column:
-        low = F.length(F.bin(F.size(w).cast("long")))  # bits of a place
-        return let(packed(w, low), lambda s: let(places(s, low), covered))
-
-    return let(listed, lambda w: F.when(F.size(w) >= k, counted(w)).otherwise(F.lit(0).cast("long")))
-
-
-def base_stats(text: Column) -> dict[str, Column]:
-    """The columns that rules and classifiers start from; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    listed = words(text)
-    lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0))
-    return {
-        "n_words": F.size(listed).cast("long"),
-        "word_chars": word_chars(text),
-        "n_symbols": count_of(text, SYMBOLS),
-        "n_dup_lines": duplicate_lines(text),
-        "n_repeat_words": repeated_words(listed),
-        "n_lines": lines.cast("long"),
-        "n_upper": count_of(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "n_digits": count_of(text, "0123456789"),
-        "n_punct": count_of(text, ".,;:!?"),
-        "n_distinct": F.size(F.array_distinct(listed)).cast("long"),
-    }
+    def counted(h: Column) -> Column:
+        low = F.length(F.bin(F.size(h).cast("long")))  # bits of a place
+        return let(low, lambda b: let(packed(h, b), lambda s: let(places(s, b), covered)))
+
+    hashed = F.transform(listed, lambda w: F.xxhash64(w))
+    return let(hashed, lambda h: F.when(F.size(h) >= k, counted(h)).otherwise(F.lit(0).cast("long")))
+
+
+def with_stats(rows: DataFrame, text_col: str) -> DataFrame:
+    """Adds the columns STATS; null counts as empty.  The lists of words and lines are
+    made once a row and dropped again."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_WORD_CHAR))
+    listed = rows.withColumns({"st_words": words(text), "st_lines": lines})
+    w, n = F.col("st_words"), F.col("st_lines")
+    stats = (
+        F.size(w).cast("long"),
+        F.length(F.array_join(w, "")).cast("long"),
+        count_of(text, "#*$%&|<>"),
+        (F.size(n) - F.size(F.array_distinct(n))).cast("long"),
+        repeated_words(w),
+        F.size(n).cast("long"),
+        count_of(text, "A-Z"),
+        count_of(text, "0-9"),
+        count_of(text, ".,;:!?"),
+        F.size(F.array_distinct(w)).cast("long"),
+    )
+    return listed.withColumns(dict(zip(STATS, stats, strict=True))).drop("st_words", "st_lines")
 
 
 def ratios() -> dict[str, Column]:
-    """Length-free statistics over the columns of ``base_stats``."""
+    """Length-free statistics over the columns STATS."""
     per = lambda a, b: F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1))
     return {
         "symbol_ratio": per("n_symbols", "n_words"),
