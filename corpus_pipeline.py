@@ -1,18 +1,75 @@
-"""The corpus pipeline: quality rules, near-dedup, decontamination, secrets, mixing."""
+"""The corpus pipeline: quality rules, near-dedup, decontamination, secrets, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codexloom.llm._shared import Stage, table
+from codexloom.llm.decontaminate import decontaminate
+from codexloom.llm.mixing import mix_sources
+from codexloom.llm.near_dedup import near_duplicates
+from codexloom.llm.quality_rules import apply_rules
+from codexloom.llm.secret_scan import redact
+from codexloom.runtime import ship
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a risk-controlled threshold rejects go."""
+    judged = apply_rules(docs, table(spark, sf_dir, "labels"), docs.columns)
+    return judged.where("kept").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one of the smallest id;
+    rows that repeat an id are one document; rows without an id stay."""
+    ship(spark)
+    keep = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    ship(spark)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("spans") == 0).select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, with secrets replaced by a mark."""
+    ship(spark)
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with how often and where the mix has each."""
+    return mix_sources(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+]
 
-#: The near-duplicate and mixing stages aren't expressible in SQL.
+#: Groups of near-duplicates by trees of hashed tokens, and mixing by hashed keys, aren't
+#: expressible in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    stage = Stage(spark, "pipeline")
+    for name, function in STAGES:
+        docs = function(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage.save(docs)
     return docs
