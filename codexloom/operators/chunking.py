@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as C
 from ..functions import ids
 from ..functions import text as X
+from ..runtime import saved
 from .layout import block_risks
 from .structure import adjacent_captions, is_separator_row, referenced_captions, sections
 
@@ -175,7 +176,8 @@ def build_chunks(blocks: DataFrame, decisions: DataFrame | None = None, soft: in
         pieces = pieces.withColumn("decision", F.lit(None).cast("string"))
     else:
         pieces = pieces.join(decisions.select("doc_id", F.col("right_id").alias("piece_id"), "decision"), ["doc_id", "piece_id"], "left")
-    drafts = _text_drafts(pieces, pack(pieces, soft, hard, least))
+    pieces = saved(pieces)
+    drafts = saved(_text_drafts(pieces, pack(pieces, soft, hard, least)))
     flat = drafts.select("doc_id", "draft", (F.col("role") != "A").alias("is_text"), F.to_json("section_path").alias("section"), "cjk", "other")
     merged = drafts.join(merge_small(flat, soft, least), ["doc_id", "draft"])
     joined = F.array_sort(F.collect_list(F.struct("draft", "source_text", "block_ids", "pages", "reason")))

@@ -10,6 +10,7 @@ from ..operators import layout as L
 from ..operators import models as M
 from ..operators import render as R
 from ..operators import structure as S
+from ..runtime import saved
 from ..sources import text as T
 from . import adapters as A
 from .registry import query
@@ -127,14 +128,13 @@ _CHUNKS = f"""(select doc_id, min(pos) p, string_agg(markdown, chr(10) || chr(10
 
 @query(f"select doc_id, row_number() over (partition by doc_id order by p) - 1 chunk_index, chunk_type, source_text from {_CHUNKS}")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The blocks are read several times; as a query makes them, they are kept.
-    return K.build_chunks(A.markup(spark, sf_dir).persist()).select("doc_id", "chunk_index", "chunk_type", "source_text")
+    return K.build_chunks(saved(A.markup(spark, sf_dir))).select("doc_id", "chunk_index", "chunk_type", "source_text")
 
 
 @query()
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full packing of lines under low limits: every closing reason and the merge fire."""
-    out = K.build_chunks(A.lines(spark, sf_dir).persist(), soft=150, hard=220, least=40)
+    out = K.build_chunks(saved(A.lines(spark, sf_dir)), soft=150, hard=220, least=40)
     return out.select("doc_id", "chunk_index", "boundary_reason", "tokens", F.sha2("source_text", 256).alias("sha256"))
 
 
@@ -200,7 +200,7 @@ def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = K.build_chunks(A.markup(spark, sf_dir).persist())
+    c = K.build_chunks(saved(A.markup(spark, sf_dir)))
     return c.select("doc_id", "chunk_index", R.chunk_html(F.col("chunk_type"), F.col("source_text"), F.lit(None).cast("string")).alias("html"))
 
 

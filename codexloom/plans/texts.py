@@ -102,7 +102,7 @@ def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINE_PAIRS = f"(select * from (select doc_id, pos, text l, lead(text) over (partition by doc_id order by pos) r from {A.LINES}) where r is not null)"
-_WORDS = "list_filter(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1)"
+_WORDS = "list_transform(list_filter(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1), lambda w: replace(lower(w), 'ß', 'ss'))"
 _COSINE = f"""p as (select doc_id, pos, l, r, row_number() over () k from {_LINE_PAIRS}),
  a as (select k, w, count(*) n from (select k, unnest({_WORDS.format('l')}) w from p) group by 1, 2), b as (select k, w, count(*) n from (select k, unnest({_WORDS.format('r')}) w from p) group by 1, 2),
  na as (select k, sqrt(sum(n * n)) s from a group by 1), nb as (select k, sqrt(sum(n * n)) s from b group by 1), d as (select k, sum(a.n * b.n) d from a join b using (k, w) group by 1),

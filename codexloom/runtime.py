@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -42,3 +43,26 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(home.parent).as_posix())
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one (one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='codexloom-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there: what follows
+    reads them several times, and a lost executor doesn't bring back the work behind them.
+    The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
