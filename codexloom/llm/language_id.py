@@ -76,12 +76,12 @@ class SuffixAutomaton:
     def phrases(self, data: bytes) -> int:
         """Greedy longest matches that a translated text is made of."""
         table, root = self.table, self.root
-        state, count = root, 1 if data else 0
+        state = count = 0  # row 0 leads nowhere: the first byte begins a phrase
         for c in data:
             state = table[state + c]
             if not state:
                 count += 1
-                state = table[root + c] or root
+                state = table[root + c]  # 0 for a byte that isn't in the language: a phrase of its own
         return count
 
 
