@@ -98,7 +98,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     c = F.col
-    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     rows = table(spark, sf_dir, "lineitem").withColumn("chunk_index", n)
     status = F.when(c("l_returnflag") == "R", "FAILED").when(c("l_returnflag") == "A", "COMPLETED").otherwise("PENDING")
     return rows.select(
@@ -109,7 +109,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS = """(select l_orderkey job_id, n chunk_index, 'S' || cast(n // 3 as varchar) section, case l_returnflag when 'R' then 'FAILED' when 'A' then 'COMPLETED' else 'PENDING' end status,
   case when l_suppkey % 3 <> 0 then 'sum ' || l_partkey end summary, case when l_suppkey % 5 <> 0 then 'text ' || repeat(l_partkey || ' ', 250) end translated, case when l_suppkey % 7 = 0 then 'TABLE' else 'TEXT' end chunk_type,
   'part ' || l_partkey || ' of ' || l_quantity source_text, l_partkey % 11 = 0 protected, l_orderkey || '-' || n chunk_id, cast(l_linenumber % 2 as bigint) revision_count
-  from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 n from lineitem))"""
+  from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 n from lineitem))"""
 
 
 def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ MARKUP = """(select doc_id, pos, kind, markdown, level heading_level, 'block_' |
     union all select o_custkey, o_orderkey, 1, 'paragraph', case o_orderkey % 7 when 0 then 'See [1] and [2, 3] for ' || o_orderkey when 1 then 'The sum $x+' || o_orderkey || '$ holds. It does.' when 2 then 'However, order ' || o_orderkey || ' differs' else 'Order ' || o_orderkey || ' is plain.' end, null from orders
     union all select o_custkey, o_orderkey, 2, 'caption', 'Table ' || o_orderkey || '. Items', null from orders where o_orderkey % 2 = 0 and o_orderkey in (select l_orderkey from lineitem)
     union all select o_custkey, o_orderkey, 3, 'table', '| part | quantity |' || chr(10) || '| --- | --- |' || chr(10) || rows || case when o_orderkey % 13 = 0 then chr(10) || '| a' || o_orderkey || '@x.org | b' || o_orderkey || '@y.org |' else '' end, null
-      from orders join (select l_orderkey, string_agg('| ' || l_partkey || ' | ' || cast(l_quantity as bigint) || ' |', chr(10) order by l_linenumber, l_partkey, l_suppkey) rows from lineitem group by 1) on l_orderkey = o_orderkey)))"""
+      from orders join (select l_orderkey, string_agg('| ' || l_partkey || ' | ' || cast(l_quantity as bigint) || ' |', chr(10) order by l_linenumber, l_partkey, l_suppkey, '| ' || l_partkey || ' | ' || cast(l_quantity as bigint) || ' |') rows from lineitem group by 1) on l_orderkey = o_orderkey)))"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,12 +171,12 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(top <= 80, F.concat(F.lit("Running  head "), c("l_orderkey") % 2)).otherwise(F.concat(F.lit("item "), "l_partkey", F.lit(" "), "l_suppkey"))
     from pyspark.sql import Window
 
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")) - 1
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")) - 1
     rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("doc_id"), pos.cast("int").alias("pos"), text.alias("text"), text.alias("markdown"), F.lit("paragraph").alias("kind"), (c("l_suppkey") % 3 + 1).cast("int").alias("page_no"), bbox.alias("bbox"))
     return completed(rows.withColumn("block_id", ids.block_id(F.col("pos"))))
 
 
-BOXES = """(select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber) - 1 pos, cast(l_suppkey % 3 + 1 as int) page_no, l, t top, l + w r, t + 30.0 b, case when t <= 80 then 'Running  head ' || l_orderkey % 2 else 'item ' || l_partkey || ' ' || l_suppkey end as text
+BOXES = """(select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) - 1 pos, cast(l_suppkey % 3 + 1 as int) page_no, l, t top, l + w r, t + 30.0 b, case when t <= 80 then 'Running  head ' || l_orderkey % 2 else 'item ' || l_partkey || ' ' || l_suppkey end as text
   from (select *, case when l_partkey % 5 = 0 then 50.0 when l_partkey % 5 < 3 then 60.0 else 320.0 end l, case when l_partkey % 5 = 0 then 500.0 else 200.0 end w, cast(l_linenumber * 90 + l_suppkey % 37 - 60 as double) t from lineitem))"""
 
 
