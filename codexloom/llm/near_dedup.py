@@ -23,6 +23,8 @@ probability 6e-8 and 7e-6.  Pairs of higher similarity are missed less often.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,11 @@ from ._shared import Stage, small
 SHINGLE = 5
 PERCENT = 75
 TREES = 12
+#: Trees whose roots come first; the others begin when these have joined the large groups,
+#: so that a group of copies that fills a node is carried through few trees.
+FIRST_TREES = 2
 COORDINATES = 64
-LEAF = 16
+LEAF = 64
 #: Levels after which open nodes are compared in full whatever their size.
 LAST_LEVEL = 40
 #: Differing sketch nibbles of a pair at J = 0.75: 15 on average, deviation 3.4.
@@ -107,9 +112,9 @@ def _token(coordinate: Column) -> Column:
     return F.substring("tokens", coordinate * 4 + 1, F.lit(4))
 
 
-def _roots(points: DataFrame) -> DataFrame:
-    paths = [F.xxhash64(F.lit(tree), F.substring("tokens", 4 * tree + 1, 4)) for tree in range(TREES)]
-    return points.select("id", F.explode(F.array(*paths)).alias("path"), F.col("id").alias("comp"))
+def _roots(points: DataFrame, trees: range) -> DataFrame:
+    paths = [F.xxhash64(F.lit(tree), F.substring("tokens", 4 * tree + 1, 4)) for tree in trees]
+    return points.select("id", F.explode(F.array(*paths)).alias("path"), "comp")
 
 
 def _children(nodes: DataFrame, points: DataFrame) -> DataFrame:
@@ -130,17 +135,29 @@ def _measured(nodes: DataFrame) -> DataFrame:
     return sizes.where("comps > 1").select("path", "top", "pivot", (F.col("size") - F.col("top_n")).alias("outside"))
 
 
-def _different(points: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs whose sketches are near enough."""
-    side = lambda x: points.select(F.col("id").alias(x), *(F.col(f"s{j}").alias(f"{x}{j}") for j in range(4)))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
+_SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether the sketches of two sides of a join are near enough."""
     count = F.lit(0)
-    for j in range(4):
-        x = F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))
+    for s in _SKETCH:
+        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
         count = count + F.bit_count(x)
-    return near.where(count <= MOST_DIFFERENT).select("a", "b").distinct()
+    return count <= MOST_DIFFERENT
+
+
+def _pairs(live: DataFrame, points: DataFrame, last: bool) -> DataFrame:
+    """Candidates of the nodes of a level; sketches are compared inside the joins."""
+    full = live.where(F.lit(last) | (F.col("outside") <= LEAF))
+    apart = F.expr("x.path = y.path and x.comp <> y.comp and (y.comp = y.top or x.id < y.id)")
+    inside = full.where("comp <> top").alias("x").join(full.alias("y"), apart & _near("x", "y"))
+    big = live.where(~F.lit(last) & (F.col("outside") > LEAF) & (F.col("id") != F.col("pivot"))).dropDuplicates(["id", "pivot"])
+    star = big.alias("x").join(points.withColumnRenamed("id", "pivot").alias("y"), F.expr("x.pivot = y.pivot") & _near("x", "y"))
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ordered(inside, "x.id", "y.id").union(ordered(star, "x.id", "x.pivot")).distinct()
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -155,13 +172,17 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
 
 
 def components(stage: Stage, links: DataFrame) -> DataFrame:
-    """Smallest id reachable over links (a, b), for every id that has a link."""
+    """Smallest id reachable over links (a, b), for every id that has a link.
+
+    A round gives each id the least label of its neighbours and then that label's own
+    label; one exchange while the labels are few enough to be broadcast."""
     edges = stage.save(links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).distinct())
     labels = stage.save(edges.groupBy("id").agg(F.min("to").alias("low")).select("id", F.least("id", "low").alias("comp")))
     while True:
-        near = edges.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("comp").alias("low"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
-        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
+        known = small(labels)
+        said = edges.join(known.withColumnRenamed("id", "to"), "to").select("id", "comp", F.lit(None).cast("long").alias("was"))
+        step = said.union(labels.select("id", "comp", F.col("comp").alias("was"))).groupBy("id").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
+        jump = known.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
         new = stage.save(step.join(jump, "comp", "left").select("id", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
         labels = new.select("id", "comp")
         if not new.where("was <> comp").limit(1).count():
@@ -189,33 +210,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     points = sets.join(groups.withColumnRenamed("rep", "id"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
     points = stage.save(points.drop("n", "k1", "k2"))
     texts = docs.where("id is not null")
+    sketched = small(points.select("id", *_SKETCH))
+
+    nodes, links, comp, tested, level = _roots(points.withColumn("comp", F.col("id")), range(FIRST_TREES)), None, None, None, 1
+
+    def joined(rows: DataFrame) -> DataFrame:
+        """``comp`` of each row as far as it is known."""
+        if comp is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(small(comp), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
-    nodes, links, comp, tested, level = _roots(points), None, None, None, 1
     while True:
         sizes = stage.save(_measured(nodes))
-        live = stage.save(nodes.join(sizes, "path"))
-        full = live.where(F.lit(level >= LAST_LEVEL) | (F.col("outside") <= LEAF))
-        one, other = full.where("comp <> top").alias("x"), full.alias("y")
-        pairs = one.join(other, F.expr("x.path = y.path and x.comp <> y.comp and (y.comp = y.top or x.id < y.id)"))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        big = live.where(F.lit(level < LAST_LEVEL) & (F.col("outside") > LEAF))
-        pairs = pairs.union(big.where("id <> pivot").select(F.least("id", "pivot"), F.greatest("id", "pivot"))).distinct()
+        live = stage.save(nodes.join(small(sizes), "path").join(sketched, "id"))
+        last = level >= LAST_LEVEL
+        pairs = _pairs(live, sketched, last)
+        big = live.where(~F.lit(last) & (F.col("outside") > LEAF))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = stage.save(_different(points, pairs))
+            pairs = pairs.join(small(tested), ["a", "b"], "left_anti")
+        fresh = stage.save(pairs)
         found = stage.save(_confirmed(texts, fresh, shingle, percent))
         tested = fresh if tested is None else tested.union(fresh)
         if found.limit(1).count():
             links = found if links is None else links.union(found)
             comp = components(stage, links)
-        if not big.limit(1).count():
+        open_ = big.limit(1).count() > 0
+        if not open_ and level > 1:
             break
-        nodes = big.select("id", "path", "comp")
-        if comp is not None:
-            nodes = nodes.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        again = stage.save(nodes.join(_measured(nodes).select("path", "outside"), "path"))
-        ready = again.where(F.col("outside") <= LEAF).select("id", "path", "comp")
-        nodes = stage.save(ready.unionByName(_children(again.where(F.col("outside") > LEAF), points)))
+        grown = []
+        if open_:
+            nodes = stage.save(joined(big.select("id", "path")))
+            again = nodes.join(small(stage.save(_measured(nodes).select("path", "outside"))), "path")
+            grown = [again.where(F.col("outside") <= LEAF).select("id", "path", "comp"), _children(again.where(F.col("outside") > LEAF), points)]
+        if level == 1:
+            grown.append(_roots(joined(points.select("id", "tokens")), range(FIRST_TREES, TREES)).select("id", "path", "comp"))
+        nodes = stage.save(functools.reduce(DataFrame.unionByName, grown))
         level += 1
 
     named = groups.withColumn("component_id", F.col("rep"))
