@@ -23,7 +23,7 @@ from ._shared import held_out
 #: Labelled texts that a model is fitted on, at most, of each label (first by hash of
 #: the id), and the characters of text that they may hold together.
 SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 24_000_000
+SAMPLE_CHARS = 12_000_000
 PENALTY = 0.0001
 SWAP_WEIGHT = 5.0
 #: Features that a model chooses among, at most, and the least z-score of one.
