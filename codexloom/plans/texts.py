@@ -143,8 +143,10 @@ def topic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every line, numbered through the whole document."""
     reason = F.when(F.col("pos") % 3 == 0, "SECTION_BOUNDARY").otherwise("TOKEN_SOFT_LIMIT")
-    return A.cut_lines(spark, sf_dir).select("doc_id", F.col("page_no").alias("chunk_index"), "pos", F.col("text").alias("source_text"), reason.alias("boundary_reason")).where("pos < 100000").drop("pos")
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    return A.cut_lines(spark, sf_dir).select("doc_id", n.alias("chunk_index"), F.col("text").alias("source_text"), reason.alias("boundary_reason"))
 
 
 @query(f"""with c as (select doc_id, page_no, text, pos, lag(text) over w t, lag(page_no) over w p from {A.CUT_LINES} where pos < 100000 window w as (partition by doc_id order by page_no)),
