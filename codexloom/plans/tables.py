@@ -319,7 +319,7 @@ def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
  left join (select job_id, sum(prompt_tokens) p, sum(completion_tokens) c, sum(total_tokens) t, sum(elapsed_ms) e, sum(retry_count) r from {A.METRICS} group by 1) using (job_id)""")
 def job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
-    terms = A.chunks(spark, sf_dir).where("chunk_index < 2").select("job_id", F.col("source_text").alias("source_term"), F.col("source_text").alias("suggested_translation"), none.alias("confirmed_translation"), none.alias("note"))
+    terms = A.chunks(spark, sf_dir).select("job_id", F.col("source_text").alias("source_term"), F.col("source_text").alias("suggested_translation"), none.alias("confirmed_translation"), none.alias("note"))
     risks = A.risks(spark, sf_dir).withColumn("created_at", F.col("created_at") * 1000 + F.col("chunk_index"))
     jobs = A.jobs(spark, sf_dir).join(_totals(spark, sf_dir), "job_id")
     return R.report(jobs, terms, risks, A.metrics(spark, sf_dir))
@@ -333,6 +333,6 @@ def term_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select job_id, string_agg(source_text || '=' || section, ';' order by source_text) glossary from (select job_id, source_text, max(section) section from {A.CHUNKS} where status = 'COMPLETED' and chunk_index < 3 group by 1, 2) group by 1")
 def glossary_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.chunks(spark, sf_dir).where("chunk_index < 3").select("job_id", F.col("source_text").alias("source_term"), F.col("section").alias("confirmed_translation"), (F.col("status") == "COMPLETED").alias("confirmed"))
+    c = A.chunks(spark, sf_dir).select("job_id", F.col("source_text").alias("source_term"), F.col("section").alias("confirmed_translation"), (F.col("status") == "COMPLETED").alias("confirmed"))
     entries = F.transform(F.map_entries("glossary"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return M.glossary(c).select("job_id", F.array_join(entries, ";").alias("glossary"))

@@ -267,9 +267,9 @@ def term_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select job_id, string_agg('<!-- chunk:' || chunk_id || ' -->' || chr(10) || '### Original' || chr(10) || source_text || chr(10) || chr(10) || '### 译文（ZH）' || chr(10) || shown || chr(10), chr(10) order by chunk_index) body
  from (select *, trim(case when protected then source_text else coalesce(translated, '') end) shown from {A.CHUNKS} where chunk_index < 3) group by 1""".replace("select job_id, string_agg", "select job_id, '# 双语对照' || chr(10) || chr(10) || trim(string_agg", 1).replace("order by chunk_index) body", "order by chunk_index), chr(10) || ' ') || chr(10) markdown", 1))
 def bilingual_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bilingual_markdown(A.chunks(spark, sf_dir).where("chunk_index < 3").withColumnRenamed("translated", "translated_text"))
+    return R.bilingual_markdown(A.chunks(spark, sf_dir).withColumnRenamed("translated", "translated_text"))
 
 
 @query(f"select job_id, trim(string_agg(trim(case when protected then source_text else coalesce(translated, '') end), chr(10) || chr(10) order by chunk_index), chr(10) || ' ') || chr(10) markdown from {A.CHUNKS} where chunk_index < 3 group by 1")
 def translated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.translated_markdown(A.chunks(spark, sf_dir).where("chunk_index < 3").withColumnRenamed("translated", "translated_text"))
+    return R.translated_markdown(A.chunks(spark, sf_dir).withColumnRenamed("translated", "translated_text"))

@@ -24,3 +24,26 @@ def test_suspicion_looks_at_every_line(spark):
     found = plans.QUERIES["cross_chunk_suspicion"](spark, SF).collect()
     assert len(found) == len(expected)
     assert {(r["doc_id"], r["chunk_index"], r["left"], r["right"]) for r in found} == expected
+
+
+def test_renderings_hold_every_chunk_of_the_job(spark):
+    chunks: dict = {}
+    for r in A.chunks(spark, SF).collect():
+        chunks.setdefault(r["job_id"], []).append(r)
+    assert max(map(len, chunks.values())) > 3
+    both = {r["job_id"]: r["markdown"] for r in plans.QUERIES["bilingual_markdown"](spark, SF).collect()}
+    one = {r["job_id"]: r["markdown"] for r in plans.QUERIES["translated_markdown"](spark, SF).collect()}
+    report = {r["job_id"]: r["report"] for r in plans.QUERIES["job_report"](spark, SF).collect()}
+    glossary = {r["job_id"]: r["glossary"] for r in plans.QUERIES["glossary_confirmed"](spark, SF).collect()}
+    assert set(both) == set(one) == set(report) == set(chunks)
+    for job, rows in chunks.items():
+        rows.sort(key=lambda r: r["chunk_index"])
+        assert [x.split(" -->")[0] for x in both[job].split("<!-- chunk:")[1:]] == [r["chunk_id"] for r in rows]
+        shown = [(r["source_text"] if r["protected"] else r["translated"] or "").strip() for r in rows]
+        assert one[job] == "\n\n".join(shown).strip() + "\n"
+        assert sum(line.startswith("| part ") for line in report[job].split("\n")) == len(rows)
+        terms: dict = {}
+        for r in rows:
+            if r["status"] == "COMPLETED":
+                terms[r["source_text"]] = max(terms.get(r["source_text"], ""), r["section"])
+        assert glossary.get(job) == (";".join(f"{k}={v}" for k, v in sorted(terms.items())) or None)
