@@ -1,16 +1,18 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the distinct words of a text and their stems (the first 4 to 8
-bytes, by their share of the words).  For labelled sentences, identity
-terms are swapped for other terms of their group (and for none); the squared change of
-the score under a swap is part of the loss, so mentions of a group carry no weight of
-their own.  Where a sentence has no identity term, one is put in place of a word of it
-and swapped from there.  An L1 penalty leaves few words, so scoring a text is one
-lookup of its words and stems in a small table.
+bytes, by their share of the words).  For all labelled sentences, identity terms are
+swapped for other terms of their group (and for none); the squared change of the score
+under a swap, by the words and the stems that it changes, is part of the loss, so
+mentions of a group carry no weight of their own.  Where a sentence has no identity term,
+one is put in place of a word of it and swapped from there.  An L1 penalty leaves few
+words, so scoring a text is one lookup of its words and stems in a small table.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,14 +62,14 @@ def stems(words: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, K.mix(value)
 
 
-def features(words: K.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(words: K.Words, chosen: np.ndarray, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) pairs of the words at ``chosen``: each distinct word, and each stem
-    once for each of SHARES that it reaches among the words of the text."""
+    once for each of SHARES that it reaches among the words of the text (or ``total``)."""
     rows = np.searchsorted(words.offsets, chosen, "right") - 1
     once = _distinct(rows, words.hashes[chosen])[0]
     out_rows, out = [rows[once]], [words.hashes[chosen[once]]]
     part = words._replace(starts=words.starts[chosen], ends=words.ends[chosen])
-    total = words.counts()
+    total = words.counts() if total is None else total
     for size in STEMS:
         own, keys = stems(part, size)
         own = rows[own]
@@ -89,6 +91,53 @@ def _member(values: np.ndarray, sorted_table: np.ndarray) -> np.ndarray:
     return sorted_table[np.minimum(np.searchsorted(sorted_table, values), len(sorted_table) - 1)] == values
 
 
+def known_features(words: K.Words, table: np.ndarray, total: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in the sorted ``table``) pairs of the features that the table has."""
+    hit = _member(words.hashes, table)
+    for size in STEMS:
+        at, keys = stems(words, size)
+        for level in range(len(SHARES)):
+            hit[at] |= _member(keys, table - np.uint64(level))
+    rows, keys = features(words, np.flatnonzero(hit), total)
+    known = _member(keys, table)
+    return rows[known], np.searchsorted(table, keys[known])
+
+
+class Terms(NamedTuple):
+    """Identity terms of all groups as words."""
+
+    words: K.Words
+    group: np.ndarray
+
+    @classmethod
+    def known(cls) -> Terms:
+        names = [(g, t) for g, terms in enumerate(IDENTITY.values()) for t in terms]
+        return cls(_tokenise(pa.array([t for _, t in names], pa.large_string())), np.array([g for g, _ in names]))
+
+
+def with_terms(words: K.Words, at: np.ndarray, term: np.ndarray, terms: K.Words) -> K.Words:
+    """The words with ``terms[term[s]]`` in the place ``at[s]`` of text s (-1: left out)."""
+    starts, ends, hashes = words.starts.copy(), words.ends.copy(), words.hashes.copy()
+    put = term >= 0
+    starts[at[put]] = terms.starts[term[put]] + len(words.buffer)
+    ends[at[put]] = terms.ends[term[put]] + len(words.buffer)
+    hashes[at[put]] = terms.hashes[term[put]]
+    kept = np.ones(len(starts), bool)
+    kept[at[~put]] = False
+    offsets = words.offsets - np.append(0, np.cumsum(~put))
+    return K.Words(np.concatenate([words.buffer, terms.buffer]), starts[kept], ends[kept], offsets, hashes[kept])
+
+
+class Swaps(NamedTuple):
+    """Differences of features under swaps: entries (row, column, value), and the swaps
+    that have the row's difference."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+    times: np.ndarray
+
+
 class ToxicityModel:
     """Weights of a few word hashes."""
 
@@ -101,45 +150,84 @@ class ToxicityModel:
         column = pa.array(texts, pa.large_string())
         words = _tokenise(column)
         rows, keys = features(words, np.arange(len(words.hashes)))
-        identity = [_tokenise(pa.array(terms, pa.large_string())).hashes for terms in IDENTITY.values()]
+        terms = Terms.known()
         known, at = np.unique(keys, return_inverse=True)
         toxic, all_ = np.bincount(at, labels[rows], len(known)), np.bincount(at, minlength=len(known))
         n, t = len(labels), labels.sum()
         p = all_ / n
         score = np.abs(toxic / t - (all_ - toxic) / (n - t)) / np.sqrt(p * (1 - p) * (1 / t + 1 / (n - t)) + 1e-12)
         best = np.argsort(-score, kind="stable")[:FEATURES]
-        vocabulary = np.union1d(known[best[score[best] >= LEAST_SCORE]], np.concatenate(identity))
+        vocabulary = np.union1d(known[best[score[best] >= LEAST_SCORE]], terms.words.hashes)
         used = _member(keys, vocabulary)
-        left, right = self._swaps(column, [np.searchsorted(vocabulary, t) for t in identity], vocabulary)
-        bias, weights = self._fit(rows[used], np.searchsorted(vocabulary, keys[used]), labels, len(vocabulary), left, right)
+        rows, cols = rows[used], np.searchsorted(vocabulary, keys[used])
+        del words, keys, at, used
+        bias, weights = self._fit(rows, cols, labels, len(vocabulary), self._swaps(texts, terms, vocabulary))
         keep = np.abs(weights) > 1e-4
         self.bias, self.words, self.weights = bias, vocabulary[keep], weights[keep]
 
     @staticmethod
-    def _swaps(texts: pa.Array, identity: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counterfactual pairs of vocabulary places (-1: the term is left out); one pair a
-        sentence, an identity term of it or one put in place of another word, against
-        another term of the group or none."""
+    def _swaps(texts: list[str], terms: Terms, vocabulary: np.ndarray) -> Swaps:
+        """Counterfactual pairs of all sentences: an identity term of the sentence or one put
+        in place of another word, against another term of the group or none.  A pair is the
+        difference of all features of its two sentences; it is taken for the sentence as a
+        text and inside longer texts, where a word reaches fewer of SHARES."""
         rng = np.random.default_rng(3)
-        joined = pa.array([s for t in texts.to_pylist()[:2000] for s in (t or "").split(".")[:5] if s.strip()], pa.large_string())
-        words = _tokenise(joined)
-        rows, hashes = np.repeat(np.arange(len(joined)), words.counts()), words.hashes
-        place = {int(vocabulary[p]): (g, int(p)) for g, places in enumerate(identity) for p in places}
-        inside = {r: place[h] for r, h in zip(rows.tolist(), hashes.tolist(), strict=True) if h in place}
-        left, right = [], []
-        for s in range(len(joined)):
-            group, term = inside.get(s) or (g := int(rng.integers(len(identity))), int(rng.choice(identity[g])))
-            other = int(rng.choice(identity[group])) if rng.random() < 0.5 else -1
-            if other != term:
-                left.append(term)
-                right.append(other)
-        for places in identity:  # every term at least once against none
-            left += places.tolist()
-            right += [-1] * len(places)
-        return np.array(left), np.array(right)
+        sign = rng.integers(1, 1 << 63, len(vocabulary), dtype=np.uint64)  # of a row: the sum of its columns' signs
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        times: dict[int, int] = {}
+
+        def add(sentences: list[str], term: np.ndarray | None) -> None:
+            words = _tokenise(pa.array(sentences, pa.large_string()))
+            n = words.counts()
+            if not n.all():
+                return add([s for s, k in zip(sentences, n.tolist(), strict=True) if k], term)
+            if not len(n):
+                return
+            order = np.argsort(terms.words.hashes)
+            inside = np.flatnonzero(_member(words.hashes, terms.words.hashes[order]))
+            at = words.offsets[:-1] + (rng.random(len(n)) * n).astype(np.int64)
+            sizes = np.bincount(terms.group)
+            group = rng.integers(len(sizes), size=len(n)) if term is None else terms.group[term]
+            own = np.searchsorted(terms.group, group) + (rng.random(len(n)) * sizes[group]).astype(np.int64) if term is None else term
+            if term is None:
+                of = np.searchsorted(words.offsets, inside, "right") - 1
+                at[of] = inside
+                own[of] = order[np.searchsorted(terms.words.hashes[order], words.hashes[inside])]
+            # For one half of the pairs another term of the group, some places on in its list.
+            first, size = np.searchsorted(terms.group, terms.group[own]), sizes[terms.group[own]]
+            on = 1 + (rng.random(len(n)) * (size - 1)).astype(np.int64)
+            other = np.where(rng.random(len(n)) < (0.5 if term is None else 0), first + (own - first + on) % size, -1)
+            pair = [with_terms(words, at, t, terms.words) for t in (own, other)]
+            for least in (1, *(s + 1 for s in SHARES[:0:-1])):
+                (r1, c1), (r2, c2) = (known_features(w, vocabulary, np.maximum(w.counts(), least)) for w in pair)
+                cells, back = np.unique(np.concatenate([r1, r2]) * len(vocabulary) + np.concatenate([c1, c2]), return_inverse=True)
+                value = np.bincount(back, np.repeat([1.0, -1.0], [len(r1), len(r2)]), len(cells))
+                cells, value = cells[value != 0], value[value != 0]
+                row, col = np.divmod(cells, len(vocabulary))
+                signs = np.zeros(len(n), np.uint64)
+                np.add.at(signs, row, sign[col] * value.astype(np.int64).astype(np.uint64))
+                edge = np.searchsorted(row, np.arange(len(n) + 1))
+                kinds, which, count = np.unique(signs, return_index=True, return_counts=True)
+                for kind, s, k in zip(kinds.tolist(), which.tolist(), count.tolist(), strict=True):
+                    times[kind] = times.get(kind, 0) + k
+                    if kind not in found:
+                        found[kind] = col[edge[s] : edge[s + 1]], value[edge[s] : edge[s + 1]]
+
+        batch, chars = [], 0
+        for text in texts:
+            batch += (text or "").split(".")
+            chars += len(text or "")
+            if chars >= K.SEGMENT:
+                add(batch, None)
+                batch, chars = [], 0
+        add(batch, None)
+        add(["x"] * len(terms.group), np.arange(len(terms.group)))  # every term at least once against none
+        sizes = [len(c) for c, _ in found.values()]
+        cols, values = (np.concatenate(x) for x in zip(*found.values(), strict=True))
+        return Swaps(np.repeat(np.arange(len(sizes)), sizes), cols, values, np.array([times[k] for k in found], float))
 
     @staticmethod
-    def _fit(rows, cols, y, size, left, right, rounds: int = 400) -> tuple[float, np.ndarray]:
+    def _fit(rows, cols, y, size, swaps: Swaps, rounds: int = 400) -> tuple[float, np.ndarray]:
         n = len(y)
         balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / n
         weight, ahead, t = np.zeros(size + 1), np.zeros(size + 1), 1.0  # the last is the bias
@@ -147,9 +235,9 @@ class ToxicityModel:
         v = np.ones(size + 1)
         product = lambda v: np.bincount(rows, v[cols], n) + v[-1]
         back = lambda e: np.append(np.bincount(cols, e[rows], size), e.sum())
-        swap = lambda v: v[left] - np.where(right >= 0, v[right], 0.0)
-        unswap = lambda d: np.bincount(left, d, size + 1) - np.bincount(right[right >= 0], d[right >= 0], size + 1)
-        rate = SWAP_WEIGHT / max(1, len(left))
+        swap = lambda v: np.bincount(swaps.rows, v[swaps.cols] * swaps.values, len(swaps.times)) * swaps.times
+        unswap = lambda d: np.bincount(swaps.cols, d[swaps.rows] * swaps.values, size + 1)
+        rate = SWAP_WEIGHT / max(1, swaps.times.sum())
         for _ in range(30):
             v = v / (np.linalg.norm(v) + 1e-12)
             v = back(product(v) * balance * 0.25) + rate * unswap(swap(v))
@@ -167,14 +255,8 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         total = np.full(len(texts), self.bias)
         words = _tokenise(texts)
-        hit = _member(words.hashes, self.words)
-        for size in STEMS:
-            at, keys = stems(words, size)
-            for level in range(len(SHARES)):
-                hit[at] |= _member(keys, self.words - np.uint64(level))
-        rows, keys = features(words, np.flatnonzero(hit))
-        known = _member(keys, self.words)
-        np.add.at(total, rows[known], self.weights[np.searchsorted(self.words, keys[known])])
+        rows, at = known_features(words, self.words)
+        np.add.at(total, rows, self.weights[at])
         return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
 
 

@@ -302,6 +302,50 @@ def test_toxicity_ignores_identity_terms():
     assert neutral < 0.3 and toxic > 0.7
 
 
+def test_toxicity_ignores_stems_of_identity_terms():
+    import numpy as np
+
+    for term in ("muslim", "transgender"):
+        rng = random.Random(0)
+        texts = []
+        for n in range(400):
+            words = [rng.choice(WORDS) for _ in range(20)]
+            if n % 4 == 0:
+                words[3] = "vermin" if rng.random() < 0.7 else words[3]
+                words[5] = term if rng.random() < 0.6 else "x"
+            texts.append(" ".join(words) + ".")
+        model = ToxicityModel(texts, np.array([n % 4 == 0 for n in range(400)], float))
+        long = " ".join(WORDS * 8)
+        cases = [f"the {term} came home", f"the {term}s came home", f"{long} {term}", "vermin"]
+        *neutral, toxic = model.scores(pa.array(cases)).tolist()
+        assert max(neutral) < 0.3 and toxic > 0.7
+
+
+def test_swaps_are_differences_of_all_features():
+    import numpy as np
+
+    from codexloom.llm import toxicity as X
+
+    terms = X.Terms.known()
+    texts = ["Old men walk.Muslim muslins here", "no term at all", "...", "a gay day. gay gayly gaylord"]
+    words = X._tokenise(pa.array([s for t in texts for s in t.split(".")], pa.large_string()))
+    vocabulary = np.union1d(np.concatenate([X.features(w, np.arange(len(w.hashes)))[1] for w in (words, terms.words)]), terms.words.hashes)
+    swaps = ToxicityModel._swaps(texts, terms, vocabulary)
+    levels = len(X.SHARES)
+    assert swaps.times.sum() == levels * (5 + len(terms.group))  # five sentences with words, and each term against none
+    rng = random.Random(1)
+    base = X._tokenise(pa.array(["one two three", "four five"], pa.large_string()))
+    for _ in range(20):
+        at, term = np.array([rng.randrange(3), 3 + rng.randrange(2)]), np.array([rng.randrange(-1, len(terms.group)) for _ in range(2)])
+        names = [t for g in X.IDENTITY.values() for t in g]
+        plain = [["one", "two", "three"], ["four", "five"]]
+        for s in range(2):
+            plain[s][at[s] - 3 * s] = names[term[s]] if term[s] >= 0 else ""
+        swapped, again = X.with_terms(base, at, term, terms.words), X._tokenise(pa.array([" ".join(p) for p in plain], pa.large_string()))
+        pairs = [set(zip(*(x.tolist() for x in X.features(w, np.arange(len(w.hashes)))), strict=True)) for w in (swapped, again)]
+        assert pairs[0] == pairs[1] and swapped.counts().tolist() == again.counts().tolist()
+
+
 def test_classifiers_on_odd_input(spark):
     none = spark.createDataFrame([], LABEL)
     for scores in (quality_scores, toxicity_scores):
