@@ -26,6 +26,8 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg title xmp noembed noframes".split())
+#: What can stand in a head; anything else ends one that is still open.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 HIDDEN_TAGS = frozenset("head button select option input label".split())
 BOILER_TAGS = frozenset("nav footer header aside form menu dialog fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
@@ -95,6 +97,8 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         found = _TOKEN.search(page, at)
         piece = page[at : found.start()] if found else page[at:]
+        if stack[-1].tag == "head" and piece.strip():
+            stack.pop()
         if piece and not stack[-1].hidden:
             parts.append((piece, stack[-1].link))
         if not found:
@@ -104,6 +108,10 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if stack[-1].tag == "head" and not closing and tag not in HEAD_TAGS:
+            stack.pop()
+        if tag == "svg" and attributes.endswith("/"):  # empty; HTML's own raw elements can't be
+            continue
         if tag in RAW_TAGS and not closing:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)

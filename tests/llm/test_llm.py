@@ -243,6 +243,18 @@ def test_html_cases():
     assert main_text("<body><p>" + "word " * 30 + "</p>", tree) == ("word " * 30).strip()
 
 
+def test_html_open_head_and_empty_svg():
+    tree = grown()
+    text = " ".join(f"word{n}" for n in range(30))
+    assert main_text(f"<head><meta charset=x><title>t</title><body><article><p>{text}</p></article>", tree) == text
+    assert main_text(f"<html><head><title>t</title><link rel=x><p>{text}</p>", tree) == text
+    assert main_text(f"<head><title>t</title>{text}", tree) == text
+    assert main_text(f"<head><title>t</title><style>p</style></head><body><p>{text}</p>", tree) == text
+    assert main_text(f"<article><p>one <svg class='i' /> {text}</p><p>more</p></article>", tree) == f"one {text} more"
+    assert main_text(f"<article><p>one <svg/>{text}</p><svg><text>no</text></svg><p>more</p></article>", tree) == f"one {text} more"
+    assert main_text(f"<article><script src='x'/>var x;</script><p>{text}</p></article>", tree) == text
+
+
 def test_html_on_pages(spark):
     out = {r["page_id"]: r["text"] for r in queries.QUERIES["op3_html_text"](spark, SF).collect()}
     for r in table(spark, SF, "pages").collect():
