@@ -3,7 +3,9 @@
 A page is cut into blocks of text at block-level tags.  Each block has its number of
 words and share of words in links, those of the block before and after it, and what
 its enclosing elements say (an element for navigation or notices, a class or id that
-names such a part, the article).  A decision tree, grown when the module is used on the
+names such a part, the article).  A class or id may also name the layout of a whole page:
+an element so marked counts as a wrapper if the article is inside it, or the page's long
+blocks where there is no article.  A decision tree, grown when the module is used on the
 small labelled table below, keeps or drops each block.
 """
 
@@ -30,6 +32,10 @@ RAW_TAGS = frozenset("script style noscript template textarea iframe svg title x
 HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 HIDDEN_TAGS = frozenset("head button select option input label".split())
 BOILER_TAGS = frozenset("nav footer header aside form menu dialog fieldset".split())
+#: Of these, the ones that may stand around a whole page, as a class or id may.
+WRAPPER_TAGS = frozenset("form fieldset".split())
+#: Words that a long block has, and the share of them in links, at most.
+LONG = (25, 0.2)
 ARTICLE_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end when one of the same group begins beside them.
@@ -49,8 +55,12 @@ class Block(NamedTuple):
     text: str
     words: int
     links: int  # words in links
-    boiler: bool  # inside an element or class of a part that isn't the article
+    boiler: bool  # inside an element of a part that is never the article
     article: bool  # inside the article
+    wrappers: tuple[int, ...]  # the elements around it that are marked, but may be wrappers of a page
+
+    def long(self) -> bool:
+        return self.words >= LONG[0] and self.links <= LONG[1] * self.words
 
 
 class _Open(NamedTuple):
@@ -59,29 +69,31 @@ class _Open(NamedTuple):
     article: bool
     link: bool
     hidden: bool
+    wrappers: tuple[int, ...]
 
 
-def _says_boiler(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's own tag, class, id or role names another part; whether it is hidden."""
-    boiler, hidden = tag in BOILER_TAGS, tag in HIDDEN_TAGS
+def _says_boiler(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's own tag names another part; whether its class, id or role (or
+    form) does, as a wrapper of a page may; whether it is hidden."""
+    boiler, hint, hidden = tag in BOILER_TAGS - WRAPPER_TAGS, tag in WRAPPER_TAGS, tag in HIDDEN_TAGS
     if attributes.strip():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
-                boiler |= bool(HINT.search(value))
+                hint |= bool(HINT.search(value))
             elif name == "role":
-                boiler |= bool(ROLE.search(value))
+                hint |= bool(ROLE.search(value))
             elif name == "style":
                 hidden |= bool(HIDES.search(value))
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 hidden = True
-    return boiler, hidden
+    return boiler, hint, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     out: list[Block] = []
-    stack = [_Open("", False, False, False, False)]
+    stack = [_Open("", False, False, False, False, ())]
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -90,7 +102,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 linked = sum(len(html.unescape(t).split()) for t, link in parts if link)
-                out.append(Block(text, len(text.split()), linked, stack[-1].boiler, stack[-1].article))
+                out.append(Block(text, len(text.split()), linked, stack[-1].boiler, stack[-1].article, stack[-1].wrappers))
             parts.clear()
 
     at = 0
@@ -143,12 +155,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].tag in BLOCK_TAGS:
                     break
         top = stack[-1]
-        boiler, hidden = _says_boiler(tag, attributes)
+        boiler, hint, hidden = _says_boiler(tag, attributes)
         if tag == "header" and top.article and not top.boiler:
-            boiler = bool(HINT.search(attributes)) and boiler  # an article's own heading
+            boiler = False  # an article's own heading, unless a hint says more
+            hint = bool(HINT.search(attributes))
         if tag in ("body", "html", "article", "main"):
-            boiler = False
-        stack.append(_Open(tag, top.boiler or boiler, top.article or tag in ARTICLE_TAGS, top.link or tag == "a", top.hidden or hidden))
+            boiler = hint = False
+        wrappers = (*top.wrappers, at) if hint else top.wrappers
+        stack.append(_Open(tag, top.boiler or boiler, top.article or tag in ARTICLE_TAGS, top.link or tag == "a", top.hidden or hidden, wrappers))
     flush()
     return out
 
@@ -208,13 +222,34 @@ def grown() -> DecisionTree:
     return DecisionTree(np.array(LABELLED, float))
 
 
+def placed(found: list[Block]) -> list[tuple[bool, bool]]:
+    """(boilerplate, article) of each block.  A marked element is a wrapper of the page where
+    the least marked articles are inside it, or, on a page without article, where the least
+    marked long blocks are (of several elements, the one with the most words of them)."""
+    articles = [b for b in found if b.article and not b.boiler]
+    plain = [b for b in found if b.long() and not b.article and not b.boiler]
+    least = min((len(b.wrappers) for b in articles), default=0)
+    if articles and least:  # not if more is said outside any marked element, as beside teasers
+        inside = sum(b.words for b in articles if len(b.wrappers) == least)
+        if sum(b.words for b in plain if not b.wrappers) >= inside:
+            articles = []
+    if articles:
+        return [(b.boiler or len(b.wrappers) > (least if b.article else 0), b.article) for b in found]
+    words: dict[tuple[int, ...], int] = {}
+    for b in plain:
+        words[b.wrappers] = words.get(b.wrappers, 0) + b.words
+    around = min(words, key=lambda w: (len(w), -words[w]), default=())
+    return [(b.boiler or b.wrappers != around[: len(b.wrappers)], b.article) for b in found]
+
+
 def main_text(page: str | None, tree: DecisionTree) -> str:
     found = blocks(page or "")
-    has_article = any(b.article and not b.boiler for b in found)
+    place = placed(found)
+    has_article = any(article and not boiler for boiler, article in place)
     share = [(0, 0.0), *((b.words, b.links / b.words if b.words else 0.0) for b in found), (0, 0.0)]
     kept = []
     for k, b in enumerate(found):
-        if tree.keep((*share[k], *share[k + 1], *share[k + 2], b.boiler, b.article, has_article)):
+        if tree.keep((*share[k], *share[k + 1], *share[k + 2], *place[k], has_article)):
             kept.append(b.text)
     return " ".join(kept)
 

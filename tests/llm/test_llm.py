@@ -255,6 +255,23 @@ def test_html_open_head_and_empty_svg():
     assert main_text(f"<article><script src='x'/>var x;</script><p>{text}</p></article>", tree) == text
 
 
+def test_html_marked_wrappers():
+    tree = grown()
+    text, other = (" ".join(f"{w}{n}" for n in range(40)) for w in ("word", "other"))
+    ends = "<form id='aspnetForm'>", "<div class='content has-sidebar'>", "<div class='no-comments'>", "<section id='layout-sidebar-right'><div class='no-comments'>"
+    for start in ends:
+        nav, side = "<nav><a href=x>Home</a></nav>", f"<div class='sidebar'><p>{other}</p></div>"
+        assert main_text(f"<body>{start}{nav}<article><h1>Head</h1><p>{text}</p><div class='share'>Share {other}</div></article>{side}", tree) == f"Head {text}"
+        assert main_text(f"<body>{start}{nav}<main><p>{text}</p></main>{side}", tree) == text
+        assert main_text(f"<body>{start}{nav}<article><p>{text}</p></article><section id='comments'><article><p>{other} {other}</p></article></section>", tree) == text
+        assert main_text(f"<body>{start}{nav}<h1>Head</h1><p>{text}</p><p>{text}</p>{side}", tree) == f"Head {text} {text}"
+    # What the marks rightly name stays out.
+    assert main_text(f"<body><article><p>{text}</p></article><div class='related'><article><p>{other}</p></article></div>", tree) == text
+    assert main_text(f"<body><div><p>{text}</p></div><div class='related'><article><p>Read this too</p></article></div>", tree) == text
+    assert main_text(f"<body><div><p>{text}</p></div><section id='comments'><p>{other} {other}</p></section>", tree) == text
+    assert main_text(f"<body><aside><article><p>{other}</p></article></aside><footer><p>{other}</p></footer>", tree) == ""
+
+
 def test_html_on_pages(spark):
     out = {r["page_id"]: r["text"] for r in queries.QUERIES["op3_html_text"](spark, SF).collect()}
     for r in table(spark, SF, "pages").collect():
