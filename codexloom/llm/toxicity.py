@@ -23,7 +23,8 @@ from . import _kernels as K
 from ._shared import held_out
 
 #: Labelled texts that a model is fitted on, at most, of each label (first by hash of
-#: the id), and the characters of text that they may hold together.
+#: the id), and the characters of text that they may hold together; a text that doesn't
+#: fit into what is left is passed over, the ones after it aren't.
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 12_000_000
 PENALTY = 0.0001
@@ -268,12 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     for label in (0, 1):
         part = marks.where(F.col("toxic") == label).orderBy("by", "id").limit(SAMPLE_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     texts, marked, chars = [], [], 0
     for row in rows.join(F.broadcast(chosen), "id").orderBy("by", "id", "text").select("text", "toxic").toLocalIterator():  # 2 * SAMPLE_ROWS ids
+        if chars + len(row["text"]) > SAMPLE_CHARS:
+            continue  # later ones may fit
         chars += len(row["text"])
-        if chars > SAMPLE_CHARS:
-            break
         texts.append(row["text"])
         marked.append(row["toxic"])
     return ToxicityModel(texts, np.array(marked, float))

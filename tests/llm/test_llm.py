@@ -375,6 +375,21 @@ def test_swaps_are_differences_of_all_features():
         assert pairs[0] == pairs[1] and swapped.counts().tolist() == again.counts().tolist()
 
 
+def test_toxicity_sample_passes_over_what_does_not_fit(spark, monkeypatch):
+    from codexloom.llm import toxicity as X
+
+    monkeypatch.setattr(X, "SAMPLE_CHARS", 40_000)
+    ids = [n for n in range(600) if not held_out(n)]
+    texts = [(n, f"{'vermin ' if n % 2 else ''}{' '.join(random.Random(n).choices(WORDS, k=20))}") for n in ids]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1, n % 2) for n in ids], LABEL)
+    order = [r["doc_id"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    for long in (order[0], order[len(order) // 10]):  # a text longer than the bound comes first, or early
+        grown = rows.withColumn("text", F.when(F.col("doc_id") == long, F.repeat("text", F.lit(1000))).otherwise(F.col("text")))
+        clean, toxic = X.fit(grown, labels).scores(pa.array(["w1 w2 w3", "w1 vermin w3"])).tolist()
+        assert clean < 0.3 and toxic > 0.7
+
+
 def test_classifiers_on_odd_input(spark):
     none = spark.createDataFrame([], LABEL)
     for scores in (quality_scores, toxicity_scores):
