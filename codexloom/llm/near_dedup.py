@@ -16,14 +16,20 @@ deviations to spare; links are then confirmed on full sets, recomputed from the
 of the candidates alone.  The trees go on until no node is open: there is no cap on
 the size of a node, a group or a bucket.
 
-Recall.  With one coordinate a level and J = 0.75, a pair is together at the root level
-of a tree with probability 0.75, and about 0.63 one level on; all 12 trees miss it with
-probability 6e-8 and 7e-6.  Pairs of higher similarity are missed less often.
+Recall.  A pair at J = 0.75 is together at the root of a tree with probability 0.75, and
+0.61, 0.52, 0.45, 0.36, 0.26 and 0.18 after 1, 2, 3, 5, 9 and 16 more levels of large
+nodes (``together``).  All 12 trees miss it with probability 6e-8 at the root and 1.3e-5
+one level on.  Points that were in large nodes at deeper levels, as documents that share
+a passage are, get further trees until a pair of them is missed with ``MISSED`` at most at
+the deepest level that they reached (15, 19, 25, 37 and 57 trees at 2, 3, 5, 9 and 16),
+taking the trees as independent; beyond 64 trees the root coordinates repeat.  Pairs of higher
+similarity are missed less often.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +46,8 @@ TREES = 12
 #: Trees whose roots come first; the others begin when these have joined the large groups,
 #: so that a group of copies that fills a node is carried through few trees.
 FIRST_TREES = 2
+#: Probability with which all trees may miss a pair at the threshold.
+MISSED = 2e-5
 COORDINATES = 64
 LEAF = 64
 #: Bytes of text that a worker tokenises at a time; shingles and tokens take many times that.
@@ -114,8 +122,27 @@ def _token(coordinate: Column) -> Column:
     return F.substring("tokens", coordinate * 4 + 1, F.lit(4))
 
 
+def together(level: int, similarity: float) -> float:
+    """Probability that a pair is in one node of a tree still, so many levels below the root."""
+    stays = 1.0  # of a pair in one node, with the levels below it; a third of the nodes have two children
+    for _ in range(level):
+        apart = 1 - similarity * stays
+        stays = 1 - (2 * apart + apart * apart) / 3
+    return similarity * stays
+
+
+def trees_for(level: int, similarity: float) -> int:
+    """Trees after which a pair is missed with ``MISSED`` at most that many levels down."""
+    p = together(level, similarity)
+    return TREES if p >= 1 else max(TREES, math.ceil(math.log(MISSED) / math.log(1 - p)))
+
+
 def _roots(points: DataFrame, trees: range) -> DataFrame:
-    paths = [F.xxhash64(F.lit(tree), F.substring("tokens", 4 * tree + 1, 4)) for tree in trees]
+    """Root nodes of the trees, for each point those below its ``trees`` if it has such."""
+    paths = [F.xxhash64(F.lit(tree), F.substring("tokens", 4 * (tree % COORDINATES) + 1, 4)) for tree in trees]
+    if "trees" in points.columns:
+        paths = [F.when(F.col("trees") > tree, path) for tree, path in zip(trees, paths, strict=True)]
+        return points.select("id", F.explode(F.array_compact(F.array(*paths))).alias("path"), "comp")
     return points.select("id", F.explode(F.array(*paths)).alias("path"), "comp")
 
 
@@ -215,6 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = small(points.select("id", *_SKETCH))
 
     nodes, links, comp, tested, level = _roots(points.withColumn("comp", F.col("id")), range(FIRST_TREES)), None, None, None, 1
+    opened, trees = [], TREES  # (level, points that were in large nodes there), trees begun
 
     def joined(rows: DataFrame) -> DataFrame:
         """``comp`` of each row as far as it is known."""
@@ -237,15 +265,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = found if links is None else links.union(found)
             comp = components(stage, links)
         open_ = big.limit(1).count() > 0
-        if not open_ and level > 1:
-            break
+        if open_:
+            opened.append((level, stage.save(big.select("id").distinct())))
         grown = []
+        if not open_ and level > 1:
+            wanted = [(trees_for(deep, percent / 100), ids) for deep, ids in opened]
+            most = max((n for n, _ in wanted), default=0)
+            if most <= trees:
+                break
+            needs = [ids.select("id", F.lit(n).alias("trees")) for n, ids in wanted if n > trees]
+            need = stage.save(functools.reduce(DataFrame.unionByName, needs).groupBy("id").agg(F.max("trees").alias("trees")))
+            rows = joined(points.select("id", "tokens").join(small(need), "id"))
+            grown, level = [_roots(rows, range(trees, most)).select("id", "path", "comp")], 1
+            trees = most
+        elif level == 1:
+            grown = [_roots(joined(points.select("id", "tokens")), range(FIRST_TREES, TREES)).select("id", "path", "comp")]
         if open_:
             nodes = stage.save(joined(big.select("id", "path")))
             again = nodes.join(small(stage.save(_measured(nodes).select("path", "outside"))), "path")
-            grown = [again.where(F.col("outside") <= LEAF).select("id", "path", "comp"), _children(again.where(F.col("outside") > LEAF), points)]
-        if level == 1:
-            grown.append(_roots(joined(points.select("id", "tokens")), range(FIRST_TREES, TREES)).select("id", "path", "comp"))
+            grown += [again.where(F.col("outside") <= LEAF).select("id", "path", "comp"), _children(again.where(F.col("outside") > LEAF), points)]
         nodes = stage.save(functools.reduce(DataFrame.unionByName, grown))
         level += 1
 

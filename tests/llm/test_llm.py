@@ -131,6 +131,27 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(r["kept"] == (r["component_id"] == d) and r["n_shingles"] == len(sets[d]) for d, r in out.items())
 
 
+def test_near_duplicates_goes_on_for_deep_nodes(spark, monkeypatch):
+    from codexloom.llm import near_dedup as N
+
+    begun, roots = [], N._roots
+    monkeypatch.setattr(N, "_roots", lambda points, trees: begun.append(trees) or roots(points, trees))
+    monkeypatch.setattr(N, "LEAF", 8)
+    rng = random.Random(5)
+    passage = [f"p{n}" for n in range(60)]
+    texts = []
+    for _ in range(40):  # pairs whose common words are mostly a passage that all documents have
+        own = [f"n{rng.random()}" for _ in range(30)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:24] + [f"n{rng.random()}" for _ in range(6)])]
+    sets = {n: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for n, t in enumerate(texts)}
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts)).collect()}
+    assert out == brute_components(sets)
+    last = max(t.stop for t in begun)
+    assert last > N.TREES and [t.start for t in begun] == [0, *(t.stop for t in begun[:-1])]
+    assert [N.trees_for(d, 0.75) for d in (0, 1, 2)] == [12, 12, 15]
+    assert all((1 - N.together(d, 0.75)) ** N.trees_for(d, 0.75) <= N.MISSED for d in range(40))
+
+
 def test_near_duplicates_edges(spark):
     rows = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (3, "A B C"), (None, None)], "doc_id long, text string")
     out = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_duplicates(rows).collect())
