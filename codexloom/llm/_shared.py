@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest table, in rows, that an operator broadcasts; beyond it, joins shuffle.
-BROADCAST_ROWS = 200_000
+from ..runtime import shared_dir
+
+#: Largest table, in bytes of its values, that an operator broadcasts; beyond it, joins shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
-    session; where it is unset (as in tests on one machine), a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='codexloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Stage:
     """Tables that one operator run writes to the shared folder.  They cut lineage,
     so a lost executor costs the recomputation of one step at most."""
@@ -52,10 +42,16 @@ class Stage:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a side for broadcasting if a count shows that it is small; else a join
-    with it stays a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a side for broadcasting if its values are measured to have few bytes; else a
+    join with it stays a shuffle join.  Numbers count 8 bytes, others their own length."""
+    width = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif not isinstance(f.dataType, (T.NumericType, T.BooleanType)):
+            width = width + F.length(F.to_json(F.struct(f.name)))
+    return F.broadcast(df) if (df.agg(F.sum(width).alias("b")).first()["b"] or 0) <= most else df
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

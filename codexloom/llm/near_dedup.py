@@ -2,28 +2,31 @@
 
 A document's set is its distinct word shingles.  Equal sets are one point.  Each of
 ``TREES`` independent trees puts every point into nodes that are named by the path of
-minwise tokens chosen so far: a child takes the minwise token of one more coordinate,
-and a node has 1 / similarity children for a point on average, so that a similar pair
-stays together in some branch.  Nodes are settled as follows.
+minwise tokens chosen so far.  A node is settled as follows.
 
 * A node whose points are all in one component already is closed.
-* A node with at most ``LEAF`` points outside its largest component is compared
-  exhaustively: those points against all of the node.
-* Any other node links its points to one pivot first, then branches.
-
-Candidates pass a 256-bit sketch that keeps pairs at the threshold with five standard
-deviations to spare; links are then confirmed on full sets, recomputed from the texts
-of the candidates alone.  The trees go on until no node is open: there is no cap on
-the size of a node, a group or a bucket.
+* A node of at most ``LEAF`` points is compared exhaustively, in one worker: first
+  sketches of 256 bits, which keep pairs at the threshold with five standard deviations
+  to spare, then the full sets, recomputed from the texts of the points that are left.
+* A larger node is branched: a child takes the minwise tokens of up to ``MOST_TOKENS``
+  further coordinates at once, and a node has so many children for a point that one of
+  them is expected to keep a similar pair.  In the first trees such a node is also dealt
+  into parts of ``LEAF`` points, with two points of the node in every part, and these
+  are compared; a group of copies that fills a node is then one component, and the other
+  trees close the node.
+
+Comparisons return which components meet, a spanning forest for each node, and never
+their pairs, so what is written grows with the points of a group and not with its square.
+The trees go on until no node is open: there is no cap on the size of a node, a group or
+a bucket, and nodes of long texts are compared in pairs of blocks of ``ROOM`` shingles.
 
 Recall.  A pair at J = 0.75 is together at the root of a tree with probability 0.75, and
-0.61, 0.52, 0.45, 0.36, 0.26 and 0.18 after 1, 2, 3, 5, 9 and 16 more levels of large
-nodes (``together``).  All 12 trees miss it with probability 6e-8 at the root and 1.3e-5
-one level on.  Points that were in large nodes at deeper levels, as documents that share
-a passage are, get further trees until a pair of them is missed with ``MISSED`` at most at
-the deepest level that they reached (15, 19, 25, 37 and 57 trees at 2, 3, 5, 9 and 16),
-taking the trees as independent; beyond 64 trees the root coordinates repeat.  Pairs of higher
-similarity are missed less often.
+in a child of four tokens with 0.78 of that.  All 12 trees miss it with probability
+6e-8 at the root and 3e-5 one level on.  Points that were in large nodes at deeper levels,
+as documents that share a passage are, get further trees until a pair of them is missed
+with ``MISSED`` at most at the deepest level that they reached, taking the trees as
+independent; beyond 64 trees the root coordinates repeat.  Pairs of higher similarity are
+missed less often.
 """
 
 from __future__ import annotations
@@ -43,19 +46,20 @@ from ._shared import Stage, small
 SHINGLE = 5
 PERCENT = 75
 TREES = 12
-#: Trees whose roots come first; the others begin when these have joined the large groups,
-#: so that a group of copies that fills a node is carried through few trees.
+#: Trees that come first; the others begin when these have joined the large groups, so
+#: that a group of copies is carried through few trees.
 FIRST_TREES = 2
 #: Probability with which all trees may miss a pair at the threshold.
-MISSED = 2e-5
+MISSED = 3e-5
 COORDINATES = 64
-LEAF = 64
+#: Points of a node that one worker compares.
+LEAF = 192
+#: Tokens that a branch takes at once, at most.
+MOST_TOKENS = 4
+#: Shingles of the sets that one worker holds for a comparison (a longer text alone is a block).
+ROOM = 4_000_000
 #: Bytes of text that a worker tokenises at a time; shingles and tokens take many times that.
 PIECE_BYTES = 1 << 20
-#: Levels after which open nodes are compared in full whatever their size.
-LAST_LEVEL = 40
-#: Differing sketch nibbles of a pair at J = 0.75: 15 on average, deviation 3.4.
-MOST_DIFFERENT = 32
 
 _rng = np.random.default_rng(75)
 _SALT = _rng.integers(0, 1 << 32, (COORDINATES, 1), dtype=np.uint32)
@@ -89,7 +93,7 @@ def minwise(points: np.ndarray) -> np.ndarray:
 def _sketch(tokens: np.ndarray) -> np.ndarray:
     """Four bits of each token, 16 to a word."""
     nibbles = ((tokens * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(4, 16)
-    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).astype(np.int64)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
 
 
 def _signer(k: int):
@@ -98,12 +102,11 @@ def _signer(k: int):
             for piece in K.pieces(batch, "text", PIECE_BYTES):
                 sets = shingle_sets(K.tokenise(piece.column("text"), K.SPACED, True), k)
                 tokens = [minwise(s) for s in sets]
-                sketches = np.array([_sketch(t) for t in tokens], np.int64).reshape(-1, 4)
                 sums = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(K.mix(s))) if len(s) else 0) for s in sets]
                 keys = np.array(sums, np.uint64).reshape(-1, 2).astype(np.int64)
                 columns = [piece.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
-                columns += [pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()), *(pa.array(sketches[:, j]) for j in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "k1", "k2", "tokens", "s0", "s1", "s2", "s3"])
+                columns += [pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()), pa.array([_sketch(t).astype("<u8").tobytes() for t in tokens], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "k1", "k2", "tokens", "sketch"])
 
     return sign
 
@@ -113,28 +116,135 @@ def _lister(k: int):
         for batch in batches:
             for piece in K.pieces(batch, "text", PIECE_BYTES):
                 sets = shingle_sets(K.tokenise(piece.column("text"), K.SPACED, True), k)
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "points"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "points"])
 
     return listed
 
 
-def _token(coordinate: Column) -> Column:
-    return F.substring("tokens", coordinate * 4 + 1, F.lit(4))
-
-
-def together(level: int, similarity: float) -> float:
-    """Probability that a pair is in one node of a tree still, so many levels below the root."""
-    stays = 1.0  # of a pair in one node, with the levels below it; a third of the nodes have two children
-    for _ in range(level):
-        apart = 1 - similarity * stays
-        stays = 1 - (2 * apart + apart * apart) / 3
-    return similarity * stays
-
-
-def trees_for(level: int, similarity: float) -> int:
-    """Trees after which a pair is missed with ``MISSED`` at most that many levels down."""
-    p = together(level, similarity)
-    return TREES if p >= 1 else max(TREES, math.ceil(math.log(MISSED) / math.log(1 - p)))
+def joined_labels(links: np.ndarray) -> np.ndarray:
+    """Smallest place reachable over a symmetric matrix of links."""
+    labels = np.arange(len(links))
+    links = links | np.eye(len(links), dtype=bool)
+    while True:
+        new = np.where(links, labels[None, :], len(links)).min(1)
+        new = new[new]
+        if (new == labels).all():
+            return labels
+        labels = new
+
+
+def _runs(batches, key: str):
+    """Tables of the rows that share a key, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0, 0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b > a:
+                if held and held[0].column(key)[0].as_py() != int(keys[a]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().dictionary_encode().indices.to_numpy() if len(column) else np.zeros(0, np.int32)
+
+
+def most_different(similarity: float) -> int:
+    """Differing sketch nibbles of a pair at the threshold, five deviations above the mean
+    (32 of 64 at 0.75, where the mean is 15)."""
+    p = (1 - similarity) * 15 / 16
+    return math.ceil(COORDINATES * p + 5 * math.sqrt(COORDINATES * p * (1 - p)))
+
+
+def _gatherer(room: int, most: int):
+    """Rows of a node (``task``, id, comp, n, sketch) to those of its points that are near
+    one of another component, in tasks of points that are near each other."""
+
+    def gather(batches):
+        for node in _runs(batches, "task"):
+            comps = _codes(node.column("comp"))
+            if len(comps) < 2 or comps.max() == 0:
+                continue
+            sketches = np.frombuffer(b"".join(node.column("sketch").to_pylist()), "<u8").reshape(-1, 4)
+            differ = np.zeros((len(comps), len(comps)), np.uint8)
+            for s in sketches.T:
+                x = s[:, None] ^ s[None, :]
+                x |= x >> np.uint64(2)
+                x = (x | (x >> np.uint64(1))) & np.uint64(0x1111111111111111)
+                differ += np.bitwise_count(x)
+            labels = joined_labels((differ <= most) & (comps[:, None] != comps[None, :]))
+            names, places, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+            if (sizes < 2).all():
+                continue
+            weights, out_at, out_task = node.column("n").to_numpy(), [], []
+            task = node.column("task")[0].as_py()
+            for name in np.flatnonzero(sizes >= 2).tolist():
+                at = np.flatnonzero(places == name)
+                block = np.zeros(len(at), np.int64)
+                if weights[at].sum() > room:
+                    held = 0
+                    for i, w in enumerate(weights[at].tolist()):  # blocks of half the room
+                        held += w
+                        if i and held > room // 2:
+                            block[i:] += 1
+                            held = w
+                last = int(block[-1])
+                for x in range(last + 1):
+                    for y in range(x + 1 if last else x, last + 1):
+                        inside = at[(block == x) | (block == y)]
+                        out_at.append(inside)
+                        out_task.append(np.full(len(inside), hash((task, int(names[name]), x, y)) & 0x7FFFFFFFFFFFFFFF, np.int64))
+            picked = node.take(pa.array(np.concatenate(out_at)))
+            yield from pa.table([pa.array(np.concatenate(out_task)), picked.column("id"), picked.column("comp")], names=["task", "id", "comp"]).to_batches()
+
+    return gather
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    values = values[counts > 1]
+    out = np.zeros((len(sets), len(sets)))
+    step = 1 << 13
+    for a in range(0, len(values), step):
+        part = values[a : a + step]
+        has = np.zeros((len(sets), len(part)), np.float32)
+        for i, s in enumerate(sets):
+            lo, hi = np.searchsorted(s, [part[0], part[-1]])
+            own = s[lo : hi + 1]
+            at = np.searchsorted(part, own)
+            at = at[part[np.minimum(at, len(part) - 1)] == own]
+            has[i, at] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def _comparer(percent: int):
+    """Rows of a task (``task``, id, comp, points) to (a, b): component a joins b."""
+
+    def compare(batches):
+        for node in _runs(batches, "task"):
+            comps = _codes(node.column("comp"))
+            sets = [np.frombuffer(p, "<u8") for p in node.column("points").to_pylist()]
+            sizes = np.array([len(s) for s in sets])
+            shared = shared_counts(sets)
+            links = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) | (comps[:, None] == comps[None, :])
+            first = np.unique(comps, return_index=True)[1]
+            labels = joined_labels(links)[first]
+            low = {}
+            names = node.column("comp").take(pa.array(first)).to_pylist()
+            for label, name in zip(labels.tolist(), names, strict=True):
+                low[label] = min(low.get(label, name), name)
+            pairs = [(name, low[label]) for label, name in zip(labels.tolist(), names, strict=True) if name != low[label]]
+            if pairs:
+                kind = node.schema.field("comp").type
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], kind), pa.array([b for _, b in pairs], kind)], names=["a", "b"])
+
+    return compare
 
 
 def _roots(points: DataFrame, trees: range) -> DataFrame:
@@ -142,62 +252,53 @@ def _roots(points: DataFrame, trees: range) -> DataFrame:
     paths = [F.xxhash64(F.lit(tree), F.substring("tokens", 4 * (tree % COORDINATES) + 1, 4)) for tree in trees]
     if "trees" in points.columns:
         paths = [F.when(F.col("trees") > tree, path) for tree, path in zip(trees, paths, strict=True)]
-        return points.select("id", F.explode(F.array_compact(F.array(*paths))).alias("path"), "comp")
-    return points.select("id", F.explode(F.array(*paths)).alias("path"), "comp")
-
-
-def _children(nodes: DataFrame, points: DataFrame) -> DataFrame:
-    """One coordinate for each path, and for a third of the paths a second one."""
-    pick = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDINATES)).cast("int")
-    child = lambda k: F.xxhash64("path", pick(k), _token(pick(k)))
-    second = F.when(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(3)) == 0, child(2))
-    grown = nodes.join(points.select("id", "tokens"), "id")
-    return grown.select("id", F.explode(F.array_compact(F.array(child(1), second))).alias("path"), "comp")
+    mark = F.xxhash64("tokens").alias("mark")
+    return points.select("id", F.explode(F.array_compact(F.array(*paths))).alias("path"), "comp", mark)
+
+
+def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """Children of large nodes (path, id, comp, recall, size): each takes the tokens of
+    further coordinates that its path picks, as many as its size asks for."""
+    pick = lambda c, j: F.pmod(F.xxhash64("path", F.lit(c), F.lit(j)), F.lit(COORDINATES)).cast("int")
+    token = lambda c, j: F.substring("tokens", pick(c, j) * 4 + 1, F.lit(4))
+    wanted = F.ceil(F.log(F.col("size") / F.lit(float(LEAF))) / F.lit(max(-math.log(similarity), 0.01)))
+    depth = F.least(F.greatest(wanted, F.lit(1)), F.lit(MOST_TOKENS)).cast("int")
+    paths, stays = None, None
+    for k in range(1, MOST_TOKENS + 1):
+        n = math.ceil(similarity**-k - 1e-9)
+        names = F.array(*(F.xxhash64("path", F.lit(c), *(x for j in range(k) for x in (pick(c, j), token(c, j)))) for c in range(n)))
+        kept = F.lit(1 - (1 - similarity**k) ** n)
+        paths = F.when(F.col("depth") == k, names) if paths is None else paths.when(F.col("depth") == k, names)
+        stays = F.when(F.col("depth") == k, kept) if stays is None else stays.when(F.col("depth") == k, kept)
+    grown = nodes.withColumn("depth", depth).join(points.select("id", "tokens"), "id")
+    return grown.select("id", F.explode(paths).alias("path"), "comp", "mark", (F.col("recall") * stays).alias("recall"))
 
 
 def _measured(nodes: DataFrame) -> DataFrame:
-    """Nodes of two components or more: points, the largest component, the pivot."""
-    by_comp = nodes.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
-    sizes = by_comp.groupBy("path").agg(
-        F.sum("n").alias("size"), F.max("n").alias("top_n"), F.max_by("comp", "n").alias("top"), F.min("low").alias("pivot"), F.count(F.lit(1)).alias("comps")
+    """Nodes of two components or more: points, two of them, and whether all have equal
+    tokens (no coordinate tells them apart, so the node can't be branched)."""
+    by = F.xxhash64("id", "path")
+    some = [f("id", by).alias(n) for f, n in ((F.min_by, "one"), (F.max_by, "other"))]
+    sizes = nodes.groupBy("path").agg(
+        F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), (F.min("mark") == F.max("mark")).alias("alike"), *some
     )
-    return sizes.where("comps > 1").select("path", "top", "pivot", (F.col("size") - F.col("top_n")).alias("outside"))
-
-
-_SKETCH = ("s0", "s1", "s2", "s3")
+    return sizes.where("low <> high").drop("low", "high")
 
 
-def _near(a: str, b: str) -> Column:
-    """Whether the sketches of two sides of a join are near enough."""
-    count = F.lit(0)
-    for s in _SKETCH:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        count = count + F.bit_count(x)
-    return count <= MOST_DIFFERENT
+def _parts(large: DataFrame) -> DataFrame:
+    """Large nodes dealt into parts, two points of the node in each (task, id)."""
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("size") / F.lit(LEAF - 2)).cast("long"))
+    dealt = large.withColumn("task", F.xxhash64("path", part))
+    shared = dealt.select("task", F.explode(F.array("one", "other")).alias("id"))
+    return dealt.select("task", "id").unionByName(shared).distinct()
 
 
-def _pairs(live: DataFrame, points: DataFrame, last: bool) -> DataFrame:
-    """Candidates of the nodes of a level; sketches are compared inside the joins."""
-    full = live.where(F.lit(last) | (F.col("outside") <= LEAF))
-    apart = F.expr("x.path = y.path and x.comp <> y.comp and (y.comp = y.top or x.id < y.id)")
-    inside = full.where("comp <> top").alias("x").join(full.alias("y"), apart & _near("x", "y"))
-    big = live.where(~F.lit(last) & (F.col("outside") > LEAF) & (F.col("id") != F.col("pivot"))).dropDuplicates(["id", "pivot"])
-    star = big.alias("x").join(points.withColumnRenamed("id", "pivot").alias("y"), F.expr("x.pivot = y.pivot") & _near("x", "y"))
-    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    return ordered(inside, "x.id", "y.id").union(ordered(star, "x.id", "x.pivot")).distinct()
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that are similar on full sets."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = docs.join(small(needed), "id", "left_semi").mapInArrow(_lister(k), T.StructType([docs.schema["id"], T.StructField("points", T.ArrayType(T.LongType()))]))
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("points").alias(f"{x}_points"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_points", "b_points"))
-    union = F.size("a_points") + F.size("b_points") - shared
-    return both.where(100 * shared >= percent * union).select("a", "b")
+def _crossed(alike: DataFrame) -> DataFrame:
+    """Large nodes that can't be branched, as all pairs of parts of half a leaf (task, id)."""
+    parts = F.ceil(F.col("size") / F.lit(LEAF // 2)).cast("long")
+    own = F.pmod(F.xxhash64("id", F.lit(6)), parts)
+    dealt = alike.select("path", "id", own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("y"))
+    return dealt.select(F.xxhash64("path", F.least("x", "y"), F.greatest("x", "y")).alias("task"), "id").distinct()
 
 
 def components(stage: Stage, links: DataFrame) -> DataFrame:
@@ -209,89 +310,144 @@ def components(stage: Stage, links: DataFrame) -> DataFrame:
     labels = stage.save(edges.groupBy("id").agg(F.min("to").alias("low")).select("id", F.least("id", "low").alias("comp")))
     while True:
         known = small(labels)
-        said = edges.join(known.withColumnRenamed("id", "to"), "to").select("id", "comp", F.lit(None).cast("long").alias("was"))
+        said = edges.join(known.withColumnRenamed("id", "to"), "to").select("id", "comp", F.lit(None).cast(labels.schema["comp"].dataType).alias("was"))
         step = said.union(labels.select("id", "comp", F.col("comp").alias("was"))).groupBy("id").agg(F.min("comp").alias("comp"), F.max("was").alias("was"))
         jump = known.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
         new = stage.save(step.join(jump, "comp", "left").select("id", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
+        stage.drop(labels)
         labels = new.select("id", "comp")
         if not new.where("was <> comp").limit(1).count():
+            stage.drop(edges)
             return labels
 
 
+class _Join:
+    """The components found so far, and the steps that find more."""
+
+    def __init__(self, stage: Stage, texts: DataFrame, points: DataFrame, shingle: int, percent: int, repeated: bool) -> None:
+        self.stage, self.texts, self.points, self.shingle, self.percent = stage, texts, points, shingle, percent
+        self.repeated = repeated  # whether an id has several rows
+        self.id = texts.schema["id"].dataType
+        self.comp: DataFrame | None = None
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``comp`` of each row's id as far as it is known."""
+        if self.comp is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(small(self.comp), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    def link(self, links: DataFrame) -> bool:
+        """Takes in links (a, b) of components; whether there were any."""
+        if not links.limit(1).count():
+            return False
+        new = components(self.stage, links)
+        if self.comp is not None:  # old labels are ids of the new ones
+            further = small(new.select(F.col("id").alias("comp"), F.col("comp").alias("further")))
+            old = self.comp.join(further, "comp", "left").select("id", F.coalesce("further", "comp").alias("comp"))
+            fresh = new.join(small(self.comp.select("id")), "id", "left_anti")
+            merged = self.stage.save(old.unionByName(fresh))
+            self.stage.drop(self.comp)
+            self.stage.drop(new)
+            new = merged
+        self.comp = new
+        return True
+
+    def compare(self, tasks: DataFrame) -> None:
+        """Links the points of each task (task, id) that are similar on full sets."""
+        fields = lambda *f: T.StructType([T.StructField(n, t) for n, t in f])
+        rows = self.placed(tasks.join(self.points.select("id", "n", "sketch"), "id"))
+        rows = rows.select("task", "id", "comp", "n", "sketch").repartition("task").sortWithinPartitions("task", "id")
+        near = self.stage.save(rows.mapInArrow(_gatherer(ROOM, most_different(self.percent / 100)), fields(("task", T.LongType()), ("id", self.id), ("comp", self.id))))
+        if not near.limit(1).count():
+            return self.stage.drop(near)
+        needed = near.select("id").distinct()
+        listed = self.texts.join(small(needed), "id", "left_semi").mapInArrow(_lister(self.shingle), fields(("id", self.id), ("points", T.BinaryType())))
+        if self.repeated:
+            listed = listed.distinct()
+        rows = listed.join(small(near), "id").select("task", "id", "comp", "points").repartition("task").sortWithinPartitions("task", "id")
+        links = self.stage.save(rows.mapInArrow(_comparer(self.percent), fields(("a", self.id), ("b", self.id))))
+        self.stage.drop(near)
+        self.link(links)
+        self.stage.drop(links)
+
+    def grow(self, nodes: DataFrame, deal: bool) -> list[DataFrame]:
+        """Settles nodes (path, id, comp) and all below them; returns the points of large
+        nodes with the recall of the nodes that they were put into (id, recall)."""
+        opened = []
+        nodes = self.stage.save(nodes.withColumn("recall", F.lit(self.percent / 100)))
+        while True:
+            sizes = self.stage.save(_measured(nodes))
+            live = self.stage.save(nodes.join(small(sizes), "path"))
+            self.stage.drop(sizes)
+            self.stage.drop(nodes)
+            large = live.where(F.col("size") > LEAF)
+            more = large.limit(1).count() > 0
+            tasks = live.where(F.col("size") <= LEAF).select(F.col("path").alias("task"), "id")
+            if more:
+                tasks = tasks.unionByName(_crossed(large.where("alike")))
+                if deal:
+                    tasks = tasks.unionByName(_parts(large))
+            self.compare(tasks)
+            if more:
+                large = large.where("not alike").select("path", "id", "mark", "recall", "comp", "size")
+                if deal:  # what the parts have joined is closed
+                    large = self.stage.save(self.placed(large.drop("comp", "size")))
+                    large = large.join(small(self.stage.save(_measured(large).select("path", "size"))), "path")
+                nodes = self.stage.save(_children(large, self.points, self.percent / 100))
+                more = nodes.limit(1).count() > 0
+            self.stage.drop(live)
+            if not more:
+                return opened
+            opened.append(self.stage.save(nodes.groupBy("id").agg(F.min("recall").alias("recall"))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable over
     links of similarity ``percent`` / 100 or more) and kept (the id is that smallest one).
 
     Words are runs without white space, A-Z in lower case; a text with fewer words than
     a shingle is one shingle of all of them.  Null, empty and blank texts have an empty
-    set and stand alone.  Rows that repeat an id are one document.  Rows with a null id
-    have a null component and are kept.  Ties go to the smallest id.  Sets are compared
-    as sets of 64-bit shingle hashes.
+    set and stand alone.  Rows that repeat an id are one document: if their texts differ,
+    the groups of all of them are one.  Rows with a null id have a null component and are
+    kept.  Ties go to the smallest id.  An empty table stays empty; other columns are left
+    out, whatever their names.  Sets are compared as sets of 64-bit shingle hashes.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "near")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_field = docs.schema["id"]
-    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    signed = T.StructType([id_field, *longs("n", "k1", "k2"), T.StructField("tokens", T.BinaryType()), *longs("s0", "s1", "s2", "s3")])
+    signed = T.StructType([id_field, *(T.StructField(n, T.LongType()) for n in ("n", "k1", "k2")), T.StructField("tokens", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
     sets = stage.save(docs.mapInArrow(_signer(shingle), signed))
-    groups = stage.save(sets.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-    points = sets.join(groups.withColumnRenamed("rep", "id"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
-    points = stage.save(points.drop("n", "k1", "k2"))
-    texts = docs.where("id is not null")
-    sketched = small(points.select("id", *_SKETCH))
-
-    nodes, links, comp, tested, level = _roots(points.withColumn("comp", F.col("id")), range(FIRST_TREES)), None, None, None, 1
-    opened, trees = [], TREES  # (level, points that were in large nodes there), trees begun
-
-    def joined(rows: DataFrame) -> DataFrame:
-        """``comp`` of each row as far as it is known."""
-        if comp is None:
-            return rows.withColumn("comp", F.col("id"))
-        return rows.join(small(comp), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-    while True:
-        sizes = stage.save(_measured(nodes))
-        live = stage.save(nodes.join(small(sizes), "path").join(sketched, "id"))
-        last = level >= LAST_LEVEL
-        pairs = _pairs(live, sketched, last)
-        big = live.where(~F.lit(last) & (F.col("outside") > LEAF))
-        if tested is not None:
-            pairs = pairs.join(small(tested), ["a", "b"], "left_anti")
-        fresh = stage.save(pairs)
-        found = stage.save(_confirmed(texts, fresh, shingle, percent))
-        tested = fresh if tested is None else tested.union(fresh)
-        if found.limit(1).count():
-            links = found if links is None else links.union(found)
-            comp = components(stage, links)
-        open_ = big.limit(1).count() > 0
-        if open_:
-            opened.append((level, stage.save(big.select("id").distinct())))
-        grown = []
-        if not open_ and level > 1:
-            wanted = [(trees_for(deep, percent / 100), ids) for deep, ids in opened]
-            most = max((n for n, _ in wanted), default=0)
-            if most <= trees:
-                break
-            needs = [ids.select("id", F.lit(n).alias("trees")) for n, ids in wanted if n > trees]
-            need = stage.save(functools.reduce(DataFrame.unionByName, needs).groupBy("id").agg(F.max("trees").alias("trees")))
-            rows = joined(points.select("id", "tokens").join(small(need), "id"))
-            grown, level = [_roots(rows, range(trees, most)).select("id", "path", "comp")], 1
-            trees = most
-        elif level == 1:
-            grown = [_roots(joined(points.select("id", "tokens")), range(FIRST_TREES, TREES)).select("id", "path", "comp")]
-        if open_:
-            nodes = stage.save(joined(big.select("id", "path")))
-            again = nodes.join(small(stage.save(_measured(nodes).select("path", "outside"))), "path")
-            grown += [again.where(F.col("outside") <= LEAF).select("id", "path", "comp"), _children(again.where(F.col("outside") > LEAF), points)]
-        nodes = stage.save(functools.reduce(DataFrame.unionByName, grown))
-        level += 1
-
-    named = groups.withColumn("component_id", F.col("rep"))
-    if comp is not None:
-        named = groups.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("component_id"))
-    named = named.select("k1", "k2", "component_id")
-    out = sets.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    named = sets.where("n > 0 and id is not null")
+    # Equal sets have equal tokens, so any row's will do.
+    points = stage.save(named.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
+    of_id = named.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), *(f(k).alias(f"{n}_{k}") for n, f in (("low", F.min), ("high", F.max)) for k in ("k1", "k2")))
+    several = stage.save(of_id.where("rows > 1").select("id", F.expr("low_k1 <> high_k1 or low_k2 <> high_k2").alias("differ")))
+    repeated = several.limit(1).count() > 0
+    join = _Join(stage, docs.where("id is not null"), points, shingle, percent, repeated)
+    if repeated:  # an id with different texts joins their points
+        several = several.where("differ")
+        of = named.join(small(several), "id", "left_semi").join(points.select(F.col("id").alias("rep"), "k1", "k2"), ["k1", "k2"])
+        join.link(stage.save(of.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()))
+
+    opened = join.grow(_roots(join.placed(points.select("id", "tokens")), range(FIRST_TREES)), True)
+    trees, new = FIRST_TREES, TREES
+    rows = points.select("id", "tokens")
+    while new > trees:
+        opened += join.grow(_roots(join.placed(rows), range(trees, new)), False)
+        trees = new
+        if opened:  # trees that points of deep nodes need
+            least = functools.reduce(DataFrame.unionByName, opened).groupBy("id").agg(F.min("recall").alias("recall"))
+            most = math.log(MISSED)
+            need = F.ceil(F.lit(most) / F.log(1 - F.col("recall")) - 1e-9).cast("int")
+            wanted = stage.save(least.select("id", need.alias("trees")).where(F.col("trees") > trees))
+            new = wanted.agg(F.max("trees")).first()[0] or 0
+            rows = points.select("id", "tokens").join(small(wanted), "id")
+
+    reps = points.select("k1", "k2", F.col("id").alias("rep"))
+    if join.comp is not None:
+        reps = reps.join(small(join.comp.withColumnRenamed("id", "rep")), "rep", "left").select("k1", "k2", F.coalesce("comp", "rep").alias("rep"))
+    out = sets.select("id", "n", "k1", "k2").join(reps, ["k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

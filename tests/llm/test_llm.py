@@ -148,8 +148,57 @@ def test_near_duplicates_goes_on_for_deep_nodes(spark, monkeypatch):
     assert out == brute_components(sets)
     last = max(t.stop for t in begun)
     assert last > N.TREES and [t.start for t in begun] == [0, *(t.stop for t in begun[:-1])]
-    assert [N.trees_for(d, 0.75) for d in (0, 1, 2)] == [12, 12, 15]
-    assert all((1 - N.together(d, 0.75)) ** N.trees_for(d, 0.75) <= N.MISSED for d in range(40))
+
+
+def test_near_duplicates_blocks_and_nodes_that_cannot_be_branched(spark, monkeypatch):
+    from codexloom.llm import near_dedup as N
+
+    rng = random.Random(9)
+    texts = []
+    for g in range(6):
+        base = [f"{rng.choice(WORDS)}{g}{i}" for i in range(200)]
+        for _ in range(20):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 4, 9])):
+                copy[rng.randrange(len(copy))] = f"n{rng.random()}"
+            texts.append(" ".join(copy))
+    sets = {n: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for n, t in enumerate(texts)}
+    monkeypatch.setattr(N, "ROOM", 500)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts)).collect()} == brute_components(sets)
+    # Equal tokens of different sets: no branch ends, so parts are compared with all others.
+    monkeypatch.setattr(N, "LEAF", 6)
+    monkeypatch.setattr(N, "most_different", lambda similarity: 64)
+    sign = N._signer
+
+    def alike(k):
+        def run(batches):
+            for batch in sign(k)(batches):
+                same = [pa.array([b"\0" * n] * batch.num_rows, pa.binary()) for n in (256, 32)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *same], names=batch.schema.names)
+
+        return run
+
+    monkeypatch.setattr(N, "_signer", alike)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts[:60])).collect()} == brute_components({n: sets[n] for n in range(60)})
+
+
+def test_near_duplicates_of_an_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = spark.createDataFrame([(1, a), (4, a), (4, b), (3, b), (7, c), (7, c), (8, a + " z"), (9, c + " z")], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(rows).collect())
+    assert out == [(1, 1, True), (3, 1, False), (4, 1, False), (4, 1, False), (7, 7, True), (7, 7, True), (8, 1, False), (9, 7, False)]
+
+
+def test_near_duplicates_links_at_every_similarity_of_the_threshold_and_more(spark):
+    rng, texts, wanted = random.Random(17), [], []
+    for shared, own in ((75, 12.5), (80, 10), (85, 7.5), (90, 5), (95, 2.5)):  # shingles: J from 0.75 up
+        for n in range(40):
+            common = [f"c{rng.random()}" for _ in range(2 * shared + 4)]
+            for _ in range(2):
+                texts.append(" ".join([*common, *(f"o{rng.random()}" for _ in range(int(2 * own)))]))
+            wanted.append(len(texts) - 2)
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts)).collect()}
+    assert [out[n + 1] for n in wanted] == wanted
 
 
 def test_near_duplicates_edges(spark):
