@@ -8,12 +8,14 @@ minwise tokens chosen so far.  A node is settled as follows.
 * A node of at most ``LEAF`` points is compared exhaustively, in one worker: first
   sketches of 256 bits, which keep pairs at the threshold with five standard deviations
   to spare, then the full sets, recomputed from the texts of the points that are left.
-* A larger node is branched: a child takes the minwise tokens of up to ``MOST_TOKENS``
+* A larger node with at most half as many points outside its largest component is dealt
+  into parts of that component, each compared with all the points outside.
+* Any other node is branched: a child takes the minwise tokens of up to ``MOST_TOKENS``
   further coordinates at once, and a node has so many children for a point that one of
-  them is expected to keep a similar pair.  In the first trees such a node is also dealt
-  into parts of ``LEAF`` points, with two points of the node in every part, and these
-  are compared; a group of copies that fills a node is then one component, and the other
-  trees close the node.
+  them is expected to keep a similar pair.  (If the tokens of all its points are equal, it
+  is compared in all pairs of its parts.)  In the first trees such a node is also dealt
+  into parts of ``LEAF`` points, with two points of the node in every part, and these are
+  compared first; a group of copies that fills a node is then mostly one component.
 
 Comparisons return which components meet, a spanning forest for each node, and never
 their pairs, so what is written grows with the points of a group and not with its square.
@@ -21,7 +23,7 @@ The trees go on until no node is open: there is no cap on the size of a node, a
 a bucket, and nodes of long texts are compared in pairs of blocks of ``ROOM`` shingles.
 
 Recall.  A pair at J = 0.75 is together at the root of a tree with probability 0.75, and
-in a child of four tokens with 0.78 of that.  All 12 trees miss it with probability
+in the children of a level with 0.78 of that or more.  All 12 trees miss it with probability
 6e-8 at the root and 3e-5 one level on.  Points that were in large nodes at deeper levels,
 as documents that share a passage are, get further trees until a pair of them is missed
 with ``MISSED`` at most at the deepest level that they reached, taking the trees as
@@ -55,7 +57,7 @@ COORDINATES = 64
 #: Points of a node that one worker compares.
 LEAF = 192
 #: Tokens that a branch takes at once, at most.
-MOST_TOKENS = 4
+MOST_TOKENS = 6
 #: Shingles of the sets that one worker holds for a comparison (a longer text alone is a block).
 ROOM = 4_000_000
 #: Bytes of text that a worker tokenises at a time; shingles and tokens take many times that.
@@ -265,7 +267,7 @@ def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFra
     depth = F.least(F.greatest(wanted, F.lit(1)), F.lit(MOST_TOKENS)).cast("int")
     paths, stays = None, None
     for k in range(1, MOST_TOKENS + 1):
-        n = math.ceil(similarity**-k - 1e-9)
+        n = math.ceil(1.25 * similarity**-k)
         names = F.array(*(F.xxhash64("path", F.lit(c), *(x for j in range(k) for x in (pick(c, j), token(c, j)))) for c in range(n)))
         kept = F.lit(1 - (1 - similarity**k) ** n)
         paths = F.when(F.col("depth") == k, names) if paths is None else paths.when(F.col("depth") == k, names)
@@ -275,30 +277,47 @@ def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFra
 
 
 def _measured(nodes: DataFrame) -> DataFrame:
-    """Nodes of two components or more: points, two of them, and whether all have equal
-    tokens (no coordinate tells them apart, so the node can't be branched)."""
+    """Nodes of two components or more: points, and two of them."""
     by = F.xxhash64("id", "path")
     some = [f("id", by).alias(n) for f, n in ((F.min_by, "one"), (F.max_by, "other"))]
-    sizes = nodes.groupBy("path").agg(
-        F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), (F.min("mark") == F.max("mark")).alias("alike"), *some
-    )
+    sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *some)
     return sizes.where("low <> high").drop("low", "high")
 
 
+def _outside(nodes: DataFrame) -> DataFrame:
+    """Nodes of two components or more: points, the largest component, the points outside
+    it, and whether all have equal tokens (no coordinate tells them apart)."""
+    of = nodes.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    size = F.sum("n")
+    sizes = of.groupBy("path").agg(size.alias("size"), F.max_by("comp", "n").alias("top"), (size - F.max("n")).alias("outside"), (F.min("low") == F.max("high")).alias("alike"))
+    return sizes.where("outside > 0")
+
+
+def _part(size: Column, most: int) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(size / F.lit(most)).cast("long"))
+
+
 def _parts(large: DataFrame) -> DataFrame:
     """Large nodes dealt into parts, two points of the node in each (task, id)."""
-    part = F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("size") / F.lit(LEAF - 2)).cast("long"))
-    dealt = large.withColumn("task", F.xxhash64("path", part))
+    dealt = large.withColumn("task", F.xxhash64("path", _part(F.col("size"), LEAF - 2)))
     shared = dealt.select("task", F.explode(F.array("one", "other")).alias("id"))
     return dealt.select("task", "id").unionByName(shared).distinct()
 
 
-def _crossed(alike: DataFrame) -> DataFrame:
-    """Large nodes that can't be branched, as all pairs of parts of half a leaf (task, id)."""
-    parts = F.ceil(F.col("size") / F.lit(LEAF // 2)).cast("long")
-    own = F.pmod(F.xxhash64("id", F.lit(6)), parts)
-    dealt = alike.select("path", "id", own.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("y"))
-    return dealt.select(F.xxhash64("path", F.least("x", "y"), F.greatest("x", "y")).alias("task"), "id").distinct()
+def _around(nodes: DataFrame) -> DataFrame:
+    """Nodes with few points outside their largest component: its points dealt into parts,
+    with all the others in each (task, id)."""
+    inside = nodes.where("comp = top").select("path", "id", _part(F.col("size"), LEAF // 2).alias("part"))
+    others = nodes.where("comp <> top").select("path", "id")
+    both = inside.select("path", "part").distinct().join(small(others), "path").unionByName(inside)
+    return both.select(F.xxhash64("path", "part").alias("task"), "id")
+
+
+def _crossed(nodes: DataFrame) -> DataFrame:
+    """Nodes that can't be branched, as all pairs of parts of half a leaf (task, id)."""
+    own = nodes.select("path", "id", _part(F.col("size"), LEAF // 2).alias("x"))
+    both = own.join(own.select("path", F.col("x").alias("y")).distinct(), "path")
+    return both.select(F.xxhash64("path", F.least("x", "y"), F.greatest("x", "y")).alias("task"), "id").distinct()
 
 
 def components(stage: Stage, links: DataFrame) -> DataFrame:
@@ -358,8 +377,6 @@ class _Join:
         rows = self.placed(tasks.join(self.points.select("id", "n", "sketch"), "id"))
         rows = rows.select("task", "id", "comp", "n", "sketch").repartition("task").sortWithinPartitions("task", "id")
         near = self.stage.save(rows.mapInArrow(_gatherer(ROOM, most_different(self.percent / 100)), fields(("task", T.LongType()), ("id", self.id), ("comp", self.id))))
-        if not near.limit(1).count():
-            return self.stage.drop(near)
         needed = near.select("id").distinct()
         listed = self.texts.join(small(needed), "id", "left_semi").mapInArrow(_lister(self.shingle), fields(("id", self.id), ("points", T.BinaryType())))
         if self.repeated:
@@ -371,34 +388,36 @@ class _Join:
         self.stage.drop(links)
 
     def grow(self, nodes: DataFrame, deal: bool) -> list[DataFrame]:
-        """Settles nodes (path, id, comp) and all below them; returns the points of large
-        nodes with the recall of the nodes that they were put into (id, recall)."""
-        opened = []
+        """Settles nodes (path, id, comp, mark) and all below them; returns the points of
+        large nodes with the recall of the nodes that they were put into (id, recall)."""
+        opened, tasks, held = [], [], []
         nodes = self.stage.save(nodes.withColumn("recall", F.lit(self.percent / 100)))
         while True:
             sizes = self.stage.save(_measured(nodes))
             live = self.stage.save(nodes.join(small(sizes), "path"))
             self.stage.drop(sizes)
-            self.stage.drop(nodes)
             large = live.where(F.col("size") > LEAF)
             more = large.limit(1).count() > 0
-            tasks = live.where(F.col("size") <= LEAF).select(F.col("path").alias("task"), "id")
+            tasks.append(live.where(F.col("size") <= LEAF).select(F.col("path").alias("task"), "id"))
+            held.append(live)
             if more:
-                tasks = tasks.unionByName(_crossed(large.where("alike")))
                 if deal:
-                    tasks = tasks.unionByName(_parts(large))
-            self.compare(tasks)
-            if more:
-                large = large.where("not alike").select("path", "id", "mark", "recall", "comp", "size")
-                if deal:  # what the parts have joined is closed
-                    large = self.stage.save(self.placed(large.drop("comp", "size")))
-                    large = large.join(small(self.stage.save(_measured(large).select("path", "size"))), "path")
-                nodes = self.stage.save(_children(large, self.points, self.percent / 100))
+                    self.compare(tasks.pop().unionByName(_parts(large)))
+                    deal = False
+                large = self.placed(large.select("path", "id", "mark", "recall"))
+                large = self.stage.save(large.join(small(self.stage.save(_outside(large))), "path"))
+                few, alike = F.col("outside") <= LEAF // 2, F.col("alike")
+                tasks += [_around(large.where(few)), _crossed(large.where(~few & alike))]
+                nodes = self.stage.save(_children(large.where(~few & ~alike), self.points, self.percent / 100))
                 more = nodes.limit(1).count() > 0
-            self.stage.drop(live)
+                held.append(large)
             if not more:
+                if tasks:
+                    self.compare(functools.reduce(DataFrame.unionByName, tasks))
+                for table in held:
+                    self.stage.drop(table)
                 return opened
-            opened.append(self.stage.save(nodes.groupBy("id").agg(F.min("recall").alias("recall"))))
+            opened.append(nodes.select("id", "recall"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
