@@ -37,7 +37,7 @@ def cut_lines(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
     rows = rows.select("doc_id", "line", "text", F.explode(n).alias("k"))
     piece, after = F.substring("text", F.col("k") * width + 1, F.lit(width)), F.substring("text", F.col("k") * width + width + 1, F.lit(1))
     hyphen = F.when(piece.rlike("[A-Za-z]$") & after.rlike("^[A-Za-z]"), "-").otherwise("")
-    rows = rows.select("doc_id", (F.col("line") * 100000 + F.col("k")).cast("int").alias("pos"), F.concat(piece, hyphen).alias("text"), "k")
+    rows = rows.select("doc_id", (F.col("line") * F.lit(100000).cast("long") + F.col("k")).alias("pos"), F.concat(piece, hyphen).alias("text"), "k")
     return completed(rows.withColumns({"kind": F.lit("paragraph"), "markdown": F.col("text"), "block_id": ids.block_id(F.col("pos")), "page_no": F.col("k")}))
 
 
@@ -117,12 +117,12 @@ def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir)
     kinds = ["NUMBER_MISMATCH", "OMISSION", "TABLE", "NUMBER_MISMATCH"]
     one = F.explode(F.sequence(F.lit(0), (F.length("source_text") % 4).cast("int")))
-    rows = rows.select("job_id", "chunk_id", "chunk_index", one.alias("k")).where("(job_id + k) % 3 <> 0")
+    rows = rows.select("job_id", "chunk_id", "chunk_index", one.alias("k"))
     kind = F.element_at(F.array(*(F.lit(k) for k in kinds)), ((F.col("job_id") + F.col("k")) % 4 + 1).cast("int"))
     return rows.select("job_id", "chunk_id", "chunk_index", kind.alias("risk_type"), F.lit("m").alias("message"), F.when(F.col("k") == 0, "HIGH").otherwise("MEDIUM").alias("severity"), (10 - F.col("k")).alias("created_at"), F.col("k").alias("risk_id"))
 
 
-RISKS = f"(select job_id, chunk_id, chunk_index, case (job_id + k) % 4 when 0 then 'NUMBER_MISMATCH' when 1 then 'OMISSION' when 2 then 'TABLE' else 'NUMBER_MISMATCH' end risk_type, 'm' message, case when k = 0 then 'HIGH' else 'MEDIUM' end severity, 10 - k created_at, k risk_id from (select job_id, chunk_id, chunk_index, unnest(generate_series(0, length(source_text) % 4)) k from {CHUNKS}) where (job_id + k) % 3 <> 0)"
+RISKS = f"(select job_id, chunk_id, chunk_index, case (job_id + k) % 4 when 0 then 'NUMBER_MISMATCH' when 1 then 'OMISSION' when 2 then 'TABLE' else 'NUMBER_MISMATCH' end risk_type, 'm' message, case when k = 0 then 'HIGH' else 'MEDIUM' end severity, 10 - k created_at, k risk_id from (select job_id, chunk_id, chunk_index, unnest(generate_series(0, length(source_text) % 4)) k from {CHUNKS}))"
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:

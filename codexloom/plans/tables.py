@@ -108,14 +108,14 @@ def recover_unqueued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.unqueued(A.jobs(spark, sf_dir), A.queue(spark, sf_dir), ["UPLOADED", "PARSED", "TRANSLATING"]).select("job_id", "status")
 
 
-_ENQUEUE = f"(select job_id, cast(job_id % 12 as int) priority from {A.JOBS} where job_id % 3 = 0)"
+_ENQUEUE = f"(select job_id, cast(job_id % 12 as int) priority from {A.JOBS} where status in ('UPLOADED', 'PARSED', 'TRANSLATING'))"
 
 
 @query(f"""select coalesce(q.job_id, n.job_id) job_id, case when n.job_id is not null then 'QUEUED' else q.status end status,
  (case when n.job_id is not null then greatest(coalesce(q.priority, 0), n.priority) else q.priority end)::bigint priority, case when n.job_id is null then q.lease_owner end lease_owner
  from {A.QUEUE} q full join {_ENQUEUE} n on q.job_id = n.job_id""")
 def enqueue_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = A.jobs(spark, sf_dir).where("job_id % 3 = 0").select("job_id", (F.col("job_id") % 12).cast("int").alias("priority"))
+    new = A.jobs(spark, sf_dir).where("status in ('UPLOADED', 'PARSED', 'TRANSLATING')").select("job_id", (F.col("job_id") % 12).cast("int").alias("priority"))
     return Q.enqueue(A.queue(spark, sf_dir), new)
 
 
@@ -219,8 +219,9 @@ def replay_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay_records(spark, sf_dir).select("recordType", "jobId", "status", "chunkIndex", "sourceSha256", F.array_join("riskTypes", ",").alias("riskTypes"), "elapsedMs", "revisionCount")
 
 
-_OLD = f"(select job_id, chunk_index, source_text, status from {A.CHUNKS} where job_id % 4 <> 0)"
-_NEW = f"(select job_id, chunk_index, source_text || '!' source_text from {A.CHUNKS} where chunk_index < 4 and job_id % 5 <> 0)"
+# A chunk that failed wasn't stored, a table isn't cut again; a failed table is cut.
+_OLD = f"(select job_id, chunk_index, source_text, status from {A.CHUNKS} where status <> 'FAILED')"
+_NEW = f"(select job_id, chunk_index, source_text || '!' source_text from {A.CHUNKS} where chunk_type = 'TEXT' or status = 'FAILED')"
 
 
 @query(f"""select coalesce(o.job_id, n.job_id) job_id, coalesce(o.chunk_index, n.chunk_index)::bigint chunk_index,
@@ -230,8 +231,8 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.chunking import upsert_chunks
 
     c = A.chunks(spark, sf_dir)
-    old = c.where("job_id % 4 <> 0").select("job_id", "chunk_index", "source_text", "status")
-    new = c.where("chunk_index < 4 and job_id % 5 <> 0").select("job_id", "chunk_index", F.concat("source_text", F.lit("!")).alias("source_text"))
+    old = c.where("status <> 'FAILED'").select("job_id", "chunk_index", "source_text", "status")
+    new = c.where("chunk_type = 'TEXT' or status = 'FAILED'").select("job_id", "chunk_index", F.concat("source_text", F.lit("!")).alias("source_text"))
     return upsert_chunks(old, new)
 
 
@@ -314,7 +315,7 @@ def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select job_id, '# ' || filename || ' 翻译报告' || chr(10) || chr(10) || '## 任务' || chr(10) || chr(10) || '- 状态：' || status || chr(10) || '- Chunk：' || completed || '/' || total || chr(10) || chr(10) || '## 术语' || chr(10) || chr(10)
  || '| 原文 | 译名 | 备注 |' || chr(10) || '| --- | --- | --- |' || chr(10) || coalesce(terms || chr(10), '') || chr(10) || '## 风险' || chr(10) || chr(10) || coalesce(risks, '- 未记录风险项。') || chr(10) || chr(10) || '## 调用指标' || chr(10) || chr(10)
  || '- Prompt tokens：' || coalesce(p, 0) || chr(10) || '- Completion tokens：' || coalesce(c, 0) || chr(10) || '- 总 tokens：' || coalesce(t, 0) || chr(10) || '- 总耗时：' || coalesce(e, 0) || ' ms' || chr(10) || '- 重试次数：' || coalesce(r, 0) || chr(10) report
- from {A.JOBS} join (select job_id, count(*) total, count(*) filter (status = 'COMPLETED') completed, string_agg('| ' || source_text || ' | ' || source_text || ' |  |', chr(10) order by source_text) filter (chunk_index < 2) terms from {A.CHUNKS} group by 1) using (job_id)
+ from {A.JOBS} join (select job_id, count(*) total, count(*) filter (status = 'COMPLETED') completed, string_agg('| ' || source_text || ' | ' || source_text || ' |  |', chr(10) order by source_text) terms from {A.CHUNKS} group by 1) using (job_id)
  left join (select job_id, string_agg('- **' || severity || ' / ' || risk_type || '**：' || message, chr(10) order by created_at, risk_id) risks from (select * replace (created_at * 1000 + chunk_index as created_at) from {A.RISKS}) group by 1) using (job_id)
  left join (select job_id, sum(prompt_tokens) p, sum(completion_tokens) c, sum(total_tokens) t, sum(elapsed_ms) e, sum(retry_count) r from {A.METRICS} group by 1) using (job_id)""")
 def job_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +332,7 @@ def term_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unmatched_terms(c.where("chunk_index < 3"), c.where("chunk_index between 1 and 3"))
 
 
-@query(f"select job_id, string_agg(source_text || '=' || section, ';' order by source_text) glossary from (select job_id, source_text, max(section) section from {A.CHUNKS} where status = 'COMPLETED' and chunk_index < 3 group by 1, 2) group by 1")
+@query(f"select job_id, string_agg(source_text || '=' || section, ';' order by source_text) glossary from (select job_id, source_text, max(section) section from {A.CHUNKS} where status = 'COMPLETED' group by 1, 2) group by 1")
 def glossary_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = A.chunks(spark, sf_dir).select("job_id", F.col("source_text").alias("source_term"), F.col("section").alias("confirmed_translation"), (F.col("status") == "COMPLETED").alias("confirmed"))
     entries = F.transform(F.map_entries("glossary"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))

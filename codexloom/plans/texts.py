@@ -149,9 +149,9 @@ def _suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.cut_lines(spark, sf_dir).select("doc_id", n.alias("chunk_index"), F.col("text").alias("source_text"), reason.alias("boundary_reason"))
 
 
-@query(f"""with c as (select doc_id, page_no, text, pos, lag(text) over w t, lag(page_no) over w p from {A.CUT_LINES} where pos < 100000 window w as (partition by doc_id order by page_no)),
- s as (select doc_id, page_no, regexp_replace(t, '\\s+$', '') l, regexp_replace(text, '^\\s+', '') r, pos % 3 <> 0 soft from c where p = page_no - 1)
- select doc_id, page_no::bigint chunk_index, right(l, 800) "left", left(r, 800) "right" from s where regexp_matches(r, '^\\p{{Ll}}') or (l <> '' and not contains('{C.CLOSERS}', right(l, 1)) and soft)""")
+@query(f"""with c as (select doc_id, row_number() over w - 1 k, text, pos, lag(text) over w t from {A.CUT_LINES} window w as (partition by doc_id order by pos)),
+ s as (select doc_id, k, regexp_replace(t, '\\s+$', '') l, regexp_replace(text, '^\\s+', '') r, pos % 3 <> 0 soft from c where t is not null)
+ select doc_id, k::bigint chunk_index, right(l, 800) "left", left(r, 800) "right" from s where regexp_matches(r, '^\\p{{Ll}}') or (l <> '' and not contains('{C.CLOSERS}', right(l, 1)) and soft)""")
 def cross_chunk_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.cross_chunk_suspicion(_suspects(spark, sf_dir))
 
@@ -265,11 +265,11 @@ def term_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""select job_id, string_agg('<!-- chunk:' || chunk_id || ' -->' || chr(10) || '### Original' || chr(10) || source_text || chr(10) || chr(10) || '### 译文（ZH）' || chr(10) || shown || chr(10), chr(10) order by chunk_index) body
- from (select *, trim(case when protected then source_text else coalesce(translated, '') end) shown from {A.CHUNKS} where chunk_index < 3) group by 1""".replace("select job_id, string_agg", "select job_id, '# 双语对照' || chr(10) || chr(10) || trim(string_agg", 1).replace("order by chunk_index) body", "order by chunk_index), chr(10) || ' ') || chr(10) markdown", 1))
+ from (select *, trim(case when protected then source_text else coalesce(translated, '') end) shown from {A.CHUNKS}) group by 1""".replace("select job_id, string_agg", "select job_id, '# 双语对照' || chr(10) || chr(10) || trim(string_agg", 1).replace("order by chunk_index) body", "order by chunk_index), chr(10) || ' ') || chr(10) markdown", 1))
 def bilingual_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bilingual_markdown(A.chunks(spark, sf_dir).withColumnRenamed("translated", "translated_text"))
 
 
-@query(f"select job_id, trim(string_agg(trim(case when protected then source_text else coalesce(translated, '') end), chr(10) || chr(10) order by chunk_index), chr(10) || ' ') || chr(10) markdown from {A.CHUNKS} where chunk_index < 3 group by 1")
+@query(f"select job_id, trim(string_agg(trim(case when protected then source_text else coalesce(translated, '') end), chr(10) || chr(10) order by chunk_index), chr(10) || ' ') || chr(10) markdown from {A.CHUNKS} group by 1")
 def translated_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.translated_markdown(A.chunks(spark, sf_dir).withColumnRenamed("translated", "translated_text"))
