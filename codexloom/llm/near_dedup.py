@@ -259,7 +259,7 @@ def _roots(points: DataFrame, trees: range) -> DataFrame:
 
 
 def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """Children of large nodes (path, id, comp, recall, size): each takes the tokens of
+    """Children of large nodes (path, id, comp, mark, recall, size): each takes the tokens of
     further coordinates that its path picks, as many as its size asks for."""
     pick = lambda c, j: F.pmod(F.xxhash64("path", F.lit(c), F.lit(j)), F.lit(COORDINATES)).cast("int")
     token = lambda c, j: F.substring("tokens", pick(c, j) * 4 + 1, F.lit(4))
@@ -277,19 +277,16 @@ def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFra
 
 
 def _measured(nodes: DataFrame) -> DataFrame:
-    """Nodes of two components or more: points, and two of them."""
-    by = F.xxhash64("id", "path")
-    some = [f("id", by).alias(n) for f, n in ((F.min_by, "one"), (F.max_by, "other"))]
-    sizes = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), *some)
-    return sizes.where("low <> high").drop("low", "high")
-
-
-def _outside(nodes: DataFrame) -> DataFrame:
     """Nodes of two components or more: points, the largest component, the points outside
-    it, and whether all have equal tokens (no coordinate tells them apart)."""
-    of = nodes.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    it, whether all have equal tokens (no coordinate tells them apart), and two points."""
+    by = F.xxhash64("id", "path")
+    of = nodes.groupBy("path", "comp").agg(
+        F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"), F.min(by).alias("l"), F.min_by("id", by).alias("one"), F.max(by).alias("h"), F.max_by("id", by).alias("other")
+    )
     size = F.sum("n")
-    sizes = of.groupBy("path").agg(size.alias("size"), F.max_by("comp", "n").alias("top"), (size - F.max("n")).alias("outside"), (F.min("low") == F.max("high")).alias("alike"))
+    sizes = of.groupBy("path").agg(
+        size.alias("size"), F.max_by("comp", "n").alias("top"), (size - F.max("n")).alias("outside"), (F.min("low") == F.max("high")).alias("alike"), F.min_by("one", "l").alias("one"), F.max_by("other", "h").alias("other")
+    )
     return sizes.where("outside > 0")
 
 
@@ -394,30 +391,32 @@ class _Join:
         nodes = self.stage.save(nodes.withColumn("recall", F.lit(self.percent / 100)))
         while True:
             sizes = self.stage.save(_measured(nodes))
-            live = self.stage.save(nodes.join(small(sizes), "path"))
-            self.stage.drop(sizes)
-            large = live.where(F.col("size") > LEAF)
-            more = large.limit(1).count() > 0
-            tasks.append(live.where(F.col("size") <= LEAF).select(F.col("path").alias("task"), "id"))
-            held.append(live)
+            leaves = nodes.join(small(sizes.where(F.col("size") <= LEAF).select("path")), "path", "left_semi")
+            tasks.append(leaves.select(F.col("path").alias("task"), "id"))
+            held += [nodes, sizes]
+            big = sizes.where(F.col("size") > LEAF)
+            more = big.limit(1).count() > 0
             if more:
+                large = self.stage.save(nodes.join(small(big), "path"))
+                held.append(large)
                 if deal:
-                    self.compare(tasks.pop().unionByName(_parts(large)))
                     deal = False
-                large = self.placed(large.select("path", "id", "mark", "recall"))
-                large = self.stage.save(large.join(small(self.stage.save(_outside(large))), "path"))
+                    self.compare(tasks.pop().unionByName(_parts(large)))
+                    # What the parts have joined is closed.
+                    large = self.stage.save(self.placed(large.select("path", "id", "mark", "recall")))
+                    large = self.stage.save(large.join(small(self.stage.save(_measured(large))), "path"))
+                    held.append(large)
                 few, alike = F.col("outside") <= LEAF // 2, F.col("alike")
                 tasks += [_around(large.where(few)), _crossed(large.where(~few & alike))]
                 nodes = self.stage.save(_children(large.where(~few & ~alike), self.points, self.percent / 100))
                 more = nodes.limit(1).count() > 0
-                held.append(large)
             if not more:
                 if tasks:
                     self.compare(functools.reduce(DataFrame.unionByName, tasks))
                 for table in held:
                     self.stage.drop(table)
                 return opened
-            opened.append(nodes.select("id", "recall"))
+            opened.append(self.stage.save(nodes.groupBy("id").agg(F.min("recall").alias("recall"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
