@@ -9,9 +9,9 @@ row ranges are located by LF steps to sampled positions, and the occurrences of
 document are merged into removal spans.
 
 The text never leaves its partition, so there is no shuffle and no skew.  Test
-phrases are read by the driver in blocks of bounded size (``BLOCK_CHARS``); a
-benchmark of several blocks is searched block after block in one chain of narrow
-steps.
+phrases are read by the driver in blocks of bounded size (``BLOCK_CHARS``) and kept as
+sorted arrays; with several blocks, the spans found so far are written before the next
+block is broadcast, so one is held at a time.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
+from ._shared import Stage
 
 #: Characters of test phrases that are held and broadcast at a time.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 SAMPLE_EVERY = 16
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -139,18 +140,29 @@ class Phrases:
         words = K.tokenise(pa.array([t for _, t in items], pa.large_string()), K.LETTERED, True)
         # 0 ends the text, 1 separates, words begin at 2
         self.vocabulary, dense = np.unique(words.hashes, return_inverse=True)
-        dense = dense.astype(np.int64) + 2
+        dense = dense.astype(np.int32) + 2
         self.sigma = len(self.vocabulary) + 2
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for (name, _), a, b in zip(items, words.offsets[:-1], words.offsets[1:], strict=True):
-            size = min(window, int(b - a))
-            for s in range(a, b - size + 1) if size and name is not None else ():
-                owners.setdefault(tuple(dense[s : s + size].tolist()), set()).add(str(name))
-        by_size: dict[int, list[tuple[int, ...]]] = {}
-        for key in owners:
-            by_size.setdefault(len(key), []).append(key)
-        self.groups = [(size, np.array(keys, np.int64), [sorted(owners[k]) for k in keys]) for size, keys in sorted(by_size.items())]
-        self.shortest = min(by_size, default=0)
+        # Windows as places in the words; equal ones are brought together by sorting their words.
+        self.items = sorted({str(n) for n, _ in items if n is not None})
+        code = {n: k for k, n in enumerate(self.items)}
+        counts = words.counts()
+        whose = np.array([-1 if n is None else code[str(n)] for n, _ in items], np.int32)
+        self.groups = []
+        for size in np.unique(np.minimum(counts, window)).tolist():
+            own = np.flatnonzero((np.minimum(counts, window) == size) & (whose >= 0)) if size else []
+            if not len(own):
+                continue
+            n = counts[own] - size + 1
+            begin = np.repeat(words.offsets[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            table = dense[begin[:, None] + np.arange(size)]
+            owner = np.repeat(whose[own], n)
+            order = np.lexsort((owner, *table.T[::-1]))
+            table, owner = table[order], owner[order]
+            new = np.append(True, (table[1:] != table[:-1]).any(1))
+            first = new | np.append(True, owner[1:] != owner[:-1])  # an item once a window
+            place = np.cumsum(new) - 1
+            self.groups.append((size, table[new], np.searchsorted(place[first], np.arange(new.sum() + 1)), owner[first]))
+        self.shortest = min((g[0] for g in self.groups), default=0)
 
     def scan(self, words: K.Words) -> tuple[np.ndarray, list[set[str]]]:
         """Hit words of a shard, and the items found in each of its texts."""
@@ -178,7 +190,7 @@ class Phrases:
         word[base[1:] - 1] = False
         text[word] = at[where[word]] + 2
         index = FMIndex(text, self.sigma)
-        for size, patterns, owners in self.groups:
+        for size, patterns, edges, owners in self.groups:
             lo, hi = index.search(patterns)
             found = hi - lo
             if not found.any():
@@ -189,7 +201,7 @@ class Phrases:
             hit |= K.covered(at_word, size, n)
             text_of = np.searchsorted(words.offsets, at_word, "right") - 1
             for d, p in np.unique(np.stack([text_of, which], 1), axis=0).tolist():
-                items[d].update(owners[p])
+                items[d].update(self.items[o] for o in owners[edges[p] : edges[p + 1]].tolist())
         return hit, items
 
 
@@ -209,17 +221,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
 
     Null and empty texts have no words and no spans; items with null text or id match
     nothing; an item of fewer than ``window`` words is one phrase; repeated rows each
-    get their result; an empty benchmark matches nothing; input columns with the names
-    of results are replaced.
+    get their result; very long texts are searched whole; an empty table stays empty, an
+    empty benchmark matches nothing; input columns with the names of results are replaced,
+    others stay.
     """
     added = [("n_words", T.LongType()), ("spans", SPAN), ("items", T.ArrayType(T.StringType()))]
     kept = [c for c in docs.columns if c not in {n for n, _ in added}]
     out = docs.select(*kept)
     schema = T.StructType([*out.schema.fields, *(T.StructField(n, t) for n, t in added)])
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPAN), "items": F.array().cast("array<string>")})
+    stage, before = None, None
     for block in _blocks(benchmark, item_col, item_text_col):
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-        out = out.mapInArrow(_searcher(phrases, text_col, len(kept)), schema)
+        if before is not None:  # one block's phrases at a time
+            stage = stage or Stage(docs.sparkSession, "search")
+            out = stage.save(out)
+            before.destroy()
+        before = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
+        out = out.mapInArrow(_searcher(before, text_col, len(kept)), schema)
     return out
 
 

@@ -3,7 +3,7 @@
 A page is cut into blocks of text at block-level tags.  Each block has its number of
 words and share of words in links, those of the block before and after it, and what
 its enclosing elements say (an element for navigation or notices, a class or id that
-names such a part, the article).  A class or id may also name the layout of a whole page:
+names such a part, the article, which may be a teaser beside the text).  A class or id may also name the layout of a whole page:
 an element so marked counts as a wrapper if the article is inside it, or the page's long
 blocks where there is no article.  A decision tree, grown when the module is used on the
 small labelled table below, keeps or drops each block.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -36,12 +37,15 @@ BOILER_TAGS = frozenset("nav footer header aside form menu dialog fieldset".spli
 WRAPPER_TAGS = frozenset("form fieldset".split())
 #: Words that a long block has, and the share of them in links, at most.
 LONG = (25, 0.2)
+#: An article element is a teaser where long blocks beside it, in no marked part, have more
+#: than so many times its words.
+TEASER = 3
 ARTICLE_TAGS = frozenset("article main".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end when one of the same group begins beside them.
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|foot|header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|comments?|commentlist|comment\w*|respond|replies|disqus|copyright|legal|skip\w*|hidden|pagination|pager|toolbar|tags?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|foot|header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|comments?|comment-?(?:list|form|box|area|section|thread|author|body|content|item|wrap\w*)|respond|replies|disqus|copyright|legal|skip\w*|hidden|pagination|pager|toolbar|tags?)(?:$|[\s_-])",
     re.I,
 )
 ROLE = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|menu|dialog|alert)\b", re.I)
@@ -105,12 +109,18 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, len(text.split()), linked, stack[-1].boiler, stack[-1].article, stack[-1].wrappers))
             parts.clear()
 
+    open_: Counter[str] = Counter()  # open elements by tag, so stray end tags cost nothing
+
+    def close(k: int) -> None:
+        open_.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
     at = 0
     while at < len(page):
         found = _TOKEN.search(page, at)
         piece = page[at : found.start()] if found else page[at:]
         if stack[-1].tag == "head" and piece.strip():
-            stack.pop()
+            close(len(stack) - 1)
         if piece and not stack[-1].hidden:
             parts.append((piece, stack[-1].link))
         if not found:
@@ -121,7 +131,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if stack[-1].tag == "head" and not closing and tag not in HEAD_TAGS:
-            stack.pop()
+            close(len(stack) - 1)
         if tag == "svg" and attributes.endswith("/"):  # empty; HTML's own raw elements can't be
             continue
         if tag in RAW_TAGS and not closing:
@@ -131,26 +141,26 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ARTICLE_TAGS | BOILER_TAGS and tag not in BLOCK_TAGS:
                     break  # stray end tags of formatting don't reach out of a part
             continue
         if tag in VOID_TAGS or attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK_TAGS - CLOSES[tag] and stack[k].tag not in ("p",):
                     break
-        elif tag in BLOCK_TAGS:  # a paragraph can't hold another block
+        elif tag in BLOCK_TAGS and open_["p"]:  # a paragraph can't hold another block
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK_TAGS:
                     break
@@ -162,25 +172,54 @@ def blocks(page: str) -> list[Block]:
         if tag in ("body", "html", "article", "main"):
             boiler = hint = False
         wrappers = (*top.wrappers, at) if hint else top.wrappers
+        open_[tag] += 1
         stack.append(_Open(tag, top.boiler or boiler, top.article or tag in ARTICLE_TAGS, top.link or tag == "a", top.hidden or hidden, wrappers))
     flush()
     return out
 
 
-#: Shapes of blocks as they were seen: words and link share of the block before, of the
-#: block and of the block after, and whether the block is main text where no element
-#: says more.
-SHAPES = (
-    ((0, 0.0, 1, 1.0, 1, 1.0), 0), ((1, 1.0, 1, 1.0, 12, 0.0), 0), ((2, 1.0, 4, 0.75, 60, 0.0), 0), ((60, 0.0, 5, 0.8, 3, 1.0), 0),
-    ((60, 0.0, 20, 0.6, 10, 0.9), 0), ((3, 1.0, 40, 0.9, 3, 1.0), 0), ((12, 0.0, 9, 0.0, 60, 0.0), 1), ((9, 0.0, 60, 0.0, 45, 0.0), 1),
-    ((60, 0.0, 2, 0.0, 80, 0.0), 1), ((80, 0.0, 130, 0.02, 14, 0.0), 1), ((70, 0.0, 25, 0.2, 60, 0.0), 1), ((45, 0.0, 1, 0.0, 0, 0.0), 1),
-    ((0, 0.0, 8, 0.0, 30, 0.0), 1), ((30, 0.0, 300, 0.1, 2, 1.0), 1),
+#: Pages without an article element as their blocks stand: of each its words, those of them
+#: in links, and whether it is main text.
+PAGES = (
+    # News: menu, crumbs, headline, byline, body, a list of links, footer.
+    ((1, 1, 0), (1, 1, 0), (2, 2, 0), (1, 1, 0), (4, 3, 0), (9, 0, 1), (5, 0, 1), (62, 0, 1), (48, 3, 1), (71, 0, 1), (25, 5, 1), (55, 1, 1), (2, 2, 0), (8, 8, 0), (9, 9, 0), (7, 7, 0), (6, 0, 0), (3, 3, 0), (4, 4, 0)),
+    # A blog entry with subheadings, a short list and a quotation.
+    ((3, 3, 0), (1, 1, 0), (1, 1, 0), (7, 0, 1), (80, 2, 1), (4, 0, 1), (35, 0, 1), (6, 0, 1), (5, 0, 1), (8, 0, 1), (30, 0, 1), (130, 4, 1), (12, 0, 1), (44, 0, 1), (3, 3, 0), (5, 5, 0), (5, 0, 0), (2, 2, 0), (2, 2, 0)),
+    # One long text between two menus.
+    ((2, 2, 0), (2, 2, 0), (3, 0, 1), (300, 12, 1), (1, 1, 0), (1, 1, 0), (1, 1, 0)),
+    # Texts right behind links, with and without a headline, and lines between links after them.
+    ((4, 4, 0), (5, 5, 0), (60, 0, 1), (40, 1, 1), (5, 5, 0), (4, 0, 0), (6, 6, 0), (3, 0, 0), (4, 4, 0)),
+    ((6, 6, 0), (8, 8, 0), (5, 0, 1), (50, 0, 1), (28, 0, 1), (10, 10, 0), (7, 0, 0), (1, 1, 0)),
+    ((12, 12, 0), (2, 0, 1), (33, 4, 1), (90, 0, 1), (9, 9, 0), (4, 4, 0), (8, 0, 0)),
+    ((1, 1, 0), (2, 2, 0), (24, 0, 1), (1, 1, 0), (3, 0, 0), (2, 2, 0)),
+    ((7, 7, 0), (18, 0, 1), (16, 2, 1), (3, 0, 1)),
+    ((1, 1, 0), (20, 0, 1), (3, 3, 0), (45, 2, 1), (2, 2, 0), (2, 0, 0), (1, 1, 0), (5, 0, 0)),
+    ((3, 3, 0), (17, 1, 1), (9, 9, 0), (110, 6, 1), (14, 14, 0), (9, 0, 0), (11, 11, 0), (6, 0, 0)),
+    # A directory: titles in links, each with a line about it; nothing of it is main text.
+    ((1, 1, 0), (1, 1, 0), (3, 3, 0), (9, 2, 0), (4, 4, 0), (11, 3, 0), (3, 3, 0), (8, 2, 0), (5, 5, 0), (9, 0, 0), (1, 1, 0), (1, 1, 0)),
+    # Long lists of links with a little between.
+    ((40, 36, 0), (3, 0, 0), (20, 12, 0), (4, 3, 0), (60, 55, 0), (5, 4, 0), (4, 0, 0), (30, 28, 0)),
+    # A text alone, of any size.
+    ((45, 0, 1),),
+    ((8, 0, 1), (30, 0, 1)),
+    ((60, 0, 1), (2, 0, 1), (80, 0, 1), (14, 0, 1)),
+    ((1, 0, 1),),
 )
 #: What the elements around a block say: inside a part named as boilerplate, inside the
-#: article, the page has an article; and the label of any shape there (None: its own).
-PLACES = ((1, 0, 1, 0), (1, 1, 1, 0), (1, 0, 0, 0), (0, 1, 1, 1), (0, 0, 1, 0), (0, 0, 0, None))
-#: The labelled table that the tree is grown on.
-LABELLED = tuple((*shape, *place, own if label is None else label) for shape, own in SHAPES for *place, label in PLACES)
+#: article, the page has an article; and the label of any block there (None: its own).
+PLACES = ((0, 0, 0, None), (0, 1, 1, 1), (0, 0, 1, 0), (1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 1, 0))
+
+
+def shares(sizes: list[tuple[int, int]]) -> list[tuple[float, ...]]:
+    """Words and share of words in links of the block before, of each block and of the block after."""
+    own = [(0, 0.0), *((n, links / n if n else 0.0) for n, links in sizes), (0, 0.0)]
+    return [(*own[k], *own[k + 1], *own[k + 2]) for k in range(len(sizes))]
+
+
+#: The labelled table that the tree is grown on: the blocks of these pages, in every place.
+LABELLED = tuple(
+    (*near, *place, own if label is None else label) for page in PAGES for near, (_, _, own) in zip(shares([b[:2] for b in page]), page, strict=True) for *place, label in PLACES
+)
 
 
 class DecisionTree:
@@ -229,7 +268,10 @@ def placed(found: list[Block]) -> list[tuple[bool, bool]]:
     articles = [b for b in found if b.article and not b.boiler]
     plain = [b for b in found if b.long() and not b.article and not b.boiler]
     least = min((len(b.wrappers) for b in articles), default=0)
-    if articles and least:  # not if more is said outside any marked element, as beside teasers
+    if articles and TEASER * sum(b.words for b in articles) < sum(b.words for b in plain if not b.wrappers):
+        found = [b._replace(boiler=b.boiler or b.article, article=False) for b in found]
+        articles = []
+    elif articles and least:  # not if more is said outside any marked element, as beside teasers
         inside = sum(b.words for b in articles if len(b.wrappers) == least)
         if sum(b.words for b in plain if not b.wrappers) >= inside:
             articles = []
@@ -246,20 +288,17 @@ def main_text(page: str | None, tree: DecisionTree) -> str:
     found = blocks(page or "")
     place = placed(found)
     has_article = any(article and not boiler for boiler, article in place)
-    share = [(0, 0.0), *((b.words, b.links / b.words if b.words else 0.0) for b in found), (0, 0.0)]
-    kept = []
-    for k, b in enumerate(found):
-        if tree.keep((*share[k], *share[k + 1], *share[k + 2], *place[k], has_article)):
-            kept.append(b.text)
-    return " ".join(kept)
+    near = shares([(b.words, b.links) for b in found])
+    return " ".join(b.text for b, features, at in zip(found, near, place, strict=True) if tree.keep((*features, *at, has_article)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``text``, the main text, and ``n_chars``, its code points.
 
     Null and empty pages, and pages without main text, have the empty string; unclosed
-    and stray tags are tolerated, whatever the length of the page; repeated rows each get
-    their result; input columns with the names of results are replaced.
+    and stray tags are tolerated, in time that grows with the page; repeated rows each get
+    their result; an empty table stays empty; input columns with the names of results are
+    replaced, others stay.
     """
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
     rows = pages.select(*kept)

@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 from . import _kernels as K
 from ._shared import held_out
 
-#: Labelled texts and bytes of normalised text that a language is learnt from, at most.
-TRAIN_TEXTS = 60
-TRAIN_BYTES = 24_000
-TRAIN_HEAD = 2_000
+#: Labelled texts that a language is learnt from, at most; whole ones, by hash of their id.
+TRAIN_TEXTS = 16
+#: Longer texts than this (characters) are taken only where there are too few others,
+#: the shorter of them first.
+PLAIN_CHARS = 2_500
 UNKNOWN = "und"
 
 _LETTER = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -107,16 +108,17 @@ class LanguageModel:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """A model from a bounded number of texts of each label that aren't held out."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, TRAIN_HEAD).alias("text"), F.xxhash64(id_col).alias("by"))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("by", "text"))).where(F.col("n") <= TRAIN_TEXTS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id"))
+    size = F.greatest(F.length("text"), F.lit(PLAIN_CHARS)).alias("size")
+    order = Window.partitionBy("lang").orderBy("size", "by", "id", "which")
+    rows = rows.withColumn("which", F.xxhash64("text"))
+    first = rows.select("id", "lang", "which", size, F.xxhash64("id").alias("by")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= TRAIN_TEXTS)
+    # TRAIN_TEXTS ids a language; repeated rows have one place each.
+    chosen = rows.join(F.broadcast(first.select("id", "lang", "which", "n")), ["id", "lang", "which"]).select("lang", "n", "text").distinct()
     samples: dict[str, bytes] = {}
-    for row in first.orderBy("lang", "n").select("lang", "text").toLocalIterator():
-        have = samples.get(row["lang"], b"")
-        if len(have) < TRAIN_BYTES:
-            clean = normalised(row["text"])
-            if clean:
-                samples[row["lang"]] = (have + b" " + clean)[:TRAIN_BYTES]
+    for row in chosen.orderBy("lang", "n").toLocalIterator():
+        samples[row["lang"]] = samples.get(row["lang"], b"") + b" " + normalised(row["text"])
     return LanguageModel(samples)
 
 
@@ -125,7 +127,8 @@ def identify(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id
 
     Null texts and texts without a letter are ``und`` with score 0, as is any text when
     nothing is labelled; ties go to the first language by name; labels of null or of
-    held-out rows are not learnt; repeated rows each get the same result.
+    held-out rows are not learnt; very long texts are parsed whole; repeated rows each get
+    the same result; an empty table stays empty; other columns are left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col, lang_col, id_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

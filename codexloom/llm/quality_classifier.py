@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_stats as S
-from ._shared import Stage, held_out
+from ._shared import Stage, held_out, sampled
 
 #: Labelled rows that a model is fitted on, at most (the first by hash of the id).
 SAMPLE_ROWS = 20_000
@@ -133,15 +133,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", i
 
     Null texts count as empty and get the score of an empty text; labels with null
     values, without a document or of held-out documents are not learnt; without labels
-    of both kinds the score is the share of good ones (1 without any); repeated rows
-    each get the same result.
+    of both kinds the score is the share of good ones (1 without any); very long texts are
+    read whole; ties of the sample's order go by the row's values; repeated rows each get
+    the same result; an empty table stays empty; other columns are left out.
     """
     stage = Stage(docs.sparkSession, "quality")
     rows = S.with_stats(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text")
     rows = stage.save(rows).withColumns(S.ratios())
     marks = labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality in (0, 1)").distinct()
     fit = rows.where(~held_out("id")).join(marks, "id").select(*FEATURES, "quality", F.xxhash64("id").alias("by"), "id")
-    sample = fit.orderBy("by", "id", "quality", *FEATURES).limit(SAMPLE_ROWS).drop("by", "id").toPandas()
+    sample = sampled(stage.save(fit), "by", SAMPLE_ROWS, "id", "quality", *FEATURES).drop("by", "id").toPandas()
     model = RuleEnsemble(sample[list(FEATURES)].to_numpy(float), sample["quality"].to_numpy(float))
     score = model.column()
     return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

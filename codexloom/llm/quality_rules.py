@@ -49,7 +49,7 @@ def binomial_tail(k: Column, n: Column, risk: float) -> Column:
     return F.aggregate(steps, begin, add, lambda done: done["sum"])
 
 
-def thresholds(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+def thresholds(stage: Stage, labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row per stratum with a cutoff (or null) for each statistic, from rows with
     ``stratum``, ``quality`` (1 good, 0 bad) and the statistics of ``GRID``."""
     cuts = [(name, cut) for name, grid in GRID.items() for cut in grid]
@@ -60,9 +60,14 @@ def thresholds(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) ->
         .groupBy("stratum", "r.name", "r.cut")
         .agg(F.count_if(good).alias("n"), F.count_if(good & F.col("r.over")).alias("k"), F.count_if(bad & F.col("r.over")).alias("caught"))
     )
-    strata = counts.agg(F.countDistinct("stratum").alias("strata"))
-    level = F.log(F.lit(delta) / (F.greatest("strata", F.lit(1)) * len(cuts)))
-    admitted = counts.crossJoin(F.broadcast(strata)).where(binomial_tail(F.col("k"), F.col("n"), risk / len(GRID)) <= level)  # strata: one row
+    counts = stage.save(counts)
+    strata = counts.agg(F.countDistinct("stratum").alias("strata")).first()["strata"]
+    level = math.log(delta / (max(strata, 1) * len(cuts)))
+    # With k at the mean or above, the tail is about one half or more, which no level admits;
+    # so no row's list of terms is longer than the bound on false rejections.
+    p = risk / len(GRID)
+    low = F.when(F.col("k") < F.col("n") * F.lit(p), binomial_tail(F.col("k"), F.col("n"), p) <= level)
+    admitted = counts.where(F.coalesce(low, F.lit(False)))
     worth = admitted.withColumn("worth", F.col("caught") - 10 * F.col("k")).where("worth > 0")
     best = worth.groupBy("stratum", "name").agg(F.max_by("cut", F.struct("worth", "cut")).alias("cut"))
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("name") == n, F.col("cut"))).alias(f"cut_{n}") for n in GRID))
@@ -81,18 +86,19 @@ def verdicts(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def apply_rules(docs: DataFrame, labels: DataFrame, carry: list[str], text_col: str = "text", id_col: str = "doc_id", stratum_col: str = "lang") -> DataFrame:
     """The columns ``carry`` of each row with its statistics, base_failed and kept.
 
-    Null texts count as empty and fail the base rule.  A null stratum is a stratum of
-    its own.  Labels with null values, without a document or of held-out documents are
+    Null and empty texts fail the base rule.  A null stratum is a stratum of its own, and
+    not the empty one.  An empty table stays empty; columns that aren't carried are left
+    out, and carried ones mustn't have names of results.  Labels with null values, without a document or of held-out documents are
     not used; repeated labels count once; no labels means base rules alone.  Repeated
     rows each get their result.
     """
     stage = Stage(docs.sparkSession, "rules")
     named = [F.col(c).alias(f"in_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(*named, F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("st_text"))
+    rows = docs.select(*named, F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")).alias("stratum"), F.col(text_col).alias("st_text"))
     scored = stage.save(S.with_stats(rows, "st_text").drop("st_text"))
     scored = scored.withColumns(S.ratios())
     marks = labels.select(F.col("doc_id").alias("id"), "quality").where("id is not null and quality in (0, 1)").distinct()
     labelled = scored.where(~held_out("id")).select("id", "stratum", *GRID).join(marks, "id")
-    cutoffs = stage.save(thresholds(labelled))
+    cutoffs = stage.save(thresholds(stage, labelled))
     out = verdicts(scored, cutoffs)
     return out.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(carry)), *S.STATS, "base_failed", "kept")

@@ -31,36 +31,31 @@ def count_of(text: Column, members: str) -> Column:
 def repeated_words(listed: Column, k: int = 3) -> Column:
     """Words inside windows of ``k`` words that occur twice or more in the list.
 
-    Each window is one long: the upper bits of its hash, and its place in the lower
-    ones.  Sorting them brings equal windows together, and sorting the places of
-    those counts overlapping windows once; O(n log n) on primitive arrays."""
-    right = lambda x, n: F.call_function("shiftright", x, n)
-    left = lambda x, n: F.call_function("shiftleft", x, n)
-
-    def packed(h: Column, low: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            window = F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k)))
-            return F.coalesce(left(right(window, low), low).bitwiseOR(i.cast("long")), F.lit(0).cast("long"))
+    Each window is its 64-bit hash and its place.  Sorting them brings equal windows
+    together, whose words are then compared; sorting the places of those counts overlapping
+    windows once.  O(n log n)."""
 
+    def windows(h: Column) -> Column:
+        one = lambda x, i: F.struct(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))).alias("h"), i.alias("i"))
         return F.sort_array(F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), one))
 
-    def places(s: Column, low: Column) -> Column:
-        mask = left(F.lit(1).cast("long"), low) - 1
-        same = lambda x, y: right(x.bitwiseXOR(y), low).eqNullSafe(F.lit(0).cast("long"))
+    def places(s: Column) -> Column:
+        def same(x: Column, y: Column) -> Column:
+            equal = x["h"] == y["h"]
+            for j in range(k):
+                equal = equal & (F.get(listed, x["i"] + j) == F.get(listed, y["i"] + j))
+            return F.coalesce(equal, F.lit(False))
+
         twins = F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1)))
-        return F.sort_array(F.transform(twins, lambda x: x.bitwiseAND(mask)))
+        return F.sort_array(F.transform(twins, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
-        begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-k).cast("long").alias("last"))
-        grown = lambda done, at: F.struct((done["n"] + F.least(F.lit(k).cast("long"), at - done["last"])).alias("n"), at.alias("last"))
-        return F.aggregate(p, begin, grown, lambda done: done["n"])
-
-    def counted(h: Column) -> Column:
-        low = F.length(F.bin(F.size(h).cast("long")))  # bits of a place
-        return let(low, lambda b: let(packed(h, b), lambda s: let(places(s, b), covered)))
+        begin = F.struct(F.lit(0).alias("n"), F.lit(-k).alias("last"))
+        grown = lambda done, at: F.struct((done["n"] + F.least(F.lit(k), at - done["last"])).alias("n"), at.alias("last"))
+        return F.aggregate(p, begin, grown, lambda done: done["n"].cast("long"))
 
     hashed = F.transform(listed, lambda w: F.xxhash64(w))
-    return let(hashed, lambda h: F.when(F.size(h) >= k, counted(h)).otherwise(F.lit(0).cast("long")))
+    return let(hashed, lambda h: F.when(F.size(h) >= k, let(windows(h), lambda s: let(places(s), covered))).otherwise(F.lit(0).cast("long")))
 
 
 def with_stats(rows: DataFrame, text_col: str) -> DataFrame:

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernels as K
-from ._shared import held_out
-
-#: Labelled texts that a model is fitted on, at most, of each label (first by hash of
-#: the id), and the characters of text that they may hold together; a text that doesn't
-#: fit into what is left is passed over, the ones after it aren't.
-SAMPLE_ROWS = 3_000
-SAMPLE_CHARS = 12_000_000
+from ._shared import Stage, held_out, sampled
+
+#: Labelled texts that a model is fitted on, at most, of each label: whole ones, by hash
+#: of their id.
+SAMPLE_ROWS = 2_000
+#: Longer texts than this (characters) are taken only where a label has too few others,
+#: the shorter of them first.
+PLAIN_CHARS = 4_000
 PENALTY = 0.0001
 SWAP_WEIGHT = 5.0
 #: Features that a model chooses among, at most, and the least z-score of one.
@@ -263,21 +264,28 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> ToxicityModel:
     """A model from a bounded sample of labelled rows that aren't held out."""
+    stage = Stage(docs.sparkSession, "toxicity")
     marks = labels.select(F.col("doc_id").alias("id"), "toxic").where("id is not null and toxic in (0, 1)").distinct()
-    marks = marks.where(~held_out("id")).withColumn("by", F.xxhash64("id"))
+    marks = marks.where(~held_out("id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    size = F.greatest(F.length("text") - PLAIN_CHARS, F.lit(0)).alias("over")
+    known = stage.save(rows.select("id", size, F.xxhash64("text").alias("which")).join(marks, "id").distinct().withColumn("by", F.xxhash64("id")))
     chosen = None
     for label in (0, 1):
-        part = marks.where(F.col("toxic") == label).orderBy("by", "id").limit(SAMPLE_ROWS)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    texts, marked, chars = [], [], 0
-    for row in rows.join(F.broadcast(chosen), "id").orderBy("by", "id", "text").select("text", "toxic").toLocalIterator():  # 2 * SAMPLE_ROWS ids
-        if chars + len(row["text"]) > SAMPLE_CHARS:
-            continue  # later ones may fit
-        chars += len(row["text"])
-        texts.append(row["text"])
-        marked.append(row["toxic"])
-    return ToxicityModel(texts, np.array(marked, float))
+        part = known.where(F.col("toxic") == label)
+        plain = sampled(part.where("over = 0"), "by", SAMPLE_ROWS, "id", "which")
+        missing = SAMPLE_ROWS - plain.count()
+        if missing:
+            longer = part.where("over > 0")
+            n = longer.count()
+            if n > 4 * missing:
+                longer = longer.where(F.col("over") <= longer.approxQuantile("over", [2 * missing / n], 0.5 * missing / n)[0])
+            plain = plain.unionByName(longer.orderBy("over", "by", "id", "which").limit(missing))
+        chosen = plain if chosen is None else chosen.unionByName(plain)
+    chosen = stage.save(chosen.select("id", "which", "toxic", "by").distinct())  # 2 * SAMPLE_ROWS rows
+    texts = rows.withColumn("which", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "which"]).select("by", "id", "text", "toxic").distinct()
+    sample = [(row["text"], row["toxic"]) for row in texts.orderBy("by", "id", "text", "toxic").select("text", "toxic").toLocalIterator()]
+    return ToxicityModel([t for t, _ in sample], np.array([m for _, m in sample], float))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -285,8 +293,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, text_col: str = "text",
 
     Null and empty texts have no words and get the score of the bias; labels with null
     values, without a document or of held-out documents are not learnt; without labels
-    of both kinds the score is the share of toxic ones; repeated rows each get the same
-    result.
+    of both kinds the score is the share of toxic ones; very long texts are read whole;
+    ties of the sample's order go by the row's values; repeated rows each get the same
+    result; an empty table stays empty; other columns are left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col, id_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -136,11 +136,11 @@ def test_near_duplicates_goes_on_for_deep_nodes(spark, monkeypatch):
 
     begun, roots = [], N._roots
     monkeypatch.setattr(N, "_roots", lambda points, trees: begun.append(trees) or roots(points, trees))
-    monkeypatch.setattr(N, "LEAF", 8)
+    monkeypatch.setattr(N, "LEAF", 10)
     rng = random.Random(5)
     passage = [f"p{n}" for n in range(60)]
     texts = []
-    for _ in range(40):  # pairs whose common words are mostly a passage that all documents have
+    for _ in range(24):  # pairs whose common words are mostly a passage that all documents have
         own = [f"n{rng.random()}" for _ in range(30)]
         texts += [" ".join(passage + own), " ".join(passage + own[:24] + [f"n{rng.random()}" for _ in range(6)])]
     sets = {n: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for n, t in enumerate(texts)}
@@ -251,6 +251,56 @@ def test_secrets_by_regex():
     assert n > 300
 
 
+def test_secret_query_by_plain_expressions(spark):
+    out = queries.QUERIES["op7_secret_scan"](spark, "/root/testdata/sf0.01").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    assert len(out) == len(texts)
+    kinds = ("assign", "access", "hex")
+    for r in out:
+        base = plain_secrets(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in kinds] == [sum(x[1] == k for x in base) for k in range(3)]
+        own = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(own.encode()).hexdigest()
+        assert set(own.split(",")) - {""} <= set(r["spans"].split(","))
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in out) > 0
+    assert find_secrets(table(spark, "/root/testdata/sf0.01", "documents").limit(0)).count() == 0
+
+
+def test_quality_score_is_a_logistic_sum_of_rules(spark):
+    """The compiled column against the rules one by one, in numpy."""
+    import numpy as np
+
+    from codexloom.llm import quality_classifier as Q
+
+    rng = np.random.default_rng(4)
+    x = rng.random((500, len(Q.FEATURES))).round(2)
+    y = ((x[:, 0] > 0.6) & (x[:, 3] < 0.5) | (x[:, 5] > 0.9)).astype(float)
+    model = Q.RuleEnsemble(x, y)
+    assert model.rules and all(abs(w) > 1e-4 for _, w in model.rules)
+    total = np.full(len(x), model.bias)
+    for rule, weight in model.rules:
+        total += weight * np.all([(x[:, c.feature] > c.cut) == c.over for c in rule], axis=0)
+    rows = spark.createDataFrame([(n, *r) for n, r in enumerate(x.tolist())], "n long, " + ", ".join(f"{f} double" for f in Q.FEATURES))
+    got = np.array([r["s"] for r in rows.select("n", model.column().alias("s")).orderBy("n").collect()])
+    assert np.abs(got - 1 / (1 + np.exp(-total))).max() < 1e-9
+    assert (np.round(got) == y).mean() > 0.95
+
+
+def test_scores_of_ties_long_texts_and_repeats(spark):
+    rng = random.Random(8)
+    ids = [n for n in range(300) if not held_out(n)]
+    texts = [(n, " ".join(rng.choice(WORDS) for _ in range(30)) + (" vermin $$$ $$$ $$$" if n % 2 else "")) for n in ids]
+    long = " ".join(f"{w}{n}" for n in range(30000) for w in ("a", "b"))
+    rows = spark.createDataFrame([*texts, *texts, (7000, long), (7001, long + " vermin $$$"), (7002, None), (7003, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1 - n % 2, n % 2) for n in ids] * 2, LABEL)
+    for scores in (quality_scores, toxicity_scores):
+        out: dict = {}
+        for r in scores(rows, labels).collect():
+            out.setdefault(r["doc_id"], set()).add(r["score"])
+        assert len(out) == len(ids) + 4 and all(len(s) == 1 and 0 <= min(s) <= 1 for s in out.values())
+        assert out[7002] == out[7003]
+
+
 def test_more_secrets_and_redaction(spark):
     key = "ghp_" + "a1B2" * 9
     rows = docs(spark, [*ODD, f"é {key} end", f"token = {'0123456789abcdef' * 2} tail", "-----BEGIN RSA PRIVATE KEY-----"])
@@ -291,6 +341,68 @@ def test_binomial_tail(spark):
         assert abs(got - want) < 1e-9
 
 
+def test_repeats_of_windows_are_exact(spark, monkeypatch):
+    """A hash that tells nothing apart doesn't change what counts as equal words."""
+    texts = ["a b c a b c", "a b c d a b c", "x y z t u v w", "a a a a", "p q r s p q r"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n long, text string")
+    got = {r["n"]: r["c"] for r in rows.select("n", text_stats.repeated_words(text_stats.words(F.col("text"))).alias("c")).collect()}
+    assert got == {0: 6, 1: 6, 2: 0, 3: 4, 4: 6}
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    got = {r["n"]: r["c"] for r in rows.where("n in (2)").select("n", text_stats.repeated_words(text_stats.words(F.col("text"))).alias("c")).collect()}
+    assert got == {2: 0}
+
+
+def test_rules_of_the_null_stratum_ties_and_empty_tables(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for n in range(4000):  # texts with marks are bad without a language and good in the empty one
+        lang, marked = (None, "")[n % 2], n % 20 < 2
+        rows.append((n, " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) + "$$$" * marked for _ in range(60)), lang))
+        labels.append((n, int(not (marked and lang is None)), 0))
+    table_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, LABEL)
+    out = {r["doc_id"]: r["kept"] for r in apply_rules(table_.union(table_.limit(50)), marks.union(marks), ["doc_id"]).collect()}
+    assert out == {n: label == 1 for n, label, _ in labels}
+    assert apply_rules(table_.limit(0), marks, ["doc_id"]).count() == 0
+
+
+def test_rules_by_brute_force(spark):
+    """Cutoffs and verdicts of op6 on sf0.01 in plain Python, with exact fractions of the bound."""
+    import math
+    from fractions import Fraction
+
+    from codexloom.llm.quality_rules import DELTA, GRID, RISK
+
+    sf = "/root/testdata/sf0.01"
+    stats = {r["doc_id"]: r.asDict() for r in text_stats.with_stats(table(spark, sf, "documents"), "text").withColumns(text_stats.ratios()).drop("text").collect()}
+    quality = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect() if r["quality"] is not None}
+    learnt = [d for d in stats if d in quality and not held_out(d)]
+    strata = {stats[d]["lang"] for d in learnt}
+    cuts = sum(map(len, GRID.values()))
+    chosen: dict = {}
+    for s in strata:
+        own = [d for d in learnt if stats[d]["lang"] == s]
+        good = [d for d in own if quality[d] == 1]
+        for name, grid in GRID.items():
+            best = None
+            for cut in grid:
+                k = sum(stats[d][name] > cut for d in good)
+                caught = sum(stats[d][name] > cut for d in own if quality[d] == 0)
+                p = Fraction(RISK).limit_denominator(1000) / len(GRID)
+                tail = float(sum(math.comb(len(good), i) * p**i * (1 - p) ** (len(good) - i) for i in range(k + 1))) if k < len(good) * p else 1.0
+                if tail <= DELTA / (len(strata) * cuts) and caught > 10 * k and (best is None or (caught - 10 * k, cut) > best):
+                    best = (caught - 10 * k, cut)
+            if best:
+                chosen[s, name] = best[1]
+    out = queries.QUERIES["op6_quality_rules"](spark, sf).collect()
+    assert len(out) == len(stats)
+    for r in out:
+        s = stats[r["doc_id"]]
+        base = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        assert r["base_failed"] == base
+        assert r["kept"] == (not base and not any(s[n] > chosen[s["lang"], n] for n in GRID if (s["lang"], n) in chosen))
+
+
 def test_rules_limit_false_rejections(spark):
     rng = random.Random(6)
     good = [(n, " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(60))) for n in range(3000)]
@@ -342,6 +454,40 @@ def test_html_marked_wrappers():
     assert main_text(f"<body><aside><article><p>{other}</p></article></aside><footer><p>{other}</p></footer>", tree) == ""
 
 
+def test_html_tree_uses_words_and_neighbours():
+    from codexloom.llm.html_text import LABELLED
+
+    tree = grown()
+    used = {n[0] for n in tree.nodes if len(n) == 4}
+    assert 2 in used and 3 in used and used & {0, 1} and used & {4, 5}  # own words and links, the block before, the one after
+    assert all(tree.keep(row[:-1]) == bool(row[-1]) for row in LABELLED)
+    text, link = " ".join(f"word{n}" for n in range(40)), "<p><a href=x>some other page</a></p>"
+    page = f"<div>{link}<p>A headline of it</p><p>{text}</p><p>{text}</p>{link}{link}<p>All rights kept by us, the makers of this small site and others</p>{link}</div>"
+    assert main_text(page, tree) == f"A headline of it {text} {text}"
+
+
+def test_html_teasers_commentary_and_stray_tags():
+    import time
+
+    tree = grown()
+    text, other = (" ".join(f"{w}{n}" for n in range(40)) for w in ("word", "other"))
+    assert main_text(f"<body><article><p>Read this next</p></article><div><p>{text}</p><p>{other}</p></div>", tree) == f"{text} {other}"
+    assert main_text(f"<body><article><p>{text}</p><p class='commentary'>{other}</p></article><p>{other}</p>", tree) == f"{text} {other}"
+    began = time.perf_counter()
+    for page in ("<div>" * 50_000 + "</span>" * 50_000, "<div>" * 50_000 + "<p>x</b>" * 50_000, "<div>" * 50_000 + "<li>x</i>" * 50_000):
+        main_text(page, tree)
+    assert time.perf_counter() - began < 20
+
+
+def test_html_repeated_rows_empty_tables_and_clashing_names(spark):
+    from codexloom.llm.html_text import extract
+
+    rows = spark.createDataFrame([(1, "<p>one text</p>", "t", 5), (1, "<p>one text</p>", "t", 5), (None, None, None, None)], "page_id long, html string, text string, n_chars int")
+    out = extract(rows)
+    assert out.columns == ["page_id", "html", "text", "n_chars"] and sorted(r["text"] for r in out.collect()) == ["", "one text", "one text"]
+    assert extract(rows.limit(0)).count() == 0
+
+
 def test_html_on_pages(spark):
     out = {r["page_id"]: r["text"] for r in queries.QUERIES["op3_html_text"](spark, SF).collect()}
     for r in table(spark, SF, "pages").collect():
@@ -445,19 +591,23 @@ def test_swaps_are_differences_of_all_features():
         assert pairs[0] == pairs[1] and swapped.counts().tolist() == again.counts().tolist()
 
 
-def test_toxicity_sample_passes_over_what_does_not_fit(spark, monkeypatch):
+def test_toxicity_sample_is_bounded_by_rows(spark, monkeypatch):
     from codexloom.llm import toxicity as X
 
-    monkeypatch.setattr(X, "SAMPLE_CHARS", 40_000)
-    ids = [n for n in range(600) if not held_out(n)]
+    monkeypatch.setattr(X, "SAMPLE_ROWS", 100)
+    ids = [n for n in range(900) if not held_out(n)]
     texts = [(n, f"{'vermin ' if n % 2 else ''}{' '.join(random.Random(n).choices(WORDS, k=20))}") for n in ids]
     rows = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(n, 1, n % 2) for n in ids], LABEL)
-    order = [r["doc_id"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
-    for long in (order[0], order[len(order) // 10]):  # a text longer than the bound comes first, or early
-        grown = rows.withColumn("text", F.when(F.col("doc_id") == long, F.repeat("text", F.lit(1000))).otherwise(F.col("text")))
-        clean, toxic = X.fit(grown, labels).scores(pa.array(["w1 w2 w3", "w1 vermin w3"])).tolist()
+    taken = []
+    monkeypatch.setattr(X, "ToxicityModel", lambda t, m: taken.append((t, m.tolist())) or ToxicityModel(t, m))
+    for long in (0, 1, 2):  # no text, every second toxic one, or all are longer than the plain ones
+        over = F.lit(False) if not long else (F.col("doc_id") % 4 == 1) | F.lit(long == 2)
+        grown = rows.withColumn("text", F.when(over, F.repeat(F.concat("text", F.lit(" ")), F.lit(100))).otherwise(F.col("text")))
+        clean, toxic = X.fit(grown.union(grown), labels).scores(pa.array(["w1 w2 w3", "w1 vermin w3"])).tolist()
         assert clean < 0.3 and toxic > 0.7
+        assert len(taken[-1][0]) == 200 and sum(taken[-1][1]) == 100
+        assert sum(len(t) > X.PLAIN_CHARS for t in taken[-1][0]) == (0 if long < 2 else 200)
 
 
 def test_classifiers_on_odd_input(spark):
@@ -468,6 +618,87 @@ def test_classifiers_on_odd_input(spark):
         assert scores(docs(spark, ODD).limit(0), none).count() == 0
 
 
+CLASHES = ["kept", "n_words", "spans", "items", "secrets", "turn", "rest", "left", "passes", "cut_block", "last_key", "mx_block", "mx_source", "row", "id", "n", "path", "comp", "stratum", "st_text", "in_0", "in_1", "weight_", "upto"]
+
+
+def test_pipeline_stages_on_clashing_names_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    long = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(80)) for _ in range(12)]
+    key = "token = " + "0123456789abcdef" * 2
+    rows = [(n, t, "en", "a") for n, t in enumerate(long)]
+    rows += [(3, long[3], "en", "a"), (4, long[5] + " tail", "de", None), (None, long[0], None, ""), (20, None, "", "b"), (21, "", None, "b"), (22, " ".join([key] * 600 + long), "en", "b")]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = [f"{c}-x" for c in CLASHES]
+    docs_ = spark.createDataFrame([(*r, 7, *clash) for r in rows], names + "".join(f", {c} string" for c in CLASHES))
+    whole = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, SF)
+        assert out.columns[: len(whole)] == whole if name != "mixing" else set(out.columns) >= set(whole)
+        found = out.collect()
+        assert all(r[c] == f"{c}-x" for r in found for c in CLASHES if c in out.columns)
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in found)
+        every = sorted((-1 if i is None else i, t or "") for i, t, _, _ in rows)
+        if name == "near_dedup":  # 3 stays once; 4 has two texts, one near 5's; null ids stay
+            assert got == sorted(set(every) - {(5, long[5])})
+        elif name == "quality_rules":
+            assert got == [x for x in every if x[0] < 20]
+        elif name == "secret_scan":
+            assert [x[0] for x in got] == [x[0] for x in every] and all("0123456789abcdef" not in x[1] for x in got)
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in found)
+        else:
+            assert got == every
+        assert stage(spark, docs_.limit(0), SF).count() == 0
+
+
+def test_mixing_keeps_the_repetition_limit_with_a_budget(spark):
+    sizes = {"a": 4000, "b": 400, "c": 40, None: 7}
+    rows = [(n, "w " * (n % 3 + 1), s) for s, k in sizes.items() for n in range(k)] + [(5, "", "c"), (5, None, "c")]
+    rows = spark.createDataFrame([(1000 * list(sizes).index(s) * 10 + n, t, s) for n, t, s in rows], "doc_id long, text string, source string")
+    total = rows.select(F.sum(F.size(F.filter(F.split("text", " "), lambda x: x != "")))).first()[0]
+    for times in (0.1, 1, 2, 3.9, 4):
+        out = mix_sources(rows, budget_tokens=int(times * total)).agg(F.max("copies"), F.sum(F.expr("n_tokens * copies"))).first()
+        assert out[0] <= 4 and abs(out[1] - int(times * total)) <= 16
+    with pytest.raises(ValueError):
+        mix_sources(rows, budget_tokens=20 * total)
+
+
+def test_mixing_by_brute_force(spark):
+    """Weights, passes and budgets on sf0.001 in plain Python."""
+    import math
+
+    out = queries.QUERIES["op4_mixing"](spark, SF).collect()
+    tokens: dict = {}
+    words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in table(spark, SF, "documents").collect()}
+    for r in out:
+        assert r["n_tokens"] == words[r["doc_id"]]
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["n_tokens"]
+    assert len(out) == len(words)
+
+    def entropy(a):
+        p = [(t / sum(tokens.values())) ** a for t in tokens.values()]
+        return -sum(x / sum(p) * math.log(x / sum(p)) for x in p)
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(mid) >= 0.99 * math.log(len(tokens)) else (low, mid)
+    a = max(low, 1 - math.log(4) / math.log(max(tokens.values()) / min(tokens.values())))
+    power = {s: t**a for s, t in tokens.items()}
+    for s, t in tokens.items():
+        rows = [r for r in out if r["source"] == s]
+        assert abs(rows[0]["weight"] - power[s] / sum(power.values())) < 1e-5 and len({r["weight"] for r in rows}) == 1
+        budget = (max(tokens.values()) / t) ** (1 - a) * t
+        mixed = sum(r["n_tokens"] * r["copies"] for r in rows)
+        assert max(r["copies"] for r in rows) - min(r["copies"] for r in rows) <= 1 and min(r["copies"] for r in rows) == int(budget / t + 1e-6)
+        # Whole blocks in one order, then documents of the cut block while they fit.
+        assert budget - max(r["n_tokens"] for r in rows) - 3 <= mixed <= budget + 2
+        more = {r["block"] for r in rows if r["copies"] > int(budget / t + 1e-6)}
+        split = [b for b in more if any(r["block"] == b and r["copies"] == int(budget / t + 1e-6) for r in rows)]
+        assert len(split) <= 1
+
+
 def test_mixing_meets_its_budget(spark):
     rows = spark.createDataFrame([(n, "w " * (n % 7 + 1), "big" if n % 10 else "small" if n % 20 else None) for n in range(4000)] + [(-1, None, "none")], "doc_id long, text string, source string")
     out = mix_sources(rows).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.sum(F.expr("n_tokens * copies")).alias("m"), F.min("copies").alias("least"), F.max("copies").alias("most"), F.max("weight").alias("w")).collect()
