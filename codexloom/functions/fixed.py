@@ -1,7 +1,6 @@
 """Names, patterns, word lists and labels that results depend on."""
 
 # Fixed values, in the order in which they take precedence.
-BLOCK_KINDS = ["title", "heading", "paragraph", "list_item", "table", "formula", "caption", "reference", "picture", "code", "other"]
 TEXT_KINDS = ["paragraph", "list_item", "reference", "caption", "other"]
 ATOMIC_KINDS = ["formula", "picture", "code"]
 LABEL_KINDS = {
@@ -27,6 +26,9 @@ DISCOURSE = ["however", "in contrast", "on the other hand", "nevertheless", "the
 CJK = r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SENTENCE_END = r"[.!?。！？；;][\]\)）】'\"]*$"
+SENTENCE_BREAK = r"(?<=[.!?。！？；;؟؛])\s+|(?<=[。！？；])"
+#: Formulas and citations that a sentence is never cut in.
+PROTECTED = r"(?s)\$\$.*?\$\$|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]|\[\d+(?:\s*[-,]\s*\d+)*\]"
 WORD_HYPHEN = r"[A-Za-z]{2,}-$"
 NUMBER = r"(?<![\p{L}\p{N}_])[+-]?\p{Nd}+(?:[.,]\p{Nd}+)*(?:%|[a-zA-Z]+)?"
 FORMULA = r"(?s)\$\$.*?\$\$|\$[^$\n]+\$"
@@ -67,6 +69,17 @@ RISK_LABELS = {
 #: Statuses from which a job may be cancelled, and those that are final.
 CANCELLABLE = ["UPLOADED", "PARSED", "WAITING_TERM_REVIEW", "WAITING_STYLE_REVIEW", "WAITING_RISK_REVIEW", "WAITING_CHAPTER_REVIEW", "TRANSLATING"]
 FINAL = ["COMPLETED", "FAILED", "CANCELLED"]
+#: How a version of a translation came about.
+VERSION_SOURCES = ["LLM_TRANSLATION", "AUTO_REVISION", "USER_EDIT", "RESTORE"]
+#: Statuses that wait for a person, the stages where the run ends, and what follows.
+PAUSE_STAGES = {"WAITING_TERM_REVIEW": "interrupt_for_term_review", "WAITING_STYLE_REVIEW": "interrupt_for_style_review", "WAITING_RISK_REVIEW": "mark_risks", "WAITING_CHAPTER_REVIEW": "save_checkpoint"}
+RESUMED = {"WAITING_TERM_REVIEW": "WAITING_STYLE_REVIEW", "WAITING_STYLE_REVIEW": "TRANSLATING", "WAITING_RISK_REVIEW": "TRANSLATING", "WAITING_CHAPTER_REVIEW": "TRANSLATING"}
+STAGE_LABELS = {
+    "uploaded": "等待 Worker", "parse_document": "解析文档", "detect_language": "检测语言", "discover_boundary_candidates": "发现疑似边界", "analyze_semantic_boundaries": "语义边界判断",
+    "fallback_boundary_analysis": "边界规则降级", "normalize_cross_page_text": "修复跨页文本", "split_sections": "结构化切分", "extract_terms": "抽取术语", "interrupt_for_term_review": "等待术语确认",
+    "pretranslate_sample": "生成预翻译", "interrupt_for_style_review": "等待风格确认", "translate_chunk": "翻译片段", "mark_risks": "质量与风险检查", "summarize_chunk_context": "更新上下文摘要",
+    "save_checkpoint": "保存检查点", "generate_outputs": "生成输出", "validate_outputs": "校验输出", "generate_report": "生成报告与结果包", "completed": "已完成",
+}
 ENTITY_TYPES = ["CHARACTER", "PLACE", "SETTING"]
 UPLOAD_SUFFIXES = [".pdf", ".md", ".txt"]
 MODES = ["paper", "novel"]

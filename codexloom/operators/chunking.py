@@ -2,14 +2,20 @@
 
 The fold over a document's blocks carries two integers, not text: separators are white
 space, which the token estimate doesn't count, so (ideographs, other characters) add
-up.  The fold gives each piece its chunk; texts are joined afterwards.  One document's
-list of (position, counts) is the largest thing held in a row.
+up.  Documents are dealt out once and sorted inside their partition, and one pass gives
+each piece its draft, the reason for which that closed, and its chunk; it holds the
+pieces of the open draft only, whatever the length of the document.  Texts are joined
+afterwards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed as C
 from ..functions import ids
@@ -21,13 +27,10 @@ from .structure import adjacent_captions, is_separator_row, referenced_captions,
 
 def sentences(text: Column) -> Column:
     """Sentences of a text without formulas or citations (see ``split_sentences``)."""
-    parts = F.split(text, r"(?<=[.!?。！？；;؟؛])\s+|(?<=[。！？；])")
+    parts = F.split(text, C.SENTENCE_BREAK)
     return F.filter(F.transform(parts, X.strip), lambda s: s != "")
 
 
-_PROTECTED = r"(?s)\$\$.*?\$\$|\$[^$\n]+\$|\\\(.*?\\\)|\\\[.*?\\\]|\[\d+(?:\s*[-,]\s*\d+)*\]"
-
-
 def split_sentences(text: Column) -> Column:
     """Sentences, with formulas and citations kept whole.
 
@@ -36,7 +39,7 @@ def split_sentences(text: Column) -> Column:
     mark = "\ue000"
 
     def cut(spans: Column) -> Column:
-        found = sentences(F.regexp_replace(text, _PROTECTED, mark))
+        found = sentences(F.regexp_replace(text, C.PROTECTED, mark))
         marks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(mark)))
         begin = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
 
@@ -47,7 +50,7 @@ def split_sentences(text: Column) -> Column:
 
         return F.aggregate(found, begin, restore, lambda done: done["out"])
 
-    return X.let(F.regexp_extract_all(text, F.lit(_PROTECTED), F.lit(0)), cut)
+    return X.let(F.regexp_extract_all(text, F.lit(C.PROTECTED), F.lit(0)), cut)
 
 
 def greedy_groups(counts: Column, limit: int, most: int | None = None, base_cjk: Column | None = None, base_other: Column | None = None) -> Column:
@@ -89,75 +92,137 @@ def split_blocks(blocks: DataFrame, hard: int = C.HARD_TOKENS) -> DataFrame:
     return whole.unionByName(parts.withColumns(body).drop("cx_n", "cx_text"))
 
 
-def pack(pieces: DataFrame, soft: int = C.SOFT_TOKENS, hard: int = C.HARD_TOKENS, least: int = C.LEAST_TOKENS) -> DataFrame:
-    """(doc_id, pos, piece, draft, reason, draft_tokens) of each piece.
+def _tokens(cjk: int, other: int) -> int:
+    """``X.tokens_of`` of two numbers."""
+    return max(1, cjk - -other // 4)
+
+
+Step = Callable[[tuple], list[tuple]]
+
+
+def folded(rows: DataFrame, order: list[str], make: Callable[[], tuple[Step, Callable[[], list[tuple]]]], fields: str) -> DataFrame:
+    """One pass over the rows of each doc_id in order: ``make`` gives a step, called with the
+    values of a row, and an end; both return rows without doc_id, of ``fields``."""
+    key = rows.schema["doc_id"]
+    schema = T.StructType([key, *T.StructType.fromDDL(fields).fields])
+    names = [c for c in rows.columns if c != "doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        doc, step, end, begun = None, None, None, False
+        for batch in batches:
+            if kinds is None:
+                kinds = [batch.schema.field("doc_id").type, *(pa.int64() if f.dataType == T.LongType() else pa.int32() if f.dataType == T.IntegerType() else pa.string() for f in schema.fields[1:])]
+            docs, out = batch.column("doc_id").to_pylist(), []
+            for now, values in zip(docs, zip(*(batch.column(c).to_pylist() for c in names), strict=True), strict=True):
+                if not begun or now != doc:
+                    if begun:
+                        out += [(doc, *r) for r in end()]
+                    (step, end), doc, begun = make(), now, True
+                out += [(doc, *r) for r in step(values)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=schema.names)
+        last = [(doc, *r) for r in end()] if begun else []
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*last, strict=True), kinds, strict=True)], names=schema.names)
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, schema)
 
-    Pieces have doc_id, pos, piece, kind, cjk, other and decision (of the boundary before
-    them, or null).  Headings close the chunk before; atomic kinds stand alone."""
-    item = F.struct("pos", "piece", F.when(F.col("kind").isin("title", "heading"), "H").when(F.col("kind").isin("table", *C.ATOMIC_KINDS), "A").otherwise("T").alias("role"), "cjk", "other", "decision")
-    docs = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.lit(0).cast("int")
-    begin = F.struct(F.lit(-1).cast("int").alias("draft"), F.lit(False).alias("open"), zero.alias("cjk"), zero.alias("other"), F.array().cast("array<struct<draft:int,why:string>>").alias("out"))
-
-    def step(done: Column, x: Column) -> Column:
-        role = x["role"]
-        now = X.tokens_of(done["cjk"], done["other"])
-        then = X.tokens_of(done["cjk"] + x["cjk"], done["other"] + x["other"])
-        why = (
-            F.when(~done["open"], F.lit(None).cast("string"))
-            .when(role == "H", "SECTION_BOUNDARY")
-            .when(role == "A", "ATOMIC_BLOCK")
-            .when(then > hard, "TOKEN_HARD_LIMIT")
-            .when((x["decision"] == "SPLIT") & (now >= least), "LLM_SEMANTIC_SPLIT")
-            .when((then > soft) & ~F.coalesce(x["decision"] == "CONTINUE", F.lit(False)), "TOKEN_SOFT_LIMIT")
-        )
-        fresh = ~done["open"] | why.isNotNull()
-        draft = (done["draft"] + fresh.cast("int")).cast("int")
-        keep = lambda n: F.when(role == "A", zero).when(fresh, x[n]).otherwise(done[n] + x[n]).cast("int").alias(n)
-        # ``why`` is the reason for which the draft before this one was closed.
-        return F.struct(draft.alias("draft"), (role != "A").alias("open"), keep("cjk"), keep("other"), F.concat(done["out"], F.array(F.struct(draft.alias("draft"), why.alias("why")))).alias("out"))
-
-    folded = docs.select("doc_id", "items", F.aggregate("items", begin, step, lambda d: d["out"]).alias("marks"))
-    rows = folded.select("doc_id", F.posexplode(F.arrays_zip("items", "marks")).alias("n", "z"))
-    rows = rows.select("doc_id", "n", "z.items.pos", "z.items.piece", "z.items.role", "z.items.cjk", "z.items.other", "z.marks.draft", "z.marks.why")
-    closed = rows.where("why is not null").select("doc_id", (F.col("draft") - 1).alias("draft"), F.col("why").alias("reason"))
-    out = rows.join(closed, ["doc_id", "draft"], "left")
-    reason = F.when(F.col("role") == "A", "ATOMIC_BLOCK").otherwise(F.coalesce("reason", F.lit("END_OF_DOCUMENT")))
-    return out.select("doc_id", "draft", "pos", "piece", "role", "cjk", "other", reason.alias("reason"))
+
+def _merger(soft: int, least: int) -> Callable[[bool, str, int, int], int]:
+    """Chunk number of each draft in turn (text or not, section, counts)."""
+    n, was_text, was_in, cjk, other = -1, False, None, 0, 0
+
+    def place(is_text: bool, section: str, c: int, o: int) -> int:
+        nonlocal n, was_text, was_in, cjk, other
+        own = _tokens(c, o)
+        if n >= 0 and is_text and was_text and section == was_in and own < least and own + _tokens(cjk, other) <= soft:
+            cjk, other = cjk + c, other + o
+        else:
+            n, cjk, other = n + 1, c, o
+        was_text, was_in = is_text, section
+        return n
+
+    return place
+
+
+def pack(pieces: DataFrame, soft: int = C.SOFT_TOKENS, hard: int = C.HARD_TOKENS, least: int = C.LEAST_TOKENS) -> DataFrame:
+    """(doc_id, draft, pos, piece, role, reason, chunk_index) of each piece.
+
+    Pieces have doc_id, pos, piece, kind, cjk, other, decision (of the boundary before
+    them, or null) and, for drafts to be merged, section (a comparable path).  Headings
+    close the draft before; atomic kinds stand alone; small text drafts join the chunk
+    before in the same section."""
+    role = F.when(F.col("kind").isin("title", "heading"), "H").when(F.col("kind").isin("table", *C.ATOMIC_KINDS), "A").otherwise("T")
+    section = F.col("section") if "section" in pieces.columns else F.lit(None).cast("string")
+
+    def make() -> tuple[Step, Callable[[], list[tuple]]]:
+        place = _merger(soft, least)
+        draft, cjk, other = -1, 0, 0
+        held: list[tuple] = []  # pieces of the open draft: pos, piece, role, section, cjk, other
+
+        def close(why: str) -> list[tuple]:
+            nonlocal held
+            if not held:
+                return []
+            atomic = any(r[2] == "A" for r in held)
+            chunk = place(not atomic, held[0][3], sum(r[4] for r in held), sum(r[5] for r in held))
+            out = [(draft, pos, piece, role, "ATOMIC_BLOCK" if atomic else why, chunk) for pos, piece, role, *_ in held]
+            held = []
+            return out
+
+        def step(values: tuple) -> list[tuple]:
+            nonlocal draft, cjk, other
+            pos, piece, role, c, o, decision, section = values
+            why = None
+            if held:
+                now, then = _tokens(cjk, other), _tokens(cjk + c, other + o)
+                if role == "H":
+                    why = "SECTION_BOUNDARY"
+                elif role == "A":
+                    why = "ATOMIC_BLOCK"
+                elif then > hard:
+                    why = "TOKEN_HARD_LIMIT"
+                elif decision == "SPLIT" and now >= least:
+                    why = "LLM_SEMANTIC_SPLIT"
+                elif then > soft and decision != "CONTINUE":
+                    why = "TOKEN_SOFT_LIMIT"
+            out = close(why) if why else []
+            if not held:
+                draft, cjk, other = draft + 1, 0, 0
+            held.append((pos, piece, role, section, c, o))
+            cjk, other = cjk + c, other + o
+            return out + close("") if role == "A" else out
+
+        return step, lambda: close("END_OF_DOCUMENT")
+
+    rows = pieces.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("piece").cast("int").alias("piece"), role.alias("role"), "cjk", "other", "decision", section.alias("section"))
+    return folded(rows, ["pos", "piece"], make, "draft int, pos long, piece int, role string, reason string, chunk_index int")
 
 
 def merge_small(drafts: DataFrame, soft: int = C.SOFT_TOKENS, least: int = C.LEAST_TOKENS) -> DataFrame:
     """(doc_id, draft, chunk_index): small text drafts join the one before in the same section.
 
     Drafts have doc_id, draft, is_text, section (a comparable path), cjk and other."""
-    item = F.struct("draft", "is_text", "section", "cjk", "other")
-    docs = drafts.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.lit(0).cast("int")
-    begin = F.struct(F.lit(-1).cast("int").alias("n"), F.lit(False).alias("is_text"), F.lit("").alias("section"), zero.alias("cjk"), zero.alias("other"), F.array().cast("array<int>").alias("out"))
 
-    def step(done: Column, x: Column) -> Column:
-        own = X.tokens_of(x["cjk"], x["other"])
-        fits = own + X.tokens_of(done["cjk"], done["other"]) <= soft
-        joins = (done["n"] >= 0) & x["is_text"] & done["is_text"] & (x["section"] == done["section"]) & (own < least) & fits
-        n = F.when(joins, done["n"]).otherwise(done["n"] + 1).cast("int")
-        total = lambda k: F.when(joins, done[k] + x[k]).otherwise(x[k]).cast("int").alias(k)
-        return F.struct(n.alias("n"), x["is_text"].alias("is_text"), x["section"].alias("section"), total("cjk"), total("other"), F.concat(done["out"], F.array(n)).alias("out"))
+    def make() -> tuple[Step, Callable[[], list[tuple]]]:
+        place = _merger(soft, least)
+        return lambda v: [(v[0], place(*v[1:]))], list
 
-    folded = docs.select("doc_id", F.arrays_zip("items", F.aggregate("items", begin, step, lambda d: d["out"]).alias("to")).alias("z"))
-    rows = folded.select("doc_id", F.explode("z").alias("z"))
-    return rows.select("doc_id", "z.items.draft", F.col("z.to").alias("chunk_index"))
+    rows = drafts.select("doc_id", F.col("draft").cast("long").alias("draft"), "is_text", "section", "cjk", "other")
+    return folded(rows, ["draft"], make, "draft long, chunk_index int")
 
 
 def _text_drafts(pieces: DataFrame, packed: DataFrame) -> DataFrame:
-    rows = pieces.join(packed.select("doc_id", "pos", "piece", "draft", "role", "reason"), ["doc_id", "pos", "piece"])
+    rows = pieces.join(packed, ["doc_id", "pos", "piece"])
     part = F.struct("pos", "piece", X.strip(F.col("markdown")).alias("text"), "source_id", "page_no")
     first = lambda c: F.min_by(c, F.struct("pos", "piece"))
     grouped = rows.groupBy("doc_id", "draft").agg(
-        F.array_sort(F.collect_list(part)).alias("parts"), F.max("reason").alias("reason"), F.max("role").alias("role"), first("section_path").alias("section_path"), first("kind").alias("kind"), F.sum("cjk").cast("int").alias("cjk"), F.sum("other").cast("int").alias("other")
+        F.array_sort(F.collect_list(part)).alias("parts"), F.max("reason").alias("reason"), F.max("chunk_index").alias("chunk_index"), first("section_path").alias("section_path"), first("kind").alias("kind")
     )
     texts = F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != "")
     pages = F.array_sort(F.array_distinct(F.array_compact(F.transform("parts", lambda p: p["page_no"]))))
-    return grouped.select("doc_id", "draft", "reason", "role", "kind", "section_path", "cjk", "other", F.array_join(texts, "\n\n").alias("source_text"), F.array_distinct(F.transform("parts", lambda p: p["source_id"])).alias("block_ids"), pages.alias("pages"))
+    return grouped.select("doc_id", "draft", "chunk_index", "reason", "kind", "section_path", F.array_join(texts, "\n\n").alias("source_text"), F.array_distinct(F.transform("parts", lambda p: p["source_id"])).alias("block_ids"), pages.alias("pages"))
 
 
 def build_chunks(blocks: DataFrame, decisions: DataFrame | None = None, soft: int = C.SOFT_TOKENS, hard: int = C.HARD_TOKENS, least: int = C.LEAST_TOKENS, rows_per_table: int = C.TABLE_ROWS) -> DataFrame:
@@ -177,9 +242,7 @@ def build_chunks(blocks: DataFrame, decisions: DataFrame | None = None, soft: in
     else:
         pieces = pieces.join(decisions.select("doc_id", F.col("right_id").alias("piece_id"), "decision"), ["doc_id", "piece_id"], "left")
     pieces = saved(pieces)
-    drafts = saved(_text_drafts(pieces, pack(pieces, soft, hard, least)))
-    flat = drafts.select("doc_id", "draft", (F.col("role") != "A").alias("is_text"), F.to_json("section_path").alias("section"), "cjk", "other")
-    merged = drafts.join(merge_small(flat, soft, least), ["doc_id", "draft"])
+    merged = _text_drafts(pieces, pack(pieces.withColumn("section", F.to_json("section_path")), soft, hard, least))
     joined = F.array_sort(F.collect_list(F.struct("draft", "source_text", "block_ids", "pages", "reason")))
     first = lambda c: F.min_by(c, "draft")
     grouped = merged.groupBy("doc_id", "chunk_index").agg(joined.alias("d"), first("kind").alias("kind"), first("section_path").alias("section_path"))
@@ -253,8 +316,21 @@ def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 def pack_lines(lines: DataFrame, limit: int) -> DataFrame:
     """Chunks of plain lines: doc_id, chunk_index, n_lines, tokens.  A line that would lift a
     chunk over ``limit`` tokens begins the next one."""
-    item = F.struct("pos", X.cjk_chars(F.col("text")).cast("int").alias("cjk"), X.other_chars(F.col("text")).cast("int").alias("other"))
-    docs = lines.select("doc_id", item.alias("i")).groupBy("doc_id").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    rows = docs.select("doc_id", F.explode(F.arrays_zip("items", greedy_groups(F.col("items"), limit).alias("g"))).alias("z"))
-    return rows.groupBy("doc_id", F.col("z.g").alias("chunk_index")).agg(F.count(F.lit(1)).alias("n_lines"), X.tokens_of(F.sum("z.items.cjk"), F.sum("z.items.other")).alias("tokens"))
 
+    def make() -> tuple[Step, Callable[[], list[tuple]]]:
+        chunk, n, cjk, other = 0, 0, 0, 0
+
+        def step(values: tuple) -> list[tuple]:
+            nonlocal chunk, n, cjk, other
+            _, c, o = values
+            out = []
+            if n and _tokens(cjk + c, other + o) > limit:
+                out = [(chunk, n, _tokens(cjk, other))]
+                chunk, n, cjk, other = chunk + 1, 0, 0, 0
+            n, cjk, other = n + 1, cjk + c, other + o
+            return out
+
+        return step, lambda: [(chunk, n, _tokens(cjk, other))]
+
+    rows = lines.select("doc_id", "pos", X.cjk_chars(F.col("text")).cast("int").alias("cjk"), X.other_chars(F.col("text")).cast("int").alias("other"))
+    return folded(rows, ["pos"], make, "chunk_index int, n_lines long, tokens int")

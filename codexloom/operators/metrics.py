@@ -64,10 +64,13 @@ def next_pending(chunks: DataFrame) -> DataFrame:
 
 def section_summaries(chunks: DataFrame, n: int = 3) -> DataFrame:
     """The last ``n`` summaries before each chunk in its section, oldest first."""
+    # Each summary takes the ones before it along; a chunk reads the last one before it.
+    own = Window.partitionBy("job_id", "section", F.col("summary").isNull()).orderBy("chunk_index")
+    tail = F.array(*(F.lag("summary", k).over(own) for k in range(n - 1, 0, -1)), "summary")
+    rows = chunks.select("job_id", "section", "chunk_index", F.when(F.col("summary").isNotNull(), tail).alias("tail"))
     before = Window.partitionBy("job_id", "section").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.collect_list("summary").over(before)
-    last = X.let(kept, lambda a: F.when(F.size(a) > n, F.slice(a, -n, n)).otherwise(a))
-    return chunks.select("job_id", "section", "chunk_index", F.nullif(F.array_join(F.filter(last, lambda s: s != ""), "\n"), F.lit("")).alias("summary"))
+    last = F.last("tail", ignorenulls=True).over(before)
+    return rows.select("job_id", "section", "chunk_index", F.nullif(F.array_join(F.filter(last, lambda s: s.isNotNull() & (s != "")), "\n"), F.lit("")).alias("summary"))
 
 
 def chapter_memory(chunks: DataFrame, limit: int = 2000) -> DataFrame:

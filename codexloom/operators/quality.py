@@ -89,10 +89,10 @@ def risk_summary(new: DataFrame) -> DataFrame:
     return new.groupBy("chunk_id").agg(F.array_join(messages, "；").alias("risk_summary"))
 
 
-def outputs_valid(files: DataFrame, needed: list[str]) -> DataFrame:
-    """Jobs with all needed outputs there and not empty; files have job_id, name, length."""
-    good = files.where((F.col("length") > 0) & F.col("name").isin(*needed))
-    return good.groupBy("job_id").agg((F.countDistinct("name") == len(needed)).alias("valid"))
+def outputs_valid(jobs: DataFrame, files: DataFrame, needed: list[str]) -> DataFrame:
+    """Whether each job has all needed outputs, none of them empty; files have job_id, name, length."""
+    good = files.where((F.col("length") > 0) & F.col("name").isin(*needed)).groupBy("job_id").agg(F.countDistinct("name").alias("n"))
+    return jobs.select("job_id").join(good, "job_id", "left").select("job_id", (F.coalesce("n", F.lit(0)) == len(needed)).alias("valid"))
 
 
 def upload_errors(requests: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed as C
+from ..runtime import saved
 
 
 def claimable(queue: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
@@ -23,34 +27,69 @@ def claim_order(rows: DataFrame, n: int = 1) -> DataFrame:
     return rows.orderBy(F.desc("priority"), "created_at", "job_id").limit(n)
 
 
+#: Queued jobs that one worker counts, and strips of the queue, at most.
+STRIP_ROWS, STRIPS = 200_000, 256
+
+
+def dominated(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """For each point, the points with a smaller first value and a second one no larger, by
+    halving the ranks of the second: O(n log n) on arrays."""
+    order = np.argsort(first, kind="stable")
+    ranks = np.unique(second, return_inverse=True)[1][order].astype(np.int64)
+    high = np.searchsorted(first[order], first[order], "left")  # points before these count
+    low, found, mine = np.zeros_like(high), np.zeros_like(high), ranks
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        ones = (ranks >> bit) & 1
+        zeros = np.append(0, np.cumsum(1 - ones))
+        z_low, z_high = zeros[low], zeros[high]
+        up = ((mine >> bit) & 1) == 1
+        found += np.where(up, z_high - z_low, 0)
+        low, high = np.where(up, zeros[-1] + low - z_low, z_low), np.where(up, zeros[-1] + high - z_high, z_high)
+        ranks = np.concatenate([ranks[ones == 0], ranks[ones == 1]])
+    out = np.empty_like(found)
+    out[order] = found + high - low
+    return out
+
+
+def _counted(rows: DataFrame, strip: str, first: str, second: str) -> DataFrame:
+    """``dominated`` inside each strip."""
+
+    def run(table: pa.Table) -> pa.Table:
+        value = lambda c: table.column(c).cast(pa.int64()).to_numpy()
+        counts = dominated(value(first), value(second))
+        return pa.table([table.column("job_id"), pa.array(counts)], names=["job_id", "n"])
+
+    return rows.groupBy(strip).applyInArrow(run, T.StructType([rows.schema["job_id"], T.StructField("n", T.LongType())]))
+
+
 def queue_positions(queue: DataFrame) -> DataFrame:
     """One more than the queued jobs that are older and available no later; priority doesn't count.
 
-    Where all queued rows share one availability it is a rank; else a count of dominating
-    rows, which a merge by creation order gives: rows are bucketed by creation time, whole
-    earlier buckets are counted per distinct availability, the own bucket pair by pair."""
-    queued = queue.where("status = 'QUEUED'").select("job_id", "created_at", "available_at")
-    day = queued.withColumn("bucket", F.date_trunc("day", "created_at"))
-    per = day.groupBy("bucket", "available_at").agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy("available_at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    running = per.withColumn("upto", F.sum("n").over(total))
-    times = per.select(F.col("available_at").alias("t")).distinct()
-    # For each own bucket and time: rows of earlier buckets with exactly that availability.
-    need = day.select("bucket", "available_at").distinct().join(times, F.col("t") <= F.col("available_at"))
-    seen = running.select(F.col("available_at").alias("t"), F.col("bucket").alias("b"), "upto")
-    earlier = need.join(seen, "t").where("b < bucket").groupBy("bucket", "available_at", "t").agg(F.max("upto").alias("upto"))
-    earlier = earlier.groupBy("bucket", "available_at").agg(F.sum("upto").alias("earlier"))
-    mine, other = day.alias("m"), day.alias("o")
-    inside = mine.join(other, F.expr("m.bucket = o.bucket and o.created_at < m.created_at and o.available_at <= m.available_at"), "left")
-    inside = inside.groupBy("m.job_id", "m.bucket", "m.available_at").agg(F.count("o.job_id").alias("inside"))
-    rows = inside.join(earlier, ["bucket", "available_at"], "left")
-    return rows.select("job_id", (1 + F.coalesce("earlier", F.lit(0)) + F.col("inside")).alias("position"))
-
-
-def queue_positions_same_availability(queue: DataFrame) -> DataFrame:
-    """``queue_positions`` where all queued rows have one availability: a global rank."""
-    rank = F.rank().over(Window.orderBy("created_at"))
-    return queue.where("status = 'QUEUED'").select("job_id", rank.alias("position"))
+    The queue is cut into strips of equal size by age and by availability.  Jobs of one's
+    own strip by age are counted in it; those of older strips, in one's strip by
+    availability, or by whole cells of both, which are few.  Each job is in two tasks."""
+    queued = queue.where("status = 'QUEUED'").select("job_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("old"), F.unix_micros(F.col("available_at").cast("timestamp")).alias("due"))
+    queued = saved(queued)
+    n = queued.count()
+    strips = max(1, min(STRIPS, -(-n // STRIP_ROWS)))
+
+    def strip(column: str) -> Column:
+        if strips == 1:
+            return F.lit(0)
+        cuts = sorted(set(queued.approxQuantile(column, [k / strips for k in range(1, strips)], 0.1 / strips)))
+        return F.size(F.filter(F.array(*(F.lit(int(c)) for c in cuts)), lambda c: c < F.col(column)))
+
+    rows = saved(queued.withColumns({"by_age": strip("old"), "by_due": strip("due")}))
+    inside = _counted(rows, "by_age", "old", "due")
+    if strips == 1:
+        return inside.select("job_id", (1 + F.col("n")).alias("position"))
+    cells = rows.groupBy("by_age", "by_due").agg(F.count(F.lit(1)).alias("n"))
+    a, b = cells.alias("a"), cells.alias("b")
+    older = F.expr("b.by_age < a.by_age and b.by_due < a.by_due")
+    whole = a.join(F.broadcast(b), older, "left").groupBy("a.by_age", "a.by_due").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("whole"))  # STRIPS ** 2 rows at most
+    beside = _counted(rows, "by_due", "by_age", "due").withColumnRenamed("n", "beside")
+    out = rows.join(F.broadcast(whole), ["by_age", "by_due"]).join(inside, "job_id").join(beside, "job_id")
+    return out.select("job_id", (1 + F.col("n") + F.col("beside") + F.col("whole")).alias("position"))
 
 
 def unqueued(jobs: DataFrame, queue: DataFrame, active: list[str]) -> DataFrame:

@@ -5,9 +5,10 @@ Each adapter has a DataFrame form and the same construction as a DuckDB table ex
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import ids
 from ..sources.text import completed, line_blocks
 
@@ -37,13 +38,14 @@ def cut_lines(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
     rows = rows.select("doc_id", "line", "text", F.explode(n).alias("k"))
     piece, after = F.substring("text", F.col("k") * width + 1, F.lit(width)), F.substring("text", F.col("k") * width + width + 1, F.lit(1))
     hyphen = F.when(piece.rlike("[A-Za-z]$") & after.rlike("^[A-Za-z]"), "-").otherwise("")
-    rows = rows.select("doc_id", (F.col("line") * F.lit(100000).cast("long") + F.col("k")).alias("pos"), F.concat(piece, hyphen).alias("text"), "k")
+    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "k")) - 1
+    rows = rows.select("doc_id", pos.alias("pos"), F.concat(piece, hyphen).alias("text"), "k")
     return completed(rows.withColumns({"kind": F.lit("paragraph"), "markdown": F.col("text"), "block_id": ids.block_id(F.col("pos")), "page_no": F.col("k")}))
 
 
-CUT_LINES = f"""(select doc_id, pos * 100000 + k pos, k page_no, 'block_' || lpad(cast(pos * 100000 + k as varchar), cast(greatest(6, length(cast(pos * 100000 + k as varchar))) as int), '0') block_id,
+CUT_LINES = f"""(select doc_id, n pos, k page_no, 'block_' || lpad(cast(n as varchar), cast(greatest(6, length(cast(n as varchar))) as int), '0') block_id,
   p || case when regexp_matches(p, '[A-Za-z]$') and regexp_matches(a, '^[A-Za-z]') then '-' else '' end as text
-  from (select doc_id, pos, k, substr(text, k * 60 + 1, 60) p, substr(text, k * 60 + 61, 1) a from (select doc_id, pos, text, unnest(generate_series(0, cast(floor((length(text) - 1) / 60) as bigint))) k from {LINES})))"""
+  from (select doc_id, row_number() over (partition by doc_id order by pos, k) - 1 n, k, substr(text, k * 60 + 1, 60) p, substr(text, k * 60 + 61, 1) a from (select doc_id, pos, text, unnest(generate_series(0, cast(floor((length(text) - 1) / 60) as bigint))) k from {LINES})))"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +97,6 @@ METRICS = "(select l_orderkey job_id, case when l_suppkey % 4 <> 0 then l_partke
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the chunks of their order, numbered by (line, part, supplier)."""
-    from pyspark.sql import Window
-
     c = F.col
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
     rows = table(spark, sf_dir, "lineitem").withColumn("chunk_index", n)
@@ -128,8 +128,6 @@ RISKS = f"(select job_id, chunk_id, chunk_index, case (job_id + k) % 4 when 0 th
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of one document a customer: a title, and for each order a heading, a paragraph,
     a caption and a table of its items.  Which paragraph shows what goes by the key."""
-    from pyspark.sql import Window
-
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey").cast("string")
     row = F.concat(F.lit("| "), "l_partkey", F.lit(" | "), F.col("l_quantity").cast("long"), F.lit(" |"))
@@ -169,8 +167,6 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = (c("l_linenumber") * 90 + c("l_suppkey") % 37 - 60).cast("double")
     bbox = F.struct(left.alias("left"), top.alias("top"), (left + width).alias("right"), (top + 30.0).alias("bottom"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
     text = F.when(top <= 80, F.concat(F.lit("Running  head "), c("l_orderkey") % 2)).otherwise(F.concat(F.lit("item "), "l_partkey", F.lit(" "), "l_suppkey"))
-    from pyspark.sql import Window
-
     pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")) - 1
     rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("doc_id"), pos.cast("int").alias("pos"), text.alias("text"), text.alias("markdown"), F.lit("paragraph").alias("kind"), (c("l_suppkey") % 3 + 1).cast("int").alias("page_no"), bbox.alias("bbox"))
     return completed(rows.withColumn("block_id", ids.block_id(F.col("pos"))))
@@ -181,16 +177,14 @@ BOXES = """(select l_orderkey doc_id, row_number() over (partition by l_orderkey
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts and the text before them in the same source, as source and translation."""
-    from pyspark.sql import Window
-
+    """Texts and the text of the id before them, as source and translation."""
     d = table(spark, sf_dir, "documents")
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = d.select("doc_id", "source", F.col("text").alias("source_text"), before.alias("translated_text")).where("translated_text is not null")
+    before = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("translated_text"))
+    rows = d.select("doc_id", F.col("text").alias("source_text")).join(before, "doc_id").where("translated_text is not null")
     return rows.select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("TEXT").alias("chunk_type"), "source_text", "translated_text")
 
 
-PAIRS = "(select cast(doc_id as varchar) chunk_id, text source_text, b translated_text from (select doc_id, text, lag(text) over (partition by source order by doc_id) b from documents) where b is not null)"
+PAIRS = "(select cast(d.doc_id as varchar) chunk_id, d.text source_text, b.text translated_text from documents d join documents b on b.doc_id + 1 = d.doc_id where b.text is not null)"
 
 
 def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,3 +198,31 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAMAGED = f"(select doc_id || '-' || pos chunk_id, case when kind = 'table' then 'TABLE' when contains(markdown, '$') then 'FORMULA' else 'TEXT' end chunk_type, markdown source_text, case when pos % 2 = 0 then markdown when kind = 'table' then regexp_replace(markdown, '\\n[^\\n]*$', '') else replace(replace(markdown, '[1]', ''), '$', '') end translated_text from {MARKUP} where kind in ('paragraph', 'table'))"
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored versions of translated chunks: the translation, and a revision of revised ones."""
+    rows = chunks(spark, sf_dir).where("translated is not null").select("job_id", "chunk_id", "source_text", F.explode(F.sequence(F.lit(1).cast("long"), F.col("revision_count") + 1)).alias("version_no"))
+    kind = F.when(F.col("version_no") == 1, "LLM_TRANSLATION").otherwise("AUTO_REVISION")
+    return rows.select("job_id", "chunk_id", "version_no", kind.alias("source_type"), F.concat("source_text", F.lit(" v"), "version_no").alias("translated_text"))
+
+
+VERSIONS = f"(select job_id, chunk_id, version_no, case version_no when 1 then 'LLM_TRANSLATION' else 'AUTO_REVISION' end source_type, source_text || ' v' || version_no translated_text from (select job_id, chunk_id, source_text, unnest(generate_series(1, revision_count + 1)) version_no from {CHUNKS} where translated is not null))"
+
+
+def shown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as blocks with a parser's metadata: pictures, tables and formulas, some with an
+    asset, and captions that others refer to."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("picture", "table", "formula", "caption"))), (k % 4 + 1).cast("int"))
+    path = F.when((k % 4 != 3) & (k % 3 != 0), F.concat(F.lit("assets/"), k, F.lit(".png")))
+    # The block before a caption names it, and one that isn't there first.
+    refs = F.when(k % 4 == 2, F.array(F.lit("#/none"), F.concat(F.lit("#/texts/"), k + 1))).when(k % 4 == 0, F.array(F.lit(None).cast("string"), F.concat(F.lit("#/texts/"), k), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    own = F.when(k % 4 == 3, F.concat(F.lit("#/texts/"), k))
+    meta = F.from_json(F.lit("{}"), schemas.METADATA).withField("source_asset_path", path).withField("caption_refs", refs).withField("self_ref", own)
+    text = F.when(k % 8 != 0, F.col("p_name")).otherwise("")
+    rows = table(spark, sf_dir, "part").select(F.floor(k / 40).cast("long").alias("doc_id"), (k % 40).cast("int").alias("pos"), kind.alias("kind"), text.alias("text"), text.alias("markdown"), meta.alias("metadata"))
+    return completed(rows.withColumn("block_id", ids.block_id(F.col("pos"))))
+
+
+SHOWN = "(select p_partkey k, cast(p_partkey // 40 as bigint) doc_id, p_partkey % 40 pos, 'block_' || lpad(cast(p_partkey % 40 as varchar), 6, '0') block_id, case p_partkey % 4 when 0 then 'picture' when 1 then 'table' when 2 then 'formula' else 'caption' end kind, case when p_partkey % 8 <> 0 then p_name else '' end as text, case when p_partkey % 4 <> 3 and p_partkey % 3 <> 0 then 'assets/' || p_partkey || '.png' end path from part)"

@@ -10,7 +10,7 @@ from ..operators import layout as L
 from ..operators import models as M
 from ..operators import render as R
 from ..operators import structure as S
-from ..runtime import saved
+from ..runtime import saved, shared_dir
 from ..sources import text as T
 from . import adapters as A
 from .registry import query
@@ -130,15 +130,69 @@ _CHUNKS = f"""(select doc_id, min(pos) p, string_agg(markdown, chr(10) || chr(10
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.build_chunks(saved(A.markup(spark, sf_dir))).select("doc_id", "chunk_index", "chunk_type", "source_text")
 
+_SP = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_SPAN = "(?s)\\$\\$.*?\\$\\$|\\$[^$\\n]+\\$|\\\\\\(.*?\\\\\\)|\\\\\\[.*?\\\\\\]|\\[\\d+(?:\\s*[-,]\\s*\\d+)*\\]"
 
-@query()
+
+def _stripped(t: str) -> str:
+    return f"regexp_replace({t}, '^{_SP}+|{_SP}+$', '', 'g')"
+
+
+def _cut(t: str) -> str:
+    """Spans become a private-use character, a break one control character."""
+    return f"regexp_replace(regexp_replace(regexp_replace({t}, '{_SPAN}', chr(57344), 'g'), '([.!?。！？；;؟؛])[\\s\\x0b]+', '\\1' || chr(1), 'g'), '([。！？；])', '\\1' || chr(1), 'g')"
+
+
+def _sentences(rows: str, key: str) -> str:
+    """(key columns, n, sentence) of rows with a text."""
+    marks = "length({0}) - length(replace({0}, chr(57344), ''))"
+    return f"""(select {key}, n, array_to_string(list_transform(string_split(s, chr(57344)), lambda p, i: case when i = 1 then p else spans[used + i - 1] || p end), '') sentence from (
+  select *, coalesce(sum({marks.format('s')}) over (partition by {key} order by n rows between unbounded preceding and 1 preceding), 0)::bigint used from (
+   select {key}, spans, s, row_number() over (partition by {key} order by k) - 1 n from (
+    select {key}, spans, {_stripped('x')} s, k from (select {key}, regexp_extract_all(text, '{_SPAN}') spans, unnest(string_split({_cut('text')}, chr(1))) x, generate_subscripts(string_split({_cut('text')}, chr(1)), 1) k from {rows})) where s <> '')))"""
+
+
+_CJK = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}]"
+
+
+def _sizes(t: str) -> str:
+    return f"len(regexp_extract_all({t}, '{_CJK}')) cjk, length(regexp_replace({t}, '(?:{_CJK}|{_SP})+', '', 'g')) other"
+
+
+_TOK = "greatest(1, {0} + cast(ceil(({1}) / 4) as bigint))"
+_SOFT, _HARD, _LEAST = 150, 220, 40
+# Lines; those over the hard limit as pieces of whole sentences; drafts; drafts merged.
+_LINE_CHUNKS = f"""with recursive l as materialized (select *, {_TOK.format('cjk', 'other')} t from (select doc_id, pos, text, {_sizes('text')} from (select doc_id, pos, {_stripped('text')} as text from {A.LINES}))),
+ s as materialized (select *, {_sizes('sentence')}, max(n) over (partition by doc_id, pos) last from {_sentences(f"(select doc_id, pos, text from l where t > {_HARD})", 'doc_id, pos')}),
+ g(doc_id, pos, n, g, cjk, other) as (select doc_id, pos, n, 0, cjk, other from s where n = 0
+  union all select s.doc_id, s.pos, s.n, case when c then g.g + 1 else g.g end, case when c then s.cjk else g.cjk + s.cjk end, case when c then s.other else g.other + s.other end
+  from g join s on s.doc_id = g.doc_id and s.pos = g.pos and s.n = g.n + 1, lateral (select {_TOK.format('g.cjk + s.cjk', 'g.other + s.other')} > {_HARD} c)),
+ b as materialized (select doc_id, pos, g piece, {_stripped("string_agg(sentence || case when right(sentence, 1) in ('。', '！', '？', '；') then '' else ' ' end, '' order by n)")} as text from s join g using (doc_id, pos, n) where last > 0 group by 1, 2, 3
+  union all select doc_id, pos, 0, text from l where t <= {_HARD} or (doc_id, pos) in (select (doc_id, pos) from s where last = 0)),
+ p as materialized (select *, {_sizes('text')}, row_number() over (partition by doc_id order by pos, piece) n from b),
+ f(doc_id, n, draft, why, cjk, other) as (select doc_id, n, 0, null::varchar, cjk, other from p where n = 1
+  union all select p.doc_id, p.n, case when w is null then f.draft else f.draft + 1 end, w, case when w is null then f.cjk + p.cjk else p.cjk end, case when w is null then f.other + p.other else p.other end
+  from f join p on p.doc_id = f.doc_id and p.n = f.n + 1, lateral (select case when {_TOK.format('f.cjk + p.cjk', 'f.other + p.other')} > {_HARD} then 'TOKEN_HARD_LIMIT' when {_TOK.format('f.cjk + p.cjk', 'f.other + p.other')} > {_SOFT} then 'TOKEN_SOFT_LIMIT' end w)),
+ d as materialized (select f.doc_id, f.draft, string_agg(p.text, chr(10) || chr(10) order by f.n) as text, sum(p.cjk)::bigint cjk, sum(p.other)::bigint other from f join p using (doc_id, n) group by 1, 2),
+ r as (select doc_id, draft - 1 draft, why from f where why is not null),
+ m(doc_id, draft, k, cjk, other) as (select doc_id, draft, 0, cjk, other from d where draft = 0
+  union all select d.doc_id, d.draft, case when j then m.k else m.k + 1 end, case when j then m.cjk + d.cjk else d.cjk end, case when j then m.other + d.other else d.other end
+  from m join d on d.doc_id = m.doc_id and d.draft = m.draft + 1, lateral (select {_TOK.format('d.cjk', 'd.other')} < {_LEAST} and {_TOK.format('d.cjk', 'd.other')} + {_TOK.format('m.cjk', 'm.other')} <= {_SOFT} j)),
+ x as (select m.doc_id, m.k, string_agg(d.text, chr(10) || chr(10) order by d.draft) as text, arg_max(coalesce(r.why, 'END_OF_DOCUMENT'), d.draft) why from m join d using (doc_id, draft) left join r using (doc_id, draft) group by 1, 2)
+ select doc_id, k::bigint chunk_index, why boundary_reason, {_TOK.format('cjk', 'other')} tokens, sha256(text) sha256 from (select *, {_sizes('text')} from x)"""
+
+
+@query(_LINE_CHUNKS)
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full packing of lines under low limits: every closing reason and the merge fire."""
-    out = K.build_chunks(saved(A.lines(spark, sf_dir)), soft=150, hard=220, least=40)
+    out = K.build_chunks(saved(A.lines(spark, sf_dir)), soft=_SOFT, hard=_HARD, least=_LEAST)
     return out.select("doc_id", "chunk_index", "boundary_reason", "tokens", F.sha2("source_text", 256).alias("sha256"))
 
 
-@query()
+_SPLIT_ROWS = f"(select 0 kind, doc_id, pos, markdown as text from {A.MARKUP} where kind = 'paragraph' union all select 1, doc_id, pos, text from {A.LINES})"
+
+
+@query(f"select doc_id, pos, n, sentence from {_sentences(_SPLIT_ROWS, 'kind, doc_id, pos')}")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.markup(spark, sf_dir).where("kind = 'paragraph'").select("doc_id", "pos", F.col("markdown").alias("text")).unionByName(A.lines(spark, sf_dir).select("doc_id", "pos", "text"))
     return rows.select("doc_id", "pos", F.posexplode(K.split_sentences(F.col("text"))).alias("n", "sentence"))
@@ -257,9 +311,6 @@ def stream_event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_dir(spark: SparkSession) -> str:
-    import tempfile
     import uuid
 
-    found = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='codexloom-')}"
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -122,10 +122,9 @@ def boundary_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_pairs(spark, sf_dir).select("doc_id", "pos", F.round(X.boundary_score(F.col("text"), F.col("next")), 6).alias("score"))
 
 
-@query("""with e as (select vec_id, embedding v, lead(embedding) over (order by vec_id) w from embeddings)
- select vec_id, round(list_cosine_similarity(v::double[], w::double[]), 6) cosine from e where w is not null""")
+@query("""select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def embedding_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring vectors by id, found by an equality join (ids are dense)."""
+    """Vectors and those of the next id."""
     e = A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
     return e.join(after, "vec_id").select("vec_id", F.round(X.vector_cosine(F.col("embedding"), F.col("next")), 6).alias("cosine"))
@@ -243,14 +242,12 @@ def escape_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.documents(spark, sf_dir).select("doc_id", X.escape_markdown(F.col("text")).alias("cell"), X.escape_html(F.col("text")).alias("safe"))
 
 
-@query("""with b as (select source job_id, string_agg(text, chr(10) || chr(10) order by doc_id) t from documents group by 1)
- select job_id, k::bigint batch, substr(t, k * 12000 + 1, 12000) as text from (select *, unnest(generate_series(0, cast(floor((length(t) - 1) / 12000) as bigint))) k from b)""")
+@query("""select doc_id job_id, k::bigint batch, substr(text, k * 12000 + 1, 12000) as text from (select doc_id, text, unnest(generate_series(0, cast(floor((greatest(length(text), 1) - 1) / 12000) as bigint))) k from documents where text is not null)""")
 def term_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document a job: the batches of its text."""
     from ..operators.metrics import term_batches as cut
 
-    d = A.table(spark, sf_dir, "documents")
-    joined = d.groupBy(F.col("source").alias("job_id")).agg(R.ordered_join("source", F.col("doc_id"), F.col("text"), "\n\n").alias("text"))
-    return cut(joined)
+    return cut(A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), "text"))
 
 
 @query(f"""with w as (select source job_id, doc_id, unnest(x) w, generate_subscripts(x, 1) p from (select source, doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') x from documents)),
