@@ -241,18 +241,30 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.text_blocks(d).select("doc_id", "pos", "text")
 
 
-@query(f"""with c as (select doc_id, block_id, r, unnest(string_split(trim(l, '|'), '|')) c, generate_subscripts(string_split(trim(l, '|'), '|'), 1) j from (select doc_id, block_id, "row" r, l from {_ROWS})),
+_TABLE_HTML = f"""with c as (select doc_id, block_id, r, unnest(string_split(trim(l, '|'), '|')) c, generate_subscripts(string_split(trim(l, '|'), '|'), 1) j from (select doc_id, block_id, "row" r, l from {_ROWS})),
  s as (select doc_id, block_id, r, j, replace(replace(replace(trim(c), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') x from c),
  t as (select doc_id, block_id, r, string_agg(case when r = 0 then '<th>' || x || '</th>' else '<td>' || x || '</td>' end, '' order by j) h from s group by 1, 2, 3),
  f as (select doc_id, block_id, count(*) filter (x <> '') n, count(*) filter (regexp_matches(x, '@[a-z.]+')) m, string_agg('<div class="author-card">' || x || '</div>', '' order by r, j) filter (x <> '') cards from s group by 1, 2)
  select doc_id, block_id, case when m >= 2 and n <= 16 then '<div class="author-grid">' || cards || '</div>' else '<div class="table-wrap"><table><thead><tr>' || string_agg(h, '' order by r) filter (r = 0) || '</tr></thead><tbody>' || coalesce(string_agg('<tr>' || h || '</tr>', '' order by r) filter (r > 0), '') || '</tbody></table></div>' end html
- from t join f using (doc_id, block_id) group by doc_id, block_id, m, n, cards""")
+ from t join f using (doc_id, block_id) group by doc_id, block_id, m, n, cards"""
+
+
+@query(_TABLE_HTML)
 def table_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.markup(spark, sf_dir).where("kind = 'table'")
     return rows.select("doc_id", "block_id", R.table_html(F.col("markdown")).alias("html"))
 
 
-@query()
+_SAFE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_TITLE = "regexp_extract(p, '^#+[ ]+([^\\n]+)$', 1)"
+_LEVEL = "length(regexp_extract(p, '^(#+)', 1))"
+_PART = f"""case when regexp_matches(p, '^#{{1,6}}[ ]+[^\\n]+$') then '<h' || {_LEVEL} || '>' || {_SAFE.format(_TITLE)} || '</h' || {_LEVEL} || '>'
+ else '<p>' || replace(regexp_replace({_SAFE.format('p')}, '\\$([^$\\n]+)\\$', '<code class="inline-math">\\1</code>', 'g'), chr(10), '<br>') || '</p>' end"""
+
+
+@query(f"""with h as ({_TABLE_HTML}), n as (select *, row_number() over (partition by doc_id order by p) - 1 chunk_index from {_CHUNKS})
+ select n.doc_id, chunk_index, case chunk_type when 'TABLE' then h.html else array_to_string(list_transform(string_split(source_text, chr(10) || chr(10)), lambda p: {_PART}), chr(10)) end html
+ from n left join h on h.doc_id = n.doc_id and n.chunk_type = 'TABLE' and h.block_id = 'block_' || lpad(cast(n.p as varchar), 6, '0')""")
 def chunk_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = K.build_chunks(saved(A.markup(spark, sf_dir)))
     return c.select("doc_id", "chunk_index", R.chunk_html(F.col("chunk_type"), F.col("source_text"), F.lit(None).cast("string")).alias("html"))
@@ -279,20 +291,26 @@ def ir_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.ir_blocks(docs).select("doc_id", "pos", F.array_join("metadata.section_path", " / ").alias("path"))
 
 
-@query()
+@query(f"select job_id, chunk_index::bigint chunk_index, case when protected or chunk_type in ('FORMULA', 'PICTURE', 'CODE') then source_text else '[zh] ' || source_text end translated_text from {A.CHUNKS}")
 def translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model stage with a deterministic client; its output is no translation."""
     return M.translate(A.chunks(spark, sf_dir), M.EchoClient)
 
 
-@query()
+@query("""with b as (select doc_id job_id, k batch, substr(text, k * 12000 + 1, 12000) as text from (select doc_id, text, unnest(generate_series(0, cast(floor((greatest(length(text), 1) - 1) / 12000) as bigint))) k from documents where text is not null)),
+ w as (select job_id, batch, w, min(p) p from (select job_id, batch, unnest(x) w, generate_subscripts(x, 1) p from (select job_id, batch, regexp_extract_all(text, '\\S+') x from b)) where regexp_matches(w, '^\\p{Lu}') and length(w) > 3 group by 1, 2, 3),
+ n as (select *, row_number() over (partition by job_id, batch order by p) - 1 nth from w)
+ select job_id, batch::bigint batch, nth, w source_term, upper(replace(w, 'ß', 'ss')) suggested from n where nth < 5""")
 def extract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .texts import term_batches
 
     return M.extract_terms(term_batches(spark, sf_dir), M.EchoClient)
 
 
-@query()
+@query(f"""with recursive c as materialized (select job_id, chunk_index, source_text from {A.CHUNKS}),
+ f(job_id, chunk_index, summary) as (select job_id, chunk_index, '|' || left(source_text, 20) from c where chunk_index = 0
+  union all select c.job_id, c.chunk_index, right(f.summary, 40) || '|' || left(c.source_text, 20) from f join c on c.job_id = f.job_id and c.chunk_index = f.chunk_index + 1)
+ select job_id, chunk_index::bigint chunk_index, summary from f""")
 def carried_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.events import carried_context as carried
 
