@@ -1,6 +1,7 @@
 """Calls of a language model: one client a partition, retries, routing, and stages on top.
 
-A client is any object with ``chat(task, payload) -> str``; ``make`` builds it on the
+A client is any object with ``chat(task, payload) -> str`` that several threads may call;
+``make`` builds it (or a list of them, the later ones for when the first is down) on the
 executor.  Rows that need no call are split off before, since a filter isn't pushed
 through a Python function."""
 
@@ -9,13 +10,18 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .quality import protected
+from .quality import profile, protected
+
+#: Calls of a partition that wait for an answer at the same time.
+CALLS = 8
 
 
 class Client(Protocol):
@@ -64,7 +70,7 @@ class EchoClient:
     """A deterministic stand-in for tests; what it returns is no translation."""
 
     def chat(self, task: str, payload: dict) -> str:
-        text = payload.get("text", "")
+        text = payload.get("text") or payload.get("sourceChunk") or payload.get("source") or ""
         if task == "terms":
             words = [w for w in dict.fromkeys(text.split()) if w[:1].isupper() and len(w) > 3]
             return json.dumps({"terms": [{"sourceTerm": w, "suggestedTranslation": w.upper(), "note": None} for w in words[:5]]})
@@ -76,62 +82,135 @@ class EchoClient:
             return text[:60]
         if task == "boundary":
             return json.dumps({"decision": "UNCERTAIN", "confidence": 0.0})
-        return f"[{payload.get('language', 'zh')}] {text}"
+        return f"[{payload.get('targetLanguage', 'zh')}] {text}"
+
+
+Make = Callable[[], "Client | list[Client]"]
 
 
-def ask(rows: DataFrame, task: str, make: Callable[[], Client], text_col: str, key_cols: list[str], language: str = "zh") -> DataFrame:
-    """Adds ``answer`` and ``elapsed_ms`` to the key columns, one call a row."""
+def _asker(make: Make) -> Callable[[str, dict], str]:
+    """A call to the first endpoint that answers; ``make`` gives one client or several."""
+    made = make()
+    clients = made if isinstance(made, list) else [made]
+    return lambda task, payload: fail_over([lambda c=c: c.chat(task, payload) for c in clients])
+
+
+def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[str]) -> DataFrame:
+    """Adds ``answer`` and ``elapsed_ms`` to the key columns: one call a row, ``CALLS`` at a
+    time in a partition.  The payload is a struct; a row without one (null) calls nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = make()
-        for batch in batches:
-            answers, took = [], []
-            for text in batch.column(text_col).to_pylist():
-                began = time.monotonic()
-                answers.append(with_retries(lambda t=text: client.chat(task, {"text": t or "", "language": language})) if text else None)
-                took.append(int((time.monotonic() - began) * 1000))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key_cols), pa.array(answers, pa.string()), pa.array(took, pa.int64())], names=[*key_cols, "answer", "elapsed_ms"])
-
-    picked = rows.select(*key_cols, *([] if text_col in key_cols else [text_col]))
+        call = _asker(make)
+
+        def one(text: str | None) -> tuple[str | None, int]:
+            began = time.monotonic()
+            return (call(task, json.loads(text)) if text else None), int((time.monotonic() - began) * 1000)
+
+        with ThreadPoolExecutor(CALLS) as pool:
+            for batch in batches:
+                found = list(pool.map(one, batch.column("md_payload").to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key_cols), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=[*key_cols, "answer", "elapsed_ms"])
+
+    picked = rows.select(*key_cols, F.to_json(payload, {"ignoreNullFields": "false"}).alias("md_payload"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in key_cols)
     return picked.mapInArrow(run, f"{fields}, answer string, elapsed_ms long")
 
 
-def translate(chunks: DataFrame, make: Callable[[], Client], language: str = "zh") -> DataFrame:
-    """Chunks (job_id, chunk_index, chunk_type, source_text, protected) with translated_text;
-    protected ones keep their source and call nothing."""
+_KEY = ["job_id", "chunk_index"]
+
+
+def _has(rows: DataFrame, name: str, default: Column) -> Column:
+    return F.coalesce(name, default) if name in rows.columns else default
+
+
+def translation_payload(chunks: DataFrame, language: str = "zh", kind: Column | None = None) -> Column:
+    """What a translation is asked with: the text, and of the terms, summaries, memory and
+    style those that the chunks have as columns."""
+    blank = F.lit("")
+    terms = F.create_map().cast("map<string,string>")
+    return F.struct(
+        _has(chunks, "glossary", terms).alias("confirmedTerms"),
+        _has(chunks, "section_summary", blank).alias("sectionSummary"),
+        _has(chunks, "previous_summary", blank).alias("previousChunkSummary"),
+        F.col("source_text").alias("sourceChunk"),
+        _has(chunks, "story_memory", F.lit("{}")).alias("storyMemory"),
+        (profile(F.col("chunk_type"), F.col("source_text")) if kind is None else kind).alias("translationProfile"),
+        F.lit(language).alias("targetLanguage"),
+        _has(chunks, "style_prompt", blank).alias("stylePrompt"),
+    )
+
+
+def translate(chunks: DataFrame, make: Make, language: str = "zh") -> DataFrame:
+    """Chunks (job_id, chunk_index, chunk_type, source_text, protected and what else
+    ``translation_payload`` reads) with translated_text; protected ones keep their source
+    and call nothing."""
     rows = chunks.withColumn("keep", protected(F.col("chunk_type"), F.col("source_text"), F.col("protected")))
-    key = ["job_id", "chunk_index"]
-    kept = rows.where("keep").select(*key, F.col("source_text").alias("translated_text"))
-    asked = ask(rows.where("not keep"), "translation", make, "source_text", key, language).select(*key, F.col("answer").alias("translated_text"))
-    return kept.unionByName(asked)
+    kept = rows.where("keep").select(*_KEY, F.col("source_text").alias("translated_text"))
+    asked = ask(rows.where("not keep"), "translation", make, translation_payload(chunks, language), _KEY)
+    return kept.unionByName(asked.select(*_KEY, F.col("answer").alias("translated_text")))
+
+
+def summarised(chunks: DataFrame, make: Make) -> DataFrame:
+    """(job_id, chunk_index, summary) of translated chunks."""
+    rows = chunks.where("translated_text <> ''")
+    answers = ask(rows, "summary", make, F.struct(F.col("translated_text").alias("text")), _KEY)
+    return answers.select(*_KEY, F.col("answer").alias("summary"))
+
 
+def previewed(jobs: DataFrame, samples: DataFrame, previews: DataFrame, make: Make, language: str = "zh") -> DataFrame:
+    """New attempts of previews (job_id, attempt_no, source_text, translated_text, style_prompt,
+    status) for jobs that wait for a style: samples have job_id, sample and style_prompt."""
+    wanted = jobs.where("status = 'WAITING_STYLE_REVIEW'").select("job_id").join(samples.where("sample <> ''"), "job_id")
+    rows = wanted.select("job_id", F.col("sample").alias("source_text"), F.trim("style_prompt").alias("style_prompt"))
+    answers = ask(rows, "translation", make, translation_payload(rows, language, F.lit("preview")), ["job_id", "source_text", "style_prompt"])
+    highest = previews.groupBy("job_id").agg(F.max("attempt_no").alias("last"))
+    out = answers.join(highest, "job_id", "left")
+    return out.select("job_id", (F.coalesce("last", F.lit(0)) + 1).alias("attempt_no"), "source_text", F.col("answer").alias("translated_text"), "style_prompt", F.lit("DRAFT").alias("status"))
 
-def extract_terms(batches: DataFrame, make: Callable[[], Client]) -> DataFrame:
+
+def extract_terms(batches: DataFrame, make: Make) -> DataFrame:
     """Suggestions (job_id, batch, nth, source_term, suggested) of text batches."""
-    answers = ask(batches, "terms", make, "text", ["job_id", "batch"])
+    answers = ask(batches.where("text <> ''"), "terms", make, F.struct("text"), ["job_id", "batch"])
     parsed = F.from_json("answer", "terms array<struct<sourceTerm:string,suggestedTranslation:string,note:string>>", {"mode": "FAILFAST"})
     rows = answers.select("job_id", "batch", F.posexplode(parsed["terms"]).alias("nth", "t"))
     return rows.select("job_id", "batch", "nth", F.col("t.sourceTerm").alias("source_term"), F.col("t.suggestedTranslation").alias("suggested"))
 
 
-def check_quality(chunks: DataFrame, make: Callable[[], Client]) -> DataFrame:
-    """Issues (job_id, chunk_index, type, message, severity) that a model reports."""
-    answers = ask(chunks, "quality", make, "translated_text", ["job_id", "chunk_index"])
-    parsed = F.from_json("answer", "issues array<struct<type:string,message:string,severity:string>>", {"mode": "FAILFAST"})
-    return answers.select("job_id", "chunk_index", F.inline(parsed["issues"]))
-
-
-def revise_once(chunks: DataFrame, high: DataFrame, make: Callable[[], Client]) -> DataFrame:
-    """Chunks with a finding of high severity get one new text; others keep theirs."""
-    key = ["job_id", "chunk_index"]
-    flagged = chunks.join(high.select(*key).distinct(), key, "left_semi")
-    new = ask(flagged, "revision", make, "source_text", key).select(*key, F.col("answer").alias("revised"))
-    rows = chunks.join(new, key, "left")
-    return rows.withColumns({"translated_text": F.coalesce("revised", "translated_text"), "revision_count": F.col("revised").isNotNull().cast("int")}).drop("revised")
+def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
+    """Translated chunks (job_id, chunk_index, source_text, translated_text, glossary) after
+    the check of a model: while it finds issues of high severity, and ``attempts`` times at
+    most, the text is revised by them and checked again.  Adds the revisions made
+    (revision_count), the checks (checks) and the issues of the last one."""
+    issue = T.StructType([T.StructField(n, T.StringType()) for n in ("type", "message", "severity")])
+    terms = _has(chunks, "glossary", F.create_map().cast("map<string,string>"))
+    picked = chunks.where("translated_text <> ''").select(*_KEY, "source_text", "translated_text", F.to_json(terms).alias("terms"))
+    schema = T.StructType([*(picked.schema[k] for k in _KEY), *(T.StructField(n, t) for n, t in (("translated_text", T.StringType()), ("revision_count", T.LongType()), ("checks", T.LongType()), ("issues", T.ArrayType(issue))))])
 
-
-def story_entities(chunks: DataFrame, make: Callable[[], Client]) -> DataFrame:
-    answers = ask(chunks, "memory", make, "source_text", ["job_id", "chunk_index"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = _asker(make)
+
+        def one(row: tuple[str, str, str]) -> tuple[str, int, int, list[dict]]:
+            source, text, known = row
+            for done in range(attempts + 1):
+                found = json.loads(call("quality", {"source": source, "translation": text}))["issues"]
+                high = [i for i in found if str(i.get("severity", "")).upper() == "HIGH"]
+                if not high or done == attempts:
+                    return text, done, done + 1, [{n: i.get(n) for n in ("type", "message", "severity")} for i in found]
+                text = call("revision", {"source": source, "translation": text, "issues": high, "confirmedTerms": json.loads(known)})
+            raise AssertionError
+
+        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("type", "message", "severity")]))
+        with ThreadPoolExecutor(CALLS) as pool:
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("source_text", "translated_text", "terms")), strict=True)
+                out = list(zip(*pool.map(one, rows), strict=True)) or [[]] * 4
+                columns = [pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int64(), kind), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), *columns], names=schema.names)
+
+    return picked.mapInArrow(run, schema)
+
+
+def story_entities(chunks: DataFrame, make: Make) -> DataFrame:
+    answers = ask(chunks, "memory", make, F.struct(F.col("source_text").alias("source"), F.col("translated_text").alias("translation")), _KEY)
     parsed = F.from_json("answer", "entities array<struct<entityType:string,sourceName:string,translatedName:string,note:string>>", {"mode": "FAILFAST"})
     return answers.select("job_id", "chunk_index", F.posexplode(parsed["entities"]).alias("nth", "e")).select("job_id", "chunk_index", "nth", "e.*")

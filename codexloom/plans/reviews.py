@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as C
 from ..functions import text as X
 from ..operators import metrics as M
+from ..operators import models as L
 from ..operators import quality as Y
 from ..operators import queue as Q
 from ..operators import render as R
@@ -223,6 +224,44 @@ def picture_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", R.picture_html(F.col("text"), F.col("metadata.source_asset_path")).alias("html"))
 
 
+class _Strict:
+    """A model that finds an issue in every text that doesn't begin with a blank, and mends it
+    with the first of the known terms."""
+
+    def chat(self, task: str, payload: dict) -> str:
+        import json
+
+        if task == "quality":
+            bad = not payload["translation"].startswith(" ")
+            return json.dumps({"issues": [{"type": "OMISSION", "message": "m", "severity": "high"}] * bad})
+        return f" {payload['translation']}{len(payload['issues'])}{min(payload['confirmedTerms'], default='')}"
+
+
+@query(f"""select c.job_id, chunk_index::bigint chunk_index, case when chunk_index % 2 = 0 then ' ' || source_text else ' ' || source_text || '1' || coalesce(t, '') end translated_text, (chunk_index % 2)::bigint revision_count, (1 + chunk_index % 2)::bigint checks, 0::bigint issues
+ from {A.CHUNKS} c left join (select job_id, min(source_text) t from {A.CHUNKS} where status = 'COMPLETED' group by 1) using (job_id)""")
+def bounded_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other chunk has an issue, is revised once by it and the job's terms, and checked again."""
+    c = A.chunks(spark, sf_dir)
+    terms = M.glossary(c.select("job_id", F.col("source_text").alias("source_term"), F.col("section").alias("confirmed_translation"), (F.col("status") == "COMPLETED").alias("confirmed")))
+    text = F.when(F.col("chunk_index") % 2 == 0, F.concat(F.lit(" "), "source_text")).otherwise(F.col("source_text"))
+    rows = V.with_terms(c.select("job_id", "chunk_index", "source_text", text.alias("translated_text")), terms)
+    return L.revised(rows, _Strict).withColumn("issues", F.size("issues").cast("long"))
+
+
+@query(f"""select j.job_id, n + 1 attempt_no, s source_text, '[zh] ' || s translated_text, 'plain' style_prompt, 'DRAFT' status from {A.JOBS} j
+ join (select job_id, max(chunk_index)::bigint n, left(string_agg(source_text, chr(10) || chr(10) order by chunk_index) filter (k <= 2 and chunk_type = 'TEXT' and not protected), 3500) s
+  from (select *, row_number() over (partition by job_id, chunk_type = 'TEXT' and not protected order by chunk_index) k from {A.CHUNKS}) group by 1) c on c.job_id = j.job_id where status = 'WAITING_STYLE_REVIEW' and s is not null""")
+def style_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.chunks(spark, sf_dir)
+    samples = M.preview_sample(c).withColumn("style_prompt", F.lit(" plain "))
+    return L.previewed(A.jobs(spark, sf_dir), samples, c.select("job_id", F.col("chunk_index").alias("attempt_no")), L.EchoClient)
+
+
+@query(f"select job_id, chunk_index::bigint chunk_index, left(translated, 60) summary from {A.CHUNKS} where translated is not null")
+def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.summarised(_translated(spark, sf_dir), L.EchoClient)
+
+
 _LABELS = ("title", "section_header", "text", "list_item", "table", "formula", "page_footer", "chart")
 
 
