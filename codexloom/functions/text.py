@@ -38,8 +38,12 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Lower case, with sharp s as ss (other multi-character foldings stay)."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: upper and then lower case undoes sharp s and ligatures; a final
+    sigma is a sigma, and a dotless i stays."""
+    # The mark stands for a dotless i; what takes it back also parts upper from lower, which
+    # the optimizer would make one.
+    upper = F.translate(F.upper(F.translate(text, "\u0131", "\ue131")), "\ue131", "\u0131")
+    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
 
 
 def normal_form(text: Column) -> Column:
@@ -117,21 +121,18 @@ def vector_cosine(a: Column, b: Column) -> Column:
 def detect_language(text: Column) -> Column:
     """Script counts first, then marker words; ties go to the earlier language."""
     head = F.substring(text, 1, 20_000)
+    named = lambda codes, counts: F.element_at(F.array(*(F.lit(c) for c in codes)), F.array_position(counts, F.array_max(counts)).cast("int"))
+    times = lambda t, m: (F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))) / len(m)
 
-    def best(scores: dict[str, Column]) -> Column:
-        top = F.greatest(*scores.values())
-        return F.coalesce(*(F.when(n == top, F.lit(code)) for code, n in scores.items()))
+    # Each list of counts is made once, and the words are counted only where scripts don't tell.
+    def by_words(t: Column) -> Column:
+        counts = lambda padded: F.array(*(sum((times(padded, m) for m in ms), F.lit(0)) for ms in C.MARKERS.values()))
+        padded = F.concat(F.lit(" "), casefold(t), F.lit(" "))
+        return let(padded, lambda p: let(counts(p), lambda n: F.when(F.array_max(n) > 0, named(C.MARKERS, n)).otherwise(F.lit("en"))))
 
     def decide(t: Column) -> Column:
-        scripts = {code: matches(t, pattern) for code, pattern in C.SCRIPTS.items()}
-        padded = F.concat(F.lit(" "), casefold(t), F.lit(" "))
-        words = {code: sum((matches(padded, m) for m in markers), F.lit(0)) for code, markers in C.MARKERS.items()}
-        return (
-            F.when(F.greatest(*scripts.values()) >= 4, best(scripts))
-            .when(matches(t, C.HAN) >= 8, F.lit("zh"))
-            .when(F.greatest(*words.values()) > 0, best(words))
-            .otherwise(F.lit("en"))
-        )
+        scripts = F.array(*(matches(t, p) for p in C.SCRIPTS.values()))
+        return let(scripts, lambda n: F.when(F.array_max(n) >= 4, named(C.SCRIPTS, n)).when(matches(t, C.HAN) >= 8, F.lit("zh")).otherwise(by_words(t)))
 
     return let(head, decide)
 

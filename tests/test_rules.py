@@ -37,6 +37,12 @@ def box(left, top, width=210.0, height=20.0):
     return (float(left), float(top), float(left + width), float(top + height), 600.0, 800.0)
 
 
+def test_casefold_as_the_unicode_tables_have_it(spark):
+    words = ["Straße", "STRASSE", "ﬁn", "ΣΊΣΥΦΟΣ", "ὈΔΥΣΣΕΎΣ", "ıİ", "ŉ", "Éa", "plain", "", "ǅ", "µ", "ſ"]
+    rows = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "n int, w string")
+    assert [r["x"] for r in rows.orderBy("n").select(X.casefold(F.col("w")).alias("x")).collect()] == [w.casefold() for w in words]
+
+
 def test_token_estimate(spark):
     for text in ("", "a", "abcd efgh", "中文 abc", "x\u00a0y\u3000z" * 9):
         cjk = sum("\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff" for c in text)
