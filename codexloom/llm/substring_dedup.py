@@ -8,7 +8,7 @@ an anchor gets a hash, windows with two places or more survive, and neighbouring
 survivors are one maximal exact repeat.  No pairs of places are made, so a passage
 that many documents share costs one entry a place.
 
-Data flow.  Texts are dealt once into batches (hash of the id) and that exchange is
+Data flow.  Texts are dealt once into batches (hash of id and text) and that exchange is
 read three times.  Both exchanges of hashes carry, per batch and hash bucket, one
 sorted array of distinct hashes, 4 bytes an anchor probe and 8 bytes a window; the
 answer is one bit for each.  A hash that is frequent in a batch is sent once.
@@ -16,8 +16,6 @@ answer is one bit for each.  A hash that is frequent in a batch is sent once.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -164,13 +162,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Words are runs without white space, unchanged.  A word goes if a window of ``window``
     words covers it whose sequence also starts at any other place of the input.  Null and
     empty texts have no words and keep the empty string; texts shorter than the window
-    keep all; rows that repeat an id or a text each count as a place; rows with a null
-    id are handled like others.  Equality is that of 64-bit hashes of whole windows.
+    keep all; very long ones are read whole; rows that repeat an id or a text each count
+    as a place; rows with a null id are handled like others; an empty table stays empty;
+    other columns are left out.  Equality is that of 64-bit hashes of whole windows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     batches, buckets = 1 + total // BATCH_CHARS, 1 + total // BUCKET_CHARS
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(batches)))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(batches)))
     id_type = rows.schema["id"].dataType
 
     def probe(key, group):
@@ -227,7 +226,3 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("repeats", span)])
     return grouped.cogroup(told.groupBy("batch")).applyInArrow(finish, schema).withColumnRenamed("id", id_col)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
