@@ -29,7 +29,7 @@ SAMPLE_ROWS = 2_000
 #: the shorter of them first.
 PLAIN_CHARS = 4_000
 PENALTY = 0.0001
-SWAP_WEIGHT = 5.0
+SWAP_WEIGHT = 20.0
 #: Features that a model chooses among, at most, and the least z-score of one.
 FEATURES = 4_000
 LEAST_SCORE = 3.0

@@ -566,6 +566,29 @@ def test_toxicity_ignores_stems_of_identity_terms():
         assert max(neutral) < 0.3 and toxic > 0.7
 
 
+def test_toxicity_scores_hardly_change_under_swaps():
+    """A term in most of the toxic and few of the neutral texts, a planted word in half of the toxic ones."""
+    import numpy as np
+
+    for term in ("refugee", "muslim", "gay"):
+        for share in (0.6, 0.9):
+            rng, texts, marks = random.Random(1), [], []
+            for n in range(600):
+                words = [rng.choice(WORDS) for _ in range(12)]
+                if n % 4 == 0 and rng.random() < 0.5:
+                    words[3] = "vermin"
+                if rng.random() < (share if n % 4 == 0 else 0.05):
+                    words[5] = term
+                texts.append(" ".join(words) + ".")
+                marks.append(n % 4 == 0)
+            model = ToxicityModel(texts, np.array(marks, float))
+            frames = ("the {} came home", "w1 w2 w3 {} w5", "{}")
+            for frame in frames:
+                scores = model.scores(pa.array([frame.format(x) for x in (term, "person", "women", "")]))
+                assert scores.max() - scores.min() < 0.05 and scores.max() < 0.5
+            assert model.scores(pa.array(["vermin"]))[0] > 0.7
+
+
 def test_swaps_are_differences_of_all_features():
     import numpy as np
 
