@@ -1,8 +1,9 @@
 """Near-duplicate groups by a chosen-path set similarity join.
 
 A document's set is its distinct word shingles.  Equal sets are one point.  Each of
-``TREES`` independent trees puts every point into nodes that are named by the path of
-minwise tokens chosen so far.  A node is settled as follows.
+``TREES`` independent trees puts every point into root nodes, each named by the minwise
+tokens of ``ROOT_TOKENS`` coordinates, and then into nodes that are named by the path of
+tokens chosen so far.  A node is settled as follows.
 
 * A node whose points are all in one component already is closed.
 * A node of at most ``LEAF`` points is compared exhaustively, in one worker: first
@@ -12,23 +13,22 @@ minwise tokens chosen so far.  A node is settled as follows.
   into parts of that component, each compared with all the points outside.
 * Any other node is branched: a child takes the minwise tokens of up to ``MOST_TOKENS``
   further coordinates at once, and a node has so many children for a point that one of
-  them is expected to keep a similar pair.  (If the tokens of all its points are equal, it
-  is compared in all pairs of its parts.)  In the first trees such a node is also dealt
-  into parts of ``LEAF`` points, with two points of the node in every part, and these are
-  compared first; a group of copies that fills a node is then mostly one component.
+  them is expected to keep a similar pair (``fan``).  (If the tokens of all its points are
+  equal, it is compared in all pairs of its parts.)  In the first trees such a node is also
+  dealt into parts of ``LEAF`` points, with two points of the node in every part, and these
+  are compared first; a group of copies that fills a node is then mostly one component.
 
 Comparisons return which components meet, a spanning forest for each node, and never
 their pairs, so what is written grows with the points of a group and not with its square.
 The trees go on until no node is open: there is no cap on the size of a node, a group or
 a bucket, and nodes of long texts are compared in pairs of blocks of ``ROOM`` shingles.
 
-Recall.  A pair at J = 0.75 is together at the root of a tree with probability 0.75, and
-in the children of a level with 0.78 of that or more.  All 12 trees miss it with probability
-6e-8 at the root and 3e-5 one level on.  Points that were in large nodes at deeper levels,
-as documents that share a passage are, get further trees until a pair of them is missed
-with ``MISSED`` at most at the deepest level that they reached, taking the trees as
-independent; beyond 64 trees the root coordinates repeat.  Pairs of higher similarity are
-missed less often.
+Recall.  A pair at J = 0.75 is together in a root of a tree with probability 0.80, and
+with 0.78 of that or more in the children of each level below.  All 8 trees miss it with
+probability 2e-6 at the root.  Points that were in nodes that had to be branched, as
+documents that share a passage are, get further trees until a pair of them is missed with
+``MISSED`` at most at the deepest level that they reached (11 trees one level down, 18 two),
+taking the trees as independent.  Pairs of higher similarity are missed less often.
 """
 
 from __future__ import annotations
@@ -47,15 +47,17 @@ from ._shared import Stage, small
 
 SHINGLE = 5
 PERCENT = 75
-TREES = 12
+TREES = 8
+#: Tokens that name a root.
+ROOT_TOKENS = 3
 #: Trees that come first; the others begin when these have joined the large groups, so
 #: that a group of copies is carried through few trees.
 FIRST_TREES = 2
 #: Probability with which all trees may miss a pair at the threshold.
 MISSED = 3e-5
 COORDINATES = 64
-#: Points of a node that one worker compares.
-LEAF = 192
+#: Points of a node that one worker compares: 131,000 pairs of sketches at most.
+LEAF = 512
 #: Tokens that a branch takes at once, at most.
 MOST_TOKENS = 6
 #: Shingles of the sets that one worker holds for a comparison (a longer text alone is a block).
@@ -249,13 +251,30 @@ def _comparer(percent: int):
     return compare
 
 
-def _roots(points: DataFrame, trees: range) -> DataFrame:
+def kept_together(tokens: int, children: int, similarity: float) -> float:
+    """Probability that a pair is in one of the children that take so many tokens each."""
+    return 1 - (1 - similarity**tokens) ** children
+
+
+def fan(tokens: int, similarity: float) -> int:
+    """Children of a node that take so many tokens each."""
+    return math.ceil(1.25 * similarity**-tokens)
+
+
+def _roots(points: DataFrame, trees: range, similarity: float) -> DataFrame:
     """Root nodes of the trees, for each point those below its ``trees`` if it has such."""
-    paths = [F.xxhash64(F.lit(tree), F.substring("tokens", 4 * (tree % COORDINATES) + 1, 4)) for tree in trees]
-    if "trees" in points.columns:
-        paths = [F.when(F.col("trees") > tree, path) for tree, path in zip(trees, paths, strict=True)]
+    n = fan(ROOT_TOKENS, similarity)
+    rng = np.random.default_rng(64)
+    picks = [rng.choice(COORDINATES, ROOT_TOKENS, replace=False).tolist() for _ in range(trees.stop * n)]
+    token = lambda at: F.substring("tokens", 4 * at + 1, 4)
+    paths = []
+    for tree in trees:
+        for c in range(n):
+            path = F.xxhash64(F.lit(tree), F.lit(c), *(token(at) for at in picks[tree * n + c]))
+            paths.append(F.when(F.col("trees") > tree, path) if "trees" in points.columns else path)
     mark = F.xxhash64("tokens").alias("mark")
-    return points.select("id", F.explode(F.array_compact(F.array(*paths))).alias("path"), "comp", mark)
+    recall = F.lit(kept_together(ROOT_TOKENS, n, similarity)).alias("recall")
+    return points.select("id", F.explode(F.array_compact(F.array(*paths))).alias("path"), "comp", mark, recall)
 
 
 def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
@@ -267,9 +286,9 @@ def _children(nodes: DataFrame, points: DataFrame, similarity: float) -> DataFra
     depth = F.least(F.greatest(wanted, F.lit(1)), F.lit(MOST_TOKENS)).cast("int")
     paths, stays = None, None
     for k in range(1, MOST_TOKENS + 1):
-        n = math.ceil(1.25 * similarity**-k)
+        n = fan(k, similarity)
         names = F.array(*(F.xxhash64("path", F.lit(c), *(x for j in range(k) for x in (pick(c, j), token(c, j)))) for c in range(n)))
-        kept = F.lit(1 - (1 - similarity**k) ** n)
+        kept = F.lit(kept_together(k, n, similarity))
         paths = F.when(F.col("depth") == k, names) if paths is None else paths.when(F.col("depth") == k, names)
         stays = F.when(F.col("depth") == k, kept) if stays is None else stays.when(F.col("depth") == k, kept)
     grown = nodes.withColumn("depth", depth).join(points.select("id", "tokens"), "id")
@@ -385,10 +404,10 @@ class _Join:
         self.stage.drop(links)
 
     def grow(self, nodes: DataFrame, deal: bool) -> list[DataFrame]:
-        """Settles nodes (path, id, comp, mark) and all below them; returns the points of
+        """Settles nodes (path, id, comp, mark, recall) and all below them; returns the points of
         large nodes with the recall of the nodes that they were put into (id, recall)."""
         opened, tasks, held = [], [], []
-        nodes = self.stage.save(nodes.withColumn("recall", F.lit(self.percent / 100)))
+        nodes = self.stage.save(nodes)
         while True:
             sizes = self.stage.save(_measured(nodes))
             leaves = nodes.join(small(sizes.where(F.col("size") <= LEAF).select("path")), "path", "left_semi")
@@ -448,11 +467,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of = named.join(small(several), "id", "left_semi").join(points.select(F.col("id").alias("rep"), "k1", "k2"), ["k1", "k2"])
         join.link(stage.save(of.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()))
 
-    opened = join.grow(_roots(join.placed(points.select("id", "tokens")), range(FIRST_TREES)), True)
+    opened = join.grow(_roots(join.placed(points.select("id", "tokens")), range(FIRST_TREES), percent / 100), True)
     trees, new = FIRST_TREES, TREES
     rows = points.select("id", "tokens")
     while new > trees:
-        opened += join.grow(_roots(join.placed(rows), range(trees, new)), False)
+        opened += join.grow(_roots(join.placed(rows), range(trees, new), percent / 100), False)
         trees = new
         if opened:  # trees that points of deep nodes need
             least = functools.reduce(DataFrame.unionByName, opened).groupBy("id").agg(F.min("recall").alias("recall"))

@@ -135,7 +135,7 @@ def test_near_duplicates_goes_on_for_deep_nodes(spark, monkeypatch):
     from codexloom.llm import near_dedup as N
 
     begun, roots = [], N._roots
-    monkeypatch.setattr(N, "_roots", lambda points, trees: begun.append(trees) or roots(points, trees))
+    monkeypatch.setattr(N, "_roots", lambda points, trees, s: begun.append(trees) or roots(points, trees, s))
     monkeypatch.setattr(N, "LEAF", 10)
     rng = random.Random(5)
     passage = [f"p{n}" for n in range(60)]
@@ -148,6 +148,8 @@ def test_near_duplicates_goes_on_for_deep_nodes(spark, monkeypatch):
     assert out == brute_components(sets)
     last = max(t.stop for t in begun)
     assert last > N.TREES and [t.start for t in begun] == [0, *(t.stop for t in begun[:-1])]
+    root = N.kept_together(N.ROOT_TOKENS, N.fan(N.ROOT_TOKENS, 0.75), 0.75)
+    assert (1 - root) ** N.TREES <= N.MISSED and all(N.kept_together(k, N.fan(k, 0.75), 0.75) > 0.78 for k in range(1, N.MOST_TOKENS + 1))
 
 
 def test_near_duplicates_blocks_and_nodes_that_cannot_be_branched(spark, monkeypatch):
