@@ -762,3 +762,21 @@ def test_pipeline_keeps_one_of_each(spark):
         secret = plain_secrets(source[d])
         assert (r["text"] == source[d]) == (not secret) and not [x for x in plain_secrets(r["text"]) if x[1] != 0]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "benchmark_decontamination", "secret_scan", "mixing"]
+
+
+def test_sample_by_a_hash_cut_is_the_first_rows(spark):
+    from codexloom.llm._shared import sampled
+
+    rows = spark.range(5000).withColumn("by", F.xxhash64("id"))
+    for n in (50, 1000, 4000, 9000):
+        want = [r["id"] for r in rows.orderBy("by", "id").limit(n).collect()]
+        assert [r["id"] for r in sampled(rows, "by", n, "id").collect()] == want
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    from codexloom.llm._shared import small
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
+    long = spark.range(20).withColumn("s", F.repeat(F.lit("x"), F.lit(1000)))
+    assert hinted(small(long)) and not hinted(small(long, 19_000)) and hinted(small(spark.range(1000), 8000)) and not hinted(small(spark.range(1001), 8000))
+    assert hinted(small(long.limit(0), 0)) and not hinted(small(long.select(F.array("s").alias("a")), 10_000))
