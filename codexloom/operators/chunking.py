@@ -21,7 +21,6 @@ from ..functions import fixed as C
 from ..functions import ids
 from ..functions import text as X
 from ..runtime import saved
-from .layout import block_risks
 from .structure import adjacent_captions, is_separator_row, referenced_captions, sections
 
 
@@ -297,13 +296,32 @@ def chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", ids.name_uuid("chunk", F.col("doc_id"), F.col("chunk_index")))
 
 
-def chunk_risks(chunks: DataFrame) -> DataFrame:
-    """Risk rows of chunks; tables always carry theirs."""
-    kind = F.when(F.col("chunk_type") == "TEXT", "paragraph").otherwise(F.lower("chunk_type"))
-    rows = chunks.select("doc_id", "chunk_index", F.inline(block_risks(kind, F.col("source_text"), F.lit(False))))
+def chunk_risks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Risk rows of chunks: those of their blocks, once each by type and message, in the order
+    of the blocks; a table always carries its own."""
+    of = chunks.select("doc_id", "chunk_index", F.posexplode("block_ids").alias("at", "block_id"))
+    own = blocks.select("doc_id", "block_id", F.posexplode("risks").alias("nth", "r")).select("doc_id", "block_id", "nth", "r.risk_type", "r.message")
+    found = of.join(own, ["doc_id", "block_id"]).select("doc_id", "chunk_index", "at", "nth", "risk_type", "message")
+    table = chunks.where("chunk_type = 'TABLE'").select("doc_id", "chunk_index", F.lit(1 << 30).alias("at"), F.lit(0).alias("nth"), F.lit("TABLE").alias("risk_type"), F.lit(C.RISK_MESSAGES["TABLE"]).alias("message"))
+    rows = found.unionByName(table).groupBy("doc_id", "chunk_index", "risk_type", "message").agg(F.min(F.struct("at", "nth")).alias("first"))
     return rows.withColumn("risk_id", ids.name_uuid("risk", F.col("doc_id"), F.col("chunk_index"), F.col("risk_type"), F.col("message")))
 
 
+def risk_summaries(risks: DataFrame) -> DataFrame:
+    """Messages of each chunk's risks, in their order (rows of ``chunk_risks``)."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "message"))), lambda r: r["message"])
+    return risks.groupBy("doc_id", "chunk_index").agg(F.array_join(F.array_distinct(listed), "；").alias("risk_summary"))
+
+
+def locations(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Sorted pages of each chunk, and (block, page, box) of its blocks in their order."""
+    of = chunks.select("doc_id", "chunk_index", F.posexplode("block_ids").alias("at", "block_id"))
+    rows = of.join(blocks.select("doc_id", "block_id", "page_no", "bbox"), ["doc_id", "block_id"])
+    place = F.struct("at", F.struct("block_id", "page_no", "bbox").alias("place"))
+    listed = F.transform(F.array_sort(F.collect_list(place)), lambda x: x["place"])
+    return rows.groupBy("doc_id", "chunk_index").agg(F.sort_array(F.collect_set("page_no")).alias("pages"), listed.alias("places"))
+
+
 def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     """Outcome by (job_id, chunk_index): INSERT, UPDATE, DELETE, or REJECT where a chunk that
     is no longer PENDING would change.  The rows of a job with a REJECT must not be applied."""

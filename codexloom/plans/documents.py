@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed as C
 from ..operators import chunking as K
 from ..operators import layout as L
 from ..operators import models as M
@@ -182,6 +183,41 @@ _LINE_CHUNKS = f"""with recursive l as materialized (select *, {_TOK.format('cjk
  select doc_id, k::bigint chunk_index, why boundary_reason, {_TOK.format('cjk', 'other')} tokens, sha256(text) sha256 from (select *, {_sizes('text')} from x)"""
 
 
+# Blocks with the place of their chunk: the table for a table and its caption, else the first of the section.
+_MEMBERS = f"""(select b.doc_id, b.block_id, b.pos, case when b.kind = 'table' then b.pos when b.kind = 'caption' then t.pos else min(b.pos) filter (b.kind not in ('table', 'caption')) over (partition by b.doc_id, b.sec) end p
+ from (select *, sum(case when kind in ('title', 'heading') then 1 else 0 end) over (partition by doc_id order by pos) sec from {A.MARKUP}) b
+ left join {_ADJACENT} a on a.doc_id = b.doc_id and a.caption_id = b.block_id left join {A.MARKUP} t on t.doc_id = b.doc_id and t.block_id = a.block_id)"""
+_RISK_ROWS = f"(select doc_id, block_id, unnest(list_filter([case when kind = 'table' then 'TABLE' end, case when regexp_matches(text, '(?s)\\$[^$]+\\$') then 'FORMULA' end, case when len(regexp_extract_all(text, '\\[\\d+(?:\\s*[-,]\\s*\\d+)*\\]')) >= 2 then 'REFERENCE' end], lambda x: x is not null)) risk_type from {A.MARKUP})"
+_NUMBERED = f"(select *, row_number() over (partition by doc_id order by p) - 1 chunk_index from {_CHUNKS})"
+_MESSAGE = "case risk_type " + " ".join(f"when '{k}' then '{v}'" for k, v in C.RISK_MESSAGES.items()) + " end"
+
+
+def _risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    blocks = saved(A.markup(spark, sf_dir))
+    return K.build_chunks(blocks), L.mark_risks(blocks)
+
+
+@query(f"select distinct c.doc_id, c.chunk_index, risk_type, {_MESSAGE} message from {_RISK_ROWS} r join {_MEMBERS} m using (doc_id, block_id) join {_NUMBERED} c on c.doc_id = m.doc_id and c.p = m.p")
+def chunk_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.chunk_risks(*_risky(spark, sf_dir)).select("doc_id", "chunk_index", "risk_type", "message")
+
+
+@query(f"""with r as (select distinct c.doc_id, c.chunk_index, first_value(m.pos) over (partition by c.doc_id, c.chunk_index, risk_type order by m.pos) f, risk_type, {_MESSAGE} message from {_RISK_ROWS} r join {_MEMBERS} m using (doc_id, block_id) join {_NUMBERED} c on c.doc_id = m.doc_id and c.p = m.p)
+ select doc_id, chunk_index, string_agg(message, '；' order by f, case risk_type when 'TABLE' then 0 when 'FORMULA' then 1 else 2 end) risk_summary from r group by 1, 2""")
+def chunk_risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.risk_summaries(K.chunk_risks(*_risky(spark, sf_dir)))
+
+
+@query(f"""select doc_id, pos // 3 chunk_index, list_sort(list(distinct page_no))::varchar pages, string_agg('block_' || lpad(cast(pos as varchar), 6, '0') || '@' || page_no || ':' || cast(l as bigint), ';' order by pos) places from {A.BOXES} group by 1, 2""")
+def chunk_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of three boxes each: their pages, and block, page and left edge of each box."""
+    b = A.boxes(spark, sf_dir)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "block_id"))), lambda x: x["block_id"])
+    found = K.locations(b.groupBy("doc_id", F.floor(F.col("pos") / 3).alias("chunk_index")).agg(listed.alias("block_ids")), b)
+    place = F.transform("places", lambda x: F.concat(x["block_id"], F.lit("@"), x["page_no"], F.lit(":"), x["bbox"]["left"].cast("long")))
+    return found.select("doc_id", "chunk_index", F.col("pages").cast("string").alias("pages"), F.array_join(place, ";").alias("places"))
+
+
 @query(_LINE_CHUNKS)
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full packing of lines under low limits: every closing reason and the merge fire."""
