@@ -422,9 +422,10 @@ class _Join:
                     deal = False
                     self.compare(tasks.pop().unionByName(_parts(large)))
                     # What the parts have joined is closed.
-                    large = self.stage.save(self.placed(large.select("path", "id", "mark", "recall")))
-                    large = self.stage.save(large.join(small(self.stage.save(_measured(large))), "path"))
-                    held.append(large)
+                    again = self.stage.save(self.placed(large.select("path", "id", "mark", "recall")))
+                    sizes = self.stage.save(_measured(again))
+                    large = self.stage.save(again.join(small(sizes), "path"))
+                    held += [again, sizes, large]
                 few, alike = F.col("outside") <= LEAF // 2, F.col("alike")
                 tasks += [_around(large.where(few)), _crossed(large.where(~few & alike))]
                 nodes = self.stage.save(_children(large.where(~few & ~alike), self.points, self.percent / 100))
