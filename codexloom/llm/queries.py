@@ -82,6 +82,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _shipped(query):
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +109,6 @@ _ALL = (
     op8_near_dedup,
     op9_substring_dedup,
     op10_toxicity,
+    op13_importance,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}

@@ -63,4 +63,42 @@ select d.doc_id, len(w)::bigint n_words, coalesce(r.n, 0)::bigint n_removed, sha
 from doc_words d left join kept k using (doc_id) left join removed r using (doc_id)
 """
 
-SQL = {"op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}
+#: CRC-32 in SQL: the table of its 256 steps by its rule, then one step a byte.
+_CRC_STEPS = """crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) steps from range(256) r(i)
+)"""
+
+
+def _crc(text: str) -> str:
+    byte = f"('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::bigint"
+    return f"xor(list_reduce(list_transform(range(octet_length(encode({text}))), lambda j: {byte}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP13 = f"""
+with {_CRC_STEPS},
+doc_words as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) w from documents
+), raw as (select doc_id, unnest(w) x from doc_words),
+target as (
+  select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) x from benchmark
+), features as (
+  select x, {_crc("x")} % 10000 bucket from (select x from raw union select x from target), crc_table
+), s as (select bucket, count(*) n from raw join features using (x) group by 1),
+t as (select bucket, count(*) n from target join features using (x) group by 1),
+gains as (
+  select f.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from raw) + 10000) / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from target) + 10000))))::bigint gain
+  from (select distinct bucket from features) f left join s using (bucket) left join t using (bucket)
+), weights as (
+  select doc_id, floor(sum(gain) / count(*))::bigint weight from raw join features using (x) join gains using (bucket) group by 1
+), scored as (
+  select d.doc_id, len(d.w)::bigint n_features, coalesce(w.weight, 0) weight,
+         coalesce(w.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint score
+  from doc_words d left join weights w using (doc_id)
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) place, count(*) over () n from scored where n_features >= 20
+)
+select d.doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end::bigint rank
+from scored d left join ranked r using (doc_id)
+"""
+
+SQL = {"op13_importance": OP13, "op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}

@@ -46,7 +46,7 @@ def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op8_near_dedup", "op9_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op8_near_dedup", "op9_substring_dedup", "op13_importance"])
 def test_query_equals_sql(spark, name):
     assert same_rows(spark, name) == 200
 
