@@ -82,6 +82,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resample
 
@@ -109,6 +115,7 @@ _ALL = (
     op8_near_dedup,
     op9_substring_dedup,
     op10_toxicity,
+    op11_spelling_variants,
     op13_importance,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}

@@ -74,6 +74,31 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_transform(range(octet_length(encode({text}))), lambda j: {byte}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
 
 
+OP11 = f"""
+with recursive {_CRC_STEPS},
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) x from documents
+), counted as (select doc_id, x, count(*) n from runs group by all),
+checked as (select x, n, {_crc("doc_id || ':' || x")} h from counted, crc_table),
+changed as (
+  select case when h % 97 = 0 then substr(x, 1, (h % length(x))::bigint) || substr(x, (h % length(x))::bigint + 2) else x end word, n from checked
+), words as (select word, sum(n)::bigint n from changed where length(word) >= 5 group by 1 having sum(n) >= 3),
+cuts as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) cut from (select *, unnest(generate_series(1, length(word))) i from words)),
+near as (
+  select a.word, a.n, b.word other, b.n m from cuts a join words b on a.cut = b.word
+  union select b.word, b.n, a.word, a.n from cuts a join words b on a.cut = b.word
+  union select a.word, a.n, b.word, b.n from cuts a join cuts b on a.i = b.i and a.cut = b.cut and a.word <> b.word
+), best as (
+  select word, count(*) n_near, arg_min(other, (-m, encode(other))) other, max(m) m from near group by 1
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint n_near, case when m >= 2 * n then other end form, case when m >= 2 * n then m end form_n from words w left join best using (word)
+), walk(word, top) as (
+  select word, word from formed union all select k.word, f.form from walk k join formed f on f.word = k.top where f.form is not null
+)
+select f.word, f.form, k.top root, f.n, f.n_near, f.form_n
+from formed f join (select w.word, w.top from walk w join formed e on e.word = w.top where e.form is null) k on k.word = f.word
+"""
+
 OP13 = f"""
 with {_CRC_STEPS},
 doc_words as (
@@ -101,4 +126,4 @@ select d.doc_id, n_features, weight, score, case when place <= 10 * n // 100 the
 from scored d left join ranked r using (doc_id)
 """
 
-SQL = {"op13_importance": OP13, "op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}
+SQL = {"op11_spelling_variants": OP11, "op13_importance": OP13, "op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}
