@@ -88,6 +88,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_and_read
+
+    found = archive_and_read(table(spark, sf_dir, "pages"), 0, False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resample
 
@@ -116,6 +123,7 @@ _ALL = (
     op9_substring_dedup,
     op10_toxicity,
     op11_spelling_variants,
+    op12_warc,
     op13_importance,
 )
 QUERIES = {f.__name__: _shipped(f) for f in _ALL}

@@ -99,6 +99,14 @@ select f.word, f.form, k.top root, f.n, f.n_near, f.form_n
 from formed f join (select w.word, w.top from walk w join formed e on e.word = w.top where e.form is null) k on k.word = f.word
 """
 
+OP12 = """
+with payloads as (select page_id, coalesce(html, '') p, max(page_id) over (partition by coalesce(html, '')) last from pages)
+select page_id, octet_length(encode(p))::bigint payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(p), 1 + 10 * (k // 8), 10))::bigint >> (35 - 5 * (k % 8))) & 31) + 1, 1)), '') payload_digest,
+       case when page_id = last then 'response' else 'revisit' end record_type, case when page_id <> last then last end refers_to
+from payloads
+"""
+
 OP13 = f"""
 with {_CRC_STEPS},
 doc_words as (
@@ -126,4 +134,4 @@ select d.doc_id, n_features, weight, score, case when place <= 10 * n // 100 the
 from scored d left join ranked r using (doc_id)
 """
 
-SQL = {"op11_spelling_variants": OP11, "op13_importance": OP13, "op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}
+SQL = {"op12_warc": OP12, "op11_spelling_variants": OP11, "op13_importance": OP13, "op8_near_dedup": OP8, "op1_decontaminate": OP1, "op9_substring_dedup": OP9}
