@@ -10,15 +10,20 @@ from pyspark.sql import types as T
 
 from ..functions import fixed as C
 from ..runtime import saved
+from ..sources.versioned import Transaction, VersionedStore
+
+
+def _live(queue: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """(user_id, live): leases that haven't expired; one that ends now is live still."""
+    live = queue.where(F.col("status") == "LEASED").where(F.col("lease_expires_at") >= now).join(jobs.select("job_id", "user_id"), "job_id")
+    return live.groupBy("user_id").agg(F.count(F.lit(1)).alias("live"))
 
 
 def claimable(queue: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """Queue rows a worker may take: available, queued or with an expired lease, and their
     user below the limit of live leases."""
-    live = queue.where(F.col("status") == "LEASED").where(F.col("lease_expires_at") > now).join(jobs.select("job_id", "user_id"), "job_id")
-    busy = live.groupBy("user_id").agg(F.count(F.lit(1)).alias("live"))
-    rows = queue.join(jobs.select("job_id", "user_id"), "job_id").join(busy, "user_id", "left")
-    open_ = (F.col("status") == "QUEUED") | ((F.col("status") == "LEASED") & (F.col("lease_expires_at") <= now))
+    rows = queue.join(jobs.select("job_id", "user_id"), "job_id").join(_live(queue, jobs, now), "user_id", "left")
+    open_ = (F.col("status") == "QUEUED") | (F.col("lease_expires_at") < now)
     return rows.where((F.col("available_at") <= now) & open_ & (F.coalesce("live", F.lit(0)) < C.USER_LEASES)).drop("live")
 
 
@@ -27,6 +32,67 @@ def claim_order(rows: DataFrame, n: int = 1) -> DataFrame:
     return rows.orderBy(F.desc("priority"), "created_at", "job_id").limit(n)
 
 
+_ORDER = (F.desc, "priority"), (F.asc, "created_at"), (F.asc, "job_id")
+
+
+def ranked(rows: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
+    """Rows with ``rank`` (1, 2, 3, ...) in an order without ties, the first ``most`` if given.
+
+    Rows are dealt into ranges and saved with the range's number; counts of earlier ranges, of
+    which there are as many as shuffle partitions, are the offsets.  Ranges behind the cut are
+    dropped before any row is numbered, and no task holds more than one range."""
+    spark = rows.sparkSession
+    dealt = saved(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("rk_range", F.spark_partition_id()))
+    counts = dealt.groupBy("rk_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("rk_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("rk_range", before.alias("rk_before"))
+    if most is not None:
+        offsets = offsets.where(F.col("rk_before") < most)
+    inside = F.row_number().over(Window.partitionBy("rk_range").orderBy(*order))
+    found = dealt.join(F.broadcast(offsets), "rk_range").withColumn("rank", F.col("rk_before") + inside).drop("rk_range", "rk_before")
+    return found if most is None else found.where(F.col("rank") <= most)
+
+
+def assigned(queue: DataFrame, jobs: DataFrame, claimants: DataFrame, now: Column) -> DataFrame:
+    """(job_id, owner): what the claimants (owner, turn = 1, 2, 3, ...) get when they claim one
+    after the other, each the first job that is open then.
+
+    A user takes part with as many jobs as the limit leaves, the first by priority and
+    age: a later one is open only once those are handed out, and then the limit is reached.
+    So the claims of n workers are the first n of these jobs."""
+    order = [way(c) for way, c in _ORDER]
+    rows = claimable(queue, jobs, now).join(_live(queue, jobs, now), "user_id", "left")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    # the bound by a constant lets each task send USER_LEASES rows a user at most
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= C.USER_LEASES).where(F.col("nth") <= C.USER_LEASES - F.coalesce("live", F.lit(0)))
+    n = claimants.agg(F.max("turn")).first()[0] or 0
+    first = ranked(rows.select("job_id", "priority", "created_at"), order, n)
+    return first.join(claimants.select(F.col("turn").cast("long").alias("rank"), "owner"), "rank").select("job_id", "owner")
+
+
+def claim(store: VersionedStore, claimants: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """Hands jobs of the store's queue to the claimants and writes their leases in one commit;
+    gives (job_id, owner, lease_expires_at).
+
+    Whoever claims on the same version and commits later begins again on the newer one, where
+    the jobs are leased; so no job is handed out twice and no user gets more than
+    the limit, however many claim at once."""
+
+    def change(tx: Transaction) -> DataFrame:
+        queue, jobs = tx.table("queue"), tx.table("jobs")
+        until = now + F.make_interval(mins=F.lit(minutes))
+        given = saved(assigned(queue, jobs, claimants, now).withColumn("lease_expires_at", until.cast(queue.schema["lease_expires_at"].dataType)))
+        if given.limit(1).count():
+            lease = given.select("job_id", F.lit("LEASED").alias("status"), F.col("owner").alias("lease_owner"), "lease_expires_at")
+            if "updated_at" in queue.columns:
+                lease = lease.withColumn("updated_at", now)
+            kept = queue.drop(*(c for c in lease.columns if c != "job_id"))
+            tx.replace("queue", kept.join(lease, "job_id").select(*(F.col(c).cast(queue.schema[c].dataType) for c in queue.columns)), given)
+        return given
+
+    return store.run(change, whole=("queue",))
+
+
 #: Queued jobs that one worker counts, and strips of the queue, at most.
 STRIP_ROWS, STRIPS = 200_000, 256
 
@@ -141,11 +207,6 @@ def last_seen(after: Column, header: Column) -> Column:
     return F.coalesce(after.cast("long"), header.try_cast("long"))
 
 
-def route(attempts: Column, failed: Column, most: int) -> Column:
-    """retry until ``most`` attempts are used, then failed."""
-    return F.when(~failed, "success").when(attempts <= most, "retry").otherwise("failed")
-
-
 def get_or_create(reviews: DataFrame, wanted: DataFrame) -> DataFrame:
     """Reviews that aren't there yet, one for each (job, type, subject)."""
     key = ["job_id", "review_type", "subject_id"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import documents, reviews, tables, texts  # noqa: F401  each registers its queries
+from . import documents, reviews, stores, tables, texts  # noqa: F401  each registers its queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

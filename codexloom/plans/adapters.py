@@ -74,15 +74,15 @@ JOBS = f"(select o_orderkey job_id, o_custkey % 300 user_id, {_pick(_STATUS, 'o_
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders wait, pending ones are leased, finished ones have left the queue."""
+    """Open orders wait, pending ones are leased, some until now, finished ones have left the queue."""
     k, at = F.col("o_orderkey"), F.col("o_orderdate")
     rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
     return rows.select(
-        k.alias("job_id"), F.when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("LEASED").alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), at.alias("created_at"), (at + F.make_dt_interval((k % 5).cast("int"))).alias("available_at"), F.when(F.col("o_orderstatus") == "P", at + F.make_dt_interval((k % 60).cast("int"))).alias("lease_expires_at"), F.when(F.col("o_orderstatus") == "P", "worker").alias("lease_owner")
+        k.alias("job_id"), F.when(F.col("o_orderstatus") == "O", "QUEUED").otherwise("LEASED").alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), at.alias("created_at"), (at + F.make_dt_interval((k % 5).cast("int"))).alias("available_at"), F.when(F.col("o_orderstatus") == "P", F.when(k % 60 == 7, F.lit(NOW).cast("timestamp_ntz")).otherwise(at + F.make_dt_interval((k % 60).cast("int")))).alias("lease_expires_at"), F.when(F.col("o_orderstatus") == "P", "worker").alias("lease_owner")
     )
 
 
-QUEUE = "(select o_orderkey job_id, case when o_orderstatus = 'O' then 'QUEUED' else 'LEASED' end status, cast(substr(o_orderpriority, 1, 1) as int) priority, o_orderdate created_at, o_orderdate + to_days(cast(o_orderkey % 5 as int)) available_at, case when o_orderstatus = 'P' then o_orderdate + to_days(cast(o_orderkey % 60 as int)) end lease_expires_at, case when o_orderstatus = 'P' then 'worker' end lease_owner from orders where o_orderstatus <> 'F')"
+QUEUE = "(select o_orderkey job_id, case when o_orderstatus = 'O' then 'QUEUED' else 'LEASED' end status, cast(substr(o_orderpriority, 1, 1) as int) priority, o_orderdate created_at, o_orderdate + to_days(cast(o_orderkey % 5 as int)) available_at, case when o_orderstatus = 'P' then case when o_orderkey % 60 = 7 then timestamp '1997-06-01' else o_orderdate + to_days(cast(o_orderkey % 60 as int)) end end lease_expires_at, case when o_orderstatus = 'P' then 'worker' end lease_owner from orders where o_orderstatus <> 'F')"
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,8 +89,8 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CLAIM = f"""select q.job_id, user_id, priority::bigint priority, q.created_at from {A.QUEUE} q join {A.JOBS} j using (job_id)
- where available_at <= {_NOW} and (q.status = 'QUEUED' or lease_expires_at <= {_NOW})
- and (select count(*) from {A.QUEUE} q2 join {A.JOBS} j2 using (job_id) where j2.user_id = j.user_id and q2.status = 'LEASED' and q2.lease_expires_at > {_NOW}) < 5"""
+ where available_at <= {_NOW} and (q.status = 'QUEUED' or lease_expires_at < {_NOW})
+ and (select count(*) from {A.QUEUE} q2 join {A.JOBS} j2 using (job_id) where j2.user_id = j.user_id and q2.status = 'LEASED' and q2.lease_expires_at >= {_NOW}) < 5"""
 
 
 @query(_CLAIM)
