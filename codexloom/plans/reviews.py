@@ -14,7 +14,6 @@ from ..operators import queue as Q
 from ..operators import render as R
 from ..operators import structure as S
 from ..operators import versions as V
-from ..sources import parsed as P
 from ..sources import text as T
 from . import adapters as A
 from .registry import query
@@ -225,45 +224,6 @@ def picture_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", R.picture_html(F.col("text"), F.col("metadata.source_asset_path")).alias("html"))
 
 
-class _LinePages:
-    """A parser of plain text: five lines a page, some of them pictures, half of which fail."""
-
-    def __init__(self, options: P.Options) -> None:
-        self.options = options
-
-    def _lines(self, content: bytes) -> list[str]:
-        return [x for x in content.decode().split("\n") if x.strip()]
-
-    def page_count(self, content: bytes) -> int:
-        return -(-len(self._lines(content)) // 5)
-
-    def items(self, content: bytes, first: int, last: int):
-        for n, line in list(enumerate(self._lines(content)))[5 * first - 5 : 5 * last]:
-            item = {"label": ("picture", "text", "table", "list_item")[len(line) % 4], "text": line, "page_no": n // 5 + 1, "confidence": len(line) / 8}
-            if len(line) % 4 == 0:
-                item |= {"image": line.encode()} if len(line) % 8 else {"image_error": "no image"}
-            yield item
-
-
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.parse(A.documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content")), _LinePages, batch_pages=2)
-
-
-_ITEMS = f"(select doc_id, text, length(text) len, row_number() over (partition by doc_id order by pos) - 1 n from {A.LINES})"
-
-
-@query(f"select doc_id, n pos, (n // 5 + 1)::bigint page_no, case len % 4 when 0 then 'picture' when 1 then 'paragraph' when 2 then 'table' else 'list_item' end kind, case when len % 4 = 3 then '- ' || text else text end markdown, len / 8::double confidence, case when len % 8 = 4 then 'assets/block_' || lpad(cast(n as varchar), 6, '0') || '.png' end path from {_ITEMS}")
-def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files through a parser, two pages at a time: blocks numbered on, with their assets."""
-    b = P.item_blocks(_parsed(spark, sf_dir))
-    return b.select("doc_id", "pos", "page_no", "kind", "markdown", F.col("metadata.confidence").alias("confidence"), F.col("metadata.source_asset_path").alias("path"))
-
-
-@query(f"select doc_id, 'block_' || lpad(cast(n as varchar), 6, '0') block_id, case when len % 8 = 4 then sha256(text) end sha256, case when len % 8 = 0 then 'no image' end image_error from {_ITEMS} where len % 4 = 0")
-def parsed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.item_assets(_parsed(spark, sf_dir)).select("doc_id", "block_id", F.sha2("content", 256).alias("sha256"), "image_error")
-
-
 class _Strict:
     """A model that finds an issue in every text that doesn't begin with a blank, and mends it
     with the first of the known terms."""

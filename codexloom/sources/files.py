@@ -6,8 +6,10 @@ import os
 import re
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -73,3 +75,30 @@ class Folder:
             raise
         finally:
             self.delete(temporary)
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each row (path, content) to a file under the folder: to a name of its own
+    first, which is then moved to the path, so nobody reads half a file and a repeated task
+    does no harm.  Gives (path, bytes, error); a file that can't be written is told there.
+    Runs with the action on what it returns."""
+
+    def write(batches):
+        fs, root = opened(folder)
+        for batch in batches:
+            out = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                at = f"{root}/{name}"
+                parent, _, base = at.rpartition("/")
+                temporary = f"{parent}/.{base}.{uuid.uuid4().hex}"
+                try:
+                    fs.create_dir(parent, recursive=True)
+                    with fs.open_output_stream(temporary, compression=None) as sink:
+                        sink.write(content or b"")
+                    fs.move(temporary, at)
+                    out.append((name, len(content or b""), None))
+                except OSError as error:
+                    out.append((name, None, str(error)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["path", "bytes", "error"])
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "path string, bytes long, error string")
