@@ -73,13 +73,29 @@ def section_summaries(chunks: DataFrame, n: int = 3) -> DataFrame:
     return rows.select("job_id", "section", "chunk_index", F.nullif(F.array_join(F.filter(last, lambda s: s.isNotNull() & (s != "")), "\n"), F.lit("")).alias("summary"))
 
 
+#: Rows of a section that can reach into a suffix; each has a character and a line break.
+_SUFFIX_ROWS = 1000
+
+
 def chapter_memory(chunks: DataFrame, limit: int = 2000) -> DataFrame:
-    """Summaries of a section joined, the last ``limit`` characters once there are two."""
+    """Summaries of a section joined, the last ``limit`` characters once there are two.
+
+    Only the end of a section is moved: each task sends its last rows (a bound by a constant on
+    the row number), and of those the ones go on that fewer than ``limit`` characters follow."""
+    if limit > 2 * _SUFFIX_ROWS:
+        raise ValueError(f"at most {2 * _SUFFIX_ROWS} characters are kept")
+    key = ["job_id", "section"]
     summary = F.coalesce(F.nullif("summary", F.lit("")), F.left("translated", F.lit(300)))
-    rows = chunks.where("translated is not null and translated <> ''").select("job_id", "section", "chunk_index", summary.alias("s"))
+    rows = chunks.where("translated is not null and translated <> ''").select(*key, "chunk_index", summary.alias("s"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("chunk_index", "s")).alias("last"))
+    late = Window.partitionBy(*key).orderBy(F.desc("chunk_index"))
+    ends = rows.withColumn("cm_rank", F.row_number().over(late)).where(F.col("cm_rank") <= _SUFFIX_ROWS).withColumn("s", F.right("s", F.lit(limit)))
+    behind = F.coalesce(F.sum(F.length("s") + 1).over(late.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumn("cm_behind", behind).where(F.col("cm_behind") < limit)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "s"))), lambda x: x["s"])
-    grouped = rows.groupBy("job_id", "section").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, "\n").alias("all"))
-    return grouped.select("job_id", "section", ids.name_uuid("chapter", F.col("job_id"), F.col("section")).alias("chapter_id"), F.when(F.col("n") == 1, F.col("all")).otherwise(F.right("all", F.lit(limit))).alias("summary"))
+    found = ends.groupBy(*key).agg(F.array_join(listed, "\n").alias("all"), F.count(F.lit(1)).alias("kept")).join(counts, key)
+    joined = F.concat(F.when(F.col("n") > F.col("kept"), "\n").otherwise(""), "all")
+    return found.select(*key, ids.name_uuid("chapter", F.col("job_id"), F.col("section")).alias("chapter_id"), F.when(F.col("n") == 1, F.col("last.s")).otherwise(F.right(joined, F.lit(limit))).alias("summary"))
 
 
 def entity_memory(mentions: DataFrame) -> DataFrame:

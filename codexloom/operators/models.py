@@ -11,7 +11,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 from .quality import profile, protected
 
+if TYPE_CHECKING:
+    from .ledger import Ledger
+
 #: Calls of a partition that wait for an answer at the same time.
 CALLS = 8
 
@@ -62,8 +65,9 @@ def fail_over(calls: list[Callable[[], str]], **options) -> str:
     raise AssertionError
 
 
-def model_for(task: str, overrides: dict[str, str], settings: dict[str, str], default: str) -> str:
-    return overrides.get(task) or settings.get(task) or default
+def model_for(task: str, overrides: dict[str, str], settings: dict[str, str], default: str, fallback: bool = False) -> str:
+    """The override, else the setting of the task, else the default; a fallback has no other."""
+    return default if fallback else overrides.get(task) or settings.get(task) or default
 
 
 class EchoClient:
@@ -95,9 +99,14 @@ def _asker(make: Make) -> Callable[[str, dict], str]:
     return lambda task, payload: fail_over([lambda c=c: c.chat(task, payload) for c in clients])
 
 
-def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[str]) -> DataFrame:
+def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[str], ledger: Ledger | None = None) -> DataFrame:
     """Adds ``answer`` and ``elapsed_ms`` to the key columns: one call a row, ``CALLS`` at a
-    time in a partition.  The payload is a struct; a row without one (null) calls nothing."""
+    time in a partition.  The payload is a struct; a row without one (null) calls nothing.
+
+    With a ledger, calls survive lost executors and further runs, and one that fails for good
+    is a row with ``error``; without, it ends the job."""
+    if ledger is not None:
+        return ledger.ask(rows, task, make, payload, key_cols).select(*key_cols, "answer", "elapsed_ms", "error")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = _asker(make)
@@ -140,21 +149,22 @@ def translation_payload(chunks: DataFrame, language: str = "zh", kind: Column |
     )
 
 
-def translate(chunks: DataFrame, make: Make, language: str = "zh") -> DataFrame:
+def translate(chunks: DataFrame, make: Make, language: str = "zh", ledger: Ledger | None = None) -> DataFrame:
     """Chunks (job_id, chunk_index, chunk_type, source_text, protected and what else
     ``translation_payload`` reads) with translated_text; protected ones keep their source
-    and call nothing."""
+    and call nothing.  With a ledger also error, where there is no translation."""
     rows = chunks.withColumn("keep", protected(F.col("chunk_type"), F.col("source_text"), F.col("protected")))
     kept = rows.where("keep").select(*_KEY, F.col("source_text").alias("translated_text"))
-    asked = ask(rows.where("not keep"), "translation", make, translation_payload(chunks, language), _KEY)
-    return kept.unionByName(asked.select(*_KEY, F.col("answer").alias("translated_text")))
+    asked = ask(rows.where("not keep"), "translation", make, translation_payload(chunks, language), _KEY, ledger)
+    told = ["error"] if ledger is not None else []
+    return kept.unionByName(asked.select(*_KEY, F.col("answer").alias("translated_text"), *told), allowMissingColumns=True)
 
 
-def summarised(chunks: DataFrame, make: Make) -> DataFrame:
-    """(job_id, chunk_index, summary) of translated chunks."""
+def summarised(chunks: DataFrame, make: Make, ledger: Ledger | None = None) -> DataFrame:
+    """(job_id, chunk_index, summary) of translated chunks; with a ledger also error."""
     rows = chunks.where("translated_text <> ''")
-    answers = ask(rows, "summary", make, F.struct(F.col("translated_text").alias("text")), _KEY)
-    return answers.select(*_KEY, F.col("answer").alias("summary"))
+    answers = ask(rows, "summary", make, F.struct(F.col("translated_text").alias("text")), _KEY, ledger)
+    return answers.select(*_KEY, F.col("answer").alias("summary"), *(["error"] if ledger is not None else []))
 
 
 def previewed(jobs: DataFrame, samples: DataFrame, previews: DataFrame, make: Make, language: str = "zh") -> DataFrame:
@@ -210,7 +220,13 @@ def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
-def story_entities(chunks: DataFrame, make: Make) -> DataFrame:
-    answers = ask(chunks, "memory", make, F.struct(F.col("source_text").alias("source"), F.col("translated_text").alias("translation")), _KEY)
-    parsed = F.from_json("answer", "entities array<struct<entityType:string,sourceName:string,translatedName:string,note:string>>", {"mode": "FAILFAST"})
-    return answers.select("job_id", "chunk_index", F.posexplode(parsed["entities"]).alias("nth", "e")).select("job_id", "chunk_index", "nth", "e.*")
+def story_entities(chunks: DataFrame, make: Make, ledger: Ledger) -> DataFrame:
+    """Entities (job_id, chunk_index, nth, entityType, sourceName, translatedName, note, error)
+    that the model finds in translated chunks; a chunk whose call failed, or whose answer isn't
+    of the form asked for, is a row with error and without an entity."""
+    from .ledger import parsed
+
+    rows = chunks.where("translated_text <> ''")
+    payload = F.struct(F.col("source_text").alias("source"), F.col("translated_text").alias("translation"))
+    answers = parsed(ask(rows, "memory", make, payload, _KEY, ledger), "entities array<struct<entityType:string,sourceName:string,translatedName:string,note:string>>", ["entities"])
+    return answers.select(*_KEY, "error", F.posexplode_outer("parsed.entities").alias("nth", "e")).select(*_KEY, "nth", "e.*", "error").where("error is not null or nth is not null")
