@@ -1,9 +1,11 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic model over the distinct words of a text and their stems (the first 4 to 8
-bytes, by their share of the words).  For all labelled sentences, identity terms are
-swapped for other terms of their group (and for none); the squared change of the score
-under a swap, by the words and the stems that it changes, is part of the loss, so
+bytes, by their share of the words).  Identity terms are the listed ones and the words of
+the sample that share a listed one's stem (plurals, feminine and other forms).  For all
+labelled sentences, each identity term in turn is swapped for another term of its group
+(or for none); the squared change of the score under a swap, by the words and the stems
+that it changes, is part of the loss, and so is the summed weight of each group's terms, so
 mentions of a group carry no weight of their own.  Where a sentence has no identity term,
 one is put in place of a word of it and swapped from there.  An L1 penalty leaves few
 words, so scoring a text is one lookup of its words and stems in a small table.
@@ -29,7 +31,7 @@ SAMPLE_ROWS = 2_000
 #: the shorter of them first.
 PLAIN_CHARS = 4_000
 PENALTY = 0.0001
-SWAP_WEIGHT = 20.0
+SWAP_WEIGHT = 40.0
 #: Features that a model chooses among, at most, and the least z-score of one.
 FEATURES = 4_000
 LEAST_SCORE = 3.0
@@ -38,12 +40,34 @@ STEMS = (4, 5, 6, 7, 8)
 SHARES = (1 << 40, 250, 80)
 THRESHOLD = 0.7
 
+#: Sentences of more words than this are swapped in parts of so many.
+SENTENCE_WORDS = 64
+#: Words of sentences that one step swaps in.
+STEP_WORDS = 1 << 18
+#: Part of all swaps that the summed weights of the groups' terms count for.
+SUMMED = 0.02
+#: A form of a term begins with its first letters, all but two and five at least (all of a
+#: shorter term), and has at most so many letters more or less, two for a shorter term.
+FORM_LETTERS = 3
+
 #: Terms for groups of people, neutral in themselves, by language.
 IDENTITY = {
-    "en": ["women", "men", "muslim", "christian", "jewish", "hindu", "black", "white", "asian", "gay", "straight", "transgender", "immigrant", "refugee", "disabled", "deaf", "old", "young"],
-    "fr": ["femmes", "hommes", "musulman", "chrétien", "juif", "noir", "blanc", "asiatique", "gay", "immigré", "réfugié", "handicapé"],
-    "de": ["frauen", "männer", "muslimisch", "christlich", "jüdisch", "schwarz", "weiß", "asiatisch", "schwul", "einwanderer", "flüchtling", "behindert"],
-    "es": ["mujeres", "hombres", "musulmán", "cristiano", "judío", "negro", "blanco", "asiático", "gay", "inmigrante", "refugiado", "discapacitado"],
+    "en": (
+        "woman women man men girls boys muslim islamic christian catholic jew jewish hindu buddhist sikh atheist black white asian african arab latino latina hispanic chinese mexican "
+        "romani indigenous gay lesbian bisexual homosexual queer straight trans transgender immigrant migrant refugee foreigner disabled deaf blind elderly old young"
+    ).split(),
+    "fr": (
+        "femme femmes homme hommes musulman chrétien catholique juif juive noir noire blanc blanche asiatique africain arabe rom gitan gay lesbienne bisexuel homosexuel transgenre immigré migrant "
+        "réfugié étranger handicapé sourd aveugle"
+    ).split(),
+    "de": (
+        "frau frauen mann männer muslim muslimisch christ christlich katholisch jude jüdisch schwarz weiß asiatisch afrikanisch araber roma schwul lesbe lesbisch bisexuell homosexuell "
+        "einwanderer migrant flüchtling geflüchtete ausländer behindert gehörlos blind"
+    ).split(),
+    "es": (
+        "mujer mujeres hombre hombres musulmán musulmana cristiano católico judío judía negro blanco asiático africano árabe latino gitano gay lesbiana bisexual homosexual transgénero "
+        "inmigrante migrante refugiado extranjero discapacitado sordo ciego"
+    ).split(),
 }
 
 
@@ -112,11 +136,45 @@ class Terms(NamedTuple):
     group: np.ndarray
 
     @classmethod
-    def known(cls) -> Terms:
+    def known(cls, text: K.Words | None = None) -> Terms:
+        """The listed terms, and their forms among the words of a text."""
         names = [(g, t) for g, terms in enumerate(IDENTITY.values()) for t in terms]
+        if text is not None:
+            listed = {t for _, t in names}
+            stems_of: dict[str, list[tuple[int, str]]] = {}
+            for g, t in names:
+                stems_of.setdefault(t[: max(5, len(t) - 2)], []).append((g, t))
+            for at in np.unique(text.hashes, return_index=True)[1].tolist():
+                word = text.buffer[text.starts[at] : text.ends[at]].tobytes().decode("utf-8", "replace")
+                if len(word) < 3 or len(word) > 24 or word in listed:
+                    continue
+                groups = {g for k in range(3, len(word) + 1) for g, t in stems_of.get(word[:k], ()) if is_form(word, t)}
+                names += [(g, word) for g in groups]
+            names.sort()
         return cls(_tokenise(pa.array([t for _, t in names], pa.large_string())), np.array([g for g, _ in names]))
 
 
+def is_form(word: str, term: str) -> bool:
+    """Whether a word that begins with the term's stem is long enough and no longer than a form of it."""
+    return abs(len(word) - len(term)) <= (FORM_LETTERS if len(term) >= 5 else 2)
+
+
+def in_parts(words: K.Words, most: int) -> K.Words:
+    """Texts of more than ``most`` words as several; those without words are left out."""
+    n = words.counts()
+    parts = -(-n // most)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return words._replace(offsets=np.append(np.repeat(words.offsets[:-1], parts) + most * nth, words.offsets[-1]))
+
+
+def taken(words: K.Words, rows: np.ndarray) -> K.Words:
+    """The texts at ``rows``, some of them several times."""
+    n = words.counts()[rows]
+    offsets = np.append(0, np.cumsum(n))
+    at = np.repeat(words.offsets[rows] - offsets[:-1], n) + np.arange(offsets[-1])
+    return K.Words(words.buffer, words.starts[at], words.ends[at], offsets, words.hashes[at])
+
+
 def with_terms(words: K.Words, at: np.ndarray, term: np.ndarray, terms: K.Words) -> K.Words:
     """The words with ``terms[term[s]]`` in the place ``at[s]`` of text s (-1: left out)."""
     starts, ends, hashes = words.starts.copy(), words.ends.copy(), words.hashes.copy()
@@ -152,7 +210,7 @@ class ToxicityModel:
         column = pa.array(texts, pa.large_string())
         words = _tokenise(column)
         rows, keys = features(words, np.arange(len(words.hashes)))
-        terms = Terms.known()
+        terms = Terms.known(words)
         known, at = np.unique(keys, return_inverse=True)
         toxic, all_ = np.bincount(at, labels[rows], len(known)), np.bincount(at, minlength=len(known))
         n, t = len(labels), labels.sum()
@@ -169,7 +227,7 @@ class ToxicityModel:
 
     @staticmethod
     def _swaps(texts: list[str], terms: Terms, vocabulary: np.ndarray) -> Swaps:
-        """Counterfactual pairs of all sentences: an identity term of the sentence or one put
+        """Counterfactual pairs of all sentences: each identity term of the sentence or one put
         in place of another word, against another term of the group or none.  A pair is the
         difference of all features of its two sentences; it is taken for the sentence as a
         text and inside longer texts, where a word reaches fewer of SHARES."""
@@ -177,53 +235,58 @@ class ToxicityModel:
         sign = rng.integers(1, 1 << 63, len(vocabulary), dtype=np.uint64)  # of a row: the sum of its columns' signs
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         times: dict[int, int] = {}
+        order = np.argsort(terms.words.hashes, kind="stable")
+        names, sizes = terms.words.hashes[order], np.bincount(terms.group)
 
-        def add(sentences: list[str], term: np.ndarray | None) -> None:
-            words = _tokenise(pa.array(sentences, pa.large_string()))
-            n = words.counts()
-            if not n.all():
-                return add([s for s, k in zip(sentences, n.tolist(), strict=True) if k], term)
-            if not len(n):
-                return
-            order = np.argsort(terms.words.hashes)
-            inside = np.flatnonzero(_member(words.hashes, terms.words.hashes[order]))
-            at = words.offsets[:-1] + (rng.random(len(n)) * n).astype(np.int64)
-            sizes = np.bincount(terms.group)
-            group = rng.integers(len(sizes), size=len(n)) if term is None else terms.group[term]
-            own = np.searchsorted(terms.group, group) + (rng.random(len(n)) * sizes[group]).astype(np.int64) if term is None else term
-            if term is None:
-                of = np.searchsorted(words.offsets, inside, "right") - 1
-                at[of] = inside
-                own[of] = order[np.searchsorted(terms.words.hashes[order], words.hashes[inside])]
-            # For one half of the pairs another term of the group, some places on in its list.
-            first, size = np.searchsorted(terms.group, terms.group[own]), sizes[terms.group[own]]
-            on = 1 + (rng.random(len(n)) * (size - 1)).astype(np.int64)
-            other = np.where(rng.random(len(n)) < (0.5 if term is None else 0), first + (own - first + on) % size, -1)
-            pair = [with_terms(words, at, t, terms.words) for t in (own, other)]
+        def record(pair: list[K.Words], each: int = 1) -> None:
+            n = len(pair[0].offsets) - 1
             for least in (1, *(s + 1 for s in SHARES[:0:-1])):
                 (r1, c1), (r2, c2) = (known_features(w, vocabulary, np.maximum(w.counts(), least)) for w in pair)
                 cells, back = np.unique(np.concatenate([r1, r2]) * len(vocabulary) + np.concatenate([c1, c2]), return_inverse=True)
                 value = np.bincount(back, np.repeat([1.0, -1.0], [len(r1), len(r2)]), len(cells))
                 cells, value = cells[value != 0], value[value != 0]
                 row, col = np.divmod(cells, len(vocabulary))
-                signs = np.zeros(len(n), np.uint64)
+                signs = np.zeros(n, np.uint64)
                 np.add.at(signs, row, sign[col] * value.astype(np.int64).astype(np.uint64))
-                edge = np.searchsorted(row, np.arange(len(n) + 1))
+                edge = np.searchsorted(row, np.arange(n + 1))
                 kinds, which, count = np.unique(signs, return_index=True, return_counts=True)
                 for kind, s, k in zip(kinds.tolist(), which.tolist(), count.tolist(), strict=True):
-                    times[kind] = times.get(kind, 0) + k
+                    times[kind] = times.get(kind, 0) + k * each
                     if kind not in found:
                         found[kind] = col[edge[s] : edge[s + 1]], value[edge[s] : edge[s + 1]]
 
+        def swap(sentences: list[str]) -> None:
+            words = in_parts(_tokenise(pa.array(sentences, pa.large_string())), SENTENCE_WORDS)
+            n = words.counts()
+            inside = np.flatnonzero(_member(words.hashes, names))
+            of = np.searchsorted(words.offsets, inside, "right") - 1
+            bare = np.setdiff1d(np.arange(len(n)), of)
+            group = rng.integers(len(sizes), size=len(bare))
+            some = np.searchsorted(terms.group, group) + (rng.random(len(bare)) * sizes[group]).astype(np.int64)
+            rows, own = np.concatenate([of, bare]), np.concatenate([order[np.searchsorted(names, words.hashes[inside])], some])
+            at = np.concatenate([inside - words.offsets[of], (rng.random(len(bare)) * n[bare]).astype(np.int64)])
+            # For one half of the pairs another term of the group, some places on in its list.
+            first, size = np.searchsorted(terms.group, terms.group[own]), sizes[terms.group[own]]
+            on = 1 + (rng.random(len(rows)) * (size - 1)).astype(np.int64)
+            other = np.where(rng.random(len(rows)) < 0.5, first + (own - first + on) % size, -1)
+            step = np.cumsum(n[rows]) // STEP_WORDS
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(step)) + 1):
+                if len(part):
+                    some = taken(words, rows[part])
+                    record([with_terms(some, some.offsets[:-1] + at[part], t[part], terms.words) for t in (own, other)])
+
         batch, chars = [], 0
         for text in texts:
             batch += (text or "").split(".")
             chars += len(text or "")
             if chars >= K.SEGMENT:
-                add(batch, None)
+                swap(batch)
                 batch, chars = [], 0
-        add(batch, None)
-        add(["x"] * len(terms.group), np.arange(len(terms.group)))  # every term at least once against none
+        swap(batch)
+        none = lambda n: terms.words._replace(starts=names[:0].astype(np.int64), ends=names[:0].astype(np.int64), hashes=names[:0], offsets=np.zeros(n + 1, np.int64))
+        record([terms.words, none(len(names))])  # every term at least once against none
+        together = terms.words._replace(offsets=np.searchsorted(terms.group, np.arange(len(sizes) + 1)))
+        record([together, none(len(sizes))], max(1, int(SUMMED * sum(times.values()) / len(sizes) / len(SHARES))))
         sizes = [len(c) for c, _ in found.values()]
         cols, values = (np.concatenate(x) for x in zip(*found.values(), strict=True))
         return Swaps(np.repeat(np.arange(len(sizes)), sizes), cols, values, np.array([times[k] for k in found], float))

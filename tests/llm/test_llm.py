@@ -591,6 +591,29 @@ def test_toxicity_scores_hardly_change_under_swaps():
             assert model.scores(pa.array(["vermin"]))[0] > 0.7
 
 
+def test_toxicity_scores_hardly_change_for_forms_and_several_terms():
+    """Forms that aren't listed, and sentences with several terms, as the only word that most of the toxic texts share."""
+    import numpy as np
+
+    for term, others in (("refugees", "refugee"), ("muslims", "muslim"), ("immigrants", "women"), ("lesbian", "lesbians"), ("frauen", "frau"), ("musulmans", "musulmane")):
+        rng, texts, marks = random.Random(2), [], []
+        for n in range(600):
+            words = [rng.choice(WORDS) for _ in range(12)]
+            if n % 4 == 0 and rng.random() < 0.5:
+                words[3] = "vermin"
+            if rng.random() < (0.9 if n % 4 == 0 else 0.05):
+                words[5] = term
+                if rng.random() < 0.5:
+                    words[7] = others
+            texts.append(" ".join(words) + ".")
+            marks.append(n % 4 == 0)
+        model = ToxicityModel(texts, np.array(marks, float))
+        for frame in ("the {} came home", "w1 w2 w3 {} w5", "{}", "{} w1 {} and {}"):
+            scores = model.scores(pa.array([frame.replace("{}", x) for x in (term, others, "person", "")]))
+            assert scores.max() - scores.min() < 0.05 and scores.max() < 0.5, (term, frame, scores)
+        assert model.scores(pa.array(["vermin"]))[0] > 0.7
+
+
 def test_swaps_are_differences_of_all_features():
     import numpy as np
 
@@ -602,7 +625,15 @@ def test_swaps_are_differences_of_all_features():
     vocabulary = np.union1d(np.concatenate([X.features(w, np.arange(len(w.hashes)))[1] for w in (words, terms.words)]), terms.words.hashes)
     swaps = ToxicityModel._swaps(texts, terms, vocabulary)
     levels = len(X.SHARES)
-    assert swaps.times.sum() == levels * (5 + len(terms.group))  # five sentences with words, and each term against none
+    each = levels * (6 + len(terms.group))  # five sentences with words, one with two terms, and each term against none
+    groups = len(X.IDENTITY)
+    assert swaps.times.sum() == each + levels * groups * max(1, int(X.SUMMED * each / groups / levels))
+    forms = X.Terms.known(X._tokenise(pa.array(["Refugees refuge muslimas gays blacksmiths oldies mention"])))
+    found = {forms.words.buffer[a:b].tobytes().decode() for a, b in zip(forms.words.starts, forms.words.ends, strict=True)} - {t for g in X.IDENTITY.values() for t in g}
+    assert found == {"refugees", "refuge", "muslimas", "gays"}
+    long = X._tokenise(pa.array(["", "a b c d e", "f"]))
+    assert X.in_parts(long, 2).counts().tolist() == [2, 2, 1, 1]
+    assert X.taken(X.in_parts(long, 2), np.array([1, 1, 3])).hashes.tolist() == long.hashes[[2, 3, 2, 3, 5]].tolist()
     rng = random.Random(1)
     base = X._tokenise(pa.array(["one two three", "four five"], pa.large_string()))
     for _ in range(20):
