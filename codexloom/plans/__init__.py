@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calls, documents, files, reviews, stores, tables, texts  # noqa: F401  each registers its queries
+from . import calls, documents, files, reviews, stores, streams, tables, texts  # noqa: F401  each registers its queries
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
