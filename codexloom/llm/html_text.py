@@ -1,19 +1,23 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks of text at block-level tags.  Each block has its number of
-words and share of words in links, those of the block before and after it, and what
-its enclosing elements say (an element for navigation or notices, a class or id that
-names such a part, the article, which may be a teaser beside the text).  A class or id may also name the layout of a whole page:
-an element so marked counts as a wrapper if the article is inside it, or the page's long
-blocks where there is no article.  A decision tree, grown when the module is used on the
-small labelled table below, keeps or drops each block.
+words and share of words in links, those of the block before and after it (inside the
+article, of that), whether it is a heading, and what its enclosing elements say: an
+element for navigation or notices, a class or id that names such a part, the article
+(which may be a teaser beside the text).  A decision tree, grown when the module is used
+on the small labelled table below, keeps or drops each block.
+
+A class or id may also name the layout of a whole page: an element so marked counts as a
+wrapper if the article is inside it, or the page's long blocks where there is no article.
+Names that parts of an article have, too (``related-work``, ``section-header``), are only
+a feature for the tree where they stand inside the article.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -41,18 +45,28 @@ LONG = (25, 0.2)
 #: than so many times its words.
 TEASER = 3
 ARTICLE_TAGS = frozenset("article main".split())
+HEADING_TAGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end when one of the same group begins beside them.
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|foot|header|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget\w*|comments?|comment-?(?:list|form|box|area|section|thread|author|body|content|item|wrap\w*)|respond|replies|disqus|copyright|legal|skip\w*|hidden|pagination|pager|toolbar|tags?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|sidebar\w*|menu\w*|nav\w*|breadcrumb\w*|footer\w*|masthead|cookie\w*|consent|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|recommend\w*|widget\w*|comments?|comment-?(?:list|form|box|area|section|thread|author|body|content|item|wrap\w*)|respond|replies|disqus|copyright|legal|skip\w*|hidden|pagination|pager|toolbar)(?:$|[\s_-])",
     re.I,
 )
+#: Names of other parts that parts of an article have as well.
+WEAK_HINT = re.compile(r"(?:^|[\s_-])(?:header|foot|side|related|tags?)(?:$|[\s_-])", re.I)
 ROLE = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|menu|dialog|alert)\b", re.I)
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:@][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+# A quote opens a value only behind "=", and only if another one ends it; elsewhere it is a
+# plain character.  No part gives characters back, so a tag is read once.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+_ATTRIBUTES = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_TOKEN = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)""",
+    re.S,
+)
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS}
 
 
 class Block(NamedTuple):
@@ -61,32 +75,43 @@ class Block(NamedTuple):
     links: int  # words in links
     boiler: bool  # inside an element of a part that is never the article
     article: bool  # inside the article
-    wrappers: tuple[int, ...]  # the elements around it that are marked, but may be wrappers of a page
+    heading: bool
+    mark: int  # the innermost of the marked elements around it, which may be wrappers of a page
 
     def long(self) -> bool:
         return self.words >= LONG[0] and self.links <= LONG[1] * self.words
 
 
+class Mark(NamedTuple):
+    """An element that a class, id, role or form marks; those around it by ``parent``."""
+
+    parent: int
+    depth: int  # marked elements with this one
+    weak: bool  # inside the article, with a name that its own parts have, too
+
+
 class _Open(NamedTuple):
     tag: str
     boiler: bool
     article: bool
     link: bool
     hidden: bool
-    wrappers: tuple[int, ...]
+    heading: bool
+    mark: int
 
 
-def _says_boiler(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+def _says(tag: str, attributes: str) -> tuple[bool, int, bool]:
     """Whether an element's own tag names another part; whether its class, id or role (or
-    form) does, as a wrapper of a page may; whether it is hidden."""
-    boiler, hint, hidden = tag in BOILER_TAGS - WRAPPER_TAGS, tag in WRAPPER_TAGS, tag in HIDDEN_TAGS
+    form) does, as a wrapper of a page may (1 for a name that an article's parts have, too,
+    2 for others); whether it is hidden."""
+    boiler, hint, hidden = tag in BOILER_TAGS - WRAPPER_TAGS, 2 * (tag in WRAPPER_TAGS), tag in HIDDEN_TAGS
     if attributes.strip():
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), next((v for v in values if v), "")
+        for name, *values in _ATTRIBUTES.findall(attributes):
+            name, value = name.lower(), html.unescape(next((v for v in values if v), ""))
             if name in ("class", "id"):
-                hint |= bool(HINT.search(value))
+                hint = max(hint, 2 * bool(HINT.search(value)), bool(WEAK_HINT.search(value)))
             elif name == "role":
-                hint |= bool(ROLE.search(value))
+                hint = max(hint, 2 * bool(ROLE.search(value)))
             elif name == "style":
                 hidden |= bool(HIDES.search(value))
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -94,10 +119,56 @@ def _says_boiler(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return boiler, hint, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page, in order."""
+class _Stack:
+    """The open elements.  Depths are kept by tag, of parts, and of blocks but paragraphs,
+    so the nearest one is known without a walk, and each element is charged once, when it
+    is taken off."""
+
+    def __init__(self) -> None:
+        self.open = [_Open("", False, False, False, False, False, 0)]
+        self.by_tag: defaultdict[str, list[int]] = defaultdict(list)
+        self.parts: list[int] = []
+        self.blocks: list[int] = []
+
+    def nearest(self, *tags: str) -> int:
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), default=0)
+
+    def push(self, element: _Open) -> None:
+        depth, tag = len(self.open), element.tag
+        self.open.append(element)
+        self.by_tag[tag].append(depth)
+        if tag in ARTICLE_TAGS or tag in BOILER_TAGS:
+            self.parts.append(depth)
+        if tag in BLOCK_TAGS and tag != "p":
+            self.blocks.append(depth)
+
+    def close(self, depth: int) -> None:
+        for element in self.open[depth:]:
+            self.by_tag[element.tag].pop()
+        del self.open[depth:]
+        for depths in (self.parts, self.blocks):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: of formatting, it doesn't reach out of a part."""
+        depth = self.nearest(tag)
+        if depth and (tag in BLOCK_TAGS or not self.parts or self.parts[-1] <= depth):
+            self.close(depth)
+
+    def make_room(self, tag: str) -> None:
+        """Ends what can't hold the element that begins: one of its group beside it, or a
+        paragraph, unless another block stands between."""
+        if depth := self.nearest(*CLOSES.get(tag, ())) or (self.nearest("p") if tag in BLOCK_TAGS else 0):
+            if not self.blocks or self.blocks[-1] <= depth:
+                self.close(depth)
+
+
+def blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The text blocks of a page, in order, and its marked elements (the first stands for none)."""
     out: list[Block] = []
-    stack = [_Open("", False, False, False, False, ())]
+    marks = [Mark(0, 0, False)]
+    stack = _Stack()
     parts: list[tuple[str, bool]] = []
 
     def flush() -> None:
@@ -105,77 +176,55 @@ def blocks(page: str) -> list[Block]:
             # References are decoded over the whole block, links counted piece by piece.
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
+                top = stack.open[-1]
                 linked = sum(len(html.unescape(t).split()) for t, link in parts if link)
-                out.append(Block(text, len(text.split()), linked, stack[-1].boiler, stack[-1].article, stack[-1].wrappers))
+                out.append(Block(text, len(text.split()), linked, top.boiler, top.article, top.heading, top.mark))
             parts.clear()
 
-    open_: Counter[str] = Counter()  # open elements by tag, so stray end tags cost nothing
-
-    def close(k: int) -> None:
-        open_.subtract(e.tag for e in stack[k:])
-        del stack[k:]
-
     at = 0
     while at < len(page):
         found = _TOKEN.search(page, at)
         piece = page[at : found.start()] if found else page[at:]
-        if stack[-1].tag == "head" and piece.strip():
-            close(len(stack) - 1)
-        if piece and not stack[-1].hidden:
-            parts.append((piece, stack[-1].link))
+        if stack.open[-1].tag == "head" and piece.strip():
+            stack.close(len(stack.open) - 1)
+        if piece and not stack.open[-1].hidden:
+            parts.append((piece, stack.open[-1].link))
         if not found:
             break
-        at = found.end() if found.end() > found.start() else found.start() + 1
+        at = found.end()
         closing, tag, attributes = found.groups()
         if tag is None:
             continue
         tag = tag.lower()
-        if stack[-1].tag == "head" and not closing and tag not in HEAD_TAGS:
-            close(len(stack) - 1)
+        if stack.open[-1].tag == "head" and not closing and tag not in HEAD_TAGS:
+            stack.close(len(stack.open) - 1)
         if tag == "svg" and attributes.endswith("/"):  # empty; HTML's own raw elements can't be
             continue
         if tag in RAW_TAGS and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         if tag in BLOCK_TAGS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1) if open_[tag] else ():
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if stack[k].tag in ARTICLE_TAGS | BOILER_TAGS and tag not in BLOCK_TAGS:
-                    break  # stray end tags of formatting don't reach out of a part
+            stack.end(tag)
             continue
         if tag in VOID_TAGS or attributes.rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        if tag in CLOSES and any(open_[t] for t in CLOSES[tag]):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK_TAGS - CLOSES[tag] and stack[k].tag not in ("p",):
-                    break
-        elif tag in BLOCK_TAGS and open_["p"]:  # a paragraph can't hold another block
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK_TAGS:
-                    break
-        top = stack[-1]
-        boiler, hint, hidden = _says_boiler(tag, attributes)
+        stack.make_room(tag)
+        top = stack.open[-1]
+        boiler, hint, hidden = _says(tag, attributes)
         if tag == "header" and top.article and not top.boiler:
             boiler = False  # an article's own heading, unless a hint says more
-            hint = bool(HINT.search(attributes))
         if tag in ("body", "html", "article", "main"):
-            boiler = hint = False
-        wrappers = (*top.wrappers, at) if hint else top.wrappers
-        open_[tag] += 1
-        stack.append(_Open(tag, top.boiler or boiler, top.article or tag in ARTICLE_TAGS, top.link or tag == "a", top.hidden or hidden, wrappers))
+            boiler, hint = False, 0
+        if hint:
+            marks.append(Mark(top.mark, marks[top.mark].depth + 1, hint == 1 and top.article))
+        mark = len(marks) - 1 if hint else top.mark
+        article, link, heading = top.article or tag in ARTICLE_TAGS, top.link or tag == "a", top.heading or tag in HEADING_TAGS
+        stack.push(_Open(tag, top.boiler or boiler, article, link, top.hidden or hidden, heading, mark))
     flush()
-    return out
+    return out, marks
 
 
 #: Pages without an article element as their blocks stand: of each its words, those of them
@@ -207,7 +256,36 @@ PAGES = (
 )
 #: What the elements around a block say: inside a part named as boilerplate, inside the
 #: article, the page has an article; and the label of any block there (None: its own).
-PLACES = ((0, 0, 0, None), (0, 1, 1, 1), (0, 0, 1, 0), (1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 1, 0))
+PLACES = ((0, 0, 0, None), (0, 0, 1, 0), (1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 1, 0))
+
+
+def articles(text: int, short: int, item: int, linked: float) -> list[list[tuple[int, ...]]]:
+    """Articles with long blocks of ``text`` words and short ones, of whose words a share is
+    in links, and link-only ones, as their blocks stand: of each its words, those of them in
+    links, whether it is a heading, whether a name marks it that an article's parts have,
+    too, and whether it is main text."""
+    body, line = (text, int(linked * text), 0, 0, 1), (short, int(linked * short), 0, 0, 1)
+    link, head = (item, item, 0, 0, 0), (short, 0, 1, 0, 1)
+    marked = lambda block, main: (*block[:3], 1, main)
+    return [
+        # Headline, byline, text with subheads, short lines and one line that is a link.
+        [head, line, body, head, body, line, line, (item, item, 0, 0, 1), line, body, body],
+        [body], [line], [head, line], [line, line, body],
+        # A list of links within the text, and at its end under a heading.
+        [head, body, link, link, link, body, line, link, link],
+        [head, body, body, head, link, link, link], [line, link, link, line, link, link, body],
+        # Headings that are links.
+        [(item, item, 1, 0, 1), line, body, (item, item, 1, 0, 1), body],
+        # The article's own header, and headings and sections with such names.
+        [marked(head, 1), marked(line, 1), body, marked(head, 1), body],
+        [marked(head, 1), body, marked(head, 1), marked(body, 1), marked(line, 1), marked(body, 1)],
+        [marked((short, 0, 1), 1), marked((item, item, 0), 0), marked((item, item, 0), 0), body],
+        # Further reading: its heading, links, and lines about each of them; tags with a word before.
+        [head, body, body, marked(head, 0), marked(link, 0), marked(link, 0), marked(link, 0)],
+        [head, body, marked(head, 0), marked(link, 0), marked(line, 0), marked(link, 0), marked(line, 0), marked(link, 0)],
+        [body, marked(line, 0), marked(link, 0), marked(link, 0)],
+        [body, body, marked((1 + 4 * item, 4 * item, 0), 0)],
+    ]
 
 
 def shares(sizes: list[tuple[int, int]]) -> list[tuple[float, ...]]:
@@ -216,25 +294,35 @@ def shares(sizes: list[tuple[int, int]]) -> list[tuple[float, ...]]:
     return [(*own[k], *own[k + 1], *own[k + 2]) for k in range(len(sizes))]
 
 
-#: The labelled table that the tree is grown on: the blocks of these pages, in every place.
+#: The labelled table that the tree is grown on: the blocks of pages without an article, in
+#: every place but inside one, and the blocks of articles of several sizes.
 LABELLED = tuple(
-    (*near, *place, own if label is None else label) for page in PAGES for near, (_, _, own) in zip(shares([b[:2] for b in page]), page, strict=True) for *place, label in PLACES
+    (*near, *place, 0, 0, own if label is None else label) for page in PAGES for near, (_, _, own) in zip(shares([b[:2] for b in page]), page, strict=True) for *place, label in PLACES
+) + tuple(
+    (*near, 0, 1, 1, *rest)
+    for text in (26, 90, 300)
+    for short in (1, 4, 12)
+    for item in (1, 4, 15)
+    for linked in (0, 0.05, 0.2, 0.5)
+    for page in articles(text, short, item, linked)
+    for near, (_, _, *rest) in zip(shares([b[:2] for b in page]), page, strict=True)
 )
 
 
 class DecisionTree:
-    """Gini splits until leaves are pure; ``nodes`` hold (feature, cut, left, right) or a label."""
+    """Gini splits until leaves are pure, below a first one on the yes-or-no feature
+    ``first``; ``nodes`` hold (feature, cut, left, right) or a label."""
 
-    def __init__(self, table: np.ndarray) -> None:
+    def __init__(self, table: np.ndarray, first: int) -> None:
         self.nodes: list[tuple] = []
-        self._grow(table[:, :-1], table[:, -1])
+        self._grow(table[:, :-1], table[:, -1], (first,))
 
-    def _grow(self, x: np.ndarray, y: np.ndarray) -> int:
+    def _grow(self, x: np.ndarray, y: np.ndarray, features=None) -> int:
         at = len(self.nodes)
         self.nodes.append(())
         best = None
         if 0 < y.mean() < 1:
-            for f in range(x.shape[1]):
+            for f in features or range(x.shape[1]):
                 values = np.unique(x[:, f])
                 for cut in (values[1:] + values[:-1]) / 2:
                     side = x[:, f] > cut
@@ -258,45 +346,76 @@ class DecisionTree:
 
 
 def grown() -> DecisionTree:
-    return DecisionTree(np.array(LABELLED, float))
+    """The tree, whose first split is on whether the page has an article: labels of the one
+    kind of page don't move the cuts for the other."""
+    return DecisionTree(np.array(LABELLED, float), first=8)
+
+
+def _beyond(marks: list[Mark], wrapper) -> list[int]:
+    """Of each mark, what it and those around it say beyond the wrappers of the page: 0
+    nothing, 1 a name that parts of an article have, too, 2 another part."""
+    said = [0] * len(marks)
+    for k, mark in enumerate(marks[1:], 1):  # a mark's parent comes before it
+        said[k] = 0 if wrapper(k) else max(said[mark.parent], 1 if mark.weak else 2)
+    return said
 
 
-def placed(found: list[Block]) -> list[tuple[bool, bool]]:
-    """(boilerplate, article) of each block.  A marked element is a wrapper of the page where
-    the least marked articles are inside it, or, on a page without article, where the least
-    marked long blocks are (of several elements, the one with the most words of them)."""
+def placed(found: list[Block], marks: list[Mark]) -> list[tuple[bool, bool, bool]]:
+    """(boilerplate, article, weakly marked) of each block.  A marked element is a wrapper of
+    the page where the least marked articles are inside it, or, on a page without article,
+    where the least marked long blocks are (of several elements, the one with the most words
+    of them)."""
     articles = [b for b in found if b.article and not b.boiler]
     plain = [b for b in found if b.long() and not b.article and not b.boiler]
-    least = min((len(b.wrappers) for b in articles), default=0)
-    if articles and TEASER * sum(b.words for b in articles) < sum(b.words for b in plain if not b.wrappers):
+    least = min((marks[b.mark].depth for b in articles), default=0)
+    if articles and TEASER * sum(b.words for b in articles) < sum(b.words for b in plain if not b.mark):
         found = [b._replace(boiler=b.boiler or b.article, article=False) for b in found]
         articles = []
     elif articles and least:  # not if more is said outside any marked element, as beside teasers
-        inside = sum(b.words for b in articles if len(b.wrappers) == least)
-        if sum(b.words for b in plain if not b.wrappers) >= inside:
+        inside = sum(b.words for b in articles if marks[b.mark].depth == least)
+        if sum(b.words for b in plain if not b.mark) >= inside:
             articles = []
     if articles:
-        return [(b.boiler or len(b.wrappers) > (least if b.article else 0), b.article) for b in found]
-    words: dict[tuple[int, ...], int] = {}
-    for b in plain:
-        words[b.wrappers] = words.get(b.wrappers, 0) + b.words
-    around = min(words, key=lambda w: (len(w), -words[w]), default=())
-    return [(b.boiler or b.wrappers != around[: len(b.wrappers)], b.article) for b in found]
+        inner, outer = _beyond(marks, lambda k: marks[k].depth <= least), _beyond(marks, lambda k: False)
+        said = [(inner if b.article else outer)[b.mark] for b in found]
+    else:
+        words: dict[int, int] = {}
+        for b in plain:
+            words[b.mark] = words.get(b.mark, 0) + b.words
+        at = min(words, key=lambda m: (marks[m].depth, -words[m]), default=0)
+        around = {at}
+        while at:
+            at = marks[at].parent
+            around.add(at)
+        outer = _beyond(marks, around.__contains__)
+        said = [2 * bool(outer[b.mark]) for b in found]
+    return [(b.boiler or s == 2, b.article, s == 1) for b, s in zip(found, said, strict=True)]
 
 
 def main_text(page: str | None, tree: DecisionTree) -> str:
-    found = blocks(page or "")
-    place = placed(found)
-    has_article = any(article and not boiler for boiler, article in place)
-    near = shares([(b.words, b.links) for b in found])
-    return " ".join(b.text for b, features, at in zip(found, near, place, strict=True) if tree.keep((*features, *at, has_article)))
+    found, marks = blocks(page or "")
+    place = placed(found, marks)
+    inside = [article and not boiler for boiler, article, _ in place]
+    sizes = [(b.words, b.links) for b in found]
+    if any(inside):  # neighbours inside the article; nothing beside it is kept
+        near = iter(shares([s for s, own in zip(sizes, inside, strict=True) if own]))
+        features = [next(near) if own else (0, 0.0, *s, 0, 0.0) for s, own in zip(sizes, inside, strict=True)]
+    else:
+        features = shares(sizes)
+    any_inside = any(inside)
+    return " ".join(
+        b.text
+        for b, near, (boiler, article, weak), own in zip(found, features, place, inside, strict=True)
+        if tree.keep((*near, boiler, article, any_inside, own and b.heading, own and weak))
+    )
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``text``, the main text, and ``n_chars``, its code points.
 
     Null and empty pages, and pages without main text, have the empty string; unclosed
-    and stray tags are tolerated, in time that grows with the page; repeated rows each get
+    and stray tags, quotes and nested parts of any depth are tolerated, in time and memory
+    that grow with the page; repeated rows each get
     their result; an empty table stays empty; input columns with the names of results are
     replaced, others stay.
     """

@@ -481,6 +481,127 @@ def test_html_teasers_commentary_and_stray_tags():
     assert time.perf_counter() - began < 20
 
 
+def test_html_quotes_and_comments():
+    tree = grown()
+    text, other = (" ".join(f"{w}{n}" for n in range(40)) for w in ("word", "other"))
+    whole = f"{text} They don't mind {other}"
+    for start in ("<p data-x=it's>", '<p title="a"b">', "<p it's>", '<p title="a > b">', "<p title='x' \"y>", '<p title="never ended>', "<p =x>"):
+        assert main_text(f"<article>{start}{text}</p><p>They don't mind</p><p>{other}</p></article>", tree) == whole, start
+        assert main_text(f"<div>{start}{text}</p><p>They don't mind</p><p>{other}</p></div>", tree) == whole, start
+    assert main_text(f"<article><!--><p>{text}</p><!-- a --!><p>They don't mind</p><!---><p>{other}</p><!-- x --></article>", tree) == whole
+    assert main_text(f'<article><p class="a" class=\'b\'>{text}<p>They don\'t mind<p class="it&#39;s ad">x</p><p>{other}</article>', tree) == whole
+
+
+def test_html_names_inside_the_article():
+    tree = grown()
+    text, other = (" ".join(f"{w}{n}" for n in range(40)) for w in ("word", "other"))
+    links = "<ul>" + "".join(f"<li><a href=x{n}>Some page {n}</a></li>" for n in range(5)) + "</ul>"
+    head = "<body><nav><a href=x>Home</a></nav><article>"
+    cases = (
+        (f"<div class='article-header'><h1>Head line</h1></div><p>{text}</p>", f"Head line {text}"),
+        (f"<div class='article-header'><h1>Head line</h1><p>By Ann Lee</p></div><p>{text}</p>", f"Head line By Ann Lee {text}"),
+        (f"<p>{text}</p><h2 class='section-header'>Sub head</h2><p>{other}</p>", f"{text} Sub head {other}"),
+        (f"<p>{text}</p><section class='related-work'><h2>Related work</h2><p>{other}</p><p>A short line.</p><p>{text}</p></section>", f"{text} Related work {other} A short line. {text}"),
+        (f"<h1>Head</h1><p>{text}</p>{links}<p>{other}</p>", f"Head {text} {other}"),  # links without a name, within the text and at its end
+        (f"<h1>Head</h1><p>{text}</p><p>{other}</p>{links}", f"Head {text} {other}"),
+        (f"<h1>Head</h1><p>{text}</p><div class='related'><h3>Related</h3>{links}</div>", f"Head {text}"),
+        (f"<h1>Head</h1><p>{text}</p><div class='sidebar'><h3>More</h3><p>{other}</p></div><p>end of it</p>", f"Head {text} end of it"),
+        (f"<h1><a href=x>Head line</a></h1><p>{text}</p><p><a href=x>One link of its own</a></p><p>{other}</p>", f"Head line {text} One link of its own {other}"),
+    )
+    for body, expected in cases:
+        assert main_text(f"{head}{body}</article><footer>(c)</footer>", tree) == expected, body
+    for linked in range(0, 21):  # paragraphs with half their words in links stay, whatever is beside them
+        page = "".join(f"<p>{' '.join(f'a{n}' for n in range(40 - linked))} <a href=x>{' '.join(f'b{n}' for n in range(linked))}</a></p><p>See <a href=y>this</a></p>" for _ in range(3))
+        assert len(main_text(f"<article>{page}</article>", tree).split()) == 3 * 42
+
+
+def test_html_time_and_memory_grow_with_the_page():
+    import time
+    import tracemalloc
+
+    tree, n = grown(), 50_000
+    pages = {
+        "ends": "<b><article>" + "<i>" * n + "</b>" * n,
+        "nested": "<div class=nav>" * n + "x" + "</div>" * n,
+        "lines": "<div class=nav>x" * n,
+        "stray": "<div>" * n + "</span>" * n,
+        "quotes": "<p a='" * n + "x",
+        "equals": "<p " + "a= " * n,
+        "raw": "<article><script>" + "</script " * n,
+        "blanks": "<p a" + " " * n + "<p " * n,
+        "lists": "<li><p><table>" * n + "<li>" * n,
+    }
+    for name, page in pages.items():
+        began = time.perf_counter()
+        main_text(page, tree)
+        assert time.perf_counter() - began < 6, name
+    tracemalloc.start()
+    main_text(pages["lines"], tree)
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_html_without_article_equals_a_plain_parser():
+    from html.parser import HTMLParser
+
+    from codexloom.llm.html_text import BLOCK_TAGS
+
+    class Plain(HTMLParser):
+        """Blocks as (words, words in links, boilerplate) of well-formed pages."""
+
+        def __init__(self):
+            super().__init__()
+            self.around, self.pieces, self.found = [], [], []
+
+        def flush(self):
+            words = "".join(text for text, _ in self.pieces).split()
+            if words:
+                boiler = any(t in ("nav", "footer", "aside") or c in ("sidebar", "ad") for t, c in self.around)
+                self.found.append((words, sum(len(text.split()) for text, link in self.pieces if link), boiler))
+            self.pieces = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in BLOCK_TAGS:
+                self.flush()
+            if tag != "br":
+                self.around.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            if tag in BLOCK_TAGS:
+                self.flush()
+            assert self.around.pop()[0] == tag
+
+        def handle_data(self, data):
+            self.pieces.append((data, any(t == "a" for t, _ in self.around)))
+
+    tree, rng = grown(), random.Random(8)
+
+    def words(n):
+        return " ".join(rng.choice(("fish", "caf&eacute;", "a&amp;b", "don't", "x")) for _ in range(n))
+
+    def block():
+        n = rng.choice((1, 2, 4, 9, 20, 30, 70))
+        m = rng.randrange(0, n + 1) if rng.random() < 0.4 else 0
+        inner = f"{words(n - m)} <a href='x>y' title=\"it's\">{words(m)}</a> <b>{words(1)}</b>{rng.choice(('', '<br>'))}{words(2)}"
+        tag = rng.choice(("p", "h2", "div", "blockquote"))
+        return f"<{tag} class={rng.choice(('plain', 'text', 'commentary'))}>{inner}</{tag}>"
+
+    for _ in range(300):
+        page = ""
+        for _ in range(rng.randrange(1, 8)):
+            tag, name = rng.choice((("nav", "x"), ("div", "sidebar"), ("footer", "x"), ("section", "x"), ("div", "y"), ("div", "z")))
+            page += f"<{tag} class='{name}'>" + "".join(block() for _ in range(rng.randrange(1, 5))) + f"</{tag}>\n"
+        # A long block outside any marked part: nothing marked is a wrapper of the page.
+        page = f"<html><body>{page}<p>{words(60)}</p></body></html>"
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        found = plain.found
+        own = [(0, 0.0)] + [(len(w), k / len(w)) for w, k, _ in found] + [(0, 0.0)]
+        kept = [w for i, (w, _, boiler) in enumerate(found) if tree.keep((*own[i], *own[i + 1], *own[i + 2], boiler, 0, 0, 0, 0))]
+        assert main_text(page, tree) == " ".join(" ".join(w) for w in kept)
+
+
 def test_html_repeated_rows_empty_tables_and_clashing_names(spark):
     from codexloom.llm.html_text import extract
 
