@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as C
+from ..functions import text as X
 from ..operators import chunking as K
 from ..operators import layout as L
 from ..operators import models as M
@@ -225,6 +226,31 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chunk_index", "boundary_reason", "tokens", F.sha2("source_text", 256).alias("sha256"))
 
 
+_KINDS = "case (pos + doc_id) % 29 when 3 then 'formula' when 5 then 'picture' when 7 then 'code' when 20 then 'heading' else 'paragraph' end"
+_DECISIONS = "case when (cast(floor(pos / 9) as bigint) + doc_id) % 3 = 1 then 'CONTINUE' when (pos + doc_id) % 5 = 0 then 'SPLIT' end"
+
+
+@query(f"""with recursive p as materialized (select doc_id, pos, case when kind = 'heading' then 'H' when kind = 'paragraph' then 'T' else 'A' end as part, pos // 40 section, decision, {_sizes('text')}, row_number() over (partition by doc_id order by pos) n
+  from (select *, {_KINDS} kind, {_DECISIONS} decision from {A.CUT_LINES})),
+ f(doc_id, n, draft, part, why, cjk, other) as (select doc_id, n, 0, part, null::varchar, cjk, other from p where n = 1
+  union all select p.doc_id, p.n, case when w is null then f.draft else f.draft + 1 end, p.part, w, case when w is null then f.cjk + p.cjk else p.cjk end, case when w is null then f.other + p.other else p.other end
+  from f join p on p.doc_id = f.doc_id and p.n = f.n + 1, lateral (select case when f.part = 'A' or p.part = 'A' then 'ATOMIC_BLOCK' when p.part = 'H' then 'SECTION_BOUNDARY' when {_TOK.format('f.cjk + p.cjk', 'f.other + p.other')} > 80 then 'TOKEN_HARD_LIMIT'
+   when decision = 'SPLIT' and {_TOK.format('f.cjk', 'f.other')} >= 25 then 'LLM_SEMANTIC_SPLIT' when {_TOK.format('f.cjk + p.cjk', 'f.other + p.other')} > 50 and coalesce(decision, '') <> 'CONTINUE' then 'TOKEN_SOFT_LIMIT' end w)),
+ d as materialized (select f.doc_id, f.draft, bool_and(p.part <> 'A') is_text, arg_min(p.section, p.n) section, sum(p.cjk)::bigint cjk, sum(p.other)::bigint other from f join p using (doc_id, n) group by 1, 2),
+ m(doc_id, draft, k, is_text, section, cjk, other) as (select doc_id, draft, 0, is_text, section, cjk, other from d where draft = 0
+  union all select d.doc_id, d.draft, case when j then m.k else m.k + 1 end, d.is_text, d.section, case when j then m.cjk + d.cjk else d.cjk end, case when j then m.other + d.other else d.other end
+  from m join d on d.doc_id = m.doc_id and d.draft = m.draft + 1, lateral (select d.is_text and m.is_text and d.section = m.section and {_TOK.format('d.cjk', 'd.other')} < 25 and {_TOK.format('d.cjk', 'd.other')} + {_TOK.format('m.cjk', 'm.other')} <= 50 j)),
+ r as (select doc_id, draft - 1 draft, why from f where why is not null)
+ select f.doc_id, p.pos, f.draft::bigint draft, case when d.is_text then coalesce(r.why, 'END_OF_DOCUMENT') else 'ATOMIC_BLOCK' end reason, m.k::bigint chunk_index
+ from f join p using (doc_id, n) join d using (doc_id, draft) join m using (doc_id, draft) left join r using (doc_id, draft)""")
+def packed_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing with headings, blocks that stand alone and decisions about boundaries: the
+    draft, closing reason and chunk of each piece."""
+    rows = A.cut_lines(spark, sf_dir).select("doc_id", "pos", "text")
+    rows = rows.select("doc_id", "pos", F.lit(0).alias("piece"), F.expr(_KINDS).alias("kind"), F.expr(_DECISIONS).alias("decision"), F.floor(F.col("pos") / 40).cast("string").alias("section"), X.cjk_chars(F.col("text")).cast("int").alias("cjk"), X.other_chars(F.col("text")).cast("int").alias("other"))
+    return K.pack(rows, soft=50, hard=80, least=25).select("doc_id", "pos", "draft", "reason", "chunk_index")
+
+
 _SPLIT_ROWS = f"(select 0 kind, doc_id, pos, markdown as text from {A.MARKUP} where kind = 'paragraph' union all select 1, doc_id, pos, text from {A.LINES})"
 
 
