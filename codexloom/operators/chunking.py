@@ -33,31 +33,29 @@ def sentences(text: Column) -> Column:
 def split_sentences(text: Column) -> Column:
     """Sentences, with formulas and citations kept whole.
 
-    Each protected span stands as one private-use character while the text is cut; the
-    n-th mark of the text is the n-th span, so sentences take their spans back by count."""
-    mark = "\ue000"
+    Each protected span stands as one noncharacter while the text is cut; the sentences,
+    joined by another one, take all their spans back at once, by their order."""
+    mark, between = "\ufdd0", "\ufdd1"
 
     def cut(spans: Column) -> Column:
         found = sentences(F.regexp_replace(text, C.PROTECTED, mark))
-        marks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(mark)))
-        begin = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
 
-        def restore(done: Column, s: Column) -> Column:
-            pieces = F.split(s, mark)
-            whole = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(spans, done["used"] + i - 1), p))), "")
-            return F.struct((done["used"] + marks(s)).cast("int").alias("used"), F.concat(done["out"], F.array(whole)).alias("out"))
+        def restore(cuts: Column) -> Column:
+            pieces = F.transform(F.split(F.array_join(cuts, between), mark), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(spans, i - 1), p)))
+            return F.when(F.size(cuts) == 0, cuts).otherwise(F.split(F.array_join(pieces, ""), between))
 
-        return F.aggregate(found, begin, restore, lambda done: done["out"])
+        return X.let(found, restore)
 
     return X.let(F.regexp_extract_all(text, F.lit(C.PROTECTED), F.lit(0)), cut)
 
 
-def greedy_groups(counts: Column, limit: int, most: int | None = None, base_cjk: Column | None = None, base_other: Column | None = None) -> Column:
-    """Group number of each (cjk, other) item: a group closes before the item with which it
-    would exceed ``limit`` tokens (with the base) or ``most`` items."""
+def greedy_cuts(counts: Column, limit: int, most: int | None = None, base_cjk: Column | None = None, base_other: Column | None = None) -> Column:
+    """Where groups of (cjk, other) items begin: a group closes before the item with which it
+    would exceed ``limit`` tokens (with the base) or ``most`` items.  The fold carries the
+    begins only, which grow with a group and not with an item."""
     zero = F.lit(0).cast("int")
     bc, bo = (base_cjk if base_cjk is not None else zero).cast("int"), (base_other if base_other is not None else zero).cast("int")
-    begin = F.struct(zero.alias("g"), zero.alias("n"), zero.alias("cjk"), zero.alias("other"), F.array().cast("array<int>").alias("out"))
+    begin = F.struct(zero.alias("at"), zero.alias("n"), zero.alias("cjk"), zero.alias("other"), F.array(zero).alias("begins"))
 
     def step(done: Column, item: Column) -> Column:
         cjk, other = done["cjk"] + item["cjk"], done["other"] + item["other"]
@@ -65,11 +63,16 @@ def greedy_groups(counts: Column, limit: int, most: int | None = None, base_cjk:
         if most is not None:
             full = full | (done["n"] >= most)
         close = full & (done["n"] > 0)
-        g = done["g"] + close.cast("int")
         keep = lambda old, new: F.when(close, new).otherwise(old + new).cast("int")
-        return F.struct(g.cast("int").alias("g"), keep(done["n"], F.lit(1)).alias("n"), keep(done["cjk"], item["cjk"]).alias("cjk"), keep(done["other"], item["other"]).alias("other"), F.concat(done["out"], F.array(g.cast("int"))).alias("out"))
+        begins = F.when(close, F.concat(done["begins"], F.array(done["at"]))).otherwise(done["begins"])
+        return F.struct((done["at"] + 1).cast("int").alias("at"), keep(done["n"], F.lit(1)).alias("n"), keep(done["cjk"], item["cjk"]).alias("cjk"), keep(done["other"], item["other"]).alias("other"), begins.alias("begins"))
 
-    return F.aggregate(counts, begin, step, lambda done: done["out"])
+    return F.aggregate(counts, begin, step, lambda done: done["begins"])
+
+
+def _groups(items: Column, begins: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the items of each group and its number."""
+    return F.transform(begins, lambda at, g: body(F.slice(items, at + 1, F.coalesce(F.get(begins, g + 1), F.size(items)) - at), g))
 
 
 def _counts(text: Column) -> Column:
@@ -82,8 +85,8 @@ def split_blocks(blocks: DataFrame, hard: int = C.HARD_TOKENS) -> DataFrame:
     big = (X.estimate_tokens(F.col("markdown")) > hard) & F.col("kind").isin("paragraph", "list_item", "reference", "caption", "other")
     whole = blocks.where(~big).withColumns({"piece": F.lit(0), "piece_id": F.col("block_id"), "source_id": F.col("block_id")})
     cut = blocks.where(big).withColumn("cx_s", split_sentences(F.col("markdown")))
-    cut = cut.withColumn("cx_g", greedy_groups(F.transform("cx_s", _counts), hard))
-    grouped = F.transform(F.sequence(F.lit(0), F.array_max("cx_g")), lambda g: X.join_sentences(F.filter("cx_s", lambda s, i: F.get("cx_g", i) == g)))
+    cut = cut.withColumn("cx_g", greedy_cuts(F.transform("cx_s", _counts), hard))
+    grouped = _groups(F.col("cx_s"), F.col("cx_g"), lambda some, _: X.join_sentences(some))
     cut = cut.withColumn("cx_n", F.size("cx_s"))
     parts = cut.select(*blocks.columns, "cx_n", F.posexplode(F.when(F.col("cx_n") > 1, grouped).otherwise(F.array("markdown"))).alias("piece", "cx_text"))
     one = F.col("cx_n") <= 1
@@ -267,9 +270,9 @@ def table_groups(markdown: Column, caption: Column, hard: int = C.HARD_TOKENS, r
         whole = render(head, rows, caption)
         fits = (F.size(rows) <= rows_per_table) & (X.estimate_tokens(whole) <= hard)
         sized = F.concat(F.when(caption != "", F.concat(caption, F.lit(" (continued)"))).otherwise(F.lit("")), F.array_join(head, ""))
-        groups = greedy_groups(F.transform(rows, _counts), hard, rows_per_table, X.cjk_chars(sized), X.other_chars(sized))
+        begins = greedy_cuts(F.transform(rows, _counts), hard, rows_per_table, X.cjk_chars(sized), X.other_chars(sized))
         named = lambda g: F.when((caption != "") & (g > 0), F.concat(caption, F.lit(" (continued)"))).otherwise(caption)
-        several = X.let(groups, lambda gs: F.transform(F.sequence(F.lit(0), F.array_max(gs)), lambda g: render(head, F.filter(rows, lambda r, i: F.get(gs, i) == g), named(g))))
+        several = X.let(F.struct(rows.alias("rows"), begins.alias("begins")), lambda x: _groups(x["rows"], x["begins"], lambda some, g: render(head, some, named(g))))
         plain = F.concat(F.when(caption != "", F.concat(caption, F.lit("\n\n"))).otherwise(F.lit("")), X.strip(markdown))
         table = (F.size(ls) >= 2) & is_separator_row(F.get(ls, F.lit(1)))
         return F.when(~F.coalesce(table, F.lit(False)), F.array(plain)).when(fits, F.array(whole)).otherwise(several)

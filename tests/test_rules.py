@@ -263,3 +263,37 @@ def test_ir_version_gate(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"version": "9", "docId": 1}')
     with pytest.raises(Exception, match="unsupported version"):
         T.read_ir(spark, str(tmp_path)).select("version").collect()
+
+
+def test_long_blocks_and_tables_are_grouped_in_linear_time(spark):
+    import time
+
+    rng = random.Random(4)
+    spans = ["", " see [1, 2]", " $a. b$", " 中文"]
+
+    def plain(items, limit, most, base=0):
+        """Groups by a loop: tokens of a sum of characters without blanks, CJK ones whole."""
+        out, held, cjk, other = [], [], 0, 0
+        for text in items:
+            c = sum("一" <= x <= "鿿" for x in text)
+            o = sum(not x.isspace() for x in text) - c
+            if held and (cjk + c - -(base + other + o) // 4 > limit or (most and len(held) >= most)):
+                out, held, cjk, other = [*out, held], [], 0, 0
+            held.append(text)
+            cjk, other = cjk + c, other + o
+        return [*out, held]
+
+    took = {}
+    for n in (5_000, 50_000):
+        said = [f"Word {k} of it{rng.choice(spans)} is {'x' * rng.randrange(1, 30)}." for k in range(n)]
+        blocks = spark.createDataFrame([("d", "b", 0, "paragraph", " ".join(said))], "doc_id string, block_id string, pos long, kind string, markdown string").withColumn("text", F.col("markdown"))
+        rows = [f"| {k} | {'y' * rng.randrange(1, 60)} |" for k in range(n)]
+        table = spark.createDataFrame([("\n".join(["| a | b |", "| --- | --- |", *rows]),)], "t string")
+        began = time.perf_counter()
+        found = [r["markdown"] for r in chunking.split_blocks(blocks, 200).orderBy("piece").collect()]
+        groups = table.select(F.explode(chunking.table_groups(F.col("t"), F.lit(""), 100, 12)).alias("g")).collect()
+        took[n] = time.perf_counter() - began
+        assert found == [" ".join(g) for g in plain(said, 200, None)]
+        head = sum(not x.isspace() for x in "| a | b || --- | --- |")
+        assert [r["g"] for r in groups] == ["\n".join(["| a | b |", "| --- | --- |", *g]) for g in plain(rows, 100, 12, head)]
+    assert took[50_000] < 30 * max(1, took[5_000])
