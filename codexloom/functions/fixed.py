@@ -51,6 +51,7 @@ RISK_MESSAGES = {
     "LONG_PARAGRAPH": "超长段落需在切块阶段按句边界拆分",
     "STRUCTURE": "检测到双栏版面，已按左栏后右栏修正阅读顺序",
 }
+COHERENCE_MESSAGES = {"SEMANTIC_DISCONTINUITY": "当前 chunk 可能切断了上一句，建议对照原文复核", "BOUNDARY_MODEL_FAILED": "跨 chunk 连贯性检查失败，已保留译文并提示人工复核"}
 SEQUENCE_MESSAGES = {"NUMBER_MISMATCH": "数字或单位序列与原文不一致，建议人工复核", "FORMULA_MISMATCH": "公式序列与原文不一致，建议人工复核", "CITATION_MISMATCH": "引用序列与原文不一致，建议人工复核"}
 STRUCTURE_MESSAGES = {"TABLE": "表格行数与原文不一致", "FORMULA": "公式分隔符数量不一致", "REFERENCE": "引用标记数量不一致"}
 ISSUE_TYPES = {
@@ -84,6 +85,7 @@ ENTITY_TYPES = ["CHARACTER", "PLACE", "SETTING"]
 UPLOAD_SUFFIXES = [".pdf", ".md", ".txt"]
 MODES = ["paper", "novel"]
 OCR_MODES = ["auto", "off", "force"]
+TARGET_LANGUAGES = ["zh", "en", "ja", "ko", "fr", "de", "es", "pt", "ru", "ar"]
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 MEDIA_TYPES = {".md": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".json": "application/json", ".jsonl": "application/x-ndjson", ".csv": "text/csv", ".pdf": "application/pdf", ".png": "image/png", ".zip": "application/zip"}
 #: UUID namespace for names that are URLs.

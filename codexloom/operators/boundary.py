@@ -80,6 +80,18 @@ def cross_chunk_suspicion(chunks: DataFrame) -> DataFrame:
     return rows.where(right.rlike(r"^\p{Ll}") | cut).select("doc_id", "chunk_index", F.right(left, F.lit(800)).alias("left"), F.left(right, F.lit(800)).alias("right"))
 
 
+def coherence_risks(suspects: DataFrame, answers: DataFrame) -> DataFrame:
+    """Risks of suspected cuts, by a model's answers (doc_id, chunk_index, decision, error):
+    a text that goes on over the cut is a high one, and a question without an answer is told.
+    Both columns of an answer may be null, and a suspect may have none."""
+    rows = suspects.select("doc_id", "chunk_index").join(answers.select("doc_id", "chunk_index", "decision", "error"), ["doc_id", "chunk_index"], "left")
+    failed = F.col("error").isNotNull() | F.col("decision").isNull()
+    kind = F.when(failed, "BOUNDARY_MODEL_FAILED").when(F.col("decision") == "CONTINUE", "SEMANTIC_DISCONTINUITY")
+    severity = F.when(F.col("risk_type") == "SEMANTIC_DISCONTINUITY", "HIGH").otherwise("MEDIUM")
+    rows = rows.withColumn("risk_type", kind).where("risk_type is not null")
+    return rows.select("doc_id", "chunk_index", "risk_type", severity.alias("severity"), X.lookup(F.col("risk_type"), C.COHERENCE_MESSAGES).alias("message"))
+
+
 def topics(rows: DataFrame, key: str, text: str, limit: int = 5) -> DataFrame:
     """The most frequent words of each text, then first ones first; null without words."""
     words = rows.select(key, F.posexplode_outer(X.tokens(F.col(text))).alias("at", "word"))

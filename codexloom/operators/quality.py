@@ -96,12 +96,14 @@ def outputs_valid(jobs: DataFrame, files: DataFrame, needed: list[str]) -> DataF
 
 
 def upload_errors(requests: DataFrame) -> DataFrame:
-    """The first failed check of an upload, or null."""
+    """The first failed check of an upload, or null; what isn't given fails its check."""
+    requests = requests.fillna("", ["filename", "mode", "ocr_mode", "target_language"])
     suffix = F.lower(F.regexp_extract("filename", r"(\.[^./\\]+)$", 1))
     error = (
         F.when(~suffix.isin(*C.UPLOAD_SUFFIXES), "UNSUPPORTED_FILE")
         .when(~F.col("mode").isin(*C.MODES), "INVALID_MODE")
         .when(~F.col("ocr_mode").isin(*C.OCR_MODES), "INVALID_OCR_MODE")
+        .when(~F.col("target_language").isin(*C.TARGET_LANGUAGES), "INVALID_LANGUAGE")
         .when(F.col("bytes") > C.MAX_UPLOAD_BYTES, "FILE_TOO_LARGE")
     )
     return requests.withColumn("error", error)

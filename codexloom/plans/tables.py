@@ -302,13 +302,14 @@ def job_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.jobs(spark, sf_dir).select("job_id", X.lookup(F.col("status"), C.STATUS_LABELS).alias("label"), F.date_format("created_at", "MM-dd HH:mm:ss").alias("at"), X.duration(elapsed).alias("elapsed"))
 
 
-@query(f"""select job_id, e as error from (select job_id, case when suffix not in ('.pdf', '.md', '.txt') then 'UNSUPPORTED_FILE' when m not in ('paper', 'novel') then 'INVALID_MODE' when bytes > 52428800 then 'FILE_TOO_LARGE' end e from
+@query(f"""select job_id, e as error from (select job_id, case when suffix not in ('.pdf', '.md', '.txt') then 'UNSUPPORTED_FILE' when m not in ('paper', 'novel') then 'INVALID_MODE' when job_id % 7 = 0 then 'INVALID_OCR_MODE' when job_id % 11 > 9 then 'INVALID_LANGUAGE' when bytes > 52428800 then 'FILE_TOO_LARGE' end e from
  (select job_id, case job_id % 4 when 0 then '.md' when 1 then '.txt' when 2 then '.pdf' else '.doc' end suffix, case when job_id % 5 = 0 then 'poem' else 'paper' end m, job_id * 10000 bytes from {A.JOBS}))""")
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.quality import upload_errors
 
     suffix = F.element_at(F.array(*(F.lit(s) for s in (".MD", ".txt", ".pdf", ".doc"))), (F.col("job_id") % 4 + 1).cast("int"))
-    rows = A.jobs(spark, sf_dir).select("job_id", F.concat(F.lit("a"), suffix).alias("filename"), F.when(F.col("job_id") % 5 == 0, "poem").otherwise("paper").alias("mode"), F.lit("auto").alias("ocr_mode"), (F.col("job_id") * 10000).alias("bytes"))
+    rows = A.jobs(spark, sf_dir).select("job_id", F.concat(F.lit("a"), suffix).alias("filename"), F.when(F.col("job_id") % 5 == 0, "poem").otherwise("paper").alias("mode"), F.when(F.col("job_id") % 7 == 0, "maybe").otherwise(F.element_at(F.array(*(F.lit(m) for m in C.OCR_MODES)), (F.col("job_id") % 3 + 1).cast("int"))).alias("ocr_mode"),
+        F.get(F.array(*(F.lit(x) for x in C.TARGET_LANGUAGES)), (F.col("job_id") % 11).cast("int")).alias("target_language"), (F.col("job_id") * 10000).alias("bytes"))
     return upload_errors(rows).select("job_id", "error")
 
 

@@ -12,6 +12,7 @@ from ..operators import boundary as B
 from ..operators import chunking as K
 from ..operators import quality as Y
 from ..operators import render as R
+from ..runtime import saved
 from . import adapters as A
 from .registry import query
 
@@ -155,6 +156,18 @@ def cross_chunk_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.cross_chunk_suspicion(_suspects(spark, sf_dir))
 
 
+@query(f"""with c as (select doc_id, row_number() over w - 1 k, text, pos, lag(text) over w t from {A.CUT_LINES} window w as (partition by doc_id order by pos)),
+ s as (select doc_id, k, regexp_replace(t, '\\s+$', '') l, regexp_replace(text, '^\\s+', '') r, pos % 3 <> 0 soft from c where t is not null)
+ select doc_id, k::bigint chunk_index, case when k % 4 = 1 then 'SEMANTIC_DISCONTINUITY' else 'BOUNDARY_MODEL_FAILED' end risk_type, case when k % 4 = 1 then 'HIGH' else 'MEDIUM' end severity,
+ case when k % 4 = 1 then '{C.COHERENCE_MESSAGES["SEMANTIC_DISCONTINUITY"]}' else '{C.COHERENCE_MESSAGES["BOUNDARY_MODEL_FAILED"]}' end message from s where k % 4 <> 2 and (regexp_matches(r, '^\\p{{Ll}}') or (l <> '' and not contains('{C.CLOSERS}', right(l, 1)) and soft))""")
+def coherence_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risks of suspected cuts by recorded answers: to go on, to split, an error or none."""
+    rows = saved(_suspects(spark, sf_dir))
+    nth = F.col("chunk_index") % 4
+    answers = rows.where(nth > 0).select("doc_id", "chunk_index", F.when(nth == 1, "CONTINUE").when(nth == 2, "SPLIT").alias("decision"), F.when(nth == 3, "timeout").alias("error"))
+    return B.coherence_risks(B.cross_chunk_suspicion(rows), answers)
+
+
 _NUMBERS = "regexp_extract_all({0}, '(^|[^\\p{{L}}\\p{{N}}_])([+-]?\\p{{Nd}}+(?:[.,]\\p{{Nd}}+)*(?:%|[a-zA-Z]+)?)', 2)"
 
 

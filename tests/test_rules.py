@@ -297,3 +297,20 @@ def test_long_blocks_and_tables_are_grouped_in_linear_time(spark):
         head = sum(not x.isspace() for x in "| a | b || --- | --- |")
         assert [r["g"] for r in groups] == ["\n".join(["| a | b |", "| --- | --- |", *g]) for g in plain(rows, 100, 12, head)]
     assert took[50_000] < 30 * max(1, took[5_000])
+
+
+def test_uploads_fail_their_first_check(spark):
+    good = ("a.PDF", "paper", "force", "ar", 1)
+    cases = {(*good[:k], bad, *good[k + 1 :]): name for k, bad, name in ((0, "a.doc", "UNSUPPORTED_FILE"), (1, "poem", "INVALID_MODE"), (2, "on", "INVALID_OCR_MODE"), (3, "xx", "INVALID_LANGUAGE"), (4, 52_428_801, "FILE_TOO_LARGE"))}
+    cases |= {good: None, ("", None, None, None, 1): "UNSUPPORTED_FILE", (*good[:3], None, 1): "INVALID_LANGUAGE", (None, *good[1:]): "UNSUPPORTED_FILE"}
+    rows = spark.createDataFrame([(n, *c) for n, c in enumerate(cases)], "n int, filename string, mode string, ocr_mode string, target_language string, bytes long")
+    assert [r["error"] for r in quality.upload_errors(rows).orderBy("n").collect()] == list(cases.values())
+
+
+def test_coherence_risks_of_each_answer(spark):
+    suspects = spark.createDataFrame([("d", n) for n in range(5)], "doc_id string, chunk_index int")
+    answers = [("d", 0, "CONTINUE", None), ("d", 1, "SPLIT", None), ("d", 2, None, "timeout"), ("d", 3, "CONTINUE", "late"), ("d", 9, "CONTINUE", None)]
+    out = boundary.coherence_risks(suspects, spark.createDataFrame(answers, "doc_id string, chunk_index int, decision string, error string")).collect()
+    failed = ("BOUNDARY_MODEL_FAILED", "MEDIUM")
+    assert {r["chunk_index"]: (r["risk_type"], r["severity"]) for r in out} == {0: ("SEMANTIC_DISCONTINUITY", "HIGH"), 2: failed, 3: failed, 4: failed}
+    assert all(r["message"] for r in out) and boundary.coherence_risks(suspects.limit(0), suspects.selectExpr("*", "'SPLIT' decision", "null error")).count() == 0
