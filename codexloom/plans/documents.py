@@ -95,6 +95,24 @@ def table_render_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tables(A.markup(spark, sf_dir)).select("doc_id", "table_id", "n_rows", "n_columns", "render_mode")
 
 
+_SAID = "case o_orderkey % 6 when 0 then '0.4' when 1 then '0.6' when 2 then 'high' when 4 then '0.59' when 5 then '1' end"
+
+
+@query(f"""select doc_id, {_TID} table_id, case when n > 0 then 2 else 0 end n_rows, n n_columns, confidence, case when confidence < 0.6 then 'IMAGE' when n between 1 and 8 then 'GFM' else 'HTML' end render_mode
+ from (select o_orderkey doc_id, 'block_000000' block_id, case when o_orderkey % 7 = 0 then 0 else 1 + o_orderkey % 11 end n, try_cast({_SAID} as double) confidence from orders)""")
+def table_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of one to eleven columns, or that can't be read as one, with what a parser says
+    of its confidence (a number, a word or nothing)."""
+    n = (F.col("o_orderkey") % 11 + 1).cast("int")
+    names = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("c"), i)), " | ")
+    values = F.array_join(F.array_repeat(F.col("o_orderkey").cast("string"), n), " | ")
+    rule = F.concat(F.repeat(F.lit("| --- "), n), F.lit("|"))
+    table = F.concat(F.lit("| "), names, F.lit(" |\n"), rule, F.lit("\n| "), values, F.lit(" |"))
+    markdown = F.when(F.col("o_orderkey") % 7 == 0, F.lit("Totals by order")).otherwise(table)
+    rows = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("table").alias("kind"), F.lit("block_000000").alias("block_id"), markdown.alias("markdown"), F.struct(S.confidence(F.expr(_SAID)).alias("confidence")).alias("metadata"))
+    return S.tables(rows).drop("block_id")
+
+
 def _formula_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.table(spark, sf_dir, "orders")
     tail = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" ("), F.col("o_orderkey") % 9, F.lit(".2)"))).otherwise("")
