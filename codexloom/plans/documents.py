@@ -113,6 +113,23 @@ def table_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tables(rows).drop("block_id")
 
 
+@query("""select k chunk_id, case when k % 10 = 0 and k % 20 = 0 then '<figure class="formula-asset"><img src="a/' || k || '.png" alt="公式原图"><figcaption>公式由原文截图保留，请对照原始 PDF 复核。</figcaption></figure>'
+ when k % 10 = 0 then '<pre class="formula">公式解析为空，请对照原始 PDF 复核。</pre>' when k % 4 = 3 then '<pre><code>if a &lt; ' || k || ' &amp;&amp; b:' || chr(10) || '  c</code></pre>'
+ else '<pre class="formula">a_' || k || ' &lt; b &amp; c</pre>' end html from (select o_orderkey k from orders)""")
+def atomic_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, and formulas in each pair of delimiters, some of them empty, with a picture or without."""
+    k = F.col("o_orderkey")
+    empty = k % 10 == 0
+    body = F.concat(F.lit("a_"), k, F.lit(" < b & c"))
+    code = F.concat(F.lit("if a < "), k, F.lit(" && b:\n  c"))
+    inside = lambda a, b: F.concat(F.lit(a), body, F.lit(b))
+    formula = F.when(empty, F.lit("$$ $$")).when(k % 4 == 0, inside("$$\n", "\n$$")).when(k % 4 == 1, inside("\\( ", " \\)")).otherwise(inside(" \\[", "\\] "))
+    is_code = ~empty & (k % 4 == 3)
+    asset = F.when(k % 20 == 0, F.concat(F.lit("a/"), k, F.lit(".png")))
+    rows = A.table(spark, sf_dir, "orders").select(k.alias("chunk_id"), F.when(is_code, "CODE").otherwise("FORMULA").alias("type"), F.when(is_code, code).otherwise(formula).alias("text"), asset.alias("asset"))
+    return rows.select("chunk_id", R.chunk_html(F.col("type"), F.col("text"), F.col("asset")).alias("html"))
+
+
 def _formula_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.table(spark, sf_dir, "orders")
     tail = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" ("), F.col("o_orderkey") % 9, F.lit(".2)"))).otherwise("")
