@@ -51,7 +51,9 @@ def normal_form(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{C.SPACE}+|{C.SPACE}+$", "")
+    """Without blanks at both ends.  A trim looks at the ends only; a pattern would try each
+    blank of the text as the beginning of its last ones."""
+    return F.trim(text, F.lit(C.BLANKS))
 
 
 def tokens(text: Column) -> Column:
