@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codexloom.functions import fixed as C
 from codexloom.functions import text as X
+from codexloom.sources import paged
 
 
 def test_blanks_inside_a_text_are_passed_once(spark):
@@ -22,3 +23,18 @@ def test_strip_is_that_of_the_pattern(spark):
     texts = [f"{a}x{a}y{b}{a}" for a in every for b in ("", "\n")] + ["", " ", "\r\n", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert rows.where(~X.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", f"^{C.SPACE}+|{C.SPACE}+$", ""))).count() == 0
+
+
+def test_ranges_grow_with_the_files(tmp_path):
+    for n in range(40):
+        (tmp_path / f"f{n:02d}.md").write_bytes(b"x" * 50_000)
+    tasks = lambda **o: len(paged.PagedReader({"path": str(tmp_path), **o}).partitions())
+    assert tasks(tasks=8) == 8 and tasks(tasks=1) == 1 and tasks(tasks=10_000) > 40 and tasks(range_bytes=25_000) == 80
+
+
+def test_small_files_share_batches(tmp_path):
+    for n in range(50):
+        (tmp_path / f"f{n:02d}.txt").write_text("a\fb" if n else "")
+    reader = paged.PagedReader({"path": str(tmp_path)})
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) == 1 and batches[0].num_rows == 98
