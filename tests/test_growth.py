@@ -10,6 +10,7 @@ from codexloom.functions import fixed as C
 from codexloom.functions import text as X
 from codexloom.operators import structure as S
 from codexloom.sources import paged
+from codexloom.sources.versioned import VersionedStore
 
 
 def test_blanks_inside_a_text_are_passed_once(spark):
@@ -48,3 +49,23 @@ def test_tables_share_csv_files(spark, tmp_path):
     found = S.read_table_csv(spark, f"file://{tmp_path}/csv").orderBy("table_id", "row").collect()
     assert len(found) == 900 and len({r["table_id"] for r in found}) == 300
     assert [r["row"] for r in found[:3]] == [0, 1, 2] and found[0]["line"] == "a,b" and found[1]["line"].endswith(',"say ""x"", y"') and found[2]["line"] == ",z"
+
+
+def test_keys_of_a_change_are_made_once_and_rows_arent_sorted(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    store = VersionedStore(spark, f"file://{tmp_path}/store", 4)
+    tx = store.begin()
+    tx.replace("t", spark.range(100).select(F.col("id").alias("job_id"), F.lit("a").alias("x")))
+    tx.commit()
+    keys = spark.range(10).select(F.col("id").alias("job_id")).mapInArrow(counted, "job_id long")
+    tx = store.begin()
+    tx.replace("t", spark.range(5).select(F.col("id").alias("job_id"), F.lit("b").alias("x")), keys)
+    tx.commit()
+    assert made.value == 10 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    assert sorted(map(tuple, store.snapshot().table("t").collect())) == [(k, "b") for k in range(5)] + [(k, "a") for k in range(10, 100)]
