@@ -19,13 +19,18 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def cjk_chars(text: Column) -> Column:
-    return matches(text, C.CJK)
+    return F.when(_ascii(text), F.lit(0)).otherwise(matches(text, C.CJK))
 
 
 def other_chars(text: Column) -> Column:
-    """Characters that are neither ideographs nor white space."""
-    return F.length(F.regexp_replace(text, f"(?:{C.CJK}|{C.SPACE})+", ""))
+    """Characters that are neither ideographs nor white space.  Text of ASCII alone, the most
+    of it, is tried against two ranges and not against all."""
+    return F.length(F.when(_ascii(text), F.regexp_replace(text, C.ASCII_SPACE, "")).otherwise(F.regexp_replace(text, f"[{C.CJK}{C.SPACE}]+", "")))
 
 
 def tokens_of(cjk: Column, other: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from codexloom.functions import fixed as C
 from codexloom.functions import text as X
+from codexloom.operators import chunking as K
 from codexloom.operators import structure as S
 from codexloom.sources import paged
+from codexloom.sources import text as T
 from codexloom.sources.versioned import VersionedStore
 
 
@@ -69,3 +71,24 @@ def test_keys_of_a_change_are_made_once_and_rows_arent_sorted(spark, tmp_path):
     tx.commit()
     assert made.value == 10 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
     assert sorted(map(tuple, store.snapshot().table("t").collect())) == [(k, "b") for k in range(5)] + [(k, "a") for k in range(10, 100)]
+
+
+def test_texts_of_chunks_are_shuffled_twice_at_most(spark, tmp_path):
+    rows = [(d, n, k, f"{k} {n}") for d in range(9) for n, k in enumerate(("title", "paragraph", "caption", "table", "paragraph", "formula"))]
+    blocks = spark.createDataFrame(rows, "doc_id long, pos int, kind string, markdown string").withColumns({"text": F.col("markdown"), "block_id": F.format_string("b%d", "pos")})
+    T.completed(blocks).write.parquet(f"{tmp_path}/blocks")
+    chunks = K.build_chunks(spark.read.parquet(f"{tmp_path}/blocks"))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert [(r["chunk_type"], r["source_text"], r["block_ids"]) for r in chunks.where("doc_id = 3").orderBy("chunk_index").collect()] == [
+        ("TEXT", "title 0\n\nparagraph 1", ["b0", "b1"]), ("TABLE", "caption 2\n\ntable 3", ["b2", "b3"]), ("TEXT", "paragraph 4", ["b4"]), ("FORMULA", "formula 5", ["b5"])
+    ]
+
+
+def test_a_table_with_two_captions_is_one_chunk(spark):
+    rows = [("caption", "Table 1. named", "#c", None), ("paragraph", "between", None, None), ("caption", "Table 2. before", None, None), ("table", "| a |\n| --- |\n| 1 |", None, ["#c"])]
+    b = spark.createDataFrame([(1, n, *r) for n, r in enumerate(rows)], "doc_id long, pos int, kind string, markdown string, own string, refs array<string>").withColumn("block_id", F.format_string("b%d", "pos"))
+    meta = F.col("metadata").withField("self_ref", F.col("own")).withField("caption_refs", F.col("refs"))
+    b = T.completed(b.drop("own", "refs")).join(b.select("block_id", "own", "refs"), "block_id").withColumn("metadata", meta).drop("own", "refs")
+    got = [(r["chunk_index"], r["chunk_type"], r["source_text"].split("\n")[0]) for r in K.build_chunks(b).orderBy("chunk_index").collect()]
+    assert got == [(0, "TEXT", "between"), (1, "TABLE", "Table 2. before")]
