@@ -3,7 +3,9 @@
 A call is named by the hash of its task and payload, so equal payloads share one.  Calls are
 dealt by that name into buckets; a task asks the calls of its buckets in small batches, and
 after each batch writes the answers, or the errors of calls that failed for good, to a file of
-its own before it goes on.  A task that is repeated after a lost executor reads the names in its
+its own before it goes on.  A file takes all batches of some seconds, so files grow with the
+time that calls take and not with their number; what a store shows of an open file after a
+flush (local disks and HDFS do) is kept when an executor is lost.  A task that is repeated after a lost executor reads the names in its
 buckets' files first and asks only the rest: a call is asked once more at most, and only if
 it was in the batch that the executor took with it.  Two copies of a task at once
 may ask twice; one answer of each call counts.
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 
 from ..runtime import saved
 from ..sources.files import Folder, opened
-from .models import Rejected, Transient, model_for
+from .models import CALLS, Rejected, Transient, each, model_for
 
-#: Calls that are written together, and wait for an answer at the same time.
-BATCH, CALLS = 64, 8
+#: Calls that are written together.
+BATCH = 64
 BUCKETS = 256
+#: Seconds after which a file of answers is closed.
+OPEN_S = 5.0
 
 ENTRY = "call string, task string, answer string, error string, lasting boolean, provider string, model string, total_tokens long, retries long, elapsed_ms long"
 
@@ -47,15 +51,19 @@ class Ledger:
 
     def _table(self, *names: str) -> DataFrame:
         paths = [f"{self.folder.uri}/{n}" for n in names]
-        return self.spark.read.schema(ENTRY).json(paths) if paths else self.spark.createDataFrame([], ENTRY)
+        # A line that was cut off has neither.
+        return self.spark.read.schema(ENTRY).json(paths).where("call is not null and (answer is not null or error is not null)") if paths else self.spark.createDataFrame([], ENTRY)
 
     def _parts(self, kind: str) -> list[str]:
         return [f"{kind}/{n}" for n in self.folder.names(kind) if not n.startswith((".", "_"))]
 
+    def _left(self) -> list[str]:
+        return [f"{run}/{b}" for run in self._parts("runs") for b in self.folder.names(run)]
+
     def entries(self) -> DataFrame:
         """One row a call; an answer goes before an error."""
         done = self.spark.read.schema(ENTRY).parquet(*(f"{self.folder.uri}/{n}" for n in found)) if (found := self._parts("done")) else self._table()
-        left = [f"{run}/{b}" for run in self._parts("runs") for b in self.folder.names(run)]
+        left = self._left()
         rows = done.unionByName(self._table(*left))
         best = F.min_by(F.struct(*rows.columns), F.struct(F.col("answer").isNull(), ~F.coalesce("lasting", F.lit(False)), "elapsed_ms"))
         return rows.groupBy("call").agg(best.alias("e")).select("e.*")
@@ -67,7 +75,7 @@ class Ledger:
         made = f"done/{uuid.uuid4().hex}"
         left = [f"{run}/{b}" for run in runs for b in self.folder.names(run)]
         if left:
-            self._table(*left).dropDuplicates(["call"]).write.parquet(f"{self.folder.uri}/.{made.replace('/', '-')}")
+            self._table(*left).write.parquet(f"{self.folder.uri}/.{made.replace('/', '-')}")
             self.folder.fs.mkdirs(self.folder.path("done"))
             self.folder.fs.rename(self.folder.path(f".{made.replace('/', '-')}"), self.folder.path(made))
         for run in runs:
@@ -82,47 +90,63 @@ class Ledger:
         with a lasting error, aren't asked; those with a passing one are asked again."""
         text = F.to_json(payload, {"ignoreNullFields": "false"})
         asked = saved(rows.select(*key_cols, text.alias("lg_payload"), F.when(text.isNotNull(), F.sha2(F.concat(F.lit(f"{self.version}:{task}:"), text), 256)).alias("call")))
-        known = self.entries().where("answer is not null or lasting").select("call")
-        calls = asked.where("call is not null").groupBy("call").agg(F.first("lg_payload").alias("payload")).join(known, "call", "left_anti")
+        calls = asked.where("call is not null")
+        if self._parts("done") or self._left():
+            calls = calls.join(self.entries().where("answer is not null or lasting").select("call"), "call", "left_anti")
         bucket = F.pmod(F.xxhash64("call"), F.lit(BUCKETS)).cast("int")
         name = f"runs/{uuid.uuid4().hex}"
         root, batch, retries, base = f"{self.folder.uri}/{name}", self.batch, self.retries, self.base
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            clients, at, have, held, made = make(), None, set(), [], 0
+            clients, at, last, have, held, made = make(), None, None, set(), [], 0
+            sink, opened_at = None, 0.0
             endpoints = [c if hasattr(c, "provider") else _Plain(c) for c in (clients if isinstance(clients, list) else [clients])]
 
             def one(held: tuple[str, str]) -> dict:
                 return entry_of(endpoints, task, json.loads(held[1]), retries, base)
 
+            def close() -> None:
+                nonlocal sink
+                if sink is not None:
+                    sink.close()
+                    sink = None
+
             def write(entries: list[dict]) -> None:
-                fs, path = opened(f"{root}/{at}")
-                fs.create_dir(path, recursive=True)
-                name = uuid.uuid4().hex
-                with fs.open_output_stream(f"{path}/.{name}", compression=None) as out:
-                    out.write("".join(json.dumps(e) + "\n" for e in entries).encode())
-                fs.move(f"{path}/.{name}", f"{path}/{name}.json")
+                nonlocal sink, opened_at
+                if sink is None:
+                    fs, path = opened(f"{root}/{at}")
+                    fs.create_dir(path, recursive=True)
+                    sink, opened_at = fs.open_output_stream(f"{path}/{uuid.uuid4().hex}.json", compression=None), time.monotonic()
+                sink.write("".join(json.dumps(e) + "\n" for e in entries).encode())
+                sink.flush()
+                if time.monotonic() - opened_at > OPEN_S:
+                    close()
 
             def flush(pool: ThreadPoolExecutor) -> None:
                 nonlocal held, made
                 if held:
-                    write([{"call": c, "task": task, **e} for c, e in zip((c for c, _ in held), pool.map(one, held), strict=True)])
+                    write([{"call": c, "task": task, **e} for c, e in zip((c for c, _ in held), each(pool, one, held), strict=True)])
                     made, held = made + len(held), []
 
-            with ThreadPoolExecutor(CALLS) as pool:
-                for part in batches:
-                    for b, call, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                        if b != at:
-                            flush(pool)
-                            at, have = b, _named(f"{root}/{b}")
-                        if call not in have:
-                            held.append((call, text))
-                        if len(held) == batch:
-                            flush(pool)
-                flush(pool)
+            try:
+                with ThreadPoolExecutor(CALLS) as pool:
+                    for part in batches:
+                        for b, call, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                            if b != at:
+                                flush(pool)
+                                close()
+                                at, have = b, _named(f"{root}/{b}")
+                            if call != last and call not in have:  # equal ones follow each other
+                                held.append((call, text))
+                            last = call
+                            if len(held) == batch:
+                                flush(pool)
+                    flush(pool)
+            finally:
+                close()
             yield pa.RecordBatch.from_pydict({"made": pa.array([made], pa.int64())})
 
-        dealt = saved(calls.select(bucket.alias("bucket"), "call", "payload"))
+        dealt = calls.select(bucket.alias("bucket"), "call", F.col("lg_payload").alias("payload"))
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "call").mapInArrow(run, "made long").agg(F.sum("made")).collect()  # one number
         self.settle([name])
@@ -139,7 +163,8 @@ def _named(uri: str) -> set[str]:
     for info in fs.get_file_info(pafs.FileSelector(path)):
         if info.extension == "json":
             with fs.open_input_stream(info.path, compression=None) as source:
-                out |= {json.loads(line)["call"] for line in source.read().decode().splitlines()}
+                lines = source.read().split(b"\n")[:-1]  # what follows the last end of a line was cut off
+                out |= {json.loads(line)["call"] for line in lines}
     return out
 
 

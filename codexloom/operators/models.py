@@ -99,6 +99,25 @@ def _asker(make: Make) -> Callable[[str, dict], str]:
     return lambda task, payload: fail_over([lambda c=c: c.chat(task, payload) for c in clients])
 
 
+def each(pool: ThreadPoolExecutor, one: Callable, rows: list) -> list:
+    """``one`` of every row, in their order.  Each thread takes the next row when it is free,
+    so a row costs no task of the pool; after an error no further rows are begun."""
+    out: list = [None] * len(rows)
+    left = iter(range(len(rows)))
+
+    def work(_: int) -> None:
+        try:
+            for n in left:
+                out[n] = one(rows[n])
+        except BaseException:
+            for _n in left:
+                pass
+            raise
+
+    list(pool.map(work, range(min(CALLS, len(rows)))))
+    return out
+
+
 def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[str], ledger: Ledger | None = None) -> DataFrame:
     """Adds ``answer`` and ``elapsed_ms`` to the key columns: one call a row, ``CALLS`` at a
     time in a partition.  The payload is a struct; a row without one (null) calls nothing.
@@ -117,7 +136,7 @@ def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[
 
         with ThreadPoolExecutor(CALLS) as pool:
             for batch in batches:
-                found = list(pool.map(one, batch.column("md_payload").to_pylist()))
+                found = each(pool, one, batch.column("md_payload").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key_cols), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=[*key_cols, "answer", "elapsed_ms"])
 
     picked = rows.select(*key_cols, F.to_json(payload, {"ignoreNullFields": "false"}).alias("md_payload"))
@@ -212,8 +231,8 @@ def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("type", "message", "severity")]))
         with ThreadPoolExecutor(CALLS) as pool:
             for batch in batches:
-                rows = zip(*(batch.column(c).to_pylist() for c in ("source_text", "translated_text", "terms")), strict=True)
-                out = list(zip(*pool.map(one, rows), strict=True)) or [[]] * 4
+                rows = list(zip(*(batch.column(c).to_pylist() for c in ("source_text", "translated_text", "terms")), strict=True))
+                out = list(zip(*each(pool, one, rows), strict=True)) or [[]] * 4
                 columns = [pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int64(), kind), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), *columns], names=schema.names)
 

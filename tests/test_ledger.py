@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codexloom.operators import models as L
-from codexloom.operators.ledger import Endpoint, Ledger, entry_of, parsed
+from codexloom.operators.ledger import Endpoint, Ledger, _named, entry_of, parsed
 
 
 def log(path, text):
@@ -113,6 +113,30 @@ print(len(found), sum(r["answer"] is not None for r in found.values()))
     assert max(told[n] for n in told if n != "14") <= 2 and sum(told[n] > 1 for n in told if n != "14") <= 2 * 8
 
 
+def test_files_do_not_grow_with_quick_calls(spark, tmp_path, monkeypatch):
+    book = Ledger(spark, f"file://{tmp_path}/ledger", batch=8, base=0.0)
+    seen = []
+    settle = book.settle
+
+    def counted(runs=None):
+        seen.extend(f for f in (tmp_path / "ledger" / "runs").rglob("*.json"))
+        settle(runs)
+
+    monkeypatch.setattr(book, "settle", counted)
+    assert len(ask(book, rows(spark, [f"a{n}" for n in range(20_000)]), client(tmp_path / "log"))) == 20_000
+    assert len(seen) == 256 and max(calls(tmp_path / "log").values()) == 1
+
+
+def test_a_line_that_was_cut_off_is_asked_again(spark, book, tmp_path):
+    run = tmp_path / "ledger" / "runs" / "r" / "7"
+    run.mkdir(parents=True)
+    (run / "x.json").write_text('{"call": "c1", "task": "t", "answer": "yes", "error": null, "lasting": true}\n{"call": "c2", "task": "t", "ans')
+    assert _named(f"file://{run}") == {"c1"}
+    assert [r["call"] for r in book.entries().collect()] == ["c1"]
+    book.settle()
+    assert [r["call"] for r in book.entries().collect()] == ["c1"]
+
+
 class Endpoints:
     def __init__(self, provider, answers):
         self.provider, self.answers, self.seen = provider, list(answers), 0
