@@ -10,6 +10,8 @@ from codexloom.functions import fixed as C
 from codexloom.functions import text as X
 from codexloom.operators import chunking as K
 from codexloom.operators import structure as S
+from codexloom.operators.boundary import topics
+from codexloom.operators.render import replay_records
 from codexloom.sources import paged
 from codexloom.sources import text as T
 from codexloom.sources.versioned import VersionedStore
@@ -92,3 +94,22 @@ def test_a_table_with_two_captions_is_one_chunk(spark):
     b = T.completed(b.drop("own", "refs")).join(b.select("block_id", "own", "refs"), "block_id").withColumn("metadata", meta).drop("own", "refs")
     got = [(r["chunk_index"], r["chunk_type"], r["source_text"].split("\n")[0]) for r in K.build_chunks(b).orderBy("chunk_index").collect()]
     assert got == [(0, "TEXT", "between"), (1, "TABLE", "Table 2. before")]
+
+
+def test_topics_deal_out_texts_and_not_words(spark):
+    rows = spark.createDataFrame([(1, "bb aa aa the bb cc"), (2, None), (3, "x"), (1, "cc cc")], "k long, t string")
+    found = topics(rows, "k", "t")
+    assert {r["k"]: r["topic"] for r in found.collect()} == {1: "cc, bb, aa", 2: None, 3: None}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "word" in line]
+
+
+def test_texts_stay_out_of_the_join_of_replay_records(spark):
+    chunks = spark.createDataFrame([(1, "c", 0, "TEXT", "s", "ab", "x" * 50, 0)], "job_id long, chunk_id string, chunk_index int, chunk_type string, status string, source_text string, translated_text string, revision_count long")
+    empty = spark.createDataFrame([], "job_id long, chunk_id string, risk_type string, mode string, status string, node string, elapsed_ms long")
+    found = replay_records(empty, chunks, empty, empty)
+    join = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split(join)[1]
+    assert "translationSha256" in below
+    row = found.where("recordType = 'chunk'").first()
+    assert (row["translationChars"], row["riskTypes"], row["jobId"]) == (50, [], 1)
