@@ -93,7 +93,9 @@ def coherence_risks(suspects: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def topics(rows: DataFrame, key: str, text: str, limit: int = 5) -> DataFrame:
-    """The most frequent words of each text, then first ones first; null without words."""
+    """The most frequent words of each text, then first ones first; null without words.
+    Texts are dealt out once, and their words are counted where they are."""
+    rows = rows.repartition(key)
     words = rows.select(key, F.posexplode_outer(X.tokens(F.col(text))).alias("at", "word"))
     kept = words.where(F.col("word").isNull() | ~F.col("word").isin(*C.STOPWORDS))
     counted = kept.where("word is not null").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
