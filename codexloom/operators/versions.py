@@ -17,11 +17,20 @@ def recorded(history: DataFrame, writes: DataFrame, order: str) -> DataFrame:
     return numbered(known, history, "chunk_id", order).select("job_id", "chunk_id", "version_no", "source_type", "translated_text", "edit_note")
 
 
-def _checked(chunks: DataFrame, jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (job_id, chunk_id, ...) with their chunk and why they are refused, or null."""
-    c = chunks.select("job_id", "chunk_id", F.col("status").alias("ed_status"), F.col("translated_text").alias("ed_old"), F.col("revision_count").alias("ed_count"))
+def _checked(chunks: DataFrame, jobs: DataFrame, requests: DataFrame, text: Column | None, more: DataFrame | None = None) -> DataFrame:
+    """Requests (job_id, chunk_id, ...) with the old text of their chunk (ed_old) and why they
+    are refused, or null; ``more`` has further columns by the requests' keys.
+
+    The texts of chunks are long, so they go through the last join only.  ``text`` makes them
+    of other columns of the chunks, which go through the joins in their place; the columns'
+    names may not be those of the requests."""
+    own = ["translated_text"] if text is None else [c for c in chunks.columns if c not in ("job_id", "chunk_id", "status", "revision_count", "translated_text")]
+    c = chunks.select("job_id", "chunk_id", F.col("status").alias("ed_status"), F.col("revision_count").alias("ed_count"), *own)
     j = jobs.select("job_id", F.col("status").alias("ed_job"))
-    rows = requests.join(c, ["job_id", "chunk_id"], "left").join(j, "job_id", "left")
+    rows = requests.join(j, "job_id", "left")
+    if more is not None:
+        rows = rows.join(more, [k for k in requests.columns if k in more.columns], "left")
+    rows = rows.join(c, ["job_id", "chunk_id"], "left").withColumn("ed_old", F.col("translated_text") if text is None else text)
     refused = (
         F.when(F.col("ed_job").isNull() | F.col("ed_status").isNull(), "NOT_FOUND")
         .when(~F.col("ed_job").isin(*C.FINAL), "INVALID_STATE")
@@ -37,19 +46,20 @@ def _applied(rows: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def edited(chunks: DataFrame, jobs: DataFrame, edits: DataFrame) -> DataFrame:
+def edited(chunks: DataFrame, jobs: DataFrame, edits: DataFrame, text: Column | None = None) -> DataFrame:
     """Outcome of a user's edits (job_id, chunk_id, new_text), one of a chunk: the new text,
-    one more revision and stale outputs, or why it is refused and the old text."""
-    rows = _checked(chunks, jobs, edits)
+    one more revision and stale outputs, or why it is refused and the old text.  Chunks have
+    translated_text, or ``text`` makes it of their other columns, after the joins."""
+    rows = _checked(chunks, jobs, edits, text)
     clean = X.strip(F.coalesce("new_text", F.lit("")))
     rows = rows.withColumn("refused", F.coalesce("refused", F.when(clean == "", "VALIDATION_ERROR")))
     return _applied(rows, clean)
 
 
-def restored(chunks: DataFrame, jobs: DataFrame, history: DataFrame, wanted: DataFrame) -> DataFrame:
+def restored(chunks: DataFrame, jobs: DataFrame, history: DataFrame, wanted: DataFrame, text: Column | None = None) -> DataFrame:
     """Outcome of restoring versions (job_id, chunk_id, version_no), as ``edited`` gives it."""
     old = history.select("job_id", "chunk_id", "version_no", F.col("translated_text").alias("ed_text"))
-    rows = _checked(chunks, jobs, wanted).join(old, ["job_id", "chunk_id", "version_no"], "left")
+    rows = _checked(chunks, jobs, wanted, text, old)
     rows = rows.withColumn("refused", F.coalesce("refused", F.when(F.col("ed_text").isNull(), "NOT_FOUND")))
     return _applied(rows, F.col("ed_text"))
 

@@ -57,6 +57,10 @@ _EDITS = f"(select c.*, j.status js, case when chunk_index % 4 = 3 then ' ' else
 _REFUSED = f"case when js is null then 'NOT_FOUND' when js not in ({_FINAL}) then 'INVALID_STATE' when status <> 'COMPLETED' or coalesce(translated, '') = '' then 'INVALID_STATE'"
 
 
+#: Columns of chunks that an edit reads; the last two make the text, after the joins.
+_EDITED = ("job_id", "chunk_id", "status", "revision_count", "l_partkey", "l_suppkey")
+
+
 def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.chunks(spark, sf_dir).withColumnRenamed("translated", "translated_text")
 
@@ -64,15 +68,16 @@ def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select job_id, chunk_id, refused, case when refused is null then trim(new_text) else translated end translated_text, revision_count + case when refused is null then 1 else 0 end revision_count, refused is null outputs_stale from (select *, {_REFUSED} when trim(new_text) = '' then 'VALIDATION_ERROR' end refused from {_EDITS})")
 def chunk_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when(F.col("chunk_index") % 4 == 3, " ").otherwise(F.concat(F.lit(" new "), "source_text", F.lit(" ")))
-    c = _translated(spark, sf_dir)
-    return V.edited(c, A.jobs(spark, sf_dir), c.select("job_id", "chunk_id", new.alias("new_text")))
+    c = A.chunks(spark, sf_dir, "l_partkey", "l_suppkey")
+    return V.edited(c.select(*_EDITED), A.jobs(spark, sf_dir), c.select("job_id", "chunk_id", new.alias("new_text")), A.translated())
 
 
 @query(f"select job_id, chunk_id, refused, case when refused is null then t else translated end translated_text, revision_count + case when refused is null then 1 else 0 end revision_count, refused is null outputs_stale from (select e.*, v.translated_text t, {_REFUSED} when v.translated_text is null then 'NOT_FOUND' end refused from {_EDITS} e left join (select chunk_id, translated_text from {A.VERSIONS} where version_no = 2) v using (chunk_id))")
 def chunk_restores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second version of every chunk, where there is one."""
-    c = _translated(spark, sf_dir)
-    return V.restored(c, A.jobs(spark, sf_dir), A.versions(spark, sf_dir), c.select("job_id", "chunk_id", F.lit(2).cast("long").alias("version_no")))
+    c = A.chunks(spark, sf_dir, "l_partkey", "l_suppkey")
+    wanted = c.select("job_id", "chunk_id", F.lit(2).cast("long").alias("version_no"))
+    return V.restored(c.select(*_EDITED), A.jobs(spark, sf_dir), A.versions(spark, sf_dir), wanted, A.translated())
 
 
 @query(f"""select job_id, event_seq, node current_node, '{{"status":"' || status || '","retries":' || event_seq % 3 || ',"workflowVersion":"2.0"}}' state_snapshot from {A.EVENTS}""")

@@ -12,6 +12,8 @@ from codexloom.operators import chunking as K
 from codexloom.operators import structure as S
 from codexloom.operators.boundary import topics
 from codexloom.operators.render import replay_records
+from codexloom.operators.versions import edited
+from codexloom.plans import QUERIES
 from codexloom.sources import paged
 from codexloom.sources import text as T
 from codexloom.sources.versioned import VersionedStore
@@ -113,3 +115,19 @@ def test_texts_stay_out_of_the_join_of_replay_records(spark):
     assert "translationSha256" in below
     row = found.where("recordType = 'chunk'").first()
     assert (row["translationChars"], row["riskTypes"], row["jobId"]) == (50, [], 1)
+
+
+def test_texts_of_edited_chunks_are_made_after_the_joins(spark):
+    for name in ("chunk_edits", "chunk_restores"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        above, below = plan.split("Join ", 1)
+        made = [line for line in below.splitlines() if "Project [" in line and "repeat(" in line]
+        assert "repeat(" in above and not made, name
+    chunks = spark.createDataFrame([(1, "a", "COMPLETED", 0, 7), (1, "b", "COMPLETED", 2, None), (1, "c", "PENDING", 1, 8)], "job_id long, chunk_id string, status string, revision_count long, n int")
+    jobs = spark.createDataFrame([(1, "COMPLETED")], "job_id long, status string")
+    edits = spark.createDataFrame([(1, k, " new ") for k in "abcd"], "job_id long, chunk_id string, new_text string")
+    old = F.concat(F.lit("t"), "n")
+    late = edited(chunks, jobs, edits, old)
+    assert {r["chunk_id"]: (r["refused"], r["translated_text"], r["revision_count"]) for r in late.collect()} == {"a": (None, "new", 1), "b": ("INVALID_STATE", None, 2), "c": ("INVALID_STATE", "t8", 1), "d": ("NOT_FOUND", None, None)}
+    stored = edited(chunks.withColumn("translated_text", old), jobs, edits)
+    assert late.exceptAll(stored).count() == stored.exceptAll(late).count() == 0
