@@ -377,14 +377,9 @@ def manifest_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, pos, path from {_SECTIONS}")
 def ir_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks to JSON documents and back, with their sections."""
-    blocks = S.sections(A.markup(spark, sf_dir))
-    rows = S.section_rows(A.markup(spark, sf_dir))
-    own = rows.select("doc_id", F.array_join("path", "\u0001").alias("sp"), F.col("block_id").alias("heading"), "section_id")
-    heads = A.markup(spark, sf_dir).select("doc_id", F.col("pos").alias("section_pos"), F.col("block_id").alias("heading"))
-    named = blocks.join(heads, ["doc_id", "section_pos"], "left").join(own.drop("sp"), ["doc_id", "heading"], "left")
     from .. import schemas
 
-    docs = T.ir_json(named, rows).select(F.from_json("value", schemas.IR_DOCUMENT).alias("d")).select("d.*")
+    docs = T.sectioned_json(S.sections(A.markup(spark, sf_dir), ids_too=True)).select(F.from_json("value", schemas.IR_DOCUMENT).alias("d")).select("d.*")
     return T.ir_blocks(docs).select("doc_id", "pos", F.array_join("metadata.section_path", " / ").alias("path"))
 
 

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from codexloom import schemas
 from codexloom.functions import fixed as C
 from codexloom.functions import text as X
 from codexloom.operators import chunking as K
@@ -131,3 +132,20 @@ def test_texts_of_edited_chunks_are_made_after_the_joins(spark):
     assert {r["chunk_id"]: (r["refused"], r["translated_text"], r["revision_count"]) for r in late.collect()} == {"a": (None, "new", 1), "b": ("INVALID_STATE", None, 2), "c": ("INVALID_STATE", "t8", 1), "d": ("NOT_FOUND", None, None)}
     stored = edited(chunks.withColumn("translated_text", old), jobs, edits)
     assert late.exceptAll(stored).count() == stored.exceptAll(late).count() == 0
+
+
+def test_documents_share_json_files_and_are_gathered_once(spark, tmp_path):
+    kinds = [("paragraph", None, "before"), ("title", 1, " T "), ("paragraph", None, "p"), ("heading", 2, "a"), ("heading", 4, "b"), ("table", None, "| x |"), ("heading", 2, "c")]
+    rows = [(d, n, f"b{n}", k, t, f"{d} {t}", lv) for d in range(60) for n, (k, lv, t) in enumerate(kinds)] + [(99, 0, "b0", "paragraph", "x", "x", None)]
+    blocks = T.completed(spark.createDataFrame(rows, "doc_id long, pos int, block_id string, kind string, text string, markdown string, heading_level int"))
+    found = T.sectioned_json(S.sections(blocks, ids_too=True))
+    own = S.section_rows(blocks)
+    named = S.sections(blocks).join(blocks.select("doc_id", F.col("pos").alias("section_pos"), F.col("block_id").alias("h")), ["doc_id", "section_pos"], "left")
+    named = named.join(own.select("doc_id", F.col("block_id").alias("h"), "section_id"), ["doc_id", "h"], "left")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, T.ir_json(named, own).collect()))
+    T.write_ir(found.coalesce(2), f"{tmp_path}/ir", 50)
+    assert 2 <= len(list((tmp_path / "ir").glob("part-*"))) <= 4
+    read = T.ir_blocks(T.read_ir(spark, f"file://{tmp_path}/ir"))
+    assert sorted(map(tuple, read.select("doc_id", "pos", "markdown", F.array_join("metadata.section_path", "/")).collect())) == sorted(map(tuple, S.sections(blocks).select("doc_id", "pos", "markdown", F.when(F.size("section_path") > 0, F.array_join("section_path", "/"))).collect()))
+    parsed = T.ir_blocks(found.select(F.from_json("value", schemas.IR_DOCUMENT).alias("d")).select("d.*")).select("doc_id", "pos")
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
