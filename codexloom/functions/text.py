@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,31 +69,32 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(found, lambda t: F.length(t) > 1), casefold)
 
 
+def _counted(left: pa.Array, right: pa.Array) -> pa.Array:
+    """``_bags`` of arrow lists: words become numbers, and each row's are counted by sorting
+    the pairs of row and number; a million words at a time."""
+    n = len(left)
+    out = np.zeros((n, 3), dtype=np.int64)
+    ends = [np.asarray(x.offsets) for x in (left, right)]
+    total = sum(e - e[0] for e in ends)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + 1_000_000, side="right")) - 1)
+        words = pa.chunked_array([x.values.slice(e[at], e[to] - e[at]) for x, e in zip((left, right), ends, strict=True)])
+        coded = words.combine_chunks().dictionary_encode(null_encoding="encode")
+        size, codes = len(coded.dictionary) + 1, np.asarray(coded.indices).astype(np.int64)
+        rows = [np.repeat(np.arange(to - at), np.diff(e[at : to + 1])) for e in ends]
+        sides = (codes[: len(rows[0])], codes[len(rows[0]) :])
+        (a, na), (b, nb) = (np.unique(r * size + c, return_counts=True) for r, c in zip(rows, sides, strict=True))
+        both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        for column, keys, counts in ((0, both, na[ia] * nb[ib]), (1, a, na * na), (2, b, nb * nb)):
+            np.add.at(out[at:to, column], keys // size, counts)
+        at = to
+    return pa.StructArray.from_arrays([pa.array(out[:, k]) for k in range(3)], ["dot", "aa", "bb"])
+
+
 def _bags(left: Column, right: Column) -> Column:
-    """Dot product and squared norms of two bags of words given as arrays.
-
-    The words of both sides are sorted together, and one fold over the sorted list counts
-    each word of either side; O(n log n), nothing is looked up."""
-    zero = F.lit(0).cast("long")
-    side = lambda words, n: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(n).alias("s")))
-    both = F.sort_array(F.concat(side(left, 0), side(right, 1)))
-    begin = F.struct(F.lit("").alias("w"), zero.alias("a"), zero.alias("b"), zero.alias("dot"), zero.alias("aa"), zero.alias("bb"))
-
-    def step(done: Column, x: Column) -> Column:
-        # a and b count the word at hand; adding one to a grows dot by b and aa by 2a + 1.
-        same = x["w"] == done["w"]
-        a, b = F.when(same, done["a"]).otherwise(zero), F.when(same, done["b"]).otherwise(zero)
-        own = x["s"] == 0
-        return F.struct(
-            x["w"].alias("w"),
-            F.when(own, a + 1).otherwise(a).alias("a"),
-            F.when(own, b).otherwise(b + 1).alias("b"),
-            (done["dot"] + F.when(own, b).otherwise(a)).alias("dot"),
-            (done["aa"] + F.when(own, 2 * a + 1).otherwise(zero)).alias("aa"),
-            (done["bb"] + F.when(own, zero).otherwise(2 * b + 1)).alias("bb"),
-        )
-
-    return F.aggregate(both, begin, step)
+    """Dot product and squared norms of two bags of words given as arrays."""
+    return F.arrow_udf(_counted, "struct<dot:long,aa:long,bb:long>")(left, right)
 
 
 def cosine_of(left: Column, right: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codexloom import schemas
@@ -149,3 +150,14 @@ def test_documents_share_json_files_and_are_gathered_once(spark, tmp_path):
     assert sorted(map(tuple, read.select("doc_id", "pos", "markdown", F.array_join("metadata.section_path", "/")).collect())) == sorted(map(tuple, S.sections(blocks).select("doc_id", "pos", "markdown", F.when(F.size("section_path") > 0, F.array_join("section_path", "/"))).collect()))
     parsed = T.ir_blocks(found.select(F.from_json("value", schemas.IR_DOCUMENT).alias("d")).select("d.*")).select("doc_id", "pos")
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 1
+
+
+def test_words_of_pairs_are_counted_in_batches(spark):
+    sides = [(["b", "a", "b"], ["b", "c", "b", "b"]), ([], ["a"]), (["é"], ["é"]), (None, ["a"]), (["x"] * 700_000, ["x", "y"]), (["x"] * 400_000, ["x"]), (["a", "b"], ["b", "a"]), (["a"], ["b"])]
+    found = X._counted(*(pa.array([None, *(s[k] for s in sides)], pa.list_(pa.string()))[1:] for k in (0, 1)))
+    assert [tuple(r.values()) for r in found.to_pylist()] == [(6, 5, 10), (0, 0, 1), (1, 1, 1), (0, 0, 1), (700_000, 490_000_000_000, 2), (400_000, 160_000_000_000, 1), (2, 2, 2), (0, 1, 1)]
+    assert X._counted(*(pa.array([], pa.list_(pa.string())) for _ in "ab")).to_pylist() == []
+    rows = spark.createDataFrame([("The cat the", "the dog"), ("", "a b"), (None, "aa"), ("However it", "however it")], "l string, r string")
+    cosines = [r[0] for r in rows.select(F.round(X.lexical_cosine(F.col("l"), F.col("r")), 6)).collect()]
+    assert cosines == [0.632456, 0.0, 0.0, 1.0]
+    assert "aggregate" not in rows.select(X.lexical_cosine(F.col("l"), F.col("r")))._jdf.queryExecution().optimizedPlan().toString()
