@@ -20,7 +20,6 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import saved
 from ..sources.files import Folder, opened
-from .models import CALLS, Rejected, Transient, each, model_for
+from .models import Pool, Rejected, Transient, each, model_for
 
 #: Calls that are written together.
 BATCH = 64
@@ -122,14 +121,14 @@ class Ledger:
                 if time.monotonic() - opened_at > OPEN_S:
                     close()
 
-            def flush(pool: ThreadPoolExecutor) -> None:
+            def flush(pool: Pool) -> None:
                 nonlocal held, made
                 if held:
                     write([{"call": c, "task": task, **e} for c, e in zip((c for c, _ in held), each(pool, one, held), strict=True)])
                     made, held = made + len(held), []
 
             try:
-                with ThreadPoolExecutor(CALLS) as pool:
+                with Pool() as pool:
                     for part in batches:
                         for b, call, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                             if b != at:

@@ -11,6 +11,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache, partial
 from typing import TYPE_CHECKING, Protocol
 
 import pyarrow as pa
@@ -26,6 +27,9 @@ if TYPE_CHECKING:
 #: Calls of a partition that wait for an answer at the same time.
 CALLS = 8
 
+#: Seconds that rows may take in turn before threads take the rest: of a batch, and for each row.
+BATCH_S, ROW_S = 0.05, 0.0002
+
 
 class Client(Protocol):
     def chat(self, task: str, payload: dict) -> str: ...
@@ -96,14 +100,36 @@ def _asker(make: Make) -> Callable[[str, dict], str]:
     """A call to the first endpoint that answers; ``make`` gives one client or several."""
     made = make()
     clients = made if isinstance(made, list) else [made]
-    return lambda task, payload: fail_over([lambda c=c: c.chat(task, payload) for c in clients])
+    if len(clients) == 1:
+        chat = clients[0].chat
+        return lambda task, payload: with_retries(partial(chat, task, payload))
+    return lambda task, payload: fail_over([partial(c.chat, task, payload) for c in clients])
+
+
+class Pool(ThreadPoolExecutor):
+    """The threads of a partition, and whether its calls have had to be waited for."""
+
+    def __init__(self) -> None:
+        super().__init__(CALLS)
+        self.waits = False
 
 
-def each(pool: ThreadPoolExecutor, one: Callable, rows: list) -> list:
-    """``one`` of every row, in their order.  Each thread takes the next row when it is free,
-    so a row costs no task of the pool; after an error no further rows are begun."""
+def each(pool: Pool, one: Callable, rows: list) -> list:
+    """``one`` of every row, in their order.  Rows are taken in turn while answers come at
+    once, since threads that don't wait only hinder each other; from the first that is waited
+    for, each thread takes the next row when it is free, so a row costs no task of the pool.
+    After an error no further rows are begun."""
     out: list = [None] * len(rows)
     left = iter(range(len(rows)))
+    if not pool.waits:
+        end = time.monotonic() + BATCH_S
+        for n in left:
+            out[n] = one(rows[n])
+            if time.monotonic() > end + n * ROW_S:
+                pool.waits = True
+                break
+        else:
+            return out
 
     def work(_: int) -> None:
         try:
@@ -118,6 +144,11 @@ def each(pool: ThreadPoolExecutor, one: Callable, rows: list) -> list:
     return out
 
 
+def _values(column: pa.Array) -> list:
+    """The values of a column of strings; by way of numpy, as ``to_pylist`` makes a scalar of each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[str], ledger: Ledger | None = None) -> DataFrame:
     """Adds ``answer`` and ``elapsed_ms`` to the key columns: one call a row, ``CALLS`` at a
     time in a partition.  The payload is a struct; a row without one (null) calls nothing.
@@ -134,9 +165,9 @@ def ask(rows: DataFrame, task: str, make: Make, payload: Column, key_cols: list[
             began = time.monotonic()
             return (call(task, json.loads(text)) if text else None), int((time.monotonic() - began) * 1000)
 
-        with ThreadPoolExecutor(CALLS) as pool:
+        with Pool() as pool:
             for batch in batches:
-                found = each(pool, one, batch.column("md_payload").to_pylist())
+                found = each(pool, one, _values(batch.column("md_payload")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key_cols), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=[*key_cols, "answer", "elapsed_ms"])
 
     picked = rows.select(*key_cols, F.to_json(payload, {"ignoreNullFields": "false"}).alias("md_payload"))
@@ -205,6 +236,12 @@ def extract_terms(batches: DataFrame, make: Make) -> DataFrame:
     return rows.select("job_id", "batch", "nth", F.col("t.sourceTerm").alias("source_term"), F.col("t.suggestedTranslation").alias("suggested"))
 
 
+@lru_cache(256)
+def _issues(answer: str) -> list[dict]:
+    """The issues of an answer; most answers are equal, as they find none."""
+    return json.loads(answer)["issues"]
+
+
 def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
     """Translated chunks (job_id, chunk_index, source_text, translated_text, glossary) after
     the check of a model: while it finds issues of high severity, and ``attempts`` times at
@@ -221,17 +258,17 @@ def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
         def one(row: tuple[str, str, str]) -> tuple[str, int, int, list[dict]]:
             source, text, known = row
             for done in range(attempts + 1):
-                found = json.loads(call("quality", {"source": source, "translation": text}))["issues"]
-                high = [i for i in found if str(i.get("severity", "")).upper() == "HIGH"]
+                found = _issues(call("quality", {"source": source, "translation": text}))
+                high = [dict(i) for i in found if str(i.get("severity", "")).upper() == "HIGH"]
                 if not high or done == attempts:
                     return text, done, done + 1, [{n: i.get(n) for n in ("type", "message", "severity")} for i in found]
                 text = call("revision", {"source": source, "translation": text, "issues": high, "confirmedTerms": json.loads(known)})
             raise AssertionError
 
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("type", "message", "severity")]))
-        with ThreadPoolExecutor(CALLS) as pool:
+        with Pool() as pool:
             for batch in batches:
-                rows = list(zip(*(batch.column(c).to_pylist() for c in ("source_text", "translated_text", "terms")), strict=True))
+                rows = list(zip(*(_values(batch.column(c)) for c in ("source_text", "translated_text", "terms")), strict=True))
                 out = list(zip(*each(pool, one, rows), strict=True)) or [[]] * 4
                 columns = [pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int64(), kind), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), *columns], names=schema.names)

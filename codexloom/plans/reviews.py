@@ -233,12 +233,11 @@ class _Strict:
     """A model that finds an issue in every text that doesn't begin with a blank, and mends it
     with the first of the known terms."""
 
-    def chat(self, task: str, payload: dict) -> str:
-        import json
+    GOOD, BAD = '{"issues": []}', '{"issues": [{"type": "OMISSION", "message": "m", "severity": "high"}]}'
 
+    def chat(self, task: str, payload: dict) -> str:
         if task == "quality":
-            bad = not payload["translation"].startswith(" ")
-            return json.dumps({"issues": [{"type": "OMISSION", "message": "m", "severity": "high"}] * bad})
+            return self.GOOD if payload["translation"].startswith(" ") else self.BAD
         return f" {payload['translation']}{len(payload['issues'])}{min(payload['confirmedTerms'], default='')}"
 
 

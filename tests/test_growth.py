@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from codexloom import schemas
 from codexloom.functions import fixed as C
 from codexloom.functions import text as X
 from codexloom.operators import chunking as K
+from codexloom.operators import models as L
 from codexloom.operators import structure as S
 from codexloom.operators.boundary import topics
 from codexloom.operators.render import replay_records
@@ -161,3 +163,42 @@ def test_words_of_pairs_are_counted_in_batches(spark):
     cosines = [r[0] for r in rows.select(F.round(X.lexical_cosine(F.col("l"), F.col("r")), 6)).collect()]
     assert cosines == [0.632456, 0.0, 0.0, 1.0]
     assert "aggregate" not in rows.select(X.lexical_cosine(F.col("l"), F.col("r")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_are_made_in_turn_until_one_is_waited_for(monkeypatch):
+    monkeypatch.setattr(L, "BATCH_S", 30)
+    used: set = set()
+
+    def one(n, pause=0.0):
+        used.add(threading.get_ident())
+        time.sleep(pause)
+        return n
+
+    with L.Pool() as pool:
+        assert L.each(pool, one, list(range(3_000))) == list(range(3_000)) and L.each(pool, one, []) == []
+        assert used == {threading.get_ident()} and not pool.waits
+        monkeypatch.setattr(L, "BATCH_S", 0.01)
+        assert L.each(pool, lambda n: one(n, 0.02), list(range(40))) == list(range(40))
+        assert pool.waits and len(used) > 2
+        used.clear()
+        assert L.each(pool, one, list(range(40))) == list(range(40)) and threading.get_ident() not in used
+
+
+class Careless:
+    """Empties what it is told, and finds the same two issues in every text."""
+
+    def chat(self, task, payload):
+        if task == "quality":
+            return '{"issues": [{"type": "a", "severity": "High"}, {"message": "m", "severity": "low"}]}'
+        told = sum(len(i) for i in payload["issues"])
+        for issue in payload["issues"]:
+            issue.clear()
+        return f"{payload['translation']}{told}"
+
+
+def test_equal_answers_of_a_check_are_parsed_once_and_not_shared(spark):
+    rows = [(1, n, "s", f"t{n}" if n else None) for n in range(50)]
+    out = L.revised(spark.createDataFrame(rows, "job_id long, chunk_index int, source_text string, translated_text string").coalesce(1), Careless, 2)
+    assert {r["chunk_index"]: (r["translated_text"], r["revision_count"], r["checks"], [tuple(i) for i in r["issues"]]) for r in out.collect()} == {n: (f"t{n}22", 2, 3, [("a", None, "High"), (None, "m", "low")]) for n in range(1, 50)}
+    L._issues.cache_clear()
+    assert L._issues(Careless().chat("quality", {})) is L._issues(Careless().chat("quality", {}))
