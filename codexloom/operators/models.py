@@ -242,6 +242,12 @@ def _issues(answer: str) -> list[dict]:
     return json.loads(answer)["issues"]
 
 
+@lru_cache(8)
+def _terms(text: str) -> dict[str, str]:
+    """The terms of a job, which its chunks share."""
+    return json.loads(text)
+
+
 def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
     """Translated chunks (job_id, chunk_index, source_text, translated_text, glossary) after
     the check of a model: while it finds issues of high severity, and ``attempts`` times at
@@ -262,7 +268,7 @@ def revised(chunks: DataFrame, make: Make, attempts: int = 1) -> DataFrame:
                 high = [dict(i) for i in found if str(i.get("severity", "")).upper() == "HIGH"]
                 if not high or done == attempts:
                     return text, done, done + 1, [{n: i.get(n) for n in ("type", "message", "severity")} for i in found]
-                text = call("revision", {"source": source, "translation": text, "issues": high, "confirmedTerms": json.loads(known)})
+                text = call("revision", {"source": source, "translation": text, "issues": high, "confirmedTerms": dict(_terms(known))})
             raise AssertionError
 
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("type", "message", "severity")]))

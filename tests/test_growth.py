@@ -190,15 +190,19 @@ class Careless:
     def chat(self, task, payload):
         if task == "quality":
             return '{"issues": [{"type": "a", "severity": "High"}, {"message": "m", "severity": "low"}]}'
-        told = sum(len(i) for i in payload["issues"])
-        for issue in payload["issues"]:
-            issue.clear()
+        told = sum(len(i) for i in payload["issues"]) + len(payload["confirmedTerms"])
+        for given in (*payload["issues"], payload["confirmedTerms"]):
+            given.clear()
         return f"{payload['translation']}{told}"
 
 
-def test_equal_answers_of_a_check_are_parsed_once_and_not_shared(spark):
-    rows = [(1, n, "s", f"t{n}" if n else None) for n in range(50)]
-    out = L.revised(spark.createDataFrame(rows, "job_id long, chunk_index int, source_text string, translated_text string").coalesce(1), Careless, 2)
-    assert {r["chunk_index"]: (r["translated_text"], r["revision_count"], r["checks"], [tuple(i) for i in r["issues"]]) for r in out.collect()} == {n: (f"t{n}22", 2, 3, [("a", None, "High"), (None, "m", "low")]) for n in range(1, 50)}
+def test_equal_answers_and_terms_are_parsed_once_and_not_shared(spark):
+    rows = [(1, n, "s", f"t{n}" if n else None, {"a": "b", "c": "d"}) for n in range(50)]
+    out = L.revised(spark.createDataFrame(rows, "job_id long, chunk_index int, source_text string, translated_text string, glossary map<string,string>").coalesce(1), Careless, 2)
+    assert {r["chunk_index"]: (r["translated_text"], r["revision_count"], r["checks"], [tuple(i) for i in r["issues"]]) for r in out.collect()} == {n: (f"t{n}44", 2, 3, [("a", None, "High"), (None, "m", "low")]) for n in range(1, 50)}
     L._issues.cache_clear()
-    assert L._issues(Careless().chat("quality", {})) is L._issues(Careless().chat("quality", {}))
+    L._terms.cache_clear()
+    for _ in range(2):
+        L._issues(Careless().chat("quality", {}))
+        L._terms('{"a": "b"}')
+    assert L._issues.cache_info().misses == 1 and L._terms.cache_info().misses == 1
