@@ -85,6 +85,20 @@ def test_files_that_cannot_be_written_are_told(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "e").iterdir()) == ["y", "z"]
 
 
+def test_a_query_fails_with_a_file_that_cannot_be_written(spark, tmp_path, monkeypatch):
+    from codexloom.plans import files as plans
+
+    (tmp_path / "d").write_text("a file where a folder should be")
+    monkeypatch.setattr(plans, "folder", lambda _: str(tmp_path))
+    rows = spark.createDataFrame([("d/x", b"1"), ("e/y", b"22")], "path string, content binary")
+    with pytest.raises(Exception, match=r"/d'"):
+        plans._written(rows)
+    assert plans._written(rows.where("path <> 'd/x'")) == str(tmp_path) and (tmp_path / "e/y").read_bytes() == b"22"
+    (tmp_path / "e/bad.txt").write_bytes(b"good\fb\xff")
+    with pytest.raises(Exception, match="utf-8"):
+        plans._pages(spark, f"{tmp_path}/e").count()
+
+
 def test_unknown_modes_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="unknown mode"):
         read_pages(spark, str(tmp_path), ocr_mode="never").count()
@@ -92,5 +106,18 @@ def test_unknown_modes_are_refused(spark, tmp_path):
     assert read_pages(spark, str(tmp_path), ocr_mode="force").count() == 1
 
 
+def test_files_are_listed_in_tasks_and_not_planned_one_by_one(spark, tmp_path):
+    for n in range(12):
+        (tmp_path / f"{n % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{n % 3}/{n}.txt").write_text(f"a {n}\fb")
+    (tmp_path / "long.txt").write_text("\f".join(f"page {n}" for n in range(2_000)))
+    pages = read_pages(spark, f"file://{tmp_path}", range_bytes=500)
+    assert "paged" not in pages._jdf.queryExecution().executedPlan().toString().lower()
+    told = {(r["path"], r["pages"]) for r in numbered(pages).groupBy("path").agg(F.max("page_no").alias("pages")).collect()}
+    assert told == {(f"file://{tmp_path}/{n % 3}/{n}.txt", 2) for n in range(12)} | {(f"file://{tmp_path}/long.txt", 2_000)}
+    with pytest.raises(FileNotFoundError):
+        read_pages(spark, f"file://{tmp_path}/none")
+
+
 def test_no_files(spark, tmp_path):
     assert numbered(read_pages(spark, str(tmp_path))).count() == 0
