@@ -78,3 +78,49 @@ def test_context_of_chunks_in_any_order_equals_batch(spark, tmp_path, parts):
         sent[-1].remove((1, 4, "again"))
     got = run(spark, sent, schema, lambda s: S.ordered_context(s, follow), tmp_path)
     assert sorted(got) == sorted(map(tuple, E.carried_context(spark.createDataFrame(rows, schema), follow).collect()))
+
+
+def test_jobs_of_a_bucket_share_their_calls_of_the_store():
+    calls = []
+
+    class Store:
+        def __init__(self):
+            self.value, self.map = None, {}
+
+        def getValueState(self, *_):
+            return self
+
+        def getMapState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def containsKey(self, key):
+            calls.append("contains")
+            return key in self.map
+
+        def getValue(self, key):
+            return self.map[key]
+
+        def removeKey(self, key):
+            del self.map[key]
+
+        def updateValue(self, key, value):
+            self.map[key] = value
+
+    def sent(rows):
+        calls.clear()
+        return sorted(tuple(r) for r in made.handleInputRows((7,), iter([(7, *r) for r in rows]), None))
+
+    made, store = S.Ordered(lambda source, previous: f"{previous or ''}{source}", 0, "bigint"), Store()
+    made.init(store)
+    assert len(sent([(job, n, "x") for n in (2, 0, 1) for job in range(100)])) == 300 and calls == ["get", "update"]
+    assert sent([(1, 3, "a"), (2, 5, "c"), (2, 5, "late"), (2, 4, "b")]) == [(1, 3, "xxxa")] and calls == ["get", "update"]
+    assert sent([(2, 4, "never"), (2, 3, "a"), (1, 4, "b"), (1, 0, "again")]) == [(1, 4, "xxxab"), (2, 3, "xxxa"), (2, 4, "xxxab"), (2, 5, "xxxabc")]
+    assert store.map == {} and calls.count("get") == calls.count("update") == 1 and sent([(1, 0, "again")]) == [] and calls == ["get"]
