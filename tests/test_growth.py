@@ -13,6 +13,7 @@ from codexloom.functions import fixed as C
 from codexloom.functions import text as X
 from codexloom.operators import chunking as K
 from codexloom.operators import models as L
+from codexloom.operators import persist as P
 from codexloom.operators import structure as S
 from codexloom.operators.boundary import topics
 from codexloom.operators.render import replay_records
@@ -206,3 +207,22 @@ def test_equal_answers_and_terms_are_parsed_once_and_not_shared(spark):
         L._issues(Careless().chat("quality", {}))
         L._terms('{"a": "b"}')
     assert L._issues.cache_info().misses == 1 and L._terms.cache_info().misses == 1
+
+
+def test_a_persisted_change_shuffles_no_drafts_to_find_refused_jobs(spark):
+    jobs = spark.createDataFrame([(k, "PARSED") for k in range(4)], "job_id long, status string")
+    chunks = spark.createDataFrame([(0, 0, "a", "PENDING"), (1, 0, "a", "PENDING"), (1, 1, "b", "COMPLETED"), (2, 0, "c", None)], "job_id long, chunk_index long, source_text string, status string")
+    drafts = spark.createDataFrame([(0, 0, "x"), (1, 0, "x"), (2, 0, "x"), (9, 0, "x")], "job_id long, chunk_index long, source_text string")
+    told = P.outcomes(jobs, chunks, drafts, drafts.select("job_id").unionByName(jobs.select("job_id")))
+    assert sorted(map(tuple, told.collect())) == [(0, "APPLIED"), (1, "INVALID_STATE"), (2, "APPLIED"), (3, "VALIDATION_ERROR"), (9, "JOB_NOT_FOUND")]
+    assert "FullOuter" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_of_stored_tables_are_numbered_once(spark, monkeypatch):
+    from codexloom.plans import adapters, stores
+
+    made = []
+    of = adapters.items
+    monkeypatch.setattr(adapters, "items", lambda *a: made.append(1) or of(*a))
+    stores._stored(spark, "/root/testdata/sf0.001")
+    assert made == [1]
